@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from palimpsest.llm.quality_rules import ENDS, PHRASES, Rules
 from palimpsest.llm.url_filter import BLOCK_GLOBS, SITE_RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -49,3 +50,61 @@ SELECT doc_id, coalesce(len(w), 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coal
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_R = Rules()
+_ENDS = ENDS.replace("'", "''")
+
+QUALITY_RULES = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+lines AS (
+  SELECT doc_id, i, line, {_WORDS.format("line")} AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)),
+facts AS (
+  SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: x = '|')) AS n_bars,
+         length(array_to_string(w, '')) AS chars, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+         length(regexp_replace(line, '[^!]', '', 'g')) AS marks, right(w[-1], 1) AS tail, lower(line) AS low,
+         row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS repeated
+  FROM lines WHERE len(w) > 0),
+judged AS (
+  SELECT *, 100 * symbols > {_R.max_symbols} * chars
+         OR n >= {_R.min_words} AND 100 * marks > {_R.max_marks} * n
+         OR n >= {_R.min_words} AND 100 * n_bars >= {_R.max_bars} * n
+         OR n >= {_R.min_varied} AND 100 * (n - n_distinct) >= {_R.max_same} * n
+         OR n >= {_R.min_sentence} AND ascii(tail) < 128 AND NOT contains('{_ENDS}', tail)
+         OR repeated
+         OR {" OR ".join(f"contains(low, '{p}')" for p in PHRASES)} AS fails
+  FROM facts),
+by_doc AS (
+  SELECT doc_id, sum(CASE WHEN repeated THEN 1 ELSE 0 END) AS n_dup_lines, sum(CASE WHEN fails THEN 1 ELSE 0 END) AS n_lines_removed,
+         sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost_chars
+  FROM judged GROUP BY doc_id),
+grams AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM docs, unnest(range(1, greatest(len(w) - 4, 0) + 1)) AS r(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, unnest(range(0, 5)) AS r(k) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CAST(coalesce(n_lines_removed, 0) AS BIGINT) AS n_lines_removed, CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars
+  FROM docs LEFT JOIN by_doc USING (doc_id) LEFT JOIN repeats USING (doc_id))
+SELECT *, n_words < {_R.min_doc_words} OR 100 * n_repeat_words > {_R.max_repeat} * n_words AS base_failed,
+       NOT (n_words < {_R.min_doc_words} OR 100 * n_repeat_words > {_R.max_repeat} * n_words) AND 100 * lost_chars <= {_R.max_lost} * word_chars AS kept
+FROM counted
+"""
+
+LINE_DEDUP = """
+WITH lines AS (
+  SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS core
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+common AS (
+  SELECT source, core FROM (SELECT source, core, count(DISTINCT doc_id) AS n FROM lines WHERE core <> '' GROUP BY source, core) JOIN pages USING (source)
+  WHERE n >= 5 AND 100 * n > 5 * pages),
+judged AS (SELECT l.*, c.core IS NOT NULL AS dropped FROM lines l LEFT JOIN common c USING (source, core)),
+by_doc AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS text,
+         count(*) FILTER (core <> '') AS n_lines, count(*) FILTER (dropped) AS n_dropped
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, d.source, CASE WHEN d.text IS NOT NULL THEN b.text END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM documents d LEFT JOIN by_doc b USING (doc_id)
+"""

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from palimpsest.llm import oracles
 from palimpsest.llm.decontaminate import decontaminate
+from palimpsest.llm.line_dedup import dedup_lines
+from palimpsest.llm.packing import pack
+from palimpsest.llm.quality_rules import clean_lines
 from palimpsest.llm.url_filter import filter_urls
 
 
@@ -16,6 +18,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer of the packing contract, from the package that every machine has."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(_table(spark, sf_dir, "documents"), with_text=False).withColumnRenamed("id", "doc_id")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -26,10 +47,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_pack": op4_pack,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
+    "op6_quality_rules": oracles.QUALITY_RULES,
+    "op7_line_dedup": oracles.LINE_DEDUP,
     "op9_url_filter": oracles.URL_FILTER,
     "op10_decontaminate": oracles.DECONTAMINATE,
 }
