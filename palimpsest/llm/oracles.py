@@ -108,3 +108,18 @@ by_doc AS (
 SELECT d.doc_id, d.source, CASE WHEN d.text IS NOT NULL THEN b.text END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN by_doc b USING (doc_id)
 """
+
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, {1 + 10 * g}, 10) AS BIGINT) >> {35 - 5 * k}) & 31 AS INT), 1)"
+    for g in range(4)
+    for k in range(8)
+)
+
+WARC = f"""
+WITH payloads AS (SELECT page_id, sha1(coalesce(html, '')) AS hex, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM payloads)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""

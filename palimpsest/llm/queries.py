@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.llm import oracles
 from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.line_dedup import dedup_lines
 from palimpsest.llm.packing import pack
+from palimpsest.llm.quality_model import score_quality
 from palimpsest.llm.quality_rules import clean_lines
+from palimpsest.llm.storage import shared_dir
 from palimpsest.llm.url_filter import filter_urls
+from palimpsest.llm.warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +29,18 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    records = read_warc(spark, path, with_payload=False).where("gap is null")
+    ids = [F.col(c).cast("long").alias(name) for c, name in (("record_id", "page_id"), ("refers_to", "refers_to"))]
+    return records.select(ids[0], "payload_bytes", "payload_digest", "record_type", ids[1])
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
@@ -47,6 +63,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_salvage": op1_warc_salvage,
+    "op3_quality_model": op3_quality_model,
     "op4_pack": op4_pack,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
@@ -54,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc_salvage": oracles.WARC,
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op9_url_filter": oracles.URL_FILTER,
