@@ -11,6 +11,7 @@ from palimpsest.llm import oracles
 from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.line_dedup import dedup_lines
 from palimpsest.llm.packing import pack
+from palimpsest.llm.pii import find_pii
 from palimpsest.llm.quality_model import score_quality
 from palimpsest.llm.quality_rules import clean_lines
 from palimpsest.llm.storage import shared_dir
@@ -37,6 +38,10 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(ids[0], "payload_bytes", "payload_digest", "record_type", ids[1])
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
@@ -64,6 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_salvage": op1_warc_salvage,
+    "op2_pii": op2_pii,
     "op3_quality_model": op3_quality_model,
     "op4_pack": op4_pack,
     "op6_quality_rules": op6_quality_rules,
