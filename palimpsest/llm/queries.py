@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import oracles
 from palimpsest.llm.decontaminate import decontaminate
 from palimpsest.llm.line_dedup import dedup_lines
+from palimpsest.llm.ngram_join import jaccard_components
 from palimpsest.llm.packing import pack
 from palimpsest.llm.pii import find_pii
 from palimpsest.llm.quality_model import score_quality
@@ -50,6 +51,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_lines(_table(spark, sf_dir, "documents"), with_text=False).withColumnRenamed("id", "doc_id")
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality_model": op3_quality_model,
     "op4_pack": op4_pack,
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op9_url_filter": op9_url_filter,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_warc_salvage": oracles.WARC,
+    "op5_ngram_join": oracles.NGRAM_JOIN,
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op9_url_filter": oracles.URL_FILTER,
