@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import oracles
 from palimpsest.llm.decontaminate import decontaminate
+from palimpsest.llm.language_model import score_texts
 from palimpsest.llm.line_dedup import dedup_lines
 from palimpsest.llm.ngram_join import jaccard_components
 from palimpsest.llm.packing import pack
@@ -63,6 +64,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
+    "op8_language_model": op8_language_model,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
 }
