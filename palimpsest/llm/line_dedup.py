@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.storage import written
+
 
 def _line_hash(line: Column) -> Column:
     """By the line without spaces and tabs around it; null for lines without a word."""
@@ -34,7 +36,8 @@ def dedup_lines(
     pages = rest.groupBy(F.col(site_col).alias("_site2")).agg(F.count(F.lit(1)).alias("_pages"))
     common = seen.groupBy("_site", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
     common = common.join(pages, F.col("_site").eqNullSafe(F.col("_site2"))).where(F.col("_n") * 100 > F.col("_pages") * max_percent)
-    lists = common.groupBy("_site").agg(F.collect_list("_line").alias("_drop"))
+    # Written first, so that its size is known when the join is planned and texts aren't shuffled for nothing.
+    lists = written(common.groupBy("_site").agg(F.collect_list("_line").alias("_drop")))
     joined = rest.join(lists, F.col(site_col).eqNullSafe(F.col("_site")), "left")
 
     drop = F.coalesce(F.col("_drop"), F.array().cast("array<bigint>"))
