@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from palimpsest.llm import words as W
 
@@ -197,6 +198,7 @@ def decontaminate(
     coverage: tuple[int, int] = (1, 20),
     block_words: int = BLOCK_WORDS,
     with_text: bool = True,
+    keep_columns: bool = False,
 ) -> DataFrame:
     """Per document: id, n_words, n_hit, n_items, items_sha256, contaminated, clean_text.
 
@@ -205,19 +207,23 @@ def decontaminate(
     Null texts have no words, and a null clean_text; items without words or with a null text are never found; a null item id
     counts as an item but not in items_sha256. Equal items are each found. Repeated documents are judged one by one; an empty
     table of items leaves every document clean.
+    keep_columns: instead, the rows and columns of docs without the contaminated rows, and with the clean text in place of the text.
     """
     spark = docs.sparkSession
     automata = []
     for names, texts in item_blocks(benchmark, item_id_col, item_text_col, block_words):
         hashes = item_words(texts)
         automata.append(spark.sparkContext.broadcast((build(names, hashes, window), [len(h) for h in hashes])))
-    read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    read, at = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), 1
     kind = read.schema["_id"].dataType.simpleString()
+    out: StructType | str = f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", clean_text string" * with_text
+    if keep_columns:
+        read, at, out, with_text = docs, docs.columns.index(text_col), docs.schema, True
     part, whole = coverage
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in W.slices(batch.column(1)):
+            for texts in W.slices(batch.column(at)):
                 n = texts.last - texts.first
                 found: dict[int, set[str | None]] = {}
                 words, hit, count = W.words(texts, W.ALNUM), None, np.zeros(n, np.int64)
@@ -232,13 +238,18 @@ def decontaminate(
                 total = np.concatenate([[0], np.cumsum(hit)])
                 n_words, n_hit = np.diff(words.bounds), total[words.bounds[1:]] - total[words.bounds[:-1]]
                 names = [",".join(sorted(x for x in found.get(i, ()) if x is not None)) for i in range(n)]
-                column = batch.column(1).slice(texts.first, n)
+                column = batch.column(at).slice(texts.first, n)
                 if with_text and n_hit.any():
                     clean = column.to_pylist()
                     for i in np.flatnonzero(n_hit):
                         a, z, o = words.bounds[i], words.bounds[i + 1], texts.offsets[i]
                         clean[i] = _cut(clean[i], texts.data[o : texts.offsets[i + 1]], words.starts[a:z] - o, words.ends[a:z] - o, hit[a:z])
                     column = pa.array(clean, column.type)
+                contaminated = (n_hit > 0) & (whole * n_hit >= part * n_words)
+                if keep_columns:
+                    columns = [column if k == at else batch.column(k).slice(texts.first, n) for k in range(batch.num_columns)]
+                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(~contaminated))
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(texts.first, n),
@@ -246,10 +257,10 @@ def decontaminate(
                         pa.array(n_hit.astype(np.int64)),
                         pa.array(count),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
-                        pa.array((n_hit > 0) & (whole * n_hit >= part * n_words)),
+                        pa.array(contaminated),
                         *([column] if with_text else []),
                     ],
                     ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["clean_text"] if with_text else [])],
                 )
 
-    return read.mapInArrow(judge, f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", clean_text string" * with_text)
+    return read.mapInArrow(judge, out)
