@@ -2,10 +2,13 @@
 
 Plan. Every document becomes the set of its n-gram hashes, in one global order: rare ones first, as counted over all documents in a
 table of fixed size. Equal sets are one class, and only classes go on.
-1. Two sets that reach the threshold share an n-gram of their prefixes, the first |x| - ceil(t|x|) + 1 in the order. Prefixes are dealt
-   out by n-gram in packed arrays. An n-gram of several classes ties them to the least of them, their anchor.
-2. Each anchor's classes are a group; every pair that shares a prefix n-gram is in some group. A group above a fixed size is dealt out by pairs
-   of blocks. Only classes in groups have their full sets made.
+1. Two sets that reach the threshold share at least T n-grams of their prefixes, as these are longer than needed for one by a share of
+   the set (an l-prefix). Prefixes are dealt out by n-gram in packed arrays, once for each class and task. An n-gram of several classes
+   of fitting sizes ties them to the least of them, their anchor.
+2. A class whose tied n-grams are fewer than T has no partner and goes. It also leaves its weakest anchors, as long as they tie fewer than
+   half of T of its n-grams: a pair loses fewer than T in all, so it still has a common anchor. Each anchor's classes are a group; a
+   group above a fixed size is dealt out by pairs of blocks. Only classes in groups have their full sets made, found in
+   another pass by a filter of fixed size and then by an exact join.
 3. Each group's sets are stored in a trie over the order. A set walks the trie with a running overlap that all sets below
    a node share; a subtree is left when the overlap so far and what remains on both sides can't reach the threshold. Subtrees
    whose sets are already linked with the walker's are left too, so a group of n copies costs about n steps, not n squared.
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
@@ -32,7 +35,9 @@ COUNT_BITS, _BLOCKS = 20, 32
 #: Sets in one trie; prefix n-grams in one packed bucket.
 GROUP_SETS = 512
 BUCKET_NGRAMS = 1_000_000
-_POSTING = np.dtype([("gram", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+#: Bits of the filter for wanted classes; when the corpus outgrows it, it lets more sets through to the join.
+FILTER_BITS = 25
+_POSTING = np.dtype([("gram", "<u8"), ("cls", "<i8"), ("n", "<u4")])
 
 
 def ngram_hashes(texts: W.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +62,15 @@ def class_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def order_levels(read: DataFrame, size: int) -> np.ndarray:
-    """For each value of an n-gram hash's first bits, the bit length of its count over all rows: 2**COUNT_BITS bytes."""
+def needed(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of n: the prefix's length, and the least number of prefix n-grams shared with any set that reaches the threshold."""
+    least = -(-percent * n // 100)
+    extra = (100 - percent) * n // 200
+    return np.where(n > 0, np.minimum(n, n - least + 1 + extra), 0), 1 + (100 - percent) * least // 200
+
+
+def order_levels(read: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """For each value of an n-gram hash's first bits, the bit length of its count over all rows: 2**COUNT_BITS bytes. And the sum of all counts."""
     block = (1 << COUNT_BITS) // _BLOCKS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,12 +88,43 @@ def order_levels(read: DataFrame, size: int) -> np.ndarray:
             for x in batch.column("counts"):
                 total += np.frombuffer(x.as_buffer(), "<u4")
         level = np.ceil(np.log2(total + 1)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([int(total.sum())])], ["block", "counts", "total"])
 
-    out = np.zeros((_BLOCKS, block), np.uint8)
-    for row in read.select("_text").mapInArrow(partial, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():  # fixed size
+    out, total = np.zeros((_BLOCKS, block), np.uint8), 0
+    counts = read.select("_text").mapInArrow(partial, "block int, counts binary")
+    for row in counts.groupBy("block").applyInArrow(add, "block int, counts binary, total bigint").collect():  # of fixed size
         out[row["block"]] = np.frombuffer(row["counts"], np.uint8)
-    return np.minimum(out.reshape(-1), 31)
+        total += row["total"]
+    return np.minimum(out.reshape(-1), 31), total
+
+
+def _filter_places(cls: np.ndarray) -> np.ndarray:
+    h = W.mix(cls.view(np.uint64))
+    return np.concatenate([h >> np.uint64(64 - FILTER_BITS), (h & np.uint64((1 << FILTER_BITS) - 1))]).astype(np.int64)
+
+
+def class_filter(wanted: DataFrame) -> np.ndarray:
+    """Bits of a filter that holds all wanted classes: 2**FILTER_BITS bits, whatever their number."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[_filter_places(np.asarray(batch.column(0)))] = True
+        for k, part in enumerate(np.packbits(bits).reshape(_BLOCKS, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "bits"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << FILTER_BITS) // 8 // _BLOCKS, np.uint8)
+        for batch in batches:
+            for x in batch.column("bits"):
+                total |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((_BLOCKS, (1 << FILTER_BITS) // 8 // _BLOCKS), np.uint8)
+    for row in wanted.select("cls").mapInArrow(partial, "block int, bits binary").groupBy("block").applyInArrow(add, "block int, bits binary").collect():  # of fixed size
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
 
 
 class Trie:
@@ -212,22 +255,24 @@ def group_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Tabl
 
 
 def _anchored(table: np.ndarray, percent: int) -> np.ndarray:
-    """Distinct (anchor, class) of the bucket's n-grams that several classes have."""
-    table = table[np.lexsort((table["cls"], table["gram"]))]
-    gram = table["gram"]
-    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
-    size = np.diff(np.concatenate([first, [len(gram)]]))
-    # Two sets whose first common n-gram stands here: sizes and what follows it must allow the threshold.
-    two = first[size == 2]
-    x, y = table[two], table[two + 1]
-    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    best = np.minimum(nx - x["pos"], ny - y["pos"])
-    fails = (100 + percent) * best < percent * (nx + ny)
-    keep = size >= 2
-    keep[np.flatnonzero(size == 2)[fails]] = False
-    rows = np.repeat(keep, size)
-    anchor = np.repeat(table["cls"][first], size)[rows]
-    return np.unique(np.stack([anchor, table["cls"][rows]], axis=1), axis=0) if rows.any() else np.zeros((0, 2), np.int64)
+    """(anchor, class, size, n-grams) for the bucket's n-grams that several classes of fitting sizes have."""
+    if not len(table):
+        return np.zeros((0, 4), np.int64)
+    table = table[np.lexsort((table["cls"], table["n"], table["gram"]))]
+    # A run: classes of one n-gram by size, cut where the next is too large for the one before, and so for all before.
+    n = table["n"].astype(np.int64)
+    new = np.concatenate([[True], (table["gram"][1:] != table["gram"][:-1]) | (100 * n[:-1] < percent * n[1:])])
+    first = np.flatnonzero(new)
+    length = np.diff(np.concatenate([first, [len(table)]]))
+    rows = np.repeat(length >= 2, length)
+    if not rows.any():
+        return np.zeros((0, 4), np.int64)
+    anchor = np.repeat(np.minimum.reduceat(table["cls"], first), length)[rows]
+    cls, n = table["cls"][rows], n[rows]
+    order = np.lexsort((cls, anchor))
+    anchor, cls, n = anchor[order], cls[order], n[order]
+    start = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (cls[1:] != cls[:-1])]))
+    return np.stack([anchor[start], cls[start], n[start], np.diff(np.concatenate([start, [len(cls)]]))], axis=1)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, group_sets: int = GROUP_SETS) -> DataFrame:
@@ -241,73 +286,87 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = read.schema["_id"].dataType.simpleString()
-    levels = spark.sparkContext.broadcast(order_levels(read, size))
+    table, total = order_levels(read, size)
+    levels = spark.sparkContext.broadcast(table)
+    buckets = max(8, int(total * (100 - percent) * 1.5 / 100 / BUCKET_NGRAMS) + 1)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in W.slices(batch.column(1)):
                 values, bounds = ordered_sets(texts, size, levels.value)
                 n = np.diff(bounds)
-                stop = bounds[:-1] + n - -(-percent * n // 100) + (n > 0)
-                parts = [values[a:z].astype("<u8").tobytes() for a, z in zip(bounds[:-1], stop, strict=True)]
-                cls = class_ids(values, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.first, len(n)), pa.array(n), pa.array(cls, mask=n == 0), pa.array(parts, pa.binary())], ["_id", "n", "cls", "prefix"]
-                )
-
-    rows = written(read.mapInArrow(prefixes, f"_id {kind}, n bigint, cls bigint, prefix binary"))
-    classes = written(rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("first_id"), F.first("n").alias("n")))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, int(total * (100 - percent) / 100 / BUCKET_NGRAMS) + 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(n)), pa.array(n), pa.array(class_ids(values, bounds), mask=n == 0)], ["_id", "n", "cls"])
 
-    # One row of each class brings its prefix.
-    chosen = rows.join(classes.select("cls", F.col("first_id").alias("_id")), ["cls", "_id"]) if kind != "void" else rows
-    missing = classes.where("first_id is null").select("cls")
-    chosen = chosen.select("cls", "n", "prefix").unionByName(rows.where("_id is null").join(missing, "cls").select("cls", "n", "prefix"))
+    rows = written(read.mapInArrow(counted, f"_id {kind}, n bigint, cls bigint"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # classes that this task has dealt out
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            postings = np.concatenate(held)
+            held.clear()
+            bucket = (W.mix(postings["gram"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            found, start = np.unique(bucket[order], return_index=True)
+            pieces = [x.tobytes() for x in np.split(postings[order], start[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(pieces, pa.binary())], ["bucket", "postings"])
+
         for batch in batches:
-            for first in range(0, batch.num_rows, 2048):
-                part = batch.slice(first, 2048)
-                grams = [np.frombuffer(x.as_buffer(), "<u8") for x in part.column(2)]
-                lengths = np.array([len(g) for g in grams])
-                table = np.zeros(int(lengths.sum()), _POSTING)
-                table["gram"] = np.concatenate(grams)
-                table["cls"] = np.repeat(np.asarray(part.column(0)), lengths)
-                table["n"] = np.repeat(np.asarray(part.column(1)), lengths)
-                table["pos"] = np.arange(len(table)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                bucket = (W.mix(table["gram"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                found, start = np.unique(bucket[order], return_index=True)
-                pieces = [t.tobytes() for t in np.split(table[order], start[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(pieces, pa.binary())], ["bucket", "postings"])
+            for texts in W.slices(batch.column(0)):
+                values, bounds = ordered_sets(texts, size, levels.value)
+                n = np.diff(bounds)
+                cls = class_ids(values, bounds)
+                length, _ = needed(n, percent)
+                for i, c in enumerate(cls.tolist()):
+                    if c in seen:
+                        length[i] = 0
+                    seen.add(c)
+                postings = np.zeros(int(length.sum()), _POSTING)
+                at = np.repeat(bounds[:-1] - (np.cumsum(length) - length), length) + np.arange(len(postings))
+                postings["gram"], postings["cls"], postings["n"] = values[at], np.repeat(cls, length), np.repeat(n, length)
+                held.append(postings)
+                if sum(map(len, held)) > 500_000:
+                    yield flush()
+        if held and sum(map(len, held)):
+            yield flush()
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in group_rows(batches, 1):
-            data = b"".join(x.as_py() for x in group.column(1))
-            # A class may come twice, if its least id does.
-            pairs = _anchored(np.unique(np.frombuffer(data, _POSTING)), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["anchor", "cls"])
-
-    dealt = chosen.mapInArrow(deal, "bucket int, postings binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    members = written(dealt.mapInArrow(anchor, "anchor bigint, cls bigint").distinct())
-
-    # Full sets of the classes in groups, made again from one text of each.
-    wanted = members.select("cls").distinct().join(classes, "cls").select("cls", F.col("first_id").alias("_want"))
+            # Several tasks may have dealt out a class.
+            postings = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for x in group.column(1)]))
+            found = _anchored(postings, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["anchor", "cls", "n", "shared"])
+
+    dealt = read.select("_text").mapInArrow(deal, "bucket int, postings binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    ties = dealt.mapInArrow(anchor, "anchor bigint, cls bigint, n bigint, shared bigint").groupBy("cls", "anchor").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"))
+    by_class = Window.partitionBy("cls")
+    weakest = by_class.orderBy("shared", "anchor").rowsBetween(Window.unboundedPreceding, 0)
+    least = F.expr(f"1 + ({100 - percent} * ((n * {percent} + 99) div 100)) div 200")
+    ranked = ties.withColumn("_all", F.sum("shared").over(by_class)).withColumn("_weak", F.sum("shared").over(weakest)).withColumn("_least", least)
+    members = written(ranked.where("_all >= _least and _weak > (_least - 1) div 2").select("anchor", "cls"))
+
+    # Full sets of the classes in groups, once for each task that has the class.
+    wanted = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").join(members, "anchor").select("cls").distinct()
+    wanted = written(wanted)
+    bits = spark.sparkContext.broadcast(class_filter(wanted))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for texts in W.slices(batch.column(1)):
+            for texts in W.slices(batch.column(0)):
                 values, bounds = ordered_sets(texts, size, levels.value)
-                want = np.asarray(batch.column(0).slice(texts.first, len(bounds) - 1))
-                keep = np.flatnonzero(class_ids(values, bounds) == want)
+                cls = class_ids(values, bounds)
+                place = _filter_places(cls)
+                passes = (bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool).reshape(2, -1).all(axis=0)
+                keep = [i for i in np.flatnonzero(passes & (np.diff(bounds) > 0)).tolist() if not (int(cls[i]) in seen or seen.add(int(cls[i])))]
                 parts = [values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in keep]
-                yield pa.RecordBatch.from_arrays([pa.array(want[keep]), pa.array(parts, pa.binary())], ["cls", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls[keep], pa.int64()), pa.array(parts, pa.binary())], ["cls", "grams"])
 
-    texts_of = read.join(wanted, F.col("_id").eqNullSafe(F.col("_want"))).select("cls", "_text")
-    sets = written(texts_of.mapInArrow(full, "cls bigint, grams binary").dropDuplicates(["cls"]))
+    found_sets = read.select("_text").mapInArrow(full, "cls bigint, grams binary")
+    sets = written(found_sets.groupBy("cls").agg(F.first("grams").alias("grams")).join(wanted, "cls", "left_semi"))
 
-    sizes = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
     blocks = F.ceil(F.col("_size") / group_sets).cast("int")
     block = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
     placed = (
@@ -328,6 +387,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = filled.mapInArrow(walk, "a bigint, b bigint")
     roots = connected(links)
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("first_id"))
     named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
     named = written(named)
     least = named.groupBy("root").agg(F.min("first_id").alias("component"))
