@@ -26,7 +26,7 @@ from palimpsest.llm import words as W
 from palimpsest.llm.ngram_join import group_rows
 from palimpsest.llm.storage import written
 
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 MIN_COUNT = 10
 CONCENTRATION = 500.0
 #: Hashes of what isn't a word: the end, the shared class, the begin.
@@ -107,10 +107,10 @@ def _chunk(group: pa.Table, min_count: int, first: int, docs: int) -> Chunk:
     """Puts a chunk together from its rows first..docs (answers) and docs.. (texts)."""
     a = group.column("a")
     counts = np.concatenate([_from_planes(a[k].as_buffer(), "<i8") for k in range(first, docs)])
-    tokens = [_from_planes(x.as_buffer(), "<u4") for x in a.slice(docs)]
+    tokens = [_from_planes(x.as_buffer(), "<i4") for x in a.slice(docs)]
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-    flat = np.concatenate(tokens).astype(np.int64)
-    symbols = np.where(counts >= min_count, np.arange(len(counts)), len(counts))[flat]
+    flat = np.concatenate(tokens)
+    symbols = np.where(counts >= min_count, np.arange(len(counts)), len(counts)).astype(np.int32)[flat]
     before = np.empty_like(symbols)
     before[1:] = symbols[:-1]
     before[bounds[:-1]] = len(counts) + 1
@@ -138,7 +138,7 @@ class Automaton(NamedTuple):
             symbol = symbols[at[:live] + step]
             weight = self.failure[state[:live]] + self.empty[symbol]
             if len(self.arcs):
-                arc = state[:live] * self.width + symbol
+                arc = state[:live] * np.int64(self.width) + symbol
                 place = np.minimum(np.searchsorted(self.arcs, arc), last)
                 weight = np.where(self.arcs[place] == arc, self.weights[place], weight)
             score[:live] += weight
@@ -238,8 +238,8 @@ def score_texts(
             whole = whole.unionByName(r)
         return whole.repartition("chunk").sortWithinPartitions("chunk", "bucket")
 
-    def pairs_of(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(c.before * (len(c.counts) + 2) + c.symbols, return_inverse=True)
+    def keys_of(c: Chunk) -> np.ndarray:
+        return c.before * np.int64(len(c.counts) + 2) + c.symbols
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in group_rows(batches, 1):
@@ -248,7 +248,7 @@ def score_texts(
             c = _chunk(_without(group, middle, docs_at), min_count, 0, middle)
             own = np.concatenate([_unpack_sorted(group.column("a")[k].as_buffer()) for k in range(middle, docs_at)])
             names = np.concatenate([own, [RARE, BEGIN]])
-            pairs, back = pairs_of(c)
+            pairs, back = np.unique(keys_of(c), return_inverse=True)
             train = np.repeat(~np.asarray(group.column("held").slice(docs_at).to_numpy(zero_copy_only=False), bool), np.diff(c.bounds))
             counts = np.bincount(back, train, len(pairs))
             key = _pair_hash(names, pairs)
@@ -262,8 +262,9 @@ def score_texts(
             own = np.concatenate([_unpack_sorted(group.column("a")[k].as_buffer()) for k in range(second, third)])
             seen = np.concatenate([_from_planes(group.column("a")[k].as_buffer(), "<i8") for k in range(third, docs_at)])
             c = _chunk(_without(group, second, docs_at), min_count, 0, second)
-            pairs, _ = pairs_of(c)
+            pairs = np.unique(keys_of(c))
             order = np.argsort(_pair_hash(np.concatenate([own, [RARE, BEGIN]]), pairs), kind="stable")
+            del own
             total = np.empty(len(pairs), np.int64)
             total[order] = seen
             model = automaton(c.counts, pairs, total, figures, min_count, concentration)
