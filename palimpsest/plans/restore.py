@@ -29,7 +29,10 @@ SNIPPET, SAMPLES = 220, 240
 
 
 class Restored(NamedTuple):
-    """entries: the dump's index; rows: drafts with row and method, and the finished line; index, report: exports."""
+    """entries: the dump's index; rows: drafts with row and method, and the finished line; index, report: exports.
+
+    entries and rows are persisted, as all exports come from them; release() frees them.
+    """
 
     entries: DataFrame
     rows: DataFrame
@@ -37,6 +40,10 @@ class Restored(NamedTuple):
     report: DataFrame
     sample: DataFrame | None = None
 
+    def release(self) -> None:
+        self.entries.unpersist()
+        self.rows.unpersist()
+
 
 def _split_tokens(joined: Column) -> Column:
     return F.filter(F.split(joined, ","), lambda x: x != "")
@@ -64,30 +71,40 @@ def pronunciation_edits(source_name: str) -> Column:
 
 def lookup_figures(exact: DataFrame, normal: DataFrame, entries: DataFrame) -> DataFrame:
     """One row with the seven figures of the two lookups."""
-    count = lambda name: [F.count(F.lit(1)).alias(f"{name}_keys"), F.count_if("distinct = 1").alias(f"{name}_lookup_keys"), F.count_if("distinct <> 1").alias(f"ambiguous_{name}_keys")]
+    count = lambda name: [F.count(F.lit(1)).alias(f"{name}_keys"), F.count_if(F.col("distinct") == 1).alias(f"{name}_lookup_keys"), F.count_if(F.col("distinct") != 1).alias(f"ambiguous_{name}_keys")]
     rows = entries.agg(F.count(F.lit(1)).alias("old_rows"))
     return rows.crossJoin(exact.agg(*count("exact"))).crossJoin(normal.agg(*count("normalized"))).select(F.struct(  # one row each
         "old_rows", "exact_keys", "normalized_keys", "exact_lookup_keys", "normalized_lookup_keys", "ambiguous_exact_keys", "ambiguous_normalized_keys").alias("lookup"))
 
 
-def restore_pronunciations(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str], source_id: str = "crcen_START_2048", source_name: str = "old-text") -> Restored:
-    """Matches drafts of one source by headword, normalised headword, then normalised orthography; other drafts pass unchanged.
+METHODS = ["headword_exact", "headword_normalized", "orthography_normalized"]
 
-    A key is usable if all its entries have one pronunciation; the first entry's body is taken. drafts: as read_drafts gives them.
-    """
-    entries = bracket_entries(dumps, tokens)
-    exact = unique_or_none(entries, "headword", "pronunciation_normalized", "pronunciation_raw", ["file", "ord"])
-    normal = unique_or_none(entries, "headword_normalized", "pronunciation_normalized", "pronunciation_raw", ["file", "ord"])
+
+def pronunciation_lookups(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries by headword and by normalised headword, with how many pronunciations each key has."""
+    made = [unique_or_none(entries, key, "pronunciation_normalized", "pronunciation_raw", ["file", "ord"]) for key in ("headword", "headword_normalized")]
+    return made[0], made[1]
+
+
+def match_pronunciations(drafts: DataFrame, exact: DataFrame, normal: DataFrame, source_id: str, source_name: str) -> DataFrame:
+    """drafts with mine (of the source), row, method and line (the finished JSON). It keeps no state, so drafts may be a stream."""
     usable = lambda lookup: lookup.where("distinct = 1").select("key", F.col("first").alias("row"))
     mine = F.coalesce(F.col("source.source_id") == source_id, F.lit(False))
     orthography = F.when(F.col("orthography") != "", t.headword_key(F.col("orthography")))
-    steps = [
-        Step("headword_exact", F.when(mine, F.col("headword")), usable(exact)),
-        Step("headword_normalized", F.when(mine, t.headword_key(F.col("headword"))), usable(normal)),
-        Step("orthography_normalized", F.when(mine, orthography), usable(normal)),
-    ]
+    keys = [F.col("headword"), t.headword_key(F.col("headword")), orthography]
+    steps = [Step(m, F.when(mine, k), usable(x)) for m, k, x in zip(METHODS, keys, (exact, normal, normal), strict=True)]
     matched = cascade(drafts, steps).withColumn("mine", mine)
-    rows = matched.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), pronunciation_edits(source_name))))
+    return matched.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), pronunciation_edits(source_name))))
+
+
+def restore_pronunciations(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str], source_id: str = "crcen_START_2048", source_name: str = "old-text") -> Restored:
+    """Matches drafts of one source by headword, normalised headword, then normalised orthography; other drafts pass unchanged.
+
+    A key is usable if all its entries have one pronunciation; the first entry's body is taken. drafts: as read_drafts gives them.
+    """
+    entries = bracket_entries(dumps, tokens).persist()
+    exact, normal = pronunciation_lookups(entries)
+    rows = match_pronunciations(drafts, exact, normal, source_id, source_name).persist()
     hits = rows.where("method is not null")
     index = hits.select(
         "file", "ord", "id", F.col("source.source_id").alias("source_id"), "headword", "orthography", F.col("row.pronunciation_raw").alias("pronunciation_raw"),
@@ -100,11 +117,11 @@ def restore_pronunciations(drafts: DataFrame, dumps: DataFrame, tokens: dict[str
     n = lambda c: F.count_if(c)
     hit = F.col("method").isNotNull()
     sums = rows.agg(
-        F.count(F.lit(1)).alias("total"), n(F.col("mine")).alias("filtered"), n(hit).alias("verified"), *[n(F.col("method") == s.method).alias(s.method) for s in steps],
+        F.count(F.lit(1)).alias("total"), n(F.col("mine")).alias("filtered"), n(hit).alias("verified"), *[n(F.col("method") == m).alias(m) for m in METHODS],
         F.coalesce(F.sum(F.when(hit, F.col("row.body_unresolved_count").cast("bigint"))), F.lit(0)).alias("unresolved"), n(F.col("mine") & ~hit).alias("unmatched"),
     )
     counts = touched(
-        [("total_entries", F.col("total")), ("filtered_entries", F.col("filtered")), ("verified_matches", F.col("verified")), *[(s.method, F.col(s.method)) for s in steps], ("restored_body_total", F.col("verified")), ("unmatched_filtered", F.col("unmatched"))]
+        [("total_entries", F.col("total")), ("filtered_entries", F.col("filtered")), ("verified_matches", F.col("verified")), *[(m, F.col(m)) for m in METHODS], ("restored_body_total", F.col("verified")), ("unmatched_filtered", F.col("unmatched"))]
     )
     # A match touches the sum of its tokens even where that is 0.
     counts = F.when(F.col("verified") > 0, F.map_concat(counts, F.create_map(F.lit("restored_body_unresolved_tokens"), F.col("unresolved").cast("bigint")))).otherwise(counts)
@@ -176,7 +193,7 @@ def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str
 
     Drafts keep their file's order. Rows that were restored before count as matched, and are matched again where a key finds them.
     """
-    entries = headline_entries(lines_of(dumps), tokens)
+    entries = headline_entries(lines_of(dumps), tokens).persist()
     order = ["file", "ord"]
     head = F.startswith(F.col("headword_line_mapped"), F.lit("【"))
     columns = entries.columns
@@ -209,7 +226,7 @@ def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str
     )
     third = apply_rules(second, entries)
     third = third.withColumn("restored", F.col("restored") | F.col("method").isNotNull())
-    rows = third.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), headline_edits())))
+    rows = third.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), headline_edits()))).persist()
 
     new = F.col("method").isNotNull()
     parts = t.header_parts(F.col("row.headword_line_mapped"))
@@ -251,17 +268,12 @@ def export_pronunciations(spark: SparkSession, source_root: str, out_root: str,
     drafts = read_drafts(spark, raw_path or f"{out_root}/entries_raw.jsonl", PRONUNCIATION_DRAFT)
     tokens = read_token_map(spark, map_path or f"{out_root}/symbol_map_solved_initial.json")
     got = restore_pronunciations(drafts, read_dump(spark, old), tokens, source_id, old.rsplit("/", 1)[-1])
-    rows = got.rows.select("file", "ord", "line").persist()
-    order = [F.col("file"), F.col("ord")]
-    try:
-        names = {k: f"{out_root}/{k}.jsonl" for k in ("old_text_pron_index", "entries_pron_enriched", "entries_pron_enriched_sample", "entries_pron_verified_index")}
-        _write(got.entries, names["old_text_pron_index"])
-        write_jsonl(rows, names["entries_pron_enriched"], order, raw="line")
-        _write(got.sample, names["entries_pron_enriched_sample"])
-        _write(got.index, names["entries_pron_verified_index"])
-        write_report(got.report.withColumn("outputs", F.struct(*[F.lit(v).alias(k) for k, v in names.items()])), f"{out_root}/merge_report.json")
-    finally:
-        rows.unpersist()
+    names = {k: f"{out_root}/{k}.jsonl" for k in ("old_text_pron_index", "entries_pron_enriched", "entries_pron_enriched_sample", "entries_pron_verified_index")}
+    _write(got.entries, names["old_text_pron_index"])
+    write_jsonl(got.rows, names["entries_pron_enriched"], [F.col("file"), F.col("ord")], raw="line")
+    _write(got.sample, names["entries_pron_enriched_sample"])
+    _write(got.index, names["entries_pron_verified_index"])
+    write_report(got.report.withColumn("outputs", F.struct(*[F.lit(v).alias(k) for k, v in names.items()])), f"{out_root}/merge_report.json")
     return got
 
 

@@ -30,7 +30,7 @@ def write_tsv(df: DataFrame, path: str, columns: list[str], order: list[Column])
 
 def write_report(report: DataFrame, path: str) -> None:
     """A one-row table as an indented JSON document."""
-    _text(report, F.to_json(F.struct(*report.columns), {"pretty": "true", "ignoreNullFields": "false"}), path, [F.lit(0)])
+    _text(report, F.to_json(F.struct(*report.columns), {"pretty": "true", "ignoreNullFields": "false"}), path, None)
 
 
 def write_html(df: DataFrame, path: str, title: str, note: str, heading: str, facts: Column, sections: list[tuple[str, str]], order: list[Column], limit: int | None = None) -> None:
