@@ -30,8 +30,8 @@ from palimpsest.llm.components import connected
 from palimpsest.llm.storage import written
 
 SIZE, PERCENT = 5, 80
-#: The order's table of counts: 2**COUNT_BITS numbers, added up in blocks.
-COUNT_BITS, _BLOCKS = 20, 32
+#: The order's table of counts has 2**bits numbers, some for each n-gram of the corpus, within these bounds. It is added up in blocks.
+COUNT_BITS, _BLOCKS = (16, 24), 32
 #: Sets in one trie; prefix n-grams in one packed bucket.
 GROUP_SETS = 512
 BUCKET_NGRAMS = 1_000_000
@@ -45,10 +45,15 @@ def ngram_hashes(texts: W.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
     return W.ngrams(W.spans_hash(texts.data, w.starts, w.ends, lower=True), w.bounds, size, whole=True)
 
 
+def _place(hashes: np.ndarray, numbers: int) -> np.ndarray:
+    """An n-gram's place in a table of a power of two of numbers."""
+    return (hashes >> np.uint64(65 - numbers.bit_length())).astype(np.int64)
+
+
 def ordered_sets(texts: W.Texts, size: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's different n-grams, in the global order, and where each text's begin."""
     hashes, bounds = ngram_hashes(texts, size)
-    level = levels[(hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.uint64)
+    level = levels[_place(hashes, len(levels))].astype(np.uint64)
     return W.distinct_sorted((level << np.uint64(59)) | (hashes >> np.uint64(5)), bounds)
 
 
@@ -70,17 +75,24 @@ def needed(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def order_levels(read: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """For each value of an n-gram hash's first bits, the bit length of its count over all rows: 2**COUNT_BITS bytes. And the sum of all counts."""
-    block = (1 << COUNT_BITS) // _BLOCKS
+    """The bit length of each table place's count over all rows, a byte each, and the sum of all counts.
+
+    The table has a place for about 16 n-grams of six bytes, but 2**16 at least and 2**24 at most.
+    """
+    least, most = COUNT_BITS
+    length = read.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    numbers = 1 << min(most, max(least, int(length / 96).bit_length()))
+    block = numbers // _BLOCKS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
+        total = np.zeros(numbers, np.uint32)
         for batch in batches:
             for texts in W.slices(batch.column(0)):
-                hashes, _ = ngram_hashes(texts, size)
-                total += np.bincount((hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=1 << COUNT_BITS)
+                place, n = np.unique(_place(ngram_hashes(texts, size)[0], numbers), return_counts=True)
+                total[place] += n.astype(np.uint32)
         for k, part in enumerate(total.reshape(_BLOCKS, block)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(block, np.int64)
