@@ -30,22 +30,22 @@ def dedup_lines(
     lines, stays null, and counts as a page. Repeated rows are pages of their own. An empty table gives an empty result. Columns
     named n_lines or n_dropped in docs are replaced.
     """
-    rest = docs.drop("n_lines", "n_dropped")
-    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), _line_hash)
-    seen = rest.select(F.col(site_col).alias("_site"), F.explode(F.array_distinct(F.filter(lines, F.isnotnull))).alias("_line"))
-    pages = rest.groupBy(F.col(site_col).alias("_site2")).agg(F.count(F.lit(1)).alias("_pages"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # The rows travel as one struct, so that their names can't clash with those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col(site_col).alias("_site"), F.col(text_col).cast("string").alias("_text"))
+    lines = F.transform(F.split(F.coalesce("_text", F.lit("")), "\n", -1), _line_hash)
+    seen = rows.select("_site", F.explode(F.array_distinct(F.filter(lines, F.isnotnull))).alias("_line"))
+    pages = rows.groupBy(F.col("_site").alias("_of")).agg(F.count(F.lit(1)).alias("_pages"))
     common = seen.groupBy("_site", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
-    common = common.join(pages, F.col("_site").eqNullSafe(F.col("_site2"))).where(F.col("_n") * 100 > F.col("_pages") * max_percent)
+    common = common.join(pages, F.col("_site").eqNullSafe(F.col("_of"))).where(F.col("_n") * 100 > F.col("_pages") * max_percent)
     # Written first, so that its size is known when the join is planned and texts aren't shuffled for nothing.
-    lists = written(common.groupBy("_site").agg(F.collect_list("_line").alias("_drop")))
-    joined = rest.join(lists, F.col(site_col).eqNullSafe(F.col("_site")), "left")
-
-    drop = F.coalesce(F.col("_drop"), F.array().cast("array<bigint>"))
-    split = F.split(F.col(text_col), "\n", -1)
-    stays = F.filter(split, lambda x: ~F.coalesce(F.array_contains(drop, _line_hash(x)), F.lit(False)))
-    n_of = lambda parts: F.coalesce(F.size(F.filter(parts, lambda x: _line_hash(x).isNotNull())), F.lit(0)).cast("long")
-    kept = joined.withColumn("_stays", F.when(F.size(drop) == 0, split).otherwise(stays))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join("_stays", "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_of(split))
-    n_kept = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_of(F.col("_stays")))
-    return kept.select(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in rest.columns], n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
+    lists = written(common.groupBy(F.col("_site").alias("_where")).agg(F.collect_list("_line").alias("_drop")))
+    joined = rows.join(lists, F.col("_site").eqNullSafe(F.col("_where")), "left")
+
+    split = F.split("_text", "\n", -1)
+    stays = F.filter(split, lambda x: ~F.coalesce(F.array_contains("_drop", _line_hash(x)), F.lit(False)))
+    cut = joined.withColumn("_stays", F.when(F.col("_drop").isNull(), split).otherwise(stays))
+    n_of = lambda parts: F.coalesce(F.size(F.filter(parts, lambda x: _line_hash(x).isNotNull())).cast("long"), F.lit(0).cast("long"))
+    n_lines, n_kept = (F.when(F.col("_text").isNull(), F.lit(0).cast("long")).otherwise(n_of(p)) for p in (split, F.col("_stays")))
+    text = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join("_stays", "\n"))
+    return cut.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in columns], n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
