@@ -205,7 +205,7 @@ def decontaminate(
     A word is hit if it lies in an occurrence of a window of `window` words of an item; an item of fewer words is one window.
     contaminated: n_hit > 0 and n_hit/n_words reaches the coverage. clean_text (if with_text) lacks the hit spans.
     Null texts have no words, and a null clean_text; items without words or with a null text are never found; a null item id
-    counts as an item but not in items_sha256. Equal items are each found. Repeated documents are judged one by one; an empty
+    counts as an item but not in items_sha256. Items that share an id count once, equal items of other ids each. Repeated documents are judged one by one; an empty
     table of items leaves every document clean.
     keep_columns: instead, the rows and columns of docs without the contaminated rows, and with the clean text in place of the text.
     """
@@ -226,13 +226,12 @@ def decontaminate(
             for texts in W.slices(batch.column(at)):
                 n = texts.last - texts.first
                 found: dict[int, set[str | None]] = {}
-                words, hit, count = W.words(texts, W.ALNUM), None, np.zeros(n, np.int64)
+                words, hit = W.words(texts, W.ALNUM), None
                 for b in automata:
                     automaton, sizes = b.value
                     words, more, items = _hits(automaton, sizes, texts, window)
                     hit = more if hit is None else hit | more
                     for row, which in items.items():
-                        count[row] += len(which)
                         found.setdefault(row, set()).update(automaton.names[i] for i in which)
                 hit = np.zeros(len(words.starts), bool) if hit is None else hit
                 total = np.concatenate([[0], np.cumsum(hit)])
@@ -255,7 +254,7 @@ def decontaminate(
                         batch.column(0).slice(texts.first, n),
                         pa.array(n_words.astype(np.int64)),
                         pa.array(n_hit.astype(np.int64)),
-                        pa.array(count),
+                        pa.array([len(found.get(i, ())) for i in range(n)], pa.int64()),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
                         pa.array(contaminated),
                         *([column] if with_text else []),

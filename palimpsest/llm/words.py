@@ -112,7 +112,7 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         return np.zeros(0, np.uint64)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWERED if lower else _BYTE_VALUES)[data] * _power(len(data), "up"), out=total[1:])
-    inverse = _power(len(data), "down")
+    inverse = _power(len(data) + 1, "down")  # an empty span may stand at the end
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
