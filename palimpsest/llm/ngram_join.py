@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join with prefix trees.
 
-Plan. Every document becomes the set of its n-gram hashes, in one global order: rare ones first, as counted over all documents in a
-table of fixed size. Equal sets are one class, and only classes go on.
+Plan. Every document becomes the set of its n-gram hashes, in one global order: those with the rarest words first, as words are counted over
+all documents in a table of fixed size. No n-gram is more frequent than its rarest word, so what many documents share, or share by chance, stands
+last. Equal sets are one class, and only classes go on.
 1. Two sets that reach the threshold share at least T n-grams of their prefixes, as these are longer than needed for one by a share of
    the set (an l-prefix). Prefixes are dealt out by n-gram in packed arrays, once for each class and task. An n-gram of several classes
    of fitting sizes ties them to the least of them, their anchor.
@@ -30,8 +31,8 @@ from palimpsest.llm.components import connected
 from palimpsest.llm.storage import written
 
 SIZE, PERCENT = 5, 80
-#: The order's table of counts has 2**bits numbers, some for each n-gram of the corpus, within these bounds. It is added up in blocks.
-COUNT_BITS, _BLOCKS = (16, 24), 32
+#: The order's table of word counts has 2**COUNT_BITS numbers, and is added up in blocks.
+COUNT_BITS, _BLOCKS = 20, 32
 #: Sets in one trie; prefix n-grams in one packed bucket.
 GROUP_SETS = 512
 BUCKET_NGRAMS = 1_000_000
@@ -40,21 +41,21 @@ FILTER_BITS = 25
 _POSTING = np.dtype([("gram", "<u8"), ("cls", "<i8"), ("n", "<u4")])
 
 
-def ngram_hashes(texts: W.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _words(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
     w = W.words(texts, W.NOT_SPACE)
-    return W.ngrams(W.spans_hash(texts.data, w.starts, w.ends, lower=True), w.bounds, size, whole=True)
+    return W.spans_hash(texts.data, w.starts, w.ends, lower=True), w.bounds
 
 
-def _place(hashes: np.ndarray, numbers: int) -> np.ndarray:
-    """An n-gram's place in a table of a power of two of numbers."""
-    return (hashes >> np.uint64(65 - numbers.bit_length())).astype(np.int64)
+def _place(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
 def ordered_sets(texts: W.Texts, size: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's different n-grams, in the global order, and where each text's begin."""
-    hashes, bounds = ngram_hashes(texts, size)
-    level = levels[_place(hashes, len(levels))].astype(np.uint64)
-    return W.distinct_sorted((level << np.uint64(59)) | (hashes >> np.uint64(5)), bounds)
+    hashes, bounds = _words(texts)
+    grams, at = W.ngrams(hashes, bounds, size, whole=True)
+    level = W.window_least(levels[_place(hashes)], bounds, size).astype(np.uint64)
+    return W.distinct_sorted((level << np.uint64(59)) | (grams >> np.uint64(5)), at)
 
 
 def class_ids(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -74,25 +75,17 @@ def needed(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(n > 0, np.minimum(n, n - least + 1 + extra), 0), 1 + (100 - percent) * least // 200
 
 
-def order_levels(read: DataFrame, size: int) -> tuple[np.ndarray, int]:
-    """The bit length of each table place's count over all rows, a byte each, and the sum of all counts.
-
-    The table has a place for about 16 n-grams of six bytes, but 2**16 at least and 2**24 at most.
-    """
-    least, most = COUNT_BITS
-    length = read.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    numbers = 1 << min(most, max(least, int(length / 96).bit_length()))
-    block = numbers // _BLOCKS
+def order_levels(read: DataFrame) -> tuple[np.ndarray, int]:
+    """The bit length of each table place's count over all rows, 2**COUNT_BITS bytes, and the number of all words."""
+    block = (1 << COUNT_BITS) // _BLOCKS
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(numbers, np.uint32)
+        total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
             for texts in W.slices(batch.column(0)):
-                place, n = np.unique(_place(ngram_hashes(texts, size)[0], numbers), return_counts=True)
-                total[place] += n.astype(np.uint32)
+                total += np.bincount(_place(_words(texts)[0]), minlength=1 << COUNT_BITS)
         for k, part in enumerate(total.reshape(_BLOCKS, block)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(block, np.int64)
@@ -298,7 +291,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = read.schema["_id"].dataType.simpleString()
-    table, total = order_levels(read, size)
+    table, total = order_levels(read)
     levels = spark.sparkContext.broadcast(table)
     buckets = max(8, int(total * (100 - percent) * 1.5 / 100 / BUCKET_NGRAMS) + 1)
 

@@ -116,6 +116,20 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_least(values: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    """For the windows that ngrams(whole=True) gives, the least of their words' values."""
+    counts = np.diff(bounds)
+    got = np.maximum(counts - n + 1, (counts > 0).astype(np.int64))
+    ends = np.cumsum(got)
+    row = np.repeat(np.arange(len(counts)), got)
+    at = bounds[:-1][row] + np.arange(len(row)) - (ends - got)[row]
+    last = bounds[1:][row] - 1
+    out = values[at]
+    for j in range(1, n):
+        out = np.minimum(out, values[np.minimum(at + j, last)])
+    return out
+
+
 def ngrams(hashes: np.ndarray, bounds: np.ndarray, n: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-word windows inside each row, in order, and where each row's begin.
 
