@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from palimpsest.functions.fixed import DEFAULT_SOURCE
 from palimpsest.plans.extract import export_blocks
 from palimpsest.plans.restore import export_headlines, export_pronunciations
 
@@ -22,7 +23,7 @@ def main(args: list[str] | None = None) -> None:
             sub.add_argument("--old-text-path")
         if name == "pronunciations":
             sub.add_argument("--raw-path")
-            sub.add_argument("--source-id", default="crcen_START_2048")
+            sub.add_argument("--source-id", default=DEFAULT_SOURCE)
         if name == "headlines":
             sub.add_argument("--draft-path")
     given = parser.parse_args(args)

@@ -52,3 +52,11 @@ KNOWN_BLOCKS = [0x000F, 0x3134]
 BLOCK_SOURCES = [("root_START", "START"), ("kokugo_START", "KOKUGO/START"), ("crcen_START", "CRCEN/START")]
 #: Script scores: points and class of each kind of character; the kinds don't overlap. The last is the damage mark.
 SCRIPT_SCORES = [(3, r"[぀-ヿ一-鿿]"), (1, r"[！-～A-Za-z]"), (2, r"[〈〉【】\[\]。、]"), (-10, r"�")]
+
+#: Names of the exports' files and fields of their source, as other tools expect them.
+DEFAULT_SOURCE = "crcen_START_2048"
+TOKEN_MAP_FILE = "symbol_map_solved_initial.json"
+PRONUNCIATION_DUMP, PRONUNCIATION_DRAFTS = "omiyage_02.txt", "entries_raw.jsonl"
+PRONUNCIATION_OUTPUTS = ["old_text_pron_index", "entries_pron_enriched", "entries_pron_enriched_sample", "entries_pron_verified_index"]
+HEADLINE_DUMP, HEADLINE_DRAFTS = "test_dic.txt", "entries_master_kokugo_draft.jsonl"
+HEADLINE_OUTPUTS = ["kokugo_old_text_index", "entries_master_kokugo_restored", "entries_master_kokugo_restored_index"]

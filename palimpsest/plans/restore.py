@@ -97,7 +97,7 @@ def match_pronunciations(drafts: DataFrame, exact: DataFrame, normal: DataFrame,
     return matched.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), pronunciation_edits(source_name))))
 
 
-def restore_pronunciations(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str], source_id: str = "crcen_START_2048", source_name: str = "old-text") -> Restored:
+def restore_pronunciations(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str], source_id: str = fixed.DEFAULT_SOURCE, source_name: str = "old-text") -> Restored:
     """Matches drafts of one source by headword, normalised headword, then normalised orthography; other drafts pass unchanged.
 
     A key is usable if all its entries have one pronunciation; the first entry's body is taken. drafts: as read_drafts gives them.
@@ -262,30 +262,30 @@ def _by_place():
     return Window.partitionBy("_all").orderBy("file", "ord")
 
 
-def export_pronunciations(spark: SparkSession, source_root: str, out_root: str, raw_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None, source_id: str = "crcen_START_2048") -> Restored:
+def export_pronunciations(spark: SparkSession, source_root: str, out_root: str, raw_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None, source_id: str = fixed.DEFAULT_SOURCE) -> Restored:
     """Reads the files (by default below the two roots), restores, and writes index, rows, sample, verified index and report."""
-    old = old_text_path or f"{source_root}/omiyage_02.txt"
-    drafts = read_drafts(spark, raw_path or f"{out_root}/entries_raw.jsonl", PRONUNCIATION_DRAFT)
-    tokens = read_token_map(spark, map_path or f"{out_root}/symbol_map_solved_initial.json")
+    old = old_text_path or f"{source_root}/{fixed.PRONUNCIATION_DUMP}"
+    drafts = read_drafts(spark, raw_path or f"{out_root}/{fixed.PRONUNCIATION_DRAFTS}", PRONUNCIATION_DRAFT)
+    tokens = read_token_map(spark, map_path or f"{out_root}/{fixed.TOKEN_MAP_FILE}")
     got = restore_pronunciations(drafts, read_dump(spark, old), tokens, source_id, old.rsplit("/", 1)[-1])
-    names = {k: f"{out_root}/{k}.jsonl" for k in ("old_text_pron_index", "entries_pron_enriched", "entries_pron_enriched_sample", "entries_pron_verified_index")}
-    _write(got.entries, names["old_text_pron_index"])
-    write_jsonl(got.rows, names["entries_pron_enriched"], [F.col("file"), F.col("ord")], raw="line")
-    _write(got.sample, names["entries_pron_enriched_sample"])
-    _write(got.index, names["entries_pron_verified_index"])
+    names = {k: f"{out_root}/{k}.jsonl" for k in fixed.PRONUNCIATION_OUTPUTS}
+    _write(got.entries, names[fixed.PRONUNCIATION_OUTPUTS[0]])
+    write_jsonl(got.rows, names[fixed.PRONUNCIATION_OUTPUTS[1]], [F.col("file"), F.col("ord")], raw="line")
+    _write(got.sample, names[fixed.PRONUNCIATION_OUTPUTS[2]])
+    _write(got.index, names[fixed.PRONUNCIATION_OUTPUTS[3]])
     write_report(got.report.withColumn("outputs", F.struct(*[F.lit(v).alias(k) for k, v in names.items()])), f"{out_root}/merge_report.json")
     return got
 
 
 def export_headlines(spark: SparkSession, source_root: str, out_root: str, draft_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None) -> Restored:
-    old = old_text_path or f"{source_root}/test_dic.txt"
-    drafts = read_drafts(spark, draft_path or f"{out_root}/entries_master_kokugo_draft.jsonl", HEADLINE_DRAFT)
-    tokens = read_token_map(spark, map_path or f"{out_root}/symbol_map_solved_initial.json")
+    old = old_text_path or f"{source_root}/{fixed.HEADLINE_DUMP}"
+    drafts = read_drafts(spark, draft_path or f"{out_root}/{fixed.HEADLINE_DRAFTS}", HEADLINE_DRAFT)
+    tokens = read_token_map(spark, map_path or f"{out_root}/{fixed.TOKEN_MAP_FILE}")
     got = restore_headlines(drafts, read_dump(spark, old), tokens, old.rsplit("/", 1)[-1])
-    names = {k: f"{out_root}/{k}.jsonl" for k in ("kokugo_old_text_index", "entries_master_kokugo_restored", "entries_master_kokugo_restored_index")}
-    _write(got.entries, names["kokugo_old_text_index"])
-    write_jsonl(got.rows, names["entries_master_kokugo_restored"], [F.col("file"), F.col("ord")], raw="line")
-    _write(got.index, names["entries_master_kokugo_restored_index"])
+    names = {k: f"{out_root}/{k}.jsonl" for k in fixed.HEADLINE_OUTPUTS}
+    _write(got.entries, names[fixed.HEADLINE_OUTPUTS[0]])
+    write_jsonl(got.rows, names[fixed.HEADLINE_OUTPUTS[1]], [F.col("file"), F.col("ord")], raw="line")
+    _write(got.index, names[fixed.HEADLINE_OUTPUTS[2]])
     write_report(got.report.withColumn("outputs", F.struct(*[F.lit(v).alias(k) for k, v in names.items()])), f"{out_root}/restore_report.json")
     return got
 

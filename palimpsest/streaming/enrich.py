@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from palimpsest.functions.fixed import DEFAULT_SOURCE
 from palimpsest.plans.restore import PRONUNCIATION_DRAFT, match_pronunciations, pronunciation_lookups
 
 
 def stream_pronunciations(
-    spark: SparkSession, drafts: str, entries: DataFrame, out: str, checkpoint: str, source_id: str = "crcen_START_2048", source_name: str = "old-text"
+    spark: SparkSession, drafts: str, entries: DataFrame, out: str, checkpoint: str, source_id: str = DEFAULT_SOURCE, source_name: str = "old-text"
 ) -> StreamingQuery:
     """Starts a query that takes what is there, and ends: run it again for more, or give the writer another trigger.
 
