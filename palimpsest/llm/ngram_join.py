@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
@@ -280,6 +280,23 @@ def _anchored(table: np.ndarray, percent: int) -> np.ndarray:
     return np.stack([anchor[start], cls[start], n[start], np.diff(np.concatenate([start, [len(cls)]]))], axis=1)
 
 
+def _strong(ties: np.ndarray, percent: int) -> np.ndarray:
+    """(anchor, class) of the ties (anchor, class, size, n-grams) that classes keep: not of classes with too few tied n-grams, nor of weak anchors."""
+    ties = ties[np.lexsort((ties[:, 0], ties[:, 1]))]
+    first = np.flatnonzero(np.concatenate([[True], (ties[1:, :2] != ties[:-1, :2]).any(axis=1)]))
+    shared = np.add.reduceat(ties[:, 3], first)
+    ties = ties[first]
+    order = np.lexsort((ties[:, 0], shared, ties[:, 1]))
+    ties, shared = ties[order], shared[order]
+    start = np.flatnonzero(np.concatenate([[True], ties[1:, 1] != ties[:-1, 1]]))
+    size = np.diff(np.concatenate([start, [len(ties)]]))
+    run = np.cumsum(shared)
+    before = np.repeat(run[start] - shared[start], size)
+    whole = np.repeat(np.add.reduceat(shared, start), size)
+    _, least = needed(ties[:, 2], percent)
+    return ties[(whole >= least) & (run - before > (least - 1) // 2), :2]
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, group_sets: int = GROUP_SETS) -> DataFrame:
     """Per row: id, n_shingles, component_id, class_id.
 
@@ -341,15 +358,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             # Several tasks may have dealt out a class.
             postings = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), _POSTING) for x in group.column(1)]))
             found = _anchored(postings, percent)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["anchor", "cls", "n", "shared"])
+            part = (W.mix(found[:, 1].view(np.uint64)) % np.uint64(buckets)).astype(np.int32) if len(found) else np.zeros(0, np.int32)
+            order = np.argsort(part, kind="stable")
+            parts, start = np.unique(part[order], return_index=True)
+            pieces = [x.tobytes() for x in np.split(found[order], start[1:])][: len(parts)]
+            yield pa.RecordBatch.from_arrays([pa.array(parts), pa.array(pieces, pa.binary())], ["part", "ties"])
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in group_rows(batches, 1):
+            kept = _strong(np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4) for x in group.column(1)]), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["anchor", "cls"])
 
     dealt = read.select("_text").mapInArrow(deal, "bucket int, postings binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    ties = dealt.mapInArrow(anchor, "anchor bigint, cls bigint, n bigint, shared bigint").groupBy("cls", "anchor").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"))
-    by_class = Window.partitionBy("cls")
-    weakest = by_class.orderBy("shared", "anchor").rowsBetween(Window.unboundedPreceding, 0)
-    least = F.expr(f"1 + ({100 - percent} * ((n * {percent} + 99) div 100)) div 200")
-    ranked = ties.withColumn("_all", F.sum("shared").over(by_class)).withColumn("_weak", F.sum("shared").over(weakest)).withColumn("_least", least)
-    members = written(ranked.where("_all >= _least and _weak > (_least - 1) div 2").select("anchor", "cls"))
+    # A class's ties come from many buckets; they meet in packed arrays too, dealt out by class.
+    ties = dealt.mapInArrow(anchor, "part int, ties binary").repartition(buckets, "part").sortWithinPartitions("part")
+    members = written(ties.mapInArrow(prune, "anchor bigint, cls bigint"))
 
     # Full sets of the classes in groups, once for each task that has the class.
     wanted = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").join(members, "anchor").select("cls").distinct()
