@@ -37,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays."""
-    found = jaccard_components(docs)
+    found = jaccard_components(docs, components_only=True)
     stays = written(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_stays")).distinct())
     return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
 

@@ -11,9 +11,11 @@ last. Equal sets are one class, and only classes go on.
    group above a fixed size is dealt out by pairs of blocks. Only classes in groups have their full sets made, found in
    another pass by a filter of fixed size and then by an exact join.
 3. Each group's sets are stored in a trie over the order. A set walks the trie with a running overlap that all sets below
-   a node share; a subtree is left when the overlap so far and what remains on both sides can't reach the threshold. Subtrees
-   whose sets are already linked with the walker's are left too, so a group of n copies costs about n steps, not n squared.
-4. Links make components by stars. Rows get their class's component.
+   a node share; a subtree is left when the overlap so far and what remains on both sides can't reach the threshold. All pairs of
+   classes that reach it are reported, so n different near copies cost n squared steps. Pairs found by several anchors are one.
+   Only where components alone are asked for, subtrees whose sets are already linked with the walker's are left too.
+4. Links make components by stars; of each trie's links only those that join two of its parts are needed there. Rows get their
+   class's component, and the number of rows that theirs and the linked classes have.
 Hashes have 59 bits beside the order's 5. Two of a document's n-grams or two sets meet by chance with a probability below 2**-40.
 """
 
@@ -135,13 +137,15 @@ def class_filter(wanted: DataFrame) -> np.ndarray:
 class Trie:
     """Ordered sets that share beginnings. A node holds the n-grams from its depth on that all sets below it share."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+    def __init__(self, sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> None:
+        """With sides, only sets of different sides are linked."""
         self.percent = percent
         vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
         cuts = np.cumsum([len(s) for s in sets])[:-1]
         local = np.split(ids.astype(np.int32), cuts)
         order = sorted(range(len(sets)), key=lambda i: local[i].astype(">i4").tobytes())
         self.sets, self.order = [local[i] for i in order], order
+        self.sides = [sides[i] for i in order] if sides else None
         self.mark = np.zeros(len(vocabulary), bool)
         self.parent = list(range(len(sets)))
         #: per node: n-grams of its edge, depth of its end, children, sets that end here, least and most size below
@@ -151,6 +155,9 @@ class Trie:
         self.ends: list[list[int]] = []
         self.least: list[int] = []
         self.most: list[int] = []
+        #: per node: the end of its sets' places in the order, and their one side or -1
+        self.high: list[int] = []
+        self.side: list[int] = []
         self.root = self._build(0, len(self.sets), 0)
         self.same: list[int] = [-1] * len(self.edges)
 
@@ -171,6 +178,8 @@ class Trie:
             sizes = [len(s) for s in self.sets[a:z]]
             self.least.append(min(sizes))
             self.most.append(max(sizes))
+            self.high.append(z)
+            self.side.append(self.sides[a] if self.sides and len(set(self.sides[a:z])) == 1 else -1)
             if up >= 0:
                 self.children[up].append(node)
             made.append((a, z, d, up))
@@ -198,8 +207,42 @@ class Trie:
             roots = {self.find(i) for i in self.ends[node]} | {self.same[c] for c in self.children[node]}
             self.same[node] = roots.pop() if len(roots) == 1 else -1
 
+    def pairs(self) -> list[tuple[int, int, bool]]:
+        """All pairs of sets, as they were numbered, that reach the threshold, each once, and whether it joins two parts of those before."""
+        out = []
+        p = self.percent
+        edges, depths, children, ends, least, most, high, side = self.edges, self.depth, self.children, self.ends, self.least, self.most, self.high, self.side
+        for x, own in enumerate(self.sets):
+            self.mark[own] = True
+            n, here = len(own), self.sides[x] if self.sides else -2
+            stack = [(self.root, 0)]
+            while stack:
+                node, overlap = stack.pop()
+                # Sets up to x have walked before.
+                if high[node] <= x + 1 or side[node] == here or 100 * most[node] < p * n or 100 * n < p * least[node]:
+                    continue
+                edge, depth = edges[node], depths[node]
+                rest = n
+                if len(edge):
+                    overlap += int(np.count_nonzero(self.mark[edge]))
+                    rest = n - int(own.searchsorted(edge[-1], "right"))
+                if (100 + p) * (overlap + min(rest, most[node] - depth)) < p * (n + least[node]):
+                    continue
+                for y in ends[node]:
+                    if y > x and (100 + p) * overlap >= p * (n + len(self.sets[y])) and (self.sides is None or self.sides[y] != here):
+                        a, b = self.find(x), self.find(y)
+                        self.parent[max(a, b)] = min(a, b)
+                        out.append((self.order[x], self.order[y], a != b))
+                stack += [(c, overlap) for c in children[node]]
+            self.mark[own] = False
+        return out
+
     def links(self) -> list[tuple[int, int]]:
-        """Links between sets, as they were numbered, enough to connect all that reach the threshold."""
+        """All pairs of sets, as they were numbered, that reach the threshold."""
+        return [(a, b) for a, b, _ in self.pairs()]
+
+    def spanning(self) -> list[tuple[int, int]]:
+        """For components only: links enough to connect all that reach the threshold."""
         out = []
         p = self.percent
         stale = True
@@ -297,12 +340,13 @@ def _strong(ties: np.ndarray, percent: int) -> np.ndarray:
     return ties[(whole >= least) & (run - before > (least - 1) // 2), :2]
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, group_sets: int = GROUP_SETS) -> DataFrame:
-    """Per row: id, n_shingles, component_id, class_id.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, group_sets: int = GROUP_SETS, components_only: bool = False) -> DataFrame:
+    """Per row: id, n_shingles, component_id, class_id, n_links. With components_only no n_links, and fewer pairs are looked at.
 
     Words are runs of other than space and \\t-\\r, with A-Z in lower case; a text of fewer than `size` words, but some, has
-    one n-gram of all. Rows link when 100 * intersection >= percent * union. component_id: the least id that links reach;
-    null and empty texts link with nothing, and have their own id and a null class_id. Rows with equal sets link whatever their
+    one n-gram of all. Rows link when 100 * intersection >= percent * union. n_links: the other rows that the row links with,
+    those with an equal set included. component_id: the least id that links reach;
+    null and empty texts link with nothing, and have their own id, a null class_id and 0 links. Rows with equal sets link whatever their
     ids; null ids take part, but are never a component's id unless it has no other. Empty tables give no rows. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -400,25 +444,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = (
         members.join(sizes, "anchor").withColumn("_blocks", blocks).withColumn("_own", block)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("anchor", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "cls")
+        .select("anchor", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "cls", F.col("_own").alias("own"))
     )
-    filled = placed.join(sets, "cls").select("anchor", "i", "j", "cls", "grams").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    filled = placed.join(sets, "cls").select("anchor", "i", "j", "cls", "grams", "own").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in group_rows(batches, 3):
             if group.num_rows < 2:
                 continue
-            cls = group.column(3).to_pylist()
-            found = Trie([np.frombuffer(x.as_buffer(), "<u8") for x in group.column(4)], percent).links()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([cls[a] for a, _ in found], pa.int64()), pa.array([cls[b] for _, b in found], pa.int64())], ["a", "b"])
-
-    links = filled.mapInArrow(walk, "a bigint, b bigint")
-    roots = connected(links)
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("first_id"))
-    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "first_id", F.coalesce("root", "cls").alias("root"))
+            cls = np.asarray(group.column(3))
+            own = group.column(5).to_pylist()
+            # Pairs within a block are found where the block is by itself.
+            trie = Trie([np.frombuffer(x.as_buffer(), "<u8") for x in group.column(4)], percent, own if min(own) < max(own) and not components_only else None)
+            found = np.array([(a, b, True) for a, b in trie.spanning()] if components_only else trie.pairs(), np.int64).reshape(-1, 3)
+            if len(found):
+                a, b = cls[found[:, 0]], cls[found[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[:, 2] > 0)], ["a", "b", "joins"])
+
+    links = filled.mapInArrow(walk, "a bigint, b bigint, joins boolean")
+    if not components_only:
+        links = written(links.groupBy("a", "b").agg(F.max("joins").alias("joins")))
+    roots = connected(links.where("joins"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("_rows"))
+    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "first_id", "_rows", F.coalesce("root", "cls").alias("root"))
     named = written(named)
     least = named.groupBy("root").agg(F.min("first_id").alias("component"))
-    final = written(named.join(least, "root").select("cls", "component"))
+    final = named.join(least, "root").select("cls", "component", "_rows")
+    if not components_only:
+        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        linked = both.join(named.select(F.col("cls").alias("b"), "_rows"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("_rows").alias("_linked"))
+        final = final.join(linked, "cls", "left").withColumn("n_links", F.col("_rows") - 1 + F.coalesce("_linked", F.lit(0)))
+    final = written(final.drop("_rows", "_linked"))
     joined = rows.select("_id", "n", "cls").join(final, "cls", "left")
-    return joined.select(F.col("_id").alias("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"), F.col("cls").alias("class_id"))
+    out = [F.col("_id").alias("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"), F.col("cls").alias("class_id")]
+    return joined.select(*out, *([] if components_only else [F.coalesce("n_links", F.lit(0)).alias("n_links")]))

@@ -124,3 +124,38 @@ def test_stars_find_components(spark):
     touched = {x for a, b in links if a != b for x in (a, b)}
     assert got == {x: want[x] for x in touched}
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_trie_reports_every_pair_once():
+    rng = random.Random(6)
+    for _ in range(100):
+        base = rng.sample(range(200), 40)
+        sets = []
+        for _ in range(rng.randint(2, 25)):
+            own = set(base)
+            for _ in range(rng.randint(0, 6)):
+                own.symmetric_difference_update({rng.randrange(200)})
+            sets.append(np.array(sorted(own), np.uint64))
+        sides = [rng.randrange(2) for _ in sets]
+        truth = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
+        found = Trie(sets, 80).pairs()
+        assert sorted((min(a, b), max(a, b)) for a, b, _ in found) == sorted(truth)
+        assert roots(len(sets), [(a, b) for a, b, joins in found if joins]) == roots(len(sets), truth)
+        assert roots(len(sets), Trie(sets, 80).spanning()) == roots(len(sets), truth)
+        across = sorted((min(a, b), max(a, b)) for a, b in Trie(sets, 80, sides).links()) if len(set(sides)) == 2 else []
+        assert across == sorted((i, j) for i, j in truth if sides[i] != sides[j])
+
+
+@pytest.mark.parametrize("group_sets", [512, 3])
+def test_links_by_brute_force(spark, group_sets):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(80)]
+    copies = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 80, 4)]  # different copies; many pairs of them link
+    texts = [*copies, copies[0], copies[0].upper(), *near_copies(rng, 10, 6), None, "", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    sets = [grams(t) for t in texts]
+    want = [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = jaccard_components(docs, group_sets=group_sets).orderBy("id").collect()
+    assert [r.n_links for r in got] == want and max(want) >= 19
+    few = jaccard_components(docs, group_sets=group_sets, components_only=True).orderBy("id").collect()
+    assert [(r.id, r.component_id, r.class_id) for r in few] == [(r.id, r.component_id, r.class_id) for r in got] and "n_links" not in few[0]
