@@ -65,6 +65,15 @@ def test_field_finds_held_back_forms():
     assert pii.find("Plain words, version 3 of 2024-01-02, 12:30, 1,234,567 and page 12 of 300.", weights) == ([], [])
 
 
+def test_long_regions_are_not_cut():
+    weights = pii.trained()
+    line = "call (651) 555-8500, "
+    for shift in range(12):
+        text = "a " * shift + line * 60
+        want = {(m.start(), m.end(), "phone") for m in re.finditer(r"\(651\) 555-8500", text)}
+        assert set(pii.field_spans(text, weights)) == want
+
+
 def test_rows_of_all_kinds(spark):
     texts = [None, "", "mail a.b@c.de or 1.2.3.4", 'token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"', "é a@b.cc é +1 (651) 555-8500", "x" * 3_000 + " q@r.st"]
     docs = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)] + [(None, "a@b.cc", "z"), (2, texts[2], "z")], "doc_id bigint, text string, id string")
