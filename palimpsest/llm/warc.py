@@ -6,6 +6,8 @@ inflates to nothing) as its line end, so archives go wherever Spark can write, a
 Reader: it walks an archive member by member, or record by record where it isn't compressed. Each must pass its checks: gzip's
 own sums, a version line, header syntax, a length that ends in two line ends, and the digests the header names. Where one fails, the reader
 looks for the next byte at which a member or version line begins a record that passes, goes on there, and logs the bytes between.
+The same search runs on a member's inflated bytes, as they come, so a failed record costs only itself. Of a member that doesn't inflate to
+its end, what came before counts, but not the record that inflating stops in or at; after an error in it, only records with a block digest do.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes of an archive, and the most that a record may inflate to.
 ARCHIVE_BYTES = 64 << 20
 RECORD_BYTES = 1 << 30
+#: Bytes of a member that are inflated at once.
+PIECE = 1 << 20
 
 RECORD_FIELDS = (
     "archive string, offset bigint, length bigint, gap string, record_type string, record_id string, uri string, "
@@ -68,13 +72,17 @@ class Damaged(Exception):
     pass
 
 
+class Short(Damaged):
+    """More bytes could still make the record whole."""
+
+
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header, block and end of the record that begins at `at`; Damaged if a check fails."""
     if not _VERSION.match(data, at):
-        raise Damaged("no version line")
+        raise (Damaged if len(data) - at >= 10 else Short)("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
-        raise Damaged("header without end")
+        raise Short("header without end")
     header: dict[str, str] = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -85,6 +93,8 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if not re.fullmatch(r"[0-9]{1,18}", size):
         raise Damaged("no length")
     begin, end = stop + 4, stop + 4 + int(size)
+    if end + 4 > len(data):
+        raise Short("length does not end the record")
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("length does not end the record")
     block = data[begin:end]
@@ -94,49 +104,144 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return header, block, end + 4
 
 
-def _inflate(data: bytes, at: int, most: int) -> tuple[bytes, int]:
-    try:
-        inflater = zlib.decompressobj(31)
-        out = inflater.decompress(memoryview(data)[at:], most)
-    except zlib.error as e:
-        raise Damaged("gzip member") from e
-    if not inflater.eof:
-        raise Damaged("gzip member without end")
-    return out, len(data) - len(inflater.unused_data)
+class _Member:
+    """The inflated bytes of the member at `at`, bit by bit. Once done: size, end (of its bytes in data) and error, if any."""
+
+    def __init__(self, data: bytes, at: int) -> None:
+        self.data, self.inflater = data, zlib.decompressobj(31)
+        self.end, self.size, self.done, self.error = at, 0, False, ""
+
+    def more(self, want: int) -> bytes:
+        out: list[bytes] = []
+        got = 0
+        while got < want and not self.done:
+            tail = self.inflater.unconsumed_tail
+            feed = tail or self.data[self.end : self.end + PIECE]
+            self.end += 0 if tail else len(feed)
+            before = self.inflater.copy()
+            try:
+                part = self.inflater.decompress(feed, want - got)
+            except zlib.error:
+                self.done, self.error, part = True, "gzip member", self._until_error(before, feed)
+            if self.inflater.eof and not self.error:
+                self.done = True
+                self.end -= len(self.inflater.unused_data)
+            elif not feed and not part:
+                self.done, self.error = True, "gzip member without end"
+            out.append(part)
+            got += len(part)
+        self.size += got
+        return b"".join(out)
+
+    def _until_error(self, inflater: zlib._Decompress, feed: bytes) -> bytes:
+        out = []
+        for k in range(len(feed)):
+            try:
+                out.append(inflater.decompress(feed[k : k + 1]))
+            except zlib.error:
+                self.end -= len(feed) - k
+                break
+        return b"".join(out)
+
+
+def _inside(member: _Member, buf: bytes, most: int) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
+    """(begin, end, None, header, block) of records and (begin, end, reason, {}, b"") of gaps in the member's inflated bytes, buf first."""
+    base = place = 0
+    gap, reason = -1, ""
+    while place < len(buf) or not member.done:
+        if place >= len(buf):
+            base, buf, place = base + len(buf), member.more(PIECE), 0
+            continue
+        try:
+            header, block, end = _parse(buf, place)
+            if end - place > most:
+                raise Damaged("record too long")
+        except Damaged as e:
+            held = len(buf) - place
+            if isinstance(e, Short) and not member.done and held < most:
+                base, buf, place = base + place, buf[place:] + member.more(max(held, PIECE)), 0
+                continue
+            if gap < 0:
+                gap, reason = base + place, str(e)
+            m = _VERSION.search(buf, place + 1)
+            if m:
+                place = m.start()
+            elif member.done:
+                place = len(buf)
+            else:  # a version line may begin in the last bytes
+                keep = max(place + 1, len(buf) - 9)
+                base, buf, place = base + keep, buf[keep:] + member.more(PIECE), 0
+            continue
+        if gap >= 0:
+            yield gap, base + place, reason, {}, b""
+            gap = -1
+        yield base + place, base + end, None, header, block
+        place = end
+    if gap >= 0:
+        yield gap, base + len(buf), reason, {}, b""
 
 
-def _records_at(data: bytes, at: int, most: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """Records of the member, or the plain record, that begins at `at`, and where it ends."""
+def _records_at(data: bytes, at: int, most: int) -> tuple[Iterator[tuple[str | None, dict[str, str], bytes]], int, str]:
+    """Records and inner gaps of the member, or the plain record, that begins at `at`, where it ends, and why it does too soon."""
     if not data.startswith(_MAGIC, at):
         header, block, end = _parse(data, at)
-        return [(header, block)], end
-    inner, end = _inflate(data, at, most)
-    found, place = [], 0
-    while place < len(inner):
-        header, block, place = _parse(inner, place)
-        found.append((header, block))
-    return found, end
+        return iter([(None, header, block)]), end, ""
+    member = whole = _Member(data, at)
+    first = member.more(PIECE)
+    if not member.done:  # its end must be known before its records are given
+        whole = _Member(data, at)
+        while not whole.done:
+            whole.more(PIECE)
+
+    def found() -> Iterator[tuple[str | None, dict[str, str], bytes]]:
+        for begin, end, why, header, block in _inside(member, first, most):
+            proved = whole.error != "gzip member" or header.get("warc-block-digest", "").startswith("sha1:")
+            if why is None and whole.error and (end >= whole.size or not proved):
+                why = whole.error
+            yield (None, header, block) if why is None else (f"{why}, inflated bytes {begin}-{end} of the member at {at}", {}, b"")
+
+    return found(), whole.end, whole.error
 
 
 def salvage(data: bytes, most: int = RECORD_BYTES) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:
-    """(offset, length, None, header, block) of each record, and (offset, length, reason, {}, b"") of each gap, in order."""
+    """(offset, length, None, header, block) of each record, and (offset, length, reason, {}, b"") of each gap, in order.
+
+    Gaps inside a member have the member's offset and length, and the range of inflated bytes in their reason.
+    """
     at, gap, reason = 0, -1, ""
+    taken = 0  # end of what broken members gave; before it only members are looked for
     while at < len(data):
+        given, failed, waiting = False, "", []
         try:
-            found, end = _records_at(data, at, most)
+            found, end, error = _records_at(data, at, most)
+            for why, header, block in found:
+                row = (at, end - at, why, header, block)
+                if why is not None and not given:
+                    waiting.append(row)
+                    continue
+                if not given:
+                    if gap >= 0:
+                        yield gap, at - gap, reason, {}, b""
+                        gap = -1
+                    yield from waiting
+                    given = True
+                yield row
+            if not given:
+                failed = error or (waiting[0][2].partition(", inflated")[0] if waiting else "")
         except Damaged as e:
-            if gap < 0:
-                gap, reason = at, str(e)
-            m = _START.search(data, at + 1)
-            at = m.start() if m else len(data)
+            failed, error, end = str(e), "", at
+        if not failed and not error:  # an empty member alone doesn't prove that the reader is in step again
+            at = end
             continue
-        if gap >= 0 and found:  # an empty member alone doesn't prove that the reader is in step again
-            yield gap, at - gap, reason, {}, b""
+        if given:
+            taken, gap, reason = end, end, error
+        elif gap < 0:
+            gap, reason = max(at, taken), failed
+        m = re.compile(re.escape(_MAGIC)).search(data, at + 1, taken) or _START.search(data, max(at + 1, taken))
+        at = m.start() if m else len(data)
+        if given and at <= gap:
             gap = -1
-        for header, block in found:
-            yield at, end - at, None, header, block
-        at = end
-    if gap >= 0:
+    if 0 <= gap < len(data):
         yield gap, len(data) - gap, reason, {}, b""
 
 

@@ -66,6 +66,27 @@ def test_truncated_and_oversized():
     assert "2" not in found and gaps
 
 
+def test_records_inside_a_damaged_member(monkeypatch):
+    parts = [gzip.decompress(m) for m in members(6)]
+    wrong = parts[2].replace(b"sha1:", b"sha1:A")
+    inner = b"".join([*parts[:2], wrong, *parts[3:]])
+    one, after = gzip.compress(inner, mtime=0), members(8)[7]
+    start = len(parts[0] + parts[1])
+    for piece in (warc.PIECE, 300, 7):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        found, gaps = ids(one + after)
+        assert found == ["0", "1", "3", "4", "5", "7"]
+        assert [(o, n) for o, n, _ in gaps] == [(0, len(one))] and f"{start}-{start + len(wrong)} of the member at 0" in gaps[0][2]
+        found, gaps = ids(gzip.compress(b"".join(parts), mtime=0)[:-5])
+        assert found == ["0", "1", "2", "3", "4"] and len(gaps) == 1
+        found, gaps = ids(gzip.compress(b"".join(parts), mtime=0), most=len(parts[4]))
+        assert found == ["0", "1", "2", "3", "4"] and gaps
+        whole = bytearray(gzip.compress(b"".join(parts), 0, mtime=0) + after)
+        whole[-len(after) - 1] ^= 1  # the member's own sum; stored bytes show their version lines
+        found, gaps = ids(bytes(whole))
+        assert found == ["0", "1", "2", "3", "4", "7"] and gaps
+
+
 def test_round_trip_with_nulls_and_repeats(spark, tmp_path):
     rows = [(3, "http://a b/\r\nX: y", "same"), (1, None, "same"), (2, "u", None), (5, "u", ""), (None, "u", "same"), (7, "ü", "other\r\n\r\nWARC/1.1\r\n"), (7, "ü", "other\r\n\r\nWARC/1.1\r\n"), (9, "u", "é" * 50_000)]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, _id string, payload int")
