@@ -2,7 +2,7 @@
 
 Each stage works on all rows its predecessor kept; run() writes each stage's rows as Parquet in the shared folder and reads them
 again. All but the last return the columns of documents, with n_chars of the text as it then is. Null ids and texts, empty texts
-and repeated rows are treated as the operators state; rows that share an id are one document to the near-duplicate stage.
+and repeated rows are treated as the operators state; the near-duplicate stage keeps rows, not ids.
 """
 
 from __future__ import annotations
@@ -36,10 +36,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays."""
-    found = jaccard_components(docs, components_only=True)
-    stays = written(found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_stays")).distinct())
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    """Of each group of linked rows one with the least id stays; of such rows the first by a hash of all columns.
+
+    Rows of null or empty texts link with nothing and all stay. A null id comes after all others.
+    """
+    # Written, so that a row's key is the same in every reading.
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = jaccard_components(keyed.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row")), id_col="_key", components_only=True)
+    stays = written(found.where(F.col("id") == F.col("component_id")).select(F.col("id._row").alias("_stays")))
+    return keyed.join(stays, F.col("_row") == F.col("_stays"), "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

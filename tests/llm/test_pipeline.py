@@ -90,6 +90,16 @@ def test_stages_beside_plain_python(spark, tmp_path):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in got.collect()}
 
 
+def test_one_row_of_each_group_stays(spark):
+    say = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, say("a")), (1, say("a")), (1, say("b")), (2, say("b")), (2, say("c")), (None, say("d")), (None, say("d")), (None, say("a")), (3, None), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == COLUMNS
+    want = [(1, say("a")), (1, say("b")), (2, say("c")), (None, say("d")), (3, None), (3, ""), (3, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_entry_without_this_subpackage(tmp_path):
     root = Path(__file__).resolve().parents[2]
     for name in ("__spark_entry__.py", "palimpsest"):
