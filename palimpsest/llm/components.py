@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.storage import written
+from palimpsest.llm.storage import discard, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -27,10 +27,13 @@ def connected(links: DataFrame) -> DataFrame:
         large = written(large.where("a <> b").distinct())
         star = large.join(_least(large), "a")
         small = star.select(F.col("b").alias("a"), F.col("m").alias("b")).union(star.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct())
+        last, edges = edges, written(small.where("a <> b").distinct())
+        discard(last, large)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    named = written(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots))
+    discard(edges)
+    return named

@@ -7,16 +7,18 @@ last. Equal sets are one class, and only classes go on.
    the set (an l-prefix). Prefixes are dealt out by n-gram in packed arrays, once for each class and task. An n-gram of several classes
    of fitting sizes ties them to the least of them, their anchor.
 2. A class whose tied n-grams are fewer than T has no partner and goes. It also leaves its weakest anchors, as long as they tie fewer than
-   half of T of its n-grams: a pair loses fewer than T in all, so it still has a common anchor. Each anchor's classes are a group; a
-   group above a fixed size is dealt out by pairs of blocks. Only classes in groups have their full sets made, found in
-   another pass by a filter of fixed size and then by an exact join.
-3. Each group's sets are stored in a trie over the order. A set walks the trie with a running overlap that all sets below
-   a node share; a subtree is left when the overlap so far and what remains on both sides can't reach the threshold. All pairs of
-   classes that reach it are reported, so n different near copies cost n squared steps. Pairs found by several anchors are one.
-   Only where components alone are asked for, subtrees whose sets are already linked with the walker's are left too.
-4. Links make components by stars; of each trie's links only those that join two of its parts are needed there. Rows get their
-   class's component, and the number of rows that theirs and the linked classes have.
-Hashes have 59 bits beside the order's 5. Two of a document's n-grams or two sets meet by chance with a probability below 2**-40.
+   half of T of its n-grams: a pair loses fewer than T in all, so it still has a common anchor. Each anchor's classes are a group. Only
+   classes in groups have their full sets made, found in another pass by a key filter and then by an exact join.
+3. Each group's sets are stored in a trie over the order. Sets walk it in blocks, each with a running overlap that all sets below a
+   node share; a set leaves a subtree when the overlap so far and what remains on both sides can't reach the threshold. A group above a
+   size is dealt out in blocks, the sets of one walking the trie of another.
+4. A pair of linked classes belongs to the least anchor that both have. There it counts for both, so links are counted, not listed:
+   a task returns one count for each class, and of the pairs only links enough to connect what it found.
+   For components alone, subtrees whose sets are already linked with the walkers are left, and a group of several blocks first
+   compares each block with itself and with the first one; only sets outside its largest component then walk all blocks.
+5. Links make components by stars. Rows get their class's component and links.
+Hashes have 59 bits beside the order's 5. Two of a document's n-grams meet by chance with a probability below 2**-40, and two of n sets share
+a class's 64 bits by chance with a probability of about n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -30,16 +32,18 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
 from palimpsest.llm.components import connected
-from palimpsest.llm.storage import written
+from palimpsest.llm.keyfilter import key_filter
+from palimpsest.llm.storage import discard, written
 
 SIZE, PERCENT = 5, 80
 #: The order's table of word counts has 2**COUNT_BITS numbers, and is added up in blocks.
 COUNT_BITS, _BLOCKS = 20, 32
-#: Sets in one trie; prefix n-grams in one packed bucket.
-GROUP_SETS = 512
+#: Sets and n-grams of one trie, about; prefix n-grams in one packed bucket; tasks that buckets are dealt to, at most.
+GROUP_SETS, GROUP_NGRAMS = 2048, 1 << 21
 BUCKET_NGRAMS = 1_000_000
-#: Bits of the filter for wanted classes; when the corpus outgrows it, it lets more sets through to the join.
-FILTER_BITS = 25
+MAX_TASKS = 8192
+#: Bytes of the table that tells which walkers have an n-gram.
+WALK_BYTES = 1 << 25
 _POSTING = np.dtype([("gram", "<u8"), ("cls", "<i8"), ("n", "<u4")])
 
 
@@ -105,178 +109,140 @@ def order_levels(read: DataFrame) -> tuple[np.ndarray, int]:
     return np.minimum(out.reshape(-1), 31), total
 
 
-def _filter_places(cls: np.ndarray) -> np.ndarray:
-    h = W.mix(cls.view(np.uint64))
-    return np.concatenate([h >> np.uint64(64 - FILTER_BITS), (h & np.uint64((1 << FILTER_BITS) - 1))]).astype(np.int64)
-
-
-def class_filter(wanted: DataFrame) -> np.ndarray:
-    """Bits of a filter that holds all wanted classes: 2**FILTER_BITS bits, whatever their number."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            bits[_filter_places(np.asarray(batch.column(0)))] = True
-        for k, part in enumerate(np.packbits(bits).reshape(_BLOCKS, -1)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "bits"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << FILTER_BITS) // 8 // _BLOCKS, np.uint8)
-        for batch in batches:
-            for x in batch.column("bits"):
-                total |= np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "bits"])
-
-    out = np.zeros((_BLOCKS, (1 << FILTER_BITS) // 8 // _BLOCKS), np.uint8)
-    for row in wanted.select("cls").mapInArrow(partial, "block int, bits binary").groupBy("block").applyInArrow(add, "block int, bits binary").collect():  # of fixed size
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
-
-
 class Trie:
-    """Ordered sets that share beginnings. A node holds the n-grams from its depth on that all sets below it share."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int, sides: list[int] | None = None) -> None:
-        """With sides, only sets of different sides are linked."""
-        self.percent = percent
-        vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        cuts = np.cumsum([len(s) for s in sets])[:-1]
-        local = np.split(ids.astype(np.int32), cuts)
-        order = sorted(range(len(sets)), key=lambda i: local[i].astype(">i4").tobytes())
-        self.sets, self.order = [local[i] for i in order], order
-        self.sides = [sides[i] for i in order] if sides else None
-        self.mark = np.zeros(len(vocabulary), bool)
-        self.parent = list(range(len(sets)))
-        #: per node: n-grams of its edge, depth of its end, children, sets that end here, least and most size below
-        self.edges: list[np.ndarray] = []
-        self.depth: list[int] = []
+    """Ordered sets that share beginnings. Nodes are ranges of the sorted sets; each set has a leaf of its own."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        local = np.split(ids.astype(np.int32), np.cumsum([len(s) for s in sets])[:-1])
+        self.order = np.array(sorted(range(len(sets)), key=lambda i: local[i].astype(">i4").tobytes()))
+        self.sets = [local[i] for i in self.order]
+        self.sizes = np.array([len(s) for s in self.sets])
+        shared = np.zeros(len(sets), np.int64)  # with the set before
+        for k in range(1, len(sets)):
+            a, b = self.sets[k - 1], self.sets[k]
+            m = min(len(a), len(b))
+            differ = np.flatnonzero(a[:m] != b[:m])
+            shared[k] = differ[0] if len(differ) else m
+        #: per node: its range of sets, depth of its beginning and end, least and most size below, children
+        self.low, self.high, self.begin, self.end, self.least, self.most = ([] for _ in range(6))
         self.children: list[list[int]] = []
-        self.ends: list[list[int]] = []
-        self.least: list[int] = []
-        self.most: list[int] = []
-        #: per node: the end of its sets' places in the order, and their one side or -1
-        self.high: list[int] = []
-        self.side: list[int] = []
-        self.root = self._build(0, len(self.sets), 0)
-        self.same: list[int] = [-1] * len(self.edges)
-
-    def _build(self, low: int, high: int, depth: int) -> int:
-        """Node of the sets low..high, which agree up to depth. A stack stands in for recursion, as tries can be deep."""
-        made: list[tuple[int, int, int, int]] = []  # low, high, depth, parent
-        pending = [(low, high, depth, -1)]
+        pending = [(0, len(sets), 0, -1)]
         while pending:
             a, z, d, up = pending.pop()
-            first, last = self.sets[a], self.sets[z - 1]
-            m = min(len(first), len(last))
-            differ = np.flatnonzero(first[d:m] != last[d:m])
-            end = d + int(differ[0]) if len(differ) else m
-            node = len(self.edges)
-            self.edges.append(first[d:end])
-            self.depth.append(end)
+            inner = shared[a + 1 : z]
+            end = int(inner.min()) if len(inner) else int(self.sizes[a])
+            node = len(self.low)
+            sizes = self.sizes[a:z]
+            for column, x in zip((self.low, self.high, self.begin, self.end, self.least, self.most), (a, z, d, end, int(sizes.min()), int(sizes.max())), strict=True):
+                column.append(x)
             self.children.append([])
-            sizes = [len(s) for s in self.sets[a:z]]
-            self.least.append(min(sizes))
-            self.most.append(max(sizes))
-            self.high.append(z)
-            self.side.append(self.sides[a] if self.sides and len(set(self.sides[a:z])) == 1 else -1)
             if up >= 0:
                 self.children[up].append(node)
-            made.append((a, z, d, up))
-            k = a
-            while k < z and len(self.sets[k]) == end:
-                k += 1
-            self.ends.append(list(range(a, k)))
-            while k < z:
-                c, j = self.sets[k][end], k + 1
-                while j < z and self.sets[j][end] == c:
-                    j += 1
-                pending.append((k, j, end, node))
-                k = j
-        return 0
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def _refresh(self) -> None:
-        """For each node the one component of all sets below it, or -1. Children come after their parents."""
-        for node in range(len(self.edges) - 1, -1, -1):
-            roots = {self.find(i) for i in self.ends[node]} | {self.same[c] for c in self.children[node]}
-            self.same[node] = roots.pop() if len(roots) == 1 else -1
-
-    def pairs(self) -> list[tuple[int, int, bool]]:
-        """All pairs of sets, as they were numbered, that reach the threshold, each once, and whether it joins two parts of those before."""
-        out = []
-        p = self.percent
-        edges, depths, children, ends, least, most, high, side = self.edges, self.depth, self.children, self.ends, self.least, self.most, self.high, self.side
-        for x, own in enumerate(self.sets):
-            self.mark[own] = True
-            n, here = len(own), self.sides[x] if self.sides else -2
-            stack = [(self.root, 0)]
-            while stack:
-                node, overlap = stack.pop()
-                # Sets up to x have walked before.
-                if high[node] <= x + 1 or side[node] == here or 100 * most[node] < p * n or 100 * n < p * least[node]:
-                    continue
-                edge, depth = edges[node], depths[node]
-                rest = n
-                if len(edge):
-                    overlap += int(np.count_nonzero(self.mark[edge]))
-                    rest = n - int(own.searchsorted(edge[-1], "right"))
-                if (100 + p) * (overlap + min(rest, most[node] - depth)) < p * (n + least[node]):
-                    continue
-                for y in ends[node]:
-                    if y > x and (100 + p) * overlap >= p * (n + len(self.sets[y])) and (self.sides is None or self.sides[y] != here):
-                        a, b = self.find(x), self.find(y)
-                        self.parent[max(a, b)] = min(a, b)
-                        out.append((self.order[x], self.order[y], a != b))
-                stack += [(c, overlap) for c in children[node]]
-            self.mark[own] = False
-        return out
-
-    def links(self) -> list[tuple[int, int]]:
-        """All pairs of sets, as they were numbered, that reach the threshold."""
-        return [(a, b) for a, b, _ in self.pairs()]
-
-    def spanning(self) -> list[tuple[int, int]]:
-        """For components only: links enough to connect all that reach the threshold."""
-        out = []
-        p = self.percent
-        stale = True
-        for x, own in enumerate(self.sets):
-            if stale:
-                self._refresh()
-                stale = False
-            if self.same[self.root] >= 0:
-                break
-            self.mark[own] = True
-            n, mine = len(own), self.find(x)
-            stack = [(self.root, 0)]
+            if len(inner):
+                cuts = [a, *(np.flatnonzero(inner == end) + a + 1).tolist(), z]
+                pending += [(i, j, end, node) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def walk(self, percent: int, walkers: list[np.ndarray] | None = None, labels: _Labels | None = None, own_labels: _Labels | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(set, walkers that reach the threshold with it), each pair once; all numbered as they were given.
+
+        Without walkers the trie's own sets walk, and a pair is found by the one that stands first. With labels (of sets) and own_labels (of
+        walkers), which the caller may join between results, subtrees of the walker's own label are left.
+        """
+        p = percent
+        if walkers is None:
+            grams, names, size = self.sets, self.order, self.sizes
+        else:
+            size = np.array([len(w) for w in walkers])
+            names = np.arange(len(walkers))
+            grams = []
+            for w in walkers:
+                at = np.minimum(np.searchsorted(self.vocabulary, w), len(self.vocabulary) - 1)
+                grams.append(at[self.vocabulary[at] == w].astype(np.int32))
+        width = len(self.vocabulary)
+        step = max(1, min(1024, WALK_BYTES // width))
+        for first in range(0, len(grams), step):
+            own = grams[first : first + step]
+            counts = np.array([len(g) for g in own])
+            ends = np.cumsum(counts)
+            flat = np.concatenate(own).astype(np.int64)
+            who = np.repeat(np.arange(len(own)), counts)
+            has = np.zeros((width, len(own)), np.uint8)
+            has[flat, who] = 1
+            flat += who * width
+            n = size[first : first + step]
+            name = names[first : first + step]
+            same = self._same(labels) if labels is not None else None
+            stack = [(0, np.arange(len(own)), np.zeros(len(own), np.int64))]
             while stack:
-                node, overlap = stack.pop()
-                if self.same[node] == mine or 100 * self.most[node] < p * n or 100 * n < p * self.least[node]:
+                node, alive, overlap = stack.pop()
+                a, z, begin, end, least, most = self.low[node], self.high[node], self.begin[node], self.end[node], self.least[node], self.most[node]
+                fits = (100 * most >= p * n[alive]) & (100 * n[alive] >= p * least)
+                if walkers is None:
+                    fits &= alive + first < z - 1
+                if same is not None and same[node] >= 0:
+                    fits &= own_labels[name[alive]] != same[node]
+                if not fits.all():
+                    alive, overlap = alive[fits], overlap[fits]
+                if not len(alive):
                     continue
-                edge, depth = self.edges[node], self.depth[node]
-                rest = n
+                edge = self.sets[a][begin:end]
                 if len(edge):
-                    overlap += int(np.count_nonzero(self.mark[edge]))
-                    rest = n - int(np.searchsorted(own, edge[-1], "right"))
-                elif depth:
-                    rest = n
-                if (100 + p) * (overlap + min(rest, self.most[node] - depth)) < p * (n + self.least[node]):
+                    rows = has[edge]
+                    gained = (rows if len(alive) == len(own) else rows[:, alive]).sum(axis=0, dtype=np.int64)
+                    overlap = overlap + gained
+                children = self.children[node]
+                if not children:
+                    hit = (100 + p) * overlap >= p * (n[alive] + most)
+                    if walkers is None:
+                        hit &= alive + first < a
+                    if hit.any():
+                        yield int(self.order[a]), name[alive[hit]]
                     continue
-                for y in self.ends[node]:
-                    if (100 + p) * overlap >= p * (n + len(self.sets[y])) and (other := self.find(y)) != mine:
-                        self.parent[max(other, mine)] = min(other, mine)
-                        mine = self.find(x)
-                        out.append((self.order[x], self.order[y]))
-                        stale = True
-                stack += [(c, overlap) for c in self.children[node]]
-            self.mark[own] = False
-        return out
+                rest = ends[alive] - np.searchsorted(flat, alive * width + int(edge[-1]), "right") if len(edge) else n[alive]
+                stays = (100 + p) * (overlap + np.minimum(rest, most - end)) >= p * (n[alive] + least)
+                if not stays.all():
+                    alive, overlap = alive[stays], overlap[stays]
+                if len(alive):
+                    stack += [(c, alive, overlap) for c in children]
+
+    def _same(self, labels: _Labels) -> np.ndarray:
+        """For each node the one label of all sets below it, or -1."""
+        own = labels[self.order]
+        change = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
+        low, high = np.array(self.low), np.array(self.high)
+        return np.where(change[low] == change[high - 1], own[low], -1)
+
+
+class Linker:
+    """What one trie's task returns: for each class the rows that it links with, and links that connect all that were found."""
+
+    def __init__(self, anchor: int, cls: np.ndarray, weight: np.ndarray, others: list[np.ndarray] | None, labels: np.ndarray) -> None:
+        """others: each class's anchors; labels: equal for classes that are linked already."""
+        self.cls, self.weight, self.labels = cls, weight, labels
+        self.links = np.zeros(len(cls), np.int64)
+        self.joins: list[tuple[int, int]] = []
+        self.smaller: np.ndarray | None = None
+        if others is not None:
+            before = [o[o < anchor] for o in others]
+            shared, counts = np.unique(np.concatenate(before), return_counts=True)
+            shared = shared[counts > 1]
+            if len(shared):
+                table = np.zeros((len(cls), len(shared)), bool)
+                for k, o in enumerate(before):
+                    table[k] = np.isin(shared, o)
+                self.smaller = np.packbits(table, axis=1)
+
+    def add(self, y: int, found: np.ndarray) -> None:
+        owned = found if self.smaller is None else found[~(self.smaller[found] & self.smaller[y]).any(axis=1)]
+        self.links[y] += self.weight[owned].sum()
+        self.links[owned] += self.weight[y]
+        foreign = found[self.labels[found] != self.labels[y]]
+        if len(foreign):
+            parts, at = np.unique(self.labels[foreign], return_index=True)
+            self.joins += [(y, int(x)) for x in foreign[at]]
+            every = np.append(parts, self.labels[y])
+            self.labels[np.isin(self.labels, every)] = every.min()
 
 
 def group_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -324,7 +290,7 @@ def _anchored(table: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _strong(ties: np.ndarray, percent: int) -> np.ndarray:
-    """(anchor, class) of the ties (anchor, class, size, n-grams) that classes keep: not of classes with too few tied n-grams, nor of weak anchors."""
+    """(anchor, class, size) of the ties (anchor, class, size, n-grams) that classes keep: not of classes with too few tied n-grams, nor of weak anchors."""
     ties = ties[np.lexsort((ties[:, 0], ties[:, 1]))]
     first = np.flatnonzero(np.concatenate([[True], (ties[1:, :2] != ties[:-1, :2]).any(axis=1)]))
     shared = np.add.reduceat(ties[:, 3], first)
@@ -337,17 +303,21 @@ def _strong(ties: np.ndarray, percent: int) -> np.ndarray:
     before = np.repeat(run[start] - shared[start], size)
     whole = np.repeat(np.add.reduceat(shared, start), size)
     _, least = needed(ties[:, 2], percent)
-    return ties[(whole >= least) & (run - before > (least - 1) // 2), :2]
+    return ties[(whole >= least) & (run - before > (least - 1) // 2), :3]
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, group_sets: int = GROUP_SETS, components_only: bool = False) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, group_sets: int = GROUP_SETS,
+    group_ngrams: int = GROUP_NGRAMS, components_only: bool = False,
+) -> DataFrame:
     """Per row: id, n_shingles, component_id, class_id, n_links. With components_only no n_links, and fewer pairs are looked at.
 
     Words are runs of other than space and \\t-\\r, with A-Z in lower case; a text of fewer than `size` words, but some, has
     one n-gram of all. Rows link when 100 * intersection >= percent * union. n_links: the other rows that the row links with,
-    those with an equal set included. component_id: the least id that links reach;
-    null and empty texts link with nothing, and have their own id, a null class_id and 0 links. Rows with equal sets link whatever their
-    ids; null ids take part, but are never a component's id unless it has no other. Empty tables give no rows. Other columns are not read.
+    those with an equal set included. class_id: the least id of the rows with an equal set. component_id: the least id that links reach;
+    null and empty texts link with nothing, and have their own id as both, and 0 links. Rows with equal sets link whatever their
+    ids; null ids take part, but are never a component's or class's id unless it has no other. Empty tables give no rows. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -355,6 +325,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table, total = order_levels(read)
     levels = spark.sparkContext.broadcast(table)
     buckets = max(8, int(total * (100 - percent) * 1.5 / 100 / BUCKET_NGRAMS) + 1)
+    tasks = min(buckets, MAX_TASKS)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,6 +335,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first, len(n)), pa.array(n), pa.array(class_ids(values, bounds), mask=n == 0)], ["_id", "n", "cls"])
 
     rows = written(read.mapInArrow(counted, f"_id {kind}, n bigint, cls bigint"))
+    classes = written(rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("weight")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes that this task has dealt out
@@ -411,17 +383,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in group_rows(batches, 1):
             kept = _strong(np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4) for x in group.column(1)]), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0]), pa.array(kept[:, 1])], ["anchor", "cls"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, k]) for k in range(3)], ["anchor", "cls", "n"])
 
-    dealt = read.select("_text").mapInArrow(deal, "bucket int, postings binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = read.select("_text").mapInArrow(deal, "bucket int, postings binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     # A class's ties come from many buckets; they meet in packed arrays too, dealt out by class.
-    ties = dealt.mapInArrow(anchor, "part int, ties binary").repartition(buckets, "part").sortWithinPartitions("part")
-    members = written(ties.mapInArrow(prune, "anchor bigint, cls bigint"))
+    ties = dealt.mapInArrow(anchor, "part int, ties binary").repartition(tasks, "part").sortWithinPartitions("part")
+    tied = written(ties.mapInArrow(prune, "anchor bigint, cls bigint, n bigint"))
+    sizes = tied.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_ngrams")).where("_size > 1")
+    blocks = F.greatest(F.ceil(F.col("_size") / group_sets), F.ceil(F.col("_ngrams") / group_ngrams)).cast("int")
+    placed = tied.join(sizes.select("anchor", blocks.alias("blocks")), "anchor")
+    members = written(placed.select("anchor", "cls", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("own")))
+    discard(tied)
 
     # Full sets of the classes in groups, once for each task that has the class.
-    wanted = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1").join(members, "anchor").select("cls").distinct()
-    wanted = written(wanted)
-    bits = spark.sparkContext.broadcast(class_filter(wanted))
+    wanted = written(members.groupBy("cls").agg(F.array_sort(F.collect_set("anchor")).alias("anchors")))
+    member_filter = spark.sparkContext.broadcast(key_filter(wanted.select("cls")))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -429,52 +405,106 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for texts in W.slices(batch.column(0)):
                 values, bounds = ordered_sets(texts, size, levels.value)
                 cls = class_ids(values, bounds)
-                place = _filter_places(cls)
-                passes = (bits.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool).reshape(2, -1).all(axis=0)
+                passes = member_filter.value.has(cls)
                 keep = [i for i in np.flatnonzero(passes & (np.diff(bounds) > 0)).tolist() if not (int(cls[i]) in seen or seen.add(int(cls[i])))]
                 parts = [values[bounds[i] : bounds[i + 1]].astype("<u8").tobytes() for i in keep]
                 yield pa.RecordBatch.from_arrays([pa.array(cls[keep], pa.int64()), pa.array(parts, pa.binary())], ["cls", "grams"])
 
-    found_sets = read.select("_text").mapInArrow(full, "cls bigint, grams binary")
-    sets = written(found_sets.groupBy("cls").agg(F.first("grams").alias("grams")).join(wanted, "cls", "left_semi"))
-
-    sizes = members.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size")).where("_size > 1")
-    blocks = F.ceil(F.col("_size") / group_sets).cast("int")
-    block = F.pmod(F.xxhash64("cls"), F.col("_blocks")).cast("int")
-    placed = (
-        members.join(sizes, "anchor").withColumn("_blocks", blocks).withColumn("_own", block)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select("anchor", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "cls", F.col("_own").alias("own"))
-    )
-    filled = placed.join(sets, "cls").select("anchor", "i", "j", "cls", "grams", "own").repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
+    found_sets = read.select("_text").mapInArrow(full, "cls bigint, grams binary").groupBy("cls").agg(F.first("grams").alias("grams"))
+    carried = wanted if not components_only else wanted.select("cls", F.lit(None).cast("array<bigint>").alias("anchors"))
+    sets = written(found_sets.join(carried, "cls").join(classes.select("cls", "weight"), "cls"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in group_rows(batches, 3):
-            if group.num_rows < 2:
-                continue
-            cls = np.asarray(group.column(3))
-            own = group.column(5).to_pylist()
-            # Pairs within a block are found where the block is by itself.
-            trie = Trie([np.frombuffer(x.as_buffer(), "<u8") for x in group.column(4)], percent, own if min(own) < max(own) and not components_only else None)
-            found = np.array([(a, b, True) for a, b in trie.spanning()] if components_only else trie.pairs(), np.int64).reshape(-1, 3)
-            if len(found):
-                a, b = cls[found[:, 0]], cls[found[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[:, 2] > 0)], ["a", "b", "joins"])
-
-    links = filled.mapInArrow(walk, "a bigint, b bigint, joins boolean")
+            got = _linked(group, percent, components_only)
+            if got is not None:
+                yield got
+
+    def links_of(dealt: DataFrame) -> DataFrame:
+        """dealt: anchor, i, j, role, label, cls. Roles of a class in the task (i, j): 0 in the trie, 1 walks, 2 both."""
+        filled = dealt.join(sets, "cls").select("anchor", "i", "j", "role", "label", "cls", "weight", "anchors", "grams")
+        return written(filled.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(walk, "a bigint, b bigint, n bigint"))
+
+    own, label = F.col("own"), F.lit(None).cast("bigint").alias("label")
+    zero, last = F.lit(0), F.col("blocks") - 1
     if not components_only:
-        links = written(links.groupBy("a", "b").agg(F.max("joins").alias("joins")))
-    roots = connected(links.where("joins"))
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("_rows"))
-    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "first_id", "_rows", F.coalesce("root", "cls").alias("root"))
+        # Block i walks the trie of block j, i <= j.
+        other = members.withColumn("other", F.explode(F.sequence(zero, last)))
+        role = F.when(own == F.col("other"), 2).when(own < F.col("other"), 1).otherwise(0).alias("role")
+        found = links_of(other.select("anchor", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), role, label, "cls"))
+        roots = connected(found.where("b is not null").select("a", "b"))
+    else:
+        # Each block walks its own trie and that of block 0.
+        at_home = members.select("anchor", own.alias("i"), own.alias("j"), F.lit(2).alias("role"), label, "cls")
+        to_first = members.where("own > 0").select("anchor", own.alias("i"), zero.alias("j"), F.lit(1).alias("role"), label, "cls")
+        first = members.where("own = 0 and blocks > 1").withColumn("i", F.explode(F.sequence(F.lit(1), last)))
+        found = links_of(at_home.union(to_first).union(first.select("anchor", "i", zero.alias("j"), zero.alias("role"), label, "cls")))
+        roots = connected(found.where("b is not null").select("a", "b"))
+        # What stands outside the largest component of a group of several blocks walks all of them.
+        many = members.where("blocks > 1").join(roots, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cls")).drop("node", "root")
+        parts = many.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("_n"))
+        largest = parts.groupBy("anchor").agg(F.max_by("label", F.struct("_n", "label")).alias("_largest"), F.sum("_n").alias("_all"), F.max("_n").alias("_most")).where("_all > _most")
+        many = written(many.join(largest, "anchor").withColumn("_walkers", F.ceil((F.col("_all") - F.col("_most")) / group_sets).cast("int")))
+        if not many.isEmpty():
+            outside = F.col("label") != F.col("_largest")
+            block = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("_walkers")).cast("int")
+            walkers = many.where(outside).withColumn("j", F.explode(F.sequence(zero, last))).select("anchor", block.alias("i"), "j", F.lit(1).alias("role"), "label", "cls")
+            tries = many.withColumn("i", F.explode(F.sequence(zero, F.col("_walkers") - 1))).select("anchor", "i", own.alias("j"), zero.alias("role"), "label", "cls")
+            more = links_of(walkers.union(tries))
+            discard(roots)
+            roots = connected(found.union(more).where("b is not null").select("a", "b"))
+            discard(more)
+        discard(many)
+
+    named = classes.join(roots, classes["cls"] == roots["node"], "left").select("cls", "first_id", "weight", F.coalesce("root", "cls").alias("root"))
     named = written(named)
     least = named.groupBy("root").agg(F.min("first_id").alias("component"))
-    final = named.join(least, "root").select("cls", "component", "_rows")
+    final = named.join(least, "root").select("cls", "first_id", "component", "weight")
     if not components_only:
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        linked = both.join(named.select(F.col("cls").alias("b"), "_rows"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("_rows").alias("_linked"))
-        final = final.join(linked, "cls", "left").withColumn("n_links", F.col("_rows") - 1 + F.coalesce("_linked", F.lit(0)))
-    final = written(final.drop("_rows", "_linked"))
+        linked = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("_linked"))
+        final = final.join(linked, "cls", "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("_linked", F.lit(0)))
+    final = written(final.drop("weight", "_linked"))
+    discard(roots, found, members, wanted, sets, classes, named)
     joined = rows.select("_id", "n", "cls").join(final, "cls", "left")
-    out = [F.col("_id").alias("id"), F.col("n").alias("n_shingles"), F.coalesce("component", "_id").alias("component_id"), F.col("cls").alias("class_id")]
+    mine = lambda name: F.when(F.col("cls").isNull(), F.col("_id")).otherwise(F.col(name))
+    out = [F.col("_id").alias("id"), F.col("n").alias("n_shingles"), mine("component").alias("component_id"), mine("first_id").alias("class_id")]
     return joined.select(*out, *([] if components_only else [F.coalesce("n_links", F.lit(0)).alias("n_links")]))
+
+
+class _Labels:
+    """The labels of some of a linker's classes, as they are now."""
+
+    def __init__(self, linker: Linker, at: np.ndarray) -> None:
+        self.linker, self.at = linker, at
+
+    def __getitem__(self, k: np.ndarray) -> np.ndarray:
+        return self.linker.labels[self.at[k]]
+
+
+def _linked(group: pa.Table, percent: int, components_only: bool) -> pa.RecordBatch | None:
+    """Counts (a, null, n) and links (a, b, null) of one task's sets: anchor, i, j, role, label, cls, weight, anchors, grams."""
+    role = np.asarray(group.column("role"))
+    in_trie, walks = np.flatnonzero(role != 1), np.flatnonzero(role == 1)
+    crossed = bool((role != 2).any())
+    if not len(in_trie) or (crossed and not len(walks)) or (not crossed and len(in_trie) < 2):
+        return None
+    cls = np.asarray(group.column("cls"))
+    grams = [np.frombuffer(x.as_buffer(), "<u8") for x in group.column("grams").combine_chunks()]
+    given = group.column("label").fill_null(0).to_numpy()
+    labels = np.unique(given, return_inverse=True)[1] if group.column("label").null_count == 0 else np.arange(len(cls))
+    others = None if components_only else [x.values.to_numpy() for x in group.column("anchors").combine_chunks()]
+    linker = Linker(int(group.column("anchor")[0].as_py()), cls, np.asarray(group.column("weight")), others, labels)
+    trie = Trie([grams[k] for k in in_trie])
+
+    who = walks if crossed else in_trie
+    walk = trie.walk(percent, [grams[k] for k in walks] if crossed else None, _Labels(linker, in_trie) if components_only else None, _Labels(linker, who) if components_only else None)
+    for y, found in walk:
+        linker.add(int(in_trie[y]), who[found])
+    counted = np.flatnonzero(linker.links) if not components_only else np.zeros(0, np.int64)
+    a = np.concatenate([cls[counted], np.array([cls[x] for x, _ in linker.joins], np.int64)])
+    b = np.concatenate([np.zeros(len(counted), np.int64), np.array([cls[y] for _, y in linker.joins], np.int64)])
+    n = np.concatenate([linker.links[counted], np.zeros(len(linker.joins), np.int64)])
+    if not len(a):
+        return None
+    is_count = np.arange(len(a)) < len(counted)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=is_count), pa.array(n, mask=~is_count)], ["a", "b", "n"])

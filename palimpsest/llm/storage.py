@@ -1,12 +1,15 @@
-"""Tables that cut lineage: written to the folder that all executors share, then read again."""
+"""Tables that cut lineage: written to the folder that all executors share, read again, and deleted once nothing needs them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir.
@@ -31,4 +34,14 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made. Only for those that no result still reads, which must itself be written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 
 from palimpsest.llm.components import connected
-from palimpsest.llm.ngram_join import Trie, _anchored, _POSTING, jaccard_components, needed
+from palimpsest.llm import ngram_join
+from palimpsest.llm.keyfilter import key_filter
+from palimpsest.llm.ngram_join import _POSTING, Linker, Trie, _anchored, _Labels, jaccard_components, needed
 
 
 def roots(n, links):
@@ -61,7 +63,7 @@ def test_trie_links_what_all_pairs_link():
                 own.symmetric_difference_update({rng.choice(sorted(own)) if own and rng.random() < 0.5 else rng.randrange(200)})
             sets.append(np.array(sorted(own or {5}), np.uint64))
         truth = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))]
-        assert roots(len(sets), Trie(sets, 80).links()) == roots(len(sets), truth)
+        assert sorted((min(x, y), max(x, y)) for y, found in Trie(sets).walk(80) for x in found.tolist()) == truth
 
 
 def test_every_linked_pair_shares_enough_of_its_prefixes():
@@ -126,9 +128,15 @@ def test_stars_find_components(spark):
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_trie_reports_every_pair_once():
+def links(sets):
+    return [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))]
+
+
+@pytest.mark.parametrize("walk_bytes", [1 << 25, 500])
+def test_trie_reports_every_pair_once(monkeypatch, walk_bytes):
+    monkeypatch.setattr(ngram_join, "WALK_BYTES", walk_bytes)
     rng = random.Random(6)
-    for _ in range(100):
+    for _ in range(60):
         base = rng.sample(range(200), 40)
         sets = []
         for _ in range(rng.randint(2, 25)):
@@ -136,14 +144,37 @@ def test_trie_reports_every_pair_once():
             for _ in range(rng.randint(0, 6)):
                 own.symmetric_difference_update({rng.randrange(200)})
             sets.append(np.array(sorted(own), np.uint64))
-        sides = [rng.randrange(2) for _ in sets]
-        truth = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))}
-        found = Trie(sets, 80).pairs()
-        assert sorted((min(a, b), max(a, b)) for a, b, _ in found) == sorted(truth)
-        assert roots(len(sets), [(a, b) for a, b, joins in found if joins]) == roots(len(sets), truth)
-        assert roots(len(sets), Trie(sets, 80).spanning()) == roots(len(sets), truth)
-        across = sorted((min(a, b), max(a, b)) for a, b in Trie(sets, 80, sides).links()) if len(set(sides)) == 2 else []
-        assert across == sorted((i, j) for i, j in truth if sides[i] != sides[j])
+        truth = links(sets)
+        assert sorted((min(x, y), max(x, y)) for y, found in Trie(sets).walk(80) for x in found.tolist()) == truth
+        cut = len(sets) // 2
+        across = sorted((x, y + cut) for y, found in Trie(sets[cut:]).walk(80, sets[:cut]) for x in found.tolist()) if cut else []
+        assert across == [(i, j) for i, j in truth if i < cut <= j]
+        names = np.arange(len(sets)) + 100
+        linker = Linker(5, names, np.ones(len(sets), np.int64), None, np.arange(len(sets)))
+        at = _Labels(linker, np.arange(len(sets)))
+        for y, found in Trie(sets).walk(80, None, at, at):
+            linker.add(y, found)
+        assert roots(len(sets), linker.joins) == roots(len(sets), truth) and len(linker.joins) == len(sets) - len(set(roots(len(sets), truth)))
+
+
+def test_a_pair_counts_at_the_least_common_anchor():
+    linker = Linker(7, np.array([1, 2, 3]), np.array([1, 10, 100]), [np.array([4, 7]), np.array([4, 7, 9]), np.array([5, 7])], np.arange(3))
+    linker.add(2, np.array([0, 1]))
+    linker.add(1, np.array([0]))
+    assert linker.links.tolist() == [100, 100, 11]
+
+
+def test_key_filter_holds_all_its_keys(spark):
+    rng = np.random.Generator(np.random.PCG64(1))
+    keys = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, 5000))
+    table = spark.createDataFrame([(int(k),) for k in keys], "k bigint").repartition(3)
+    strangers = np.setdiff1d(rng.integers(-(1 << 63), (1 << 63) - 1, 20_000), keys)
+    for block_bits in (1 << 25, 1 << 12):
+        made = key_filter(table, block_bits)
+        assert made.has(keys).all() and made.has(strangers).mean() < 0.05
+    full = key_filter(table, 1 << 10, 1 << 11)
+    assert full.blocks.size == 256 and full.has(keys).all()
+    assert not key_filter(table.limit(0)).has(keys).any()
 
 
 @pytest.mark.parametrize("group_sets", [512, 3])
@@ -157,5 +188,7 @@ def test_links_by_brute_force(spark, group_sets):
     want = [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
     got = jaccard_components(docs, group_sets=group_sets).orderBy("id").collect()
     assert [r.n_links for r in got] == want and max(want) >= 19
+    equal = [min(j for j, b in enumerate(sets) if a == b) if a else i for i, a in enumerate(sets)]
+    assert [r.class_id for r in got] == equal
     few = jaccard_components(docs, group_sets=group_sets, components_only=True).orderBy("id").collect()
     assert [(r.id, r.component_id, r.class_id) for r in few] == [(r.id, r.component_id, r.class_id) for r in got] and "n_links" not in few[0]
