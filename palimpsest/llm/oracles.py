@@ -99,7 +99,7 @@ WITH lines AS (
 pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 common AS (
   SELECT source, core FROM (SELECT source, core, count(DISTINCT doc_id) AS n FROM lines WHERE core <> '' GROUP BY source, core) JOIN pages USING (source)
-  WHERE n >= 5 AND 100 * n > 5 * pages),
+  WHERE n > 1 AND 100 * n > 5 * pages),
 judged AS (SELECT l.*, c.core IS NOT NULL AS dropped FROM lines l LEFT JOIN common c USING (source, core)),
 by_doc AS (
   SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS text,
@@ -138,6 +138,8 @@ reach AS (
   SELECT doc_id AS a, doc_id AS b FROM sizes
   UNION
   SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(least(e, d.doc_id), d.doc_id) AS class_id, coalesce(n_links, 0) AS n_links
 FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS e FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared = x.n AND shared = y.n GROUP BY a) USING (doc_id)
 """

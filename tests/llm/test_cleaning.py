@@ -61,17 +61,25 @@ def test_line_rules(spark):
 
 
 def test_site_lines(spark):
-    rows = [(i, "s", f"  menu \nown {i}\n\nrare") for i in range(20)] + [(100 + i, "t", f"menu\n{i}") for i in range(4)]
+    rows = [(i, "s", f"  menu \nown {i}\n\nrare") for i in range(20)] + [(100 + i, "t", f"menu\n{i}") for i in range(2)]
     rows += [(200, None, "menu\nx"), (201, "s", None), (202, "s", ""), (203, "s", "menu\nmenu"), (None, "s", "menu\nnull id")]
     docs = spark.createDataFrame([(*r, "a", 1, 2) for r in rows], "doc_id bigint, source string, text string, _site string, _drop int, n_lines int")
     for limit in ("-1", "10m"):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         got = {r.doc_id: r for r in dedup_lines(docs).collect()}
         assert got[0].text == "own 0\n" and (got[0].n_lines, got[0].n_dropped) == (3, 2)
-        assert got[100].text == "menu\n0" and got[200].text == "menu\nx" and got[201].text is None and got[202].text == ""
+        assert got[100].text == "0" and got[200].text == "menu\nx" and got[201].text is None and got[202].text == ""
         assert got[203].text == "" and got[203].n_dropped == 2 and got[None].text == "null id"
         assert len(got) == len(rows) and got[0]._site == "a" and got[0]._drop == 1
     assert dedup_lines(docs.where("false")).count() == 0
+    bare = dedup_lines(docs, with_counts=False)
+    assert bare.columns == docs.columns and {r.n_lines for r in bare.collect()} == {2}
+
+
+def test_sites_by_host(spark):
+    rows = [(f"https://A.example/{i}?x", "menu\nown") for i in range(1)] + [("http://a.example", "menu\nmine"), ("ftp://b.example#x", "menu\nalone"), ("nothing", "menu\n1"), (None, "menu\n2")]
+    docs = spark.createDataFrame([(u, t, k) for k, (u, t) in enumerate(rows)], "url string, text string, k int")
+    assert [r.text for r in dedup_lines(docs, url_col="url").orderBy("k").collect()] == ["own", "mine", "menu\nalone", "1", "2"]
 
 
 def norm(text):
