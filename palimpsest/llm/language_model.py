@@ -1,14 +1,16 @@
-"""Language-model scoring with a weighted backoff automaton over word bigrams.
-
-Model. Words seen at least `min_count` times in the training texts, and the end, are classes of their own; rarer and unseen words share one
-class. A state is a class that was just read, or the text's begin. A state's arcs are the bigrams seen after it, weighted
-(c(uv) + m p(v)) / (c(u) + m); every other word takes the failure arc, m / (c(u) + m), to the empty state and its arc p(v). A word of
-the shared class is then worth its own part of it. p is the add-one unigram model, so all weights of a state sum to one.
-
-Scale. The model grows with the corpus and is never in one place. Documents are cut into chunks of bounded size. A chunk sends
-its different words, then its different bigrams, with its training counts, to buckets by hash, and gets back the counts over all
-training texts: the part of the automaton that its texts can reach. Then one left-to-right walk, all texts of a chunk in step, carries
-each text's state and adds up log-probabilities. Hot words and bigrams cost a bucket one entry for each chunk.
+"""Language-model scoring with a weighted backoff automaton over word n-grams of up to three words.
+
+Model. The empty state has an arc for each word, weighted by the add-one unigram model p1. Words and bigrams of the training texts are
+states too, and so is a text's begin; their arcs are the bigrams and trigrams seen after them, weighted p2(w|v) = (c(vw) + m2 p1(w)) / (c(v) + m2)
+and p3(w|uv) = (c(uvw) + m3 p2(w|v)) / (c(uv) + m3). A word that a state has no arc for takes its failure arc to the next shorter context, from (uv) to
+(v) to the empty state, weighted m / (c + m). So the weights of all words after a state sum to one. No word is left out or shares a class.
+
+Scale. The model grows with the corpus and is never in one place. Documents are cut into chunks of bounded size. A chunk sends its
+different n-grams, as sorted hashes, with its training counts, to buckets by hash, and gets back the counts over all training
+texts in the order in which it asked: the part of the automaton that its texts can reach. Then one left-to-right walk, all texts of a chunk in
+step, carries each text's state and adds up log-probabilities. Hot n-grams cost a bucket one entry for each chunk. A chunk is one row,
+which is shuffled once, to its answers.
+Hashes of words have 64 bits, those of bigrams and trigrams 56: of n different ones, a share of about n / 2**56 has the count of two.
 """
 
 from __future__ import annotations
@@ -24,145 +26,195 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
 from palimpsest.llm.ngram_join import group_rows
-from palimpsest.llm.storage import written
+from palimpsest.llm.storage import discard, written
 
 CHUNK_TOKENS = 2_000_000
-MIN_COUNT = 10
-CONCENTRATION = 500.0
-#: Hashes of what isn't a word: the end, the shared class, the begin.
-END, RARE, BEGIN = (np.uint64(x) for x in (0xE0D1E0D1E0D1E0D1, 0x4A4E4A4E4A4E4A4E, 0xBE617BE617BE6170))
-_FIELDS = "chunk bigint, bucket int, held boolean, a binary, b binary"
+#: Weights of the shorter context's model after a word and after two.
+MASS = (100.0, 20.0)
+ORDERS = 3
+KEY_BITS = (64, 56, 56)
+#: Buckets for each chunk, and most tasks of a shuffle.
+BUCKETS, MAX_TASKS = 0.5, 8192
+#: Hashes of what isn't a word: the end and the begin.
+END, BEGIN = (np.uint64(x) for x in (0xE0D1E0D1E0D1E0D1, 0xBE617BE617BE6170))
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers with their equal bytes side by side, which compresses well."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers with their equal bytes side by side, compressed; a head of 4 bytes has their number."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _from_planes(data: bytes | memoryview, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+def _unpacked(data: pa.Scalar, kind: str) -> np.ndarray:
+    raw, size = memoryview(data.as_buffer()), np.dtype(kind).itemsize
+    planes = pa.decompress(raw[4:], int.from_bytes(raw[:4], "little") * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    return _planes(np.diff(keys, prepend=np.uint64(0)))
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
 
+def _unpack_sorted(data: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
 
-def _unpack_sorted(data: bytes | memoryview) -> np.ndarray:
-    return np.cumsum(_from_planes(data, "<u8"), dtype=np.uint64)
 
+class Chunk(NamedTuple):
+    """Texts of a chunk: hashes of its different tokens, each position's token, where texts begin, which of them train."""
 
-def _dealt(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    names: np.ndarray
+    tokens: np.ndarray
+    bounds: np.ndarray
+    train: np.ndarray
+
+    @classmethod
+    def of_row(cls, row: pa.Table) -> Chunk:
+        sizes = _unpacked(row.column("sizes")[0], "<i8")
+        held = _unpacked(row.column("held")[0], "<i1").astype(bool)
+        return cls(_unpack_sorted(row.column("vocabulary")[0]), _unpacked(row.column("tokens")[0], "<i4"), np.concatenate([[0], np.cumsum(sizes)]), ~held)
+
+
+class Grams(NamedTuple):
+    """A chunk's different n-grams of one order, ascending by key: a position of each, and each position's n-gram (-1 where a text has none)."""
+
+    keys: np.ndarray
+    at: np.ndarray
+    number: np.ndarray
+
+
+def grams(chunk: Chunk) -> list[Grams]:
+    """Words, bigrams (with the begin as a word) and trigrams (from a text's second word on)."""
+    own = chunk.names[chunk.tokens]
+    first = chunk.bounds[:-1]
+    before = np.empty_like(own)
+    before[1:] = own[:-1]
+    before[first] = BEGIN
+    two = W.mix(W.mix(before) + own)
+    pair_before = np.empty_like(two)
+    pair_before[1:] = two[:-1]
+    three = W.mix(W.mix(pair_before) + own)
+    words = np.empty(len(chunk.names), np.int64)
+    words[chunk.tokens[::-1]] = np.arange(len(own) - 1, -1, -1)
+    out = [Grams(chunk.names, words, chunk.tokens)]
+    inner = np.ones(len(own), bool)
+    inner[first] = False
+    for keys, bits, where in ((two, KEY_BITS[1], None), (three, KEY_BITS[2], np.flatnonzero(inner))):
+        some = (keys if where is None else keys[where]) >> np.uint64(64 - bits)
+        distinct, at, back = np.unique(some, return_index=True, return_inverse=True)
+        number = np.full(len(own), -1, np.int32)
+        if where is None:
+            number[:] = back
+        else:
+            number[where] = back
+            at = where[at]
+        out.append(Grams(distinct, at, number))
+    return out
+
+
+def _asked(chunk: int, order: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
     """A row for each bucket, in order of the ascending keys."""
-    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = ((keys >> np.uint64(KEY_BITS[order] - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cuts = np.searchsorted(bucket, np.arange(buckets + 1))
     parts = [(k, a, z) for k, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+    n = len(parts)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([chunk] * len(parts), pa.int64()), pa.array([k for k, _, _ in parts], pa.int32()), pa.array([None] * len(parts), pa.bool_()),
-            pa.array([_pack_sorted(keys[a:z]) for _, a, z in parts], pa.binary()), pa.array([_planes(counts[a:z].astype("<u4")) for _, a, z in parts], pa.binary()),
+            pa.array([k for k, _, _ in parts], pa.int32()), pa.array([order] * n, pa.int32()), pa.array([chunk] * n, pa.int64()),
+            pa.array([_pack_sorted(keys[a:z]) for _, a, z in parts], pa.binary()), pa.array([_packed(counts[a:z].astype("<u4")) for _, a, z in parts], pa.binary()),
         ],
-        ["chunk", "bucket", "held", "a", "b"],
+        ["bucket", "order", "chunk", "keys", "counts"],
     )
 
 
-def _totals(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
-    """Answers a bucket's rows with the sums over all chunks, in the order of their keys, and adds a row of the bucket's own figures."""
-    for group in group_rows(batches, 1):
-        chunks, keys = group.column(1).to_pylist(), [_unpack_sorted(x.as_buffer()) for x in group.column(2)]
-        counts = np.concatenate([_from_planes(x.as_buffer(), "<u4") for x in group.column(3)]).astype(np.float64)
-        known, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, counts, len(known)).astype("<i8")
-        cuts = np.cumsum([len(k) for k in keys])
-        answers = [_planes(total[part]) for part in np.split(back, cuts[:-1])]
-        rare = total[(total > 0) & (total < min_count)]
-        figures = np.array([total.sum(), (total > 0).sum(), rare.sum(), len(rare)], "<i8").tobytes()
-        bucket = group.column(0)[0].as_py()
-        n = len(chunks)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*chunks, -1], pa.int64()), pa.array([bucket] * (n + 1), pa.int32()), pa.array([None] * (n + 1), pa.bool_()), pa.array([*answers, figures], pa.binary()), pa.array([None] * (n + 1), pa.binary())],
-            ["chunk", "bucket", "held", "a", "b"],
-        )
-
+def _ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = pa.Table.from_batches([batch.slice(k, 1)])
+            chunk = Chunk.of_row(row)
+            train = np.repeat(chunk.train, np.diff(chunk.bounds))
+            for order, g in enumerate(grams(chunk)):
+                counted = g.number[train & (g.number >= 0)]
+                yield _asked(row.column("chunk")[0].as_py(), order, g.keys, np.bincount(counted, minlength=len(g.keys)), buckets)
 
-class Figures(NamedTuple):
-    """Of the training texts: tokens, different tokens, tokens of rare words, different rare words, texts."""
 
-    tokens: int
-    types: int
-    rare_tokens: int
-    rare_types: int
-    texts: int
-
-
-class Chunk(NamedTuple):
-    counts: np.ndarray  # of the chunk's different tokens, over all training texts
-    symbols: np.ndarray  # of all its tokens: the class, len(counts) for rare words
-    tokens: np.ndarray
-    bounds: np.ndarray
-    before: np.ndarray  # the state in front of each token, len(counts)+1 at the begin
-
-
-def _chunk(group: pa.Table, min_count: int, first: int, docs: int) -> Chunk:
-    """Puts a chunk together from its rows first..docs (answers) and docs.. (texts)."""
-    a = group.column("a")
-    counts = np.concatenate([_from_planes(a[k].as_buffer(), "<i8") for k in range(first, docs)])
-    tokens = [_from_planes(x.as_buffer(), "<i4") for x in a.slice(docs)]
-    bounds = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-    flat = np.concatenate(tokens)
-    symbols = np.where(counts >= min_count, np.arange(len(counts)), len(counts)).astype(np.int32)[flat]
-    before = np.empty_like(symbols)
-    before[1:] = symbols[:-1]
-    before[bounds[:-1]] = len(counts) + 1
-    return Chunk(counts, symbols, flat, bounds, before)
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums over all chunks for each row of a bucket's order, in the order of its keys; for words a row of chunk -1 with all tokens and all different ones."""
+    for group in group_rows(batches, 2):
+        chunks, keys = group.column("chunk").to_pylist(), [_unpack_sorted(x) for x in group.column("keys")]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        known, back = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        total = np.bincount(back, np.concatenate([_unpacked(x, "<u4") for x in group.column("counts")]), len(known)).astype("<i8")
+        data = [_packed(total[part]) for part in np.split(back, cuts)]
+        bucket, order = group.column("bucket")[0].as_py(), group.column("order")[0].as_py()
+        if order == 0:
+            chunks.append(-1)
+            data.append(_packed(np.array([total.sum(), (total > 0).sum()], "<i8")))
+        n = len(chunks)
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([order] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(data, pa.binary())], ["chunk", "order", "bucket", "data"])
 
 
 class Automaton(NamedTuple):
-    """Arcs as ascending state * width + symbol, with their weights; failure weights by state; the empty state's arcs by symbol."""
+    """arcs: by order, the log-weight of each n-gram's arc, NaN where training lacks it. failure: of word states (the begin last) and bigram states."""
 
-    width: int
-    arcs: np.ndarray
-    weights: np.ndarray
-    failure: np.ndarray
-    empty: np.ndarray
+    arcs: list[np.ndarray]
+    failure: list[np.ndarray]
+    found: list[Grams]
 
-    def walk(self, symbols: np.ndarray, bounds: np.ndarray, begin: int) -> np.ndarray:
-        """Log-probability of each text: all texts move by one symbol at a time, each with its state."""
-        lengths = np.diff(bounds)
+    def walk(self, chunk: Chunk) -> np.ndarray:
+        """Log-probability of each text: all texts move by one word at a time. A state is a context's length, and the n-gram that was read last."""
+        one, two, three = self.arcs
+        words, pairs, triples = (g.number for g in self.found)
+        lengths = np.diff(chunk.bounds)
         order = np.argsort(-lengths, kind="stable")
-        at, ranked = bounds[:-1][order], -lengths[order]
-        state, score = np.full(len(order), begin), np.zeros(len(order))
-        last = max(len(self.arcs) - 1, 0)
+        at, ranked = chunk.bounds[:-1][order], -lengths[order]
+        context = np.ones(len(order), np.int8)
+        state = np.full(len(order), len(chunk.names))  # at the begin
+        score = np.zeros(len(order))
         for step in range(int(lengths.max(initial=0))):
             live = int(np.searchsorted(ranked, -step, "left"))
-            symbol = symbols[at[:live] + step]
-            weight = self.failure[state[:live]] + self.empty[symbol]
-            if len(self.arcs):
-                arc = state[:live] * np.int64(self.width) + symbol
-                place = np.minimum(np.searchsorted(self.arcs, arc), last)
-                weight = np.where(self.arcs[place] == arc, self.weights[place], weight)
+            place = at[:live] + step
+            word, pair = words[place], pairs[place]
+            weight = np.zeros(live)
+            todo = np.ones(live, bool)
+            long = np.flatnonzero(context[:live] == 2)
+            if len(long):
+                arc = three[triples[place[long]]]
+                missing = np.isnan(arc)
+                weight[long] = np.where(missing, self.failure[1][state[long]], arc)
+                todo[long] = missing
+                state[long] = words[place[long] - 1]  # where the failure arc leads
+            arc = two[pair]
+            missing = np.isnan(arc)
+            failed = np.where(context[:live] > 0, self.failure[0][state[:live]], 0.0) + one[word]
+            weight += np.where(todo, np.where(missing, failed, arc), 0.0)
             score[:live] += weight
-            state[:live] = symbol
+            context[:live] = np.where(~missing, 2, 1)
+            state[:live] = np.where(~missing, pair, word)
         out = np.empty(len(order))
         out[order] = score
         return out
 
 
-def automaton(counts: np.ndarray, pairs: np.ndarray, seen: np.ndarray, figures: Figures, min_count: int, concentration: float) -> Automaton:
-    """The part of the model that reaches the given words (counts) and bigrams (state * width + symbol, with their counts)."""
-    n, whole = len(counts), figures.tokens + figures.types + 1
-    unigram = np.concatenate([(counts + 1) / whole, [(figures.rare_tokens + figures.rare_types + 1) / whole]])
-    follows = np.concatenate([counts, [figures.rare_tokens, figures.texts]]).astype(float)
-    width = n + 2
-    arcs, got = pairs[seen > 0], seen[seen > 0]
-    weights = np.log10((got + concentration * unigram[arcs % width]) / (follows[arcs // width] + concentration))
-    return Automaton(width, arcs, weights, np.log10(concentration / (follows + concentration)), np.log10(unigram))
+def automaton(chunk: Chunk, found: list[Grams], totals: list[np.ndarray], tokens: int, types: int, texts: int, mass: tuple[float, float]) -> Automaton:
+    """The part of the model that a chunk's texts can reach. totals: training counts of its n-grams by order; tokens, types, texts: of all training texts."""
+    begins = np.zeros(len(chunk.tokens), bool)
+    begins[chunk.bounds[:-1]] = True
+    words, pairs = found[0].number, found[1].number
+    p1 = (totals[0] + 1) / (tokens + types + 1)
+    after_word = np.append(totals[0], texts).astype(float)
+    at = found[1].at
+    context = after_word[np.where(begins[at], len(chunk.names), words[at - 1])]
+    p2 = (totals[1] + mass[0] * p1[words[at]]) / (context + mass[0])
+    at = found[2].at
+    p3 = (totals[2] + mass[1] * p2[pairs[at]]) / (totals[1][pairs[at - 1]] + mass[1])
+    arcs = [np.log10(p1), *(np.where(t > 0, np.log10(p), np.nan) for t, p in ((totals[1], p2), (totals[2], p3)))]
+    return Automaton(arcs, [np.log10(m / (c + m)) for m, c in zip(mass, (after_word, totals[1]), strict=True)], found)
 
 
 def score_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, concentration: float = CONCENTRATION,
-    held_out: tuple[int, int] = (7, 2), chunk_tokens: int = CHUNK_TOKENS,
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mass: tuple[float, float] = MASS, held_out: tuple[int, int] = (7, 2), chunk_tokens: int = CHUNK_TOKENS
+) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are runs of other than space and \\t-\\r, with A-Z in lower case, then one end. Rows whose CRC-32 of the id's text leaves
@@ -173,8 +225,6 @@ def score_texts(
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(held_out[0])) == held_out[1], F.lit(False))
     read = docs.select(F.col(id_col).alias("_id"), held.alias("held"), F.col(text_col).cast("string").alias("_text"))
     kind = read.schema["_id"].dataType.simpleString()
-    buckets = max(8, read.rdd.getNumPartitions())
-    end_rank = 1 << 30
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -184,21 +234,15 @@ def score_texts(
         hashes: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
             vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
-            size, train = np.concatenate(sizes), ~np.concatenate(helds)
-            counts = np.bincount(tokens, np.repeat(train, size), len(vocabulary))
-            dealt = _dealt(chunk, vocabulary, counts, buckets)
+            held = np.concatenate(helds)
             key = pa.concat_arrays(ids)
-            yield pa.RecordBatch.from_arrays([pa.nulls(dealt.num_rows, key.type), *dealt.columns, pa.array([False] * dealt.num_rows)], ["_id", *dealt.schema.names, "text"])
-            parts = np.split(tokens.astype("<u4"), np.cumsum(size)[:-1])
-            for first in range(0, len(parts), 2000):
-                some = parts[first : first + 2000]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [key.slice(first, n), pa.array([chunk] * n, pa.int64()), pa.array(range(end_rank + first, end_rank + first + n), pa.int32()), pa.array(~train[first : first + n]), pa.array([_planes(p) for p in some], pa.binary()), pa.nulls(n, pa.binary()), pa.array([True] * n)],
-                    ["_id", "chunk", "bucket", "held", "a", "b", "text"],
-                )
+            blobs = (_packed(held.astype("<i1")), _packed(np.concatenate(sizes).astype("<i8")), _pack_sorted(vocabulary), _packed(tokens.astype("<i4")))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int64()), pa.array([int((~held).sum())], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), key), *(pa.array([b], pa.binary()) for b in blobs)],
+                ["chunk", "texts", "ids", "held", "sizes", "vocabulary", "tokens"],
+            )
 
         for batch in batches:
             for texts in W.slices(batch.column(2)):
@@ -209,91 +253,44 @@ def score_texts(
                 hashes.append(np.insert(W.spans_hash(texts.data, w.starts, w.ends, lower=True), w.bounds[1:], END))
                 sizes.append(np.diff(w.bounds) + 1)
                 if sum(map(len, hashes)) >= chunk_tokens:
-                    yield from close()
+                    yield close()
                     chunk += 1
                     for held_list in (ids, helds, hashes, sizes):
                         held_list.clear()
         if ids:
-            yield from close()
-
-    table = written(read.mapInArrow(cut, f"_id {kind}, {_FIELDS}, text boolean"), ["text"])
-    texts, asked = table.where("text").drop("text"), table.where("not text").drop("text")
-
-    def totals(requests: DataFrame) -> DataFrame:
-        dealt = requests.select("bucket", "chunk", "a", "b").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        return written(dealt.mapInArrow(lambda b: _totals(b, min_count), _FIELDS))
-
-    answers = totals(asked)
-    sums = [np.frombuffer(r["a"], "<i8") for r in answers.where("chunk = -1").select("a").toLocalIterator()]
-    four = np.sum(sums, axis=0) if sums else np.zeros(4, np.int64)
-    n_texts = texts.where("not held").count()
-    figures = Figures(*(int(x) for x in four), n_texts)
-    answers = answers.where("chunk >= 0")
-
-    def together(*parts: DataFrame) -> DataFrame:
-        blank = F.lit(None).cast(kind).alias("_id")
-        rows = [p.select("chunk", (F.lit(k) * (1 << 28) + F.col("bucket")).cast("int").alias("bucket"), blank, "held", "a", "b") for k, p in enumerate(parts)]
-        whole = texts.select("chunk", "bucket", "_id", "held", "a", "b")
-        for r in rows:
-            whole = whole.unionByName(r)
-        return whole.repartition("chunk").sortWithinPartitions("chunk", "bucket")
-
-    def keys_of(c: Chunk) -> np.ndarray:
-        return c.before * np.int64(len(c.counts) + 2) + c.symbols
-
-    def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in group_rows(batches, 1):
-            rank = np.asarray(group.column("bucket"))
-            middle, docs_at = (int(x) for x in np.searchsorted(rank, [1 << 28, end_rank]))
-            c = _chunk(_without(group, middle, docs_at), min_count, 0, middle)
-            own = np.concatenate([_unpack_sorted(group.column("a")[k].as_buffer()) for k in range(middle, docs_at)])
-            names = np.concatenate([own, [RARE, BEGIN]])
-            pairs, back = np.unique(keys_of(c), return_inverse=True)
-            train = np.repeat(~np.asarray(group.column("held").slice(docs_at).to_numpy(zero_copy_only=False), bool), np.diff(c.bounds))
-            counts = np.bincount(back, train, len(pairs))
-            key = _pair_hash(names, pairs)
-            order = np.argsort(key, kind="stable")
-            yield _dealt(group.column("chunk")[0].as_py(), key[order], counts[order], buckets)
+            yield close()
+
+    # Rows of some megabytes: the writer looks at its memory after each.
+    checks = {"parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+    table = written(read.mapInArrow(cut, f"chunk bigint, texts bigint, ids array<{kind}>, held binary, sizes binary, vocabulary binary, tokens binary"), **checks)
+    chunks, texts = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("texts"), F.lit(0))).first()
+    buckets = max(8, int(chunks * BUCKETS))
+    asked = table.drop("texts", "ids").mapInArrow(lambda b: _ask(b, buckets), "bucket int, order int, chunk bigint, keys binary, counts binary")
+    dealt = asked.repartition(min(buckets, MAX_TASKS), "bucket").sortWithinPartitions("bucket", "order")
+    answers = written(dealt.mapInArrow(_answer, "chunk bigint, order int, bucket int, data binary"))
+    tokens = types = 0
+    for r in answers.where("chunk = -1").select("data").toLocalIterator():
+        some = _unpacked(pa.scalar(bytes(r["data"]), pa.binary()), "<i8")
+        tokens, types = tokens + int(some[0]), types + int(some[1])
+
+    blank = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("ids", "held", "sizes", "vocabulary", "tokens")]
+    whole = table.select("chunk", F.lit(ORDERS).alias("order"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("data"), "ids", "held", "sizes", "vocabulary", "tokens")
+    parts = whole.union(answers.where("chunk >= 0").select("chunk", "order", "bucket", "data", *blank))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in group_rows(batches, 1):
-            rank = np.asarray(group.column("bucket"))
-            second, third, docs_at = (int(x) for x in np.searchsorted(rank, [1 << 28, 2 << 28, end_rank]))
-            own = np.concatenate([_unpack_sorted(group.column("a")[k].as_buffer()) for k in range(second, third)])
-            seen = np.concatenate([_from_planes(group.column("a")[k].as_buffer(), "<i8") for k in range(third, docs_at)])
-            c = _chunk(_without(group, second, docs_at), min_count, 0, second)
-            pairs = np.unique(keys_of(c))
-            order = np.argsort(_pair_hash(np.concatenate([own, [RARE, BEGIN]]), pairs), kind="stable")
-            del own
-            total = np.empty(len(pairs), np.int64)
-            total[order] = seen
-            model = automaton(c.counts, pairs, total, figures, min_count, concentration)
-            score = model.walk(c.symbols, c.bounds, len(c.counts) + 1)
-            whole = figures.tokens + figures.types + 1
-            base = np.log10((c.counts + 1) / whole)[c.tokens]
-            # A word of the shared class has its own part of that class's weight.
-            rare = c.symbols == len(c.counts)
-            score += np.add.reduceat(np.where(rare, base - model.empty[len(c.counts)], 0.0), c.bounds[:-1])
-            rows = group.slice(docs_at)
+            rank = np.asarray(group.column("order"))
+            row = group.slice(group.num_rows - 1)
+            chunk = Chunk.of_row(row)
+            totals = [np.concatenate([np.zeros(0, np.int64), *(_unpacked(group.column("data")[int(k)], "<i8") for k in np.flatnonzero(rank == order))]) for order in range(ORDERS)]
+            model = automaton(chunk, grams(chunk), totals, tokens, types, texts, mass)
+            base = np.log10((totals[0] + 1) / (tokens + types + 1))[chunk.tokens]
+            sums = lambda x: pa.array(np.add.reduceat(x, chunk.bounds[:-1]))  # noqa: B023, E731
+            n = len(chunk.train)
             yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("_id").combine_chunks(), rows.column("held").combine_chunks(), pa.array(np.diff(c.bounds)),
-                    pa.array(np.add.reduceat((c.counts > 0)[c.tokens].astype(np.int64), c.bounds[:-1])), pa.array(np.full(rows.num_rows, figures.tokens)),
-                    pa.array(np.add.reduceat(base, c.bounds[:-1])), pa.array(score),
-                ],
+                [row.column("ids").combine_chunks().flatten(), pa.array(~chunk.train), pa.array(np.diff(chunk.bounds)), sums((totals[0] > 0)[chunk.tokens].astype(np.int64)), pa.array(np.full(n, tokens)), sums(base), pa.array(model.walk(chunk))],
                 ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            )
 
-    found = totals(together(answers, asked).mapInArrow(bigrams, _FIELDS)).where("chunk >= 0")
     out = f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return together(answers, asked, found).mapInArrow(walk, out)
-
-
-def _without(group: pa.Table, a: int, z: int) -> pa.Table:
-    """The chunk's rows without rows a..z."""
-    return pa.concat_tables([group.slice(0, a), group.slice(z)])
-
-
-def _pair_hash(names: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    width = len(names)
-    return W.mix(W.mix(names[pairs // width]) + names[pairs % width])
+    return parts.repartition(max(1, min(chunks, MAX_TASKS)), "chunk").sortWithinPartitions("chunk", "order", "bucket").mapInArrow(walk, out)

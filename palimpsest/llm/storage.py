@@ -26,14 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
+#: Spark's own setting: shuffle files go when the statement that made them ends, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, partition_by: list[str] | None = None, **options: str) -> DataFrame:
+    """df as a Parquet table in the shared folder. The shuffle files of the statement are deleted at its end."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.options(compression="zstd", **options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     table = spark.read.schema(df.schema).parquet(path)
     _PATHS[table] = path
     return table

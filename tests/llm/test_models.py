@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -15,52 +16,95 @@ from palimpsest.llm.quality_model import fit, score_quality
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def plain_model(rows, k, m):
-    """Scores by whole tables of counts: (held, tokens, known, N, base, score) for each row."""
-    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None] for _, t in rows]
-    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
-    train = [t for t, h in zip(tokens, held, strict=True) if not h]
-    c = Counter(w for t in train for w in t)
-    whole = sum(c.values()) + len(c) + 1
-    name = lambda w: ("w", w) if c[w] >= k else "rare"
-    pairs, follows = Counter(), Counter()
-    for t in train:
-        for u, v in zip(["begin", *map(name, t[:-1])], map(name, t), strict=True):
-            pairs[u, v] += 1
-            follows[u] += 1
-    rare = [n for n in c.values() if n < k]
-    shared = (sum(rare) + len(rare) + 1) / whole
-    out = []
-    for t, h in zip(tokens, held, strict=True):
-        base = [math.log10((c[w] + 1) / whole) for w in t]
-        score = 0.0
-        for u, v, b in zip(["begin", *map(name, t[:-1])], map(name, t), base, strict=True):
-            p = shared if v == "rare" else 10**b
-            score += math.log10((pairs[u, v] + m * p) / (follows[u] + m)) + (b - math.log10(shared) if v == "rare" else 0)
-        out.append((h, len(t), sum(c[w] > 0 for w in t), sum(c.values()), sum(base), score))
-    return out
+def tokens_of(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER)), None]
+
+
+def is_held(key):
+    return key is not None and zlib.crc32(str(key).encode()) % 7 == 2
+
+
+class Plain:
+    """The model by whole tables of counts."""
+
+    def __init__(self, train, mass):
+        self.mass = mass
+        self.one, self.two, self.three = Counter(w for t in train for w in t), Counter(), Counter()
+        self.after, self.after_two = Counter(), Counter()
+        for t in train:
+            s = ["<begin>", *t]
+            for u, v in zip(s, s[1:]):
+                self.two[u, v] += 1
+                self.after[u] += 1
+            for u, v, w in zip(s, s[1:], s[2:]):
+                self.three[u, v, w] += 1
+                self.after_two[u, v] += 1
+        self.whole = sum(self.one.values()) + len(self.one) + 1
+
+    def p1(self, w):
+        return (self.one[w] + 1) / self.whole
+
+    def p2(self, w, v):
+        return (self.two[v, w] + self.mass[0] * self.p1(w)) / (self.after[v] + self.mass[0])
+
+    def p3(self, w, u, v):
+        return (self.three[u, v, w] + self.mass[1] * self.p2(w, v)) / (self.after_two[u, v] + self.mass[1])
+
+    def score(self, t):
+        s = ["<begin>", *t]
+        return math.log10(self.p2(s[1], s[0])) + sum(math.log10(self.p3(w, u, v)) for u, v, w in zip(s, s[1:], s[2:]))
+
+
+def plain_model(rows, mass):
+    """(held, tokens, known, N, base, score) for each row."""
+    tokens = [tokens_of(t) for _, t in rows]
+    held = [is_held(i) for i, _ in rows]
+    model = Plain([t for t, h in zip(tokens, held, strict=True) if not h], mass)
+    return [(h, len(t), sum(model.one[w] > 0 for w in t), sum(model.one.values()), sum(math.log10(model.p1(w)) for w in t), model.score(t)) for t, h in zip(tokens, held, strict=True)]
 
 
 def test_scores_by_plain_counting(spark):
+    rng = random.Random(3)
     texts = ["the cat sat on the mat", "the cat sat", "The DOG sat on the log", None, "", "unseen zebra words", "a " * 3000, "é é é ü", "the cat sat on the mat"]
     rows = [(i, texts[i % len(texts)]) for i in range(60)] + [(None, "the cat"), (3, "again the cat"), (3, "again the cat")]
+    rows += [(100 + i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 30)))) for i in range(40)]
     docs = spark.createDataFrame([(i, t, 0.5, "c") for i, t in rows], "doc_id bigint, text string, score double, chunk string").repartition(3)
+    want = sorted((*x[:4], round(x[4], 6), round(x[5], 6)) for x in plain_model(rows, (4.0, 1.5)))
+    assert any(w[0] for w in want)
     for chunk in (2_000_000, 50):
-        got = sorted(((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in score_texts(docs, min_count=3, concentration=4.0, chunk_tokens=chunk).collect()))
-        want = sorted((*x[:4], round(x[4], 6), round(x[5], 6)) for x in plain_model(rows, 3, 4.0))
+        got = sorted(((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in score_texts(docs, mass=(4.0, 1.5), chunk_tokens=chunk).collect()))
         assert [g[:4] for g in got] == [w[:4] for w in want]
         assert np.allclose([g[4:] for g in got], [w[4:] for w in want], atol=1e-4)
 
 
 def test_model_weights_sum_to_one(spark):
-    rows = [(i, "a b a c b a d e a b") for i in range(30)]
+    """After each context, the probabilities of all words, the end and one unseen word in the place of all unseen ones sum to one."""
+    rows = [(i, "a b a c b a d e a b") for i in range(30) if not is_held(i)] + [(50, "c a b"), (51, "e")]
     vocabulary = ["a", "b", "c", "d", "e", "never"]
-    probe = [(1000 + k, f"a {w}") for k, w in enumerate(vocabulary)] + [(2000, "a")]
-    docs = spark.createDataFrame(rows + probe, "doc_id bigint, text string")
-    held = {r.id: r for r in score_texts(docs, min_count=40, concentration=2.0, held_out=(1, 0)).collect()}
-    assert all(math.isclose(r.score, r.base_score) for r in held.values())  # nothing to learn from: add-one over no counts
-    plain = plain_model(rows + probe, 40, 2.0)
-    assert all(x[5] < 0 for x in plain)
+    contexts = ["", "a", "b", "a b", "b a", "never", "a never", "never a", "e d", "a b a"]
+    keys = iter(k for k in range(1000, 9000) if is_held(k))
+    probe = [(next(keys), c, f"{c} {w}") for c in contexts for w in vocabulary]
+    ends = [(next(keys), c, c) for c in contexts]
+    docs = spark.createDataFrame([(i, t) for i, t in rows] + [(i, t) for i, _, t in probe + ends], "doc_id bigint, text string")
+    got = {r.id: r for r in score_texts(docs, mass=(2.0, 0.7)).collect()}
+    model = Plain([tokens_of(t) for _, t in rows], (2.0, 0.7))
+    for c in contexts:
+        # A text's score without its last step, the end.
+        def until(key, text):
+            s = ["<begin>", *tokens_of(text)]
+            last = model.p3(None, s[-3], s[-2]) if len(s) > 2 else model.p2(None, s[-2])
+            return 10 ** (got[key].score - math.log10(last))
+
+        prefix = next(until(k, t) for k, x, t in ends if x == c)
+        after = sum(until(k, t) for k, x, t in probe if x == c) + 10 ** next(got[k].score for k, x, _ in ends if x == c)
+        assert math.isclose(after, prefix, rel_tol=1e-6), c
+
+
+def test_chain_of_failure_arcs_gains_on_words_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in score_texts(docs).collect() if r.held_out]
+    n = sum(r.n_tokens for r in rows)
+    assert (sum(r.score for r in rows) - sum(r.base_score for r in rows)) / n > 0.2
 
 
 def test_model_without_texts(spark):
