@@ -28,7 +28,7 @@ from palimpsest.llm import words as W
 from palimpsest.llm.ngram_join import group_rows
 from palimpsest.llm.storage import discard, written
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_000_000
 #: Weights of the shorter context's model after a word and after two.
 MASS = (100.0, 20.0)
 ORDERS = 3
