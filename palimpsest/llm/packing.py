@@ -1,10 +1,12 @@
 """Sum-of-squares online packing of token sequences into fixed windows.
 
 Each task packs the documents it reads, in their order. A level array counts the partially filled windows at each fill level.
-A document's tokens go where the sum of the squared counts grows least: on top of a window at some level, or into a new one;
-of equal places the fullest. Documents longer than a window fill whole windows first. When more than `max_open` windows are
-open, and at the task's end, the open windows are merged: their pieces are laid end to end and cut at window borders, which
-leaves one partial window. So a task holds at most max_open windows, pads one, and gives the same rows if it runs again.
+A document's tokens go where the sum of the squared counts grows least: on top of a window at some level, into a new one, or cut,
+with the first part filling a window up and the rest placed anew. A cut counts as `cut_cost` squares, so documents stay whole
+while levels are spread out, and no level gathers many windows: a level that has some is cheaper to fill up than to add to. Of equal
+places the one without a cut goes first, then the fullest. Documents longer than a window fill whole windows first. At the task's end the least filled
+windows are emptied into the others by the same rule, so a task pads one window: less than 4,096 ids, of some 30 million in a
+task of 128 MB. What shares a window depends on how rows are dealt to tasks; a task that runs again gives the same rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from palimpsest.llm import words as W
 
 WINDOW = 4096
 END_ID = 2
-MAX_OPEN = 1024
+#: What a cut counts for, beside the squares.
+CUT_COST = 8
 PIECES = "id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Words known to an encoder before it starts anew.
 CACHED = 400_000
@@ -93,8 +96,8 @@ class Encoder:
 class Packer:
     """The open windows of one task. A piece is (row, start, ids); placed pieces leave as (sequence, offset, row, start, ids)."""
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN, first_sequence: int = 0) -> None:
-        self.window, self.max_open, self.next_sequence = window, max_open, first_sequence
+    def __init__(self, window: int = WINDOW, cut_cost: int = CUT_COST, first_sequence: int = 0) -> None:
+        self.window, self.cut_cost, self.next_sequence = window, cut_cost, first_sequence
         #: level array: partially filled windows at each fill
         self.levels = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list[tuple]]] = {}
@@ -107,61 +110,61 @@ class Packer:
             offset += len(ids)
         self.next_sequence += 1
 
+    def choose(self, size: int, may_open: bool = True) -> tuple[int, int]:
+        """(level, growth of the squares with what a cut costs) of the best place for a piece; level 0 is a new window. A level above window - size means a cut."""
+        n, w = self.levels, self.window
+        best, grows = 0, int(2 * n[size] + 1) if may_open or not self.n_open else 1 << 62
+        # On top of a window: 2n+1 at the level that gains one, 1-2n at the one that loses it; full windows don't count.
+        at = np.flatnonzero(n[: w - size + 1])
+        if len(at):
+            gains = np.where(at + size < w, 2 * n[at + size] + 1, 0) - 2 * n[at] + 1
+            k = len(at) - 1 - int(np.argmin(gains[::-1]))
+            if gains[k] <= grows:
+                best, grows = int(at[k]), int(gains[k])
+        # Filling a window up: the level loses one, and the rest is a window of its own.
+        at = np.flatnonzero(n[w - size + 1 :]) + (w - size + 1)
+        if len(at):
+            gains = 2 * (n[at + size - w] - n[at]) + 2 + self.cut_cost
+            k = len(at) - 1 - int(np.argmin(gains[::-1]))
+            if gains[k] < grows:
+                best, grows = int(at[k]), int(gains[k])
+        return best, grows
+
+    def _take(self, level: int) -> list[tuple]:
+        self.levels[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _place(self, row: tuple, start: int, ids: np.ndarray, may_open: bool = True) -> Iterator[tuple]:
+        while len(ids):
+            level, _ = self.choose(len(ids), may_open)
+            pieces = self._take(level) if level else []
+            part, ids = ids[: self.window - level], ids[self.window - level :]
+            pieces.append((row, start, part))
+            start += len(part)
+            if (full := level + len(part)) == self.window:
+                yield from self._close(pieces)
+                continue
+            self.levels[full] += 1
+            self.open.setdefault(full, []).append(pieces)
+            self.n_open += 1
+
     def add(self, row: tuple, ids: np.ndarray) -> Iterator[tuple]:
         whole = len(ids) // self.window * self.window
         for start in range(0, whole, self.window):
             yield from self._close([(row, start, ids[start : start + self.window])])
-        if whole == len(ids):
-            return
-        piece, size = (row, whole, ids[whole:]), len(ids) - whole
-        levels = self.levels
-        at = np.flatnonzero(levels[: self.window - size + 1])
-        # Growth of the sum of squares: 2n+1 at the level that gains a window, 1-2n at the one that loses it; full windows don't count.
-        best, grows = 0, 2 * levels[size] + 1
-        if len(at):
-            gains = np.where(at + size < self.window, 2 * levels[at + size] + 1, 0) - 2 * levels[at] + 1
-            k = len(at) - 1 - int(np.argmin(gains[::-1]))
-            if gains[k] <= grows:
-                best = int(at[k])
-        pieces: list[tuple] = []
-        if best:
-            pieces = self.open[best].pop()
-            levels[best] -= 1
-            self.n_open -= 1
-        pieces.append(piece)
-        if best + size == self.window:
-            yield from self._close(pieces)
-            return
-        levels[best + size] += 1
-        self.open.setdefault(best + size, []).append(pieces)
-        self.n_open += 1
-        if self.n_open > self.max_open:
-            yield from self.merge()
-
-    def merge(self, last: bool = False) -> Iterator[tuple]:
-        """Lays the open windows' pieces end to end; what doesn't fill a window stays open, or is closed as it is."""
-        current: list[tuple] = []
-        room = self.window
-        for level in sorted(self.open, reverse=True):
-            for pieces in self.open[level]:
-                for row, start, ids in pieces:
-                    while len(ids):
-                        part, ids = ids[:room], ids[room:]
-                        current.append((row, start, part))
-                        start, room = start + len(part), room - len(part)
-                        if not room:
-                            yield from self._close(current)
-                            current, room = [], self.window
-        self.levels[:] = 0
-        self.open, self.n_open = {}, 0
-        if current and last:
-            yield from self._close(current)
-        elif current:
-            self.levels[self.window - room] = 1
-            self.open, self.n_open = {self.window - room: [current]}, 1
-
-
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
+        yield from self._place(row, whole, ids[whole:])
+
+    def finish(self) -> Iterator[tuple]:
+        """Empties the least filled window into the others, by the same squares but without new windows, until one is left, which is padded."""
+        while self.n_open > 1:
+            for row, start, ids in self._take(int(np.flatnonzero(self.levels)[0])):
+                yield from self._place(row, start, ids, may_open=False)
+        for level in np.flatnonzero(self.levels).tolist():
+            yield from self._close(self._take(level))
+
+
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, cut_cost: int = CUT_COST) -> DataFrame:
     """Pieces of all rows: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A row's ids are those of its text, then end_id, so null and empty texts have one; each id is in one piece. Sequences hold at
@@ -174,7 +177,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer_path)
         context = TaskContext.get()
-        packer = Packer(window, max_open, (context.partitionId() if context else 0) << 40)
+        packer = Packer(window, cut_cost, (context.partitionId() if context else 0) << 40)
         placed: list[tuple] = []
         id_type = None
 
@@ -197,7 +200,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     put(packer.add((key, len(own)), own))
                 if placed:
                     yield flush()
-        put(packer.merge(last=True))
+        put(packer.finish())
         if placed:
             yield flush()
 

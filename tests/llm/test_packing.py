@@ -29,22 +29,36 @@ def test_ids_are_the_tokenizers():
 
 def test_each_piece_goes_where_squares_grow_least():
     rng = random.Random(2)
-    packer = packing.Packer(window=16, max_open=10_000)
-    for k in range(400):
-        size = rng.randint(1, 15)
-        before = packer.levels.copy()
-        choices = {}
-        for level in [0, *np.flatnonzero(before).tolist()]:
-            if level + size <= 16:
+    for cost in (0, 2, 50):
+        packer = packing.Packer(window=16, cut_cost=cost)
+        for k in range(400):
+            size = rng.randint(1, 15)
+            before = packer.levels.copy()
+            now = int((before[:16] ** 2).sum())
+            choices = []
+            for level in [0, *np.flatnonzero(before).tolist()]:
                 after = before.copy()
-                if level:
-                    after[level] -= 1
-                if level + size < 16:
-                    after[level + size] += 1
-                choices[level] = int((after[:16] ** 2).sum())
-        list(packer.add((k, size), np.zeros(size, np.uint32)))
-        assert int((packer.levels[:16] ** 2).sum()) == min(choices.values())
-        assert packer.n_open == packer.levels.sum()
+                after[level] -= level > 0
+                over = level + size - 16
+                after[over if over > 0 else level + size] += over != 0
+                choices.append(int((after[1:16] ** 2).sum()) - now + cost * (over > 0))
+            assert packer.choose(size)[1] == min(choices)
+            placed = list(packer.add((k, size), np.zeros(size, np.uint32)))
+            assert packer.n_open == packer.levels.sum() and not any(p[4].size > 16 for p in placed)
+
+
+def test_long_pieces_stay_in_few_windows():
+    """No two of these share a window, so only cuts can fill them; each is placed by squares, whatever their number."""
+    rng = random.Random(4)
+    packer, sizes, most, sequences = packing.Packer(), [rng.randint(2100, 4000) for _ in range(30_000)], 0, {}
+    for k, n in enumerate(sizes):
+        for sequence, _, _, _, ids in packer.add((k, n), np.zeros(n, np.uint8)):
+            sequences[sequence] = sequences.get(sequence, 0) + len(ids)
+        most = max(most, packer.n_open)
+    for sequence, _, _, _, ids in packer.finish():
+        sequences[sequence] = sequences.get(sequence, 0) + len(ids)
+    assert most < 5000 and sum(sequences.values()) == sum(sizes)
+    assert len(sequences) * 4096 - sum(sizes) < 4096
 
 
 def check(pieces, ids_of, window):
@@ -77,8 +91,8 @@ def test_pieces_cover_all_ids(spark):
     texts = {i: " ".join(rng.choice(["ab", "cd", "Ef", "1", "--"]) for _ in range(rng.choice([0, 1, 3, 50, 700]))) for i in range(60)} | {100: None, 101: "", 102: "x " * 9000}
     docs = spark.createDataFrame([(i, t, 5) for i, t in texts.items()], "doc_id bigint, text string, offset int").repartition(3)
     ids_of = {i: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for i, t in texts.items()}
-    for window, most in ((4096, 1024), (64, 4)):
-        rows = [tuple(r) for r in packing.pack(docs, tokenizer_path(), window=window, max_open=most).collect()]
+    for window, cost in ((4096, 8), (64, 0)):
+        rows = [tuple(r) for r in packing.pack(docs, tokenizer_path(), window=window, cut_cost=cost).collect()]
         n = check(rows, ids_of, window)
         total = sum(map(len, ids_of.values()))
         assert n * window - total <= 3 * window  # each task pads one window
