@@ -1,9 +1,9 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network with a calibrated temperature.
 
 A token is a word's shape (letters, capitals and digits each as one sign, punctuation as it is, runs as one) with a mark if the
-word repeats the one before it, or the lower-cased word. Shapes and words are hashed to a fixed number of rows. Each row has a
+word repeats the one before it, or the lower-cased word. Shapes and words are hashed to rows of their own, whose number is a parameter. Each row has a
 sparse random index vector; its word vector is the sum of the index vectors of the neighbours of all its occurrences in
-the whole corpus. These sums are whole numbers of a fixed size, added up block by block, and don't depend on the order of tasks.
+the whole corpus. These sums are whole numbers of a fixed size, added up block by block in two steps, and don't depend on the order of tasks.
 """
 
 from __future__ import annotations
@@ -13,14 +13,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import words as W
 from palimpsest.llm.storage import written
 
-ROWS, DIM, NONZERO = 4096, 48, 6
-_BLOCKS = 16
+#: Rows of shapes and of words: far more than frequent words, so that only rare ones share a row. Numbers of a vector; those that aren't 0 in an index vector.
+SHAPE_ROWS, WORD_ROWS, DIM, NONZERO = 1 << 13, 1 << 16, 48, 6
+ROWS = SHAPE_ROWS + WORD_ROWS
+#: Blocks in which sums meet, and groups of tasks in which each block is summed first.
+_BLOCKS, _FAN = 16, 64
 #: The most labelled rows that the network is fitted on, taken by a hash of their ids.
 MAX_LABELLED = 20_000
 THRESHOLD = 0.7
@@ -31,12 +35,11 @@ _SHAPE[0x41:0x5B] = 0x41
 _SHAPE[0x30:0x3A] = 0x30
 
 
-def index_vectors() -> np.ndarray:
+def index_vectors() -> tuple[np.ndarray, np.ndarray]:
+    """For each row the places of its numbers that aren't 0, all different, and these numbers, 1 or -1."""
     rng = np.random.Generator(np.random.PCG64(7))
-    out = np.zeros((ROWS, DIM), np.int64)
-    for r in range(ROWS):
-        out[r, rng.choice(DIM, NONZERO, replace=False)] = rng.choice([-1, 1], NONZERO)
-    return out
+    places = np.argsort(rng.random((ROWS, DIM)), axis=1)[:, :NONZERO]
+    return places, rng.choice(np.array([-1, 1]), (ROWS, NONZERO))
 
 
 def tokens(texts: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,57 +59,61 @@ def tokens(texts: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     again = np.zeros(len(exact), bool)
     again[1:] = exact[1:] == exact[:-1]
     again[w.bounds[:-1][w.bounds[:-1] < len(again)]] = False
-    half = np.uint64(ROWS // 2)
-    return (W.mix(shapes + again) % half).astype(np.int64), (lowered % half + half).astype(np.int64), w.bounds
+    return (W.mix(shapes + again) % np.uint64(SHAPE_ROWS)).astype(np.int64), (lowered % np.uint64(WORD_ROWS)).astype(np.int64) + SHAPE_ROWS, w.bounds
 
 
-def contexts(texts: W.Texts, index: np.ndarray) -> np.ndarray:
-    """Sums of the neighbours' index vectors for each row of the table."""
+def contexts(texts: W.Texts, index: tuple[np.ndarray, np.ndarray], out: np.ndarray) -> None:
+    """Adds the neighbours' index vectors to the rows of out: words beside each other, shapes beside each other, and a word and its shape."""
     shapes, own, bounds = tokens(texts)
-    out = np.zeros((ROWS, DIM), np.int64)
-    if len(shapes) < 2:
-        return out
-    inner = np.ones(len(shapes) - 1, bool)
+    inner = np.ones(max(len(shapes) - 1, 0), bool)
     cuts = bounds[1:-1]
     inner[cuts[(cuts > 0) & (cuts < len(shapes))] - 1] = False
-    keys = []
+    keys = [shapes * ROWS + own, own * ROWS + shapes]
     for left, right in ((shapes[:-1], shapes[1:]), (own[:-1], own[1:])):
         a, b = left[inner], right[inner]
         keys += [a * ROWS + b, b * ROWS + a]
-    keys.append(shapes * ROWS + own)
-    keys.append(own * ROWS + shapes)
     pair, n = np.unique(np.concatenate(keys), return_counts=True)
     a, b = pair // ROWS, pair % ROWS
-    sums = n[:, None] * index[b]
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    out[a[first]] = np.add.reduceat(sums, first, axis=0)
-    return out
+    places, signs = index
+    flat = out.reshape(-1)
+    for j in range(NONZERO):
+        np.add.at(flat, a * DIM + places[b, j], n * signs[b, j])
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The table of unit word vectors over all rows: ROWS x DIM numbers, whatever the size of the corpus."""
     size = ROWS // _BLOCKS * DIM
 
+    def packed(block: int, group: int, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([group], pa.int32()), pa.array([pa.compress(sums.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["block", "fan", "sums"])
+
+    def unpacked(x: pa.Scalar) -> np.ndarray:
+        return np.frombuffer(pa.decompress(x.as_buffer(), size * 8, codec="zstd", asbytes=True), np.int64)
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        group = (context.partitionId() if context else 0) % _FAN
         index, total = index_vectors(), np.zeros((ROWS, DIM), np.int64)
         for batch in batches:
             for texts in W.slices(batch.column(0)):
-                total += contexts(texts, index)
-        parts = total.reshape(_BLOCKS, size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "sums"])
+                contexts(texts, index, total)
+        for k, part in enumerate(total.reshape(_BLOCKS, size)):
+            if part.any():
+                yield packed(k, group, part)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total, group = np.zeros(size, np.int64), key[1].as_py() if len(key) > 1 else 0
         for batch in batches:
             for x in batch.column("sums"):
-                total += np.frombuffer(x.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
+                total += unpacked(x)
+        yield packed(key[0].as_py(), group, total)
 
-    parts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(partial, "block int, sums binary")
-    blocks = parts.groupBy("block").applyInArrow(add, "block int, sums binary").collect()  # of fixed size
+    fields = "block int, fan int, sums binary"
+    parts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(partial, fields)
+    blocks = parts.groupBy("block", "fan").applyInArrow(add, fields).groupBy("block").applyInArrow(add, fields).collect()  # of fixed size
     table = np.zeros((_BLOCKS, size))
     for b in blocks:
-        table[b["block"]] = np.frombuffer(b["sums"], np.int64)
+        table[b["block"]] = unpacked(pa.scalar(bytes(b["sums"]), pa.binary()))
     table = table.reshape(ROWS, DIM)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 

@@ -9,8 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from palimpsest.llm.language_model import score_texts
+from palimpsest.llm import quality_model as qm
+from palimpsest.llm import words as W
 from palimpsest.llm.quality_model import fit, score_quality
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -144,3 +147,61 @@ def test_temperature_and_one_class():
         part = (score >= low) & (score < low + 0.25)
         assert abs(score[part].mean() - y[part].mean()) < 0.1
     assert np.allclose(fit(x[:10], np.ones(10)).score(x[:3]), 11 / 12)
+
+
+def shape_of(word, before):
+    signs = []
+    for byte in word.encode():
+        sign = 0x61 if 0x61 <= byte <= 0x7A or byte >= 0x80 else 0x41 if 0x41 <= byte <= 0x5A else 0x30 if 0x30 <= byte <= 0x39 else byte
+        if not signs or signs[-1] != sign:
+            signs.append(sign)
+    return bytes(signs).decode(), word == before
+
+
+ODD = ["The cat, the CAT sat 12 times.", "", None, " ", "a a A b", "é ü漢字 x1y2 --!! --!!", "one", "the cat sat on the mat. " * 4]
+
+
+def test_vectors_and_pools_by_plain_counting(spark):
+    """Each row's vector is the sum of its neighbours' index vectors, and a text's pool the mean of its words' vectors."""
+    rows_of: dict[tuple, int] = {}
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in ODD]
+    for s in W.slices(pa.array(ODD, pa.string())):
+        shapes, own, bounds = qm.tokens(s)
+        assert bounds.tolist() == np.cumsum([0, *map(len, split)]).tolist()
+    at = 0
+    named = []
+    for w in split:
+        text = []
+        for k, word in enumerate(w):
+            names = (("shape", *shape_of(word, w[k - 1] if k else None)), ("word", word.translate(LOWER)))
+            for name, row in zip(names, (shapes[at], own[at]), strict=True):
+                assert rows_of.setdefault(name, int(row)) == row
+            text.append(names)
+            at += 1
+        named.append(text)
+    assert len(set(rows_of.values())) == len(rows_of)
+    places, signs = qm.index_vectors()
+    assert all(len(set(p)) == qm.NONZERO for p in places[:500].tolist())
+    index = np.zeros((qm.ROWS, qm.DIM))
+    index[np.arange(qm.ROWS)[:, None], places] = signs
+    want = np.zeros((qm.ROWS, qm.DIM))
+    for text in named:
+        for k, pair in enumerate(text):
+            shape, word = (rows_of[x] for x in pair)
+            want[shape] += index[word]
+            want[word] += index[shape]
+            for j in (k - 1, k + 1):
+                if 0 <= j < len(text):
+                    want[shape] += index[rows_of[text[j][0]]]
+                    want[word] += index[rows_of[text[j][1]]]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    got = qm.word_vectors(spark.createDataFrame([(t,) for t in ODD], "text string").repartition(3))
+    assert np.allclose(got, want, atol=1e-6)
+    for s in W.slices(pa.array(ODD, pa.string())):
+        pooled = qm.pooled(s, got)
+    for row, text in zip(pooled, named, strict=True):
+        parts = []
+        for kind in (0, 1):
+            mean = np.mean([got[rows_of[x[kind]]] for x in text], axis=0) if text else np.zeros(qm.DIM)
+            parts += [*mean, np.linalg.norm(mean)]
+        assert np.allclose(row, [*parts, math.log1p(len(text)) / 10], atol=1e-5)
