@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm.quality_rules import ENDS, PHRASES, Rules
+from palimpsest.llm.quality_rules import ENDS, PHRASES, SEPARATORS, Rules
 from palimpsest.llm.url_filter import BLOCK_GLOBS, SITE_RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -54,6 +54,7 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _R = Rules()
 _ENDS = ENDS.replace("'", "''")
+_SEPARATORS = ", ".join(f"'{x}'" for x in SEPARATORS)
 
 QUALITY_RULES = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -61,20 +62,25 @@ lines AS (
   SELECT doc_id, i, line, {_WORDS.format("line")} AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)),
 facts AS (
-  SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: x = '|')) AS n_bars,
+  SELECT len(w) AS n, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: x IN ({_SEPARATORS}))) AS n_bars, doc_id, i,
          length(array_to_string(w, '')) AS chars, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
          length(regexp_replace(line, '[^!]', '', 'g')) AS marks, right(w[-1], 1) AS tail, lower(line) AS low,
-         row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS repeated
+         row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS repeated,
+         len(w) <= {_R.max_menu_words} AND ascii(right(w[-1], 1)) < 128 AND NOT contains('{_ENDS}', right(w[-1], 1)) AND NOT regexp_matches(w[1], '^[a-z]') AS link
   FROM lines WHERE len(w) > 0),
+runs AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, link ORDER BY i) AS run FROM facts),
+shaped AS (SELECT *, link AND count(*) OVER (PARTITION BY doc_id, link, run) >= {_R.min_menu_lines} AS menu FROM runs),
 judged AS (
   SELECT *, 100 * symbols > {_R.max_symbols} * chars
          OR n >= {_R.min_words} AND 100 * marks > {_R.max_marks} * n
          OR n >= {_R.min_words} AND 100 * n_bars >= {_R.max_bars} * n
          OR n >= {_R.min_varied} AND 100 * (n - n_distinct) >= {_R.max_same} * n
          OR n >= {_R.min_sentence} AND ascii(tail) < 128 AND NOT contains('{_ENDS}', tail)
+         OR menu
          OR repeated
          OR {" OR ".join(f"contains(low, '{p}')" for p in PHRASES)} AS fails
-  FROM facts),
+  FROM shaped),
 by_doc AS (
   SELECT doc_id, sum(CASE WHEN repeated THEN 1 ELSE 0 END) AS n_dup_lines, sum(CASE WHEN fails THEN 1 ELSE 0 END) AS n_lines_removed,
          sum(CASE WHEN fails THEN chars ELSE 0 END) AS lost_chars

@@ -1,5 +1,9 @@
 """Line-first cleaning: rules judge each line, failing lines go, and a document that loses too much text is rejected.
 
+Punctuation: too many symbols or exclamation marks, or a long line that doesn't end like a sentence. Navigation: words with separators
+between them, or a run of short lines that begin like titles and end without a mark, blank lines aside. Boilerplate: lines that the text has had, lines of few
+different words, and fixed phrases.
+
 All counts come from whole slices of a batch at once: a byte table marks words, symbols and letters, running sums give the
 counts of each line and document, and hashes of words, five-word windows and lines find what repeats.
 """
@@ -24,9 +28,12 @@ class Rules(NamedTuple):
     max_symbols: int = 10
     #: words of a line from which its shares of marks and bars count
     min_words: int = 4
-    #: exclamation marks, and words that are a bar, for each word
+    #: exclamation marks, and words that are a separator, for each word
     max_marks: int = 60
     max_bars: int = 20
+    #: words of a menu's line at most, and such lines after each other from which they are a menu
+    max_menu_words: int = 4
+    min_menu_lines: int = 3
     #: words of a line from which too few different words make it boilerplate
     min_varied: int = 10
     max_same: int = 80
@@ -41,6 +48,8 @@ class Rules(NamedTuple):
 
 SYMBOLS = "#*$%&|<>"
 ENDS = ".!?:;\"')"
+#: Signs that stand between links.
+SEPARATORS = ["|", "/", ">", "»", "›", "·", "•"]
 #: Fixed phrases of pages' furniture, in lower case.
 PHRASES = [
     "all rights reserved", "accept cookies", "cookie policy", "privacy policy", "terms of use", "terms of service",
@@ -51,8 +60,12 @@ _SYMBOL, _END = np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _END[[ord(c) for c in ENDS]] = True
 _END[0x80:] = True  # closing marks of other scripts
+_LOW = np.zeros(256, bool)
+_LOW[0x61:0x7B] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+_separators = next(W.slices(pa.array([" ".join(SEPARATORS)])))
+_SEPARATORS = W.spans_hash(_separators.data, *W.words(_separators, W.NOT_SPACE)[:2])
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -89,8 +102,7 @@ def judge(texts: W.Texts, rules: Rules) -> Judged:
 
     chars = _running(W.NOT_SPACE[data] & ((data & 0xC0) != 0x80))
     symbols, marks = _running(_SYMBOL[data]), _running(data == 0x21)
-    bar = (w.ends - w.starts == 1) & (data[w.starts] == 0x7C) if len(w.starts) else np.zeros(0, bool)
-    bars = _running(bar)
+    bars = _running(np.isin(hashes, _SEPARATORS))
     line_chars = chars[ends] - chars[starts]
     n_symbols, n_marks = symbols[ends] - symbols[starts], marks[ends] - marks[starts]
     n_bars = bars[line_words[1:]] - bars[line_words[:-1]]
@@ -100,6 +112,16 @@ def judge(texts: W.Texts, rules: Rules) -> Judged:
     has = n_words > 0
     tail[has] = data[w.ends[line_words[1:][has] - 1] - 1]
 
+    # Menus: the lines with words that follow each other and look like links, counted in runs.
+    worded = np.flatnonzero(has)
+    begins_low = np.zeros(len(starts), bool)
+    begins_low[has] = _LOW[data[w.starts[line_words[:-1][has]]]]
+    link = (has & (n_words <= rules.max_menu_words) & ~_END[tail] & ~begins_low)[worded]
+    line_row = np.repeat(np.arange(len(per_row)), per_row)[worded]
+    run = np.cumsum(np.concatenate([[True], (link[1:] != link[:-1]) | (line_row[1:] != line_row[:-1])])) if len(worded) else np.zeros(0, np.int64)
+    menu = np.zeros(len(starts), bool)
+    menu[worded] = link & (np.bincount(run)[run] >= rules.min_menu_lines)
+
     # Lines with a word that equal an earlier line of their row.
     row = np.repeat(np.arange(len(per_row)), per_row)
     line_hash = W.spans_hash(data, starts, ends)
@@ -125,6 +147,7 @@ def judge(texts: W.Texts, rules: Rules) -> Judged:
         | (enough & (100 * n_bars >= rules.max_bars * n_words))
         | ((n_words >= rules.min_varied) & (100 * (n_words - n_distinct) >= rules.max_same * n_words))
         | ((n_words >= rules.min_sentence) & ~_END[tail])
+        | menu
         | repeated
         | furniture
     ) & has

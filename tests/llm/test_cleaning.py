@@ -60,6 +60,34 @@ def test_line_rules(spark):
     assert q.clean_lines(docs.where("false")).count() == 0
 
 
+MENUS = [
+    ["Home", "About us", "Products", "Contact", "Login", "Back to top"],
+    ["Start", "", "News", "", "Sport"],
+    ["2023", "2024", "Next page"],
+    ["Home › Books › Old maps"],
+    ["Menu • Search • Help"],
+    ["#tags /a/", "More Like This", "Share"],
+]
+PROSE = [
+    ["She said no.", "He left.", "They met again."],
+    ["Dear Ann", "thank you for the letter", "it came today"],
+    ["Title of the piece", "It was a cold night on the river.", "Second part", "Nobody spoke."],
+    ["first", "second", "third", "fourth"],
+    ["漢字の文", "次の文", "終わり"],
+    ["Either this and/or that is what we have here."],
+]
+
+
+def test_menus_fail_and_prose_does_not():
+    for lines, bad in [(m, True) for m in MENUS] + [(p, False) for p in PROSE]:
+        text = "\n".join(["A full sentence stands here to begin with.", *lines, "Another full sentence ends the whole text."])
+        for s in W.slices(pa.array(["A b\nC d", text, "E f"])):
+            got = q.judge(s, q.Rules())
+            own = got.line_fails[got.line_bounds[1] : got.line_bounds[2]].tolist()
+        assert own == [False, *(bad and bool(x) for x in lines), False], lines
+        assert not got.line_fails[: got.line_bounds[1]].any() and not got.line_fails[got.line_bounds[2] :].any()
+
+
 def test_site_lines(spark):
     rows = [(i, "s", f"  menu \nown {i}\n\nrare") for i in range(20)] + [(100 + i, "t", f"menu\n{i}") for i in range(2)]
     rows += [(200, None, "menu\nx"), (201, "s", None), (202, "s", ""), (203, "s", "menu\nmenu"), (None, "s", "menu\nnull id")]
