@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -32,37 +34,90 @@ def test_base_spans_are_those_of_the_patterns(text):
 
 
 def test_base_time_is_linear():
-    for text in ("1" * 300_000, "a" * 300_000 + "@", "1." * 100_000, "+1" + " " * 200_000, "@a" * 100_000):
+    def took(text):
+        began = time.process_time()
         pii.base_spans(text)
+        return time.process_time() - began
 
+    for make in (lambda n: "1" * n, lambda n: "a" * n + "@", lambda n: "1." * (n // 2), lambda n: "+1" + " " * n, lambda n: "@a" * (n // 2), lambda n: "a@b.c " * (n // 6)):
+        small, large = (min(took(make(n)) for _ in range(3)) for n in (50_000, 400_000))
+        assert large < 40 * small + 0.05  # 8 times the text; a quadratic pattern takes 64 times as long
 
-@settings(max_examples=150, deadline=None)
-@given(st.integers(1, 5), st.lists(st.tuples(st.integers(0, 4), st.integers(1, 5)), max_size=5), st.randoms(use_true_random=False))
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 5), st.lists(st.tuples(st.integers(0, 4), st.integers(1, 5)), min_size=1, max_size=3), st.randoms(use_true_random=False))
 def test_best_labelling_and_marginals(n, raw, rng):
+    kinds = len(pii.KINDS)
     spans = sorted({(i, min(n, i + d)) for i, d in raw if i < n})
-    scores = np.array([[rng.uniform(-2, 2) for _ in pii.KINDS] for _ in spans]).reshape(len(spans), len(pii.KINDS))
-    worlds = []
+    if not spans:
+        return
+    scores = np.array([[rng.uniform(-2, 2) for _ in pii.KINDS] for _ in spans])
+    moves = np.array([[rng.uniform(-1, 1) for _ in pii.KINDS] for _ in range(kinds + 1)])
+    worlds = {}
     for size in range(len(spans) + 1):
         for pick in itertools.combinations(range(len(spans)), size):
             if all(spans[a][1] <= spans[b][0] for a, b in itertools.pairwise(pick)):
-                worlds.append(pick)
-    best = max(sum(scores[k].max() for k in pick) for pick in worlds)
-    assert np.isclose(sum(scores[k, t] for k, t in pii.viterbi(n, spans, scores)), best)
-    weight = {pick: float(np.prod([np.exp(scores[k]).sum() for k in pick])) for pick in worlds}
-    got = pii.marginals(n, spans, scores)
-    for k in range(len(spans)):
-        share = sum(w for pick, w in weight.items() if k in pick) / sum(weight.values())
-        assert np.allclose(got[k], share * np.exp(scores[k]) / np.exp(scores[k]).sum())
-
-
-def test_field_finds_held_back_forms():
-    weights = pii.trained()
+                for types in itertools.product(range(kinds), repeat=size):
+                    worlds[tuple(zip(pick, types, strict=True))] = sum(scores[k, t] for k, t in zip(pick, types, strict=True)) + sum(moves[a, b] for a, b in itertools.pairwise([kinds, *types]))
+    best = pii.viterbi(n, spans, scores, moves)
+    assert np.isclose(worlds[tuple(best)], max(worlds.values()))
+    total = sum(map(math.exp, worlds.values()))
+    share, moved = np.zeros(scores.shape), np.zeros(moves.shape)
+    for world, weight in worlds.items():
+        for k, t in world:
+            share[k, t] += math.exp(weight) / total
+        for a, b in itertools.pairwise([kinds, *(t for _, t in world)]):
+            moved[a, b] += math.exp(weight) / total
+    # Beside another region, which changes nothing.
+    got, counts = pii.Lattice([spans, [(0, 1)], spans]).marginals(np.concatenate([scores, [[-50.0] * kinds], scores]), moves)
+    assert np.allclose(got[: len(spans)], share) and np.allclose(got[len(spans) + 1 :], share) and np.allclose(counts, 2 * moved)
+
+
+def measured(lines, weights):
     hits = wrong = missed = 0
-    for text, gold in pii.examples(300, seed=77):
+    for text, gold in lines:
         found = set(pii.field_spans(text, weights))
         hits, wrong, missed = hits + len(found & set(gold)), wrong + len(found - set(gold)), missed + len(set(gold) - found)
-    assert hits / (hits + wrong) > 0.93 and hits / (hits + missed) > 0.93
+    return hits / (hits + wrong), hits / (hits + missed)
+
+
+def test_field_finds_held_back_lines():
+    weights = pii.trained()
+    assert min(measured(pii.examples(300, seed=77), weights)) > 0.95
     assert pii.find("Plain words, version 3 of 2024-01-02, 12:30, 1,234,567 and page 12 of 300.", weights) == ([], [])
+    assert pii.find("In 1999 and 2004 some 300 people; see 12 34 56 or 3.14159 at 10:20:30.", weights) == ([], [])
+
+
+#: Spans that match none of the usual forms, and that no training line writes in this way.
+UNUSUAL = [
+    ("tel 06.12.34.56.78 now", "06.12.34.56.78", "phone"),
+    ("phone: 06-12-34-56-78, ask", "06-12-34-56-78", "phone"),
+    ("call 030/1234567 today", "030/1234567", "phone"),
+    ("her ssn is 123.45.6789 she said", "123.45.6789", "ssn"),
+    ("social security 987 65 4321 there", "987 65 4321", "ssn"),
+    ("host 2001:db8:1::8a2e:370 is up", "2001:db8:1::8a2e:370", "ip"),
+    ("server fe80::1ff:fe23:4567:890a here", "fe80::1ff:fe23:4567:890a", "ip"),
+    ('key = "aB3/dE5+gH7iJ9kL1mN3oP5qR7==" end', "aB3/dE5+gH7iJ9kL1mN3oP5qR7==", "secret"),
+]
+
+
+def test_field_finds_spans_of_no_usual_form():
+    weights = pii.trained()
+    right = 0
+    for text, span, kind in UNUSUAL:
+        assert not any(f.fullmatch(span) for f in pii._FORMS.values()), span
+        at = text.index(span)
+        right += pii.field_spans(text, weights) == [(at, at + len(span), kind)]
+    assert right >= 7
+
+
+def test_entities_are_found_at_every_offset():
+    weights = pii.trained()
+    for fill in ("12 ", "a "):
+        for shift in range(0, 300, 1 if fill == "12 " else 7):
+            text = fill * shift + "call (651) 555-8500 now"
+            at = text.index("(651)")
+            assert (at, at + 14, "phone") in pii.field_spans(text, weights), (fill, shift)
 
 
 def test_long_regions_are_not_cut():
