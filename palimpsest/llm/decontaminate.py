@@ -4,6 +4,10 @@ The items' words become numbers, and one suffix automaton holds all items, kept
 streamed through it: each word moves to the state of the longest text that ends there and stands in some item. A match of
 at least a window's length marks its words as hit, and the states on the way name the items. Words that no item has break
 every match, so only runs of known words are walked; they are found for a whole slice of texts at once.
+
+Scale. An automaton takes about 0.75 KB a word, in each Python worker, so items of up to BROADCAST_WORDS words in all are broadcast as one. More items
+are never in one place: the hashes of their windows make a filter of bounded size, what passes it is joined with the windows,
+and a document that shares a window with items meets just these items, in an automaton of their own. Other documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -16,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BooleanType, StructType
 
 from palimpsest.llm import words as W
+from palimpsest.llm.keyfilter import key_filter
+from palimpsest.llm.storage import written
 
 WINDOW = 13
-#: Words of test items in one automaton; more items make more automata, walked one after the other.
-BLOCK_WORDS = 500_000
+#: Words of all test items up to which they are broadcast: some 150 MB in a worker.
+BROADCAST_WORDS = 200_000
 
 
 class Automaton(NamedTuple):
@@ -31,9 +38,9 @@ class Automaton(NamedTuple):
     next: list[dict[int, int]]
     link: list[int]
     length: list[int]
-    #: items in which the state's texts stand, for states that can be the shortest one of a window's length
-    items: list[tuple[int, ...]]
-    names: list[str]
+    #: for states that hold windows: (size, items) of the windows of each size, largest first
+    items: list[tuple[tuple[int, tuple[int, ...]], ...]]
+    names: list[str | None]
     shortest: int
 
 
@@ -46,18 +53,18 @@ def item_words(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def build(names: list[str], hashes: list[np.ndarray], window: int = WINDOW) -> Automaton:
+def build(names: list[str | None], hashes: list[np.ndarray], window: int = WINDOW) -> Automaton:
     """The automaton of all items with words; equal items share states and keep all their names."""
     vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
     nexts: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
-    owners: list[set[int]] = [set()]
+    owners: list[dict[int, set[int]]] = [{}]
 
     def clone_of(q: int, p: int, c: int) -> int:
         nexts.append(dict(nexts[q]))
         link.append(link[q])
         length.append(length[p] + 1)
-        owners.append(set())
+        owners.append({})
         new = len(nexts) - 1
         link[q] = new
         while p >= 0 and nexts[p].get(c) == q:
@@ -72,7 +79,7 @@ def build(names: list[str], hashes: list[np.ndarray], window: int = WINDOW) -> A
         nexts.append({})
         link.append(0)
         length.append(length[last] + 1)
-        owners.append(set())
+        owners.append({})
         new, p = len(nexts) - 1, last
         while p >= 0 and c not in nexts[p]:
             nexts[p][c] = new
@@ -97,17 +104,18 @@ def build(names: list[str], hashes: list[np.ndarray], window: int = WINDOW) -> A
             while length[link[at]] >= size:
                 at = link[at]
             if k + 1 >= size:
-                owners[at].add(i)
-    return Automaton(vocabulary, nexts, link, length, [tuple(sorted(o)) for o in owners], names, min((len(numbers[i]) for i in kept), default=window))
+                owners[at].setdefault(size, set()).add(i)
+    held = [tuple((size, tuple(sorted(o[size]))) for size in sorted(o, reverse=True)) for o in owners]
+    return Automaton(vocabulary, nexts, link, length, held, names, min((len(numbers[i]) for i in kept), default=window))
 
 
-def walk(automaton: Automaton, numbers: list[int], window: int, sizes: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
+def walk(automaton: Automaton, numbers: list[int], window: int) -> tuple[list[tuple[int, int]], set[int]]:
     """Hit spans of a run of known words, end exclusive, and the items whose windows occur in it."""
     nexts, link, length, items = automaton.next, automaton.link, automaton.length, automaton.items
     least = min(window, automaton.shortest)
     state, matched = 0, 0
     spans: list[tuple[int, int]] = []
-    found: set[int] = set()
+    occurred: set[tuple[int, int]] = set()  # a window that many items share is looked up once
     for k, c in enumerate(numbers):
         while state and c not in nexts[state]:
             state = link[state]
@@ -119,25 +127,23 @@ def walk(automaton: Automaton, numbers: list[int], window: int, sizes: list[int]
         # The texts that end here, from the longest: a window's text lies in this state or on its failure path.
         longest, at, reach = 0, state, matched
         while at:
-            for i in items[at]:
-                if (size := min(window, sizes[i])) <= reach and size > length[link[at]]:
-                    found.add(i)
+            for place, (size, _) in enumerate(items[at]):
+                if size <= reach:
+                    occurred.add((at, place))
                     longest = max(longest, size)
             at = link[at]
             reach = length[at]
         if longest:
             spans.append((k + 1 - longest, k + 1))
-    return spans, found
+    return spans, {i for at, place in occurred for i in items[at][place][1]}
 
 
-def _hits(automaton: Automaton, sizes: list[int], texts: W.Texts, window: int) -> tuple[W.Words, np.ndarray, dict[int, set[int]]]:
-    """Words of the slice, which of them are hit, and each row's found items."""
-    w = W.words(texts, W.ALNUM)
+def _hits(automaton: Automaton, w: W.Words, h: np.ndarray, window: int) -> tuple[np.ndarray, dict[int, set[int]]]:
+    """Which words of a slice (with hashes h) are hit, and each row's found items."""
     hit = np.zeros(len(w.starts), bool)
     found: dict[int, set[int]] = {}
     if not len(automaton.vocabulary) or not len(w.starts):
-        return w, hit, found
-    h = W.spans_hash(texts.data, w.starts, w.ends, lower=True)
+        return hit, found
     number = np.minimum(np.searchsorted(automaton.vocabulary, h), len(automaton.vocabulary) - 1)
     known = automaton.vocabulary[number] == h
     # Runs of known words within a row.
@@ -148,12 +154,12 @@ def _hits(automaton: Automaton, sizes: list[int], texts: W.Texts, window: int) -
     rows = np.searchsorted(w.bounds, begins, "right") - 1
     for b, e, row in zip(begins.tolist(), ends.tolist(), rows.tolist(), strict=True):
         if e - b >= min(window, automaton.shortest):
-            spans, items = walk(automaton, number[b:e].tolist(), window, sizes)
+            spans, items = walk(automaton, number[b:e].tolist(), window)
             for x, y in spans:
                 hit[b + x : b + y] = True
             if items:
                 found.setdefault(row, set()).update(items)
-    return w, hit, found
+    return hit, found
 
 
 def _cut(text: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> str:
@@ -168,23 +174,49 @@ def _cut(text: str, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hit:
     return b"".join([*parts, raw[at:]]).decode()
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[tuple[list[str], list[str]]]:
-    """Ids and texts of the items in blocks of at most block_words words (one item at least).
+def _hashed(texts: W.Texts) -> tuple[W.Words, np.ndarray]:
+    w = W.words(texts, W.ALNUM)
+    return w, W.spans_hash(texts.data, w.starts, w.ends, lower=True)
+
+
+def n_words(table: DataFrame, text_col: str) -> int:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(W.words(t, W.ALNUM).starts) for t in W.slices(batch.column(0)))], pa.int64())], ["n"])
+
+    return table.select(F.col(text_col).cast("string")).mapInArrow(count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    A test suite is small next to the corpus. The blocks bound each automaton, and rows come to the driver one partition at a time.
-    """
-    blocks: list[tuple[list[str], list[str]]] = []
-    room = 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    for r in rows.toLocalIterator():
-        size = len(r["t"]) // 2 + 1
-        if not blocks or size > room:
-            blocks.append(([], []))
-            room = block_words
-        blocks[-1][0].append(r["i"])
-        blocks[-1][1].append(r["t"])
-        room -= size
-    return blocks
+
+class Output(NamedTuple):
+    """What judged rows look like: the input's columns without contaminated rows, or figures with or without the clean text."""
+
+    keep_columns: bool
+    with_text: bool
+    window: int
+    coverage: tuple[int, int]
+
+    def rows(self, part: pa.RecordBatch, column: pa.Array, texts: W.Texts, w: W.Words, hit: np.ndarray, found: dict[int, set[str | None]]) -> pa.RecordBatch:
+        """part: the slice's rows, of which the first column is the id unless columns are kept; column: their texts."""
+        n = len(w.bounds) - 1
+        total = np.concatenate([[0], np.cumsum(hit)])
+        words, n_hit = np.diff(w.bounds), total[w.bounds[1:]] - total[w.bounds[:-1]]
+        if (self.with_text or self.keep_columns) and n_hit.any():
+            clean = column.to_pylist()
+            for i in np.flatnonzero(n_hit):
+                a, z, o = w.bounds[i], w.bounds[i + 1], texts.offsets[i]
+                clean[i] = _cut(clean[i], texts.data[o : texts.offsets[i + 1]], w.starts[a:z] - o, w.ends[a:z] - o, hit[a:z])
+            column = pa.array(clean, column.type)
+        contaminated = (n_hit > 0) & (self.coverage[1] * n_hit >= self.coverage[0] * words)
+        if self.keep_columns:
+            at = part.schema.names.index("_text")
+            columns = [column if k == at else part.column(k) for k in range(part.num_columns)]
+            return pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pa.array(~contaminated))
+        names = [",".join(sorted(x for x in found.get(i, ()) if x is not None)) for i in range(n)]
+        columns = [
+            part.column(0), pa.array(words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(found.get(i, ())) for i in range(n)], pa.int64()),
+            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names], pa.string()), pa.array(contaminated), *([column] if self.with_text else []),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["clean_text"] if self.with_text else [])])
 
 
 def decontaminate(
@@ -196,7 +228,7 @@ def decontaminate(
     item_text_col: str = "text",
     window: int = WINDOW,
     coverage: tuple[int, int] = (1, 20),
-    block_words: int = BLOCK_WORDS,
+    broadcast_words: int = BROADCAST_WORDS,
     with_text: bool = True,
     keep_columns: bool = False,
 ) -> DataFrame:
@@ -206,60 +238,105 @@ def decontaminate(
     contaminated: n_hit > 0 and n_hit/n_words reaches the coverage. clean_text (if with_text) lacks the hit spans.
     Null texts have no words, and a null clean_text; items without words or with a null text are never found; a null item id
     counts as an item but not in items_sha256. Items that share an id count once, equal items of other ids each. Repeated documents are judged one by one; an empty
-    table of items leaves every document clean.
+    table of items leaves every document clean. Items of more than broadcast_words words in all meet documents by joins, with the same result.
     keep_columns: instead, the rows and columns of docs without the contaminated rows, and with the clean text in place of the text.
     """
-    spark = docs.sparkSession
-    automata = []
-    for names, texts in item_blocks(benchmark, item_id_col, item_text_col, block_words):
-        hashes = item_words(texts)
-        automata.append(spark.sparkContext.broadcast((build(names, hashes, window), [len(h) for h in hashes])))
-    read, at = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")), 1
-    kind = read.schema["_id"].dataType.simpleString()
-    out: StructType | str = f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", clean_text string" * with_text
-    if keep_columns:
-        read, at, out, with_text = docs, docs.columns.index(text_col), docs.schema, True
-    part, whole = coverage
+    # The text's column has a name of its own in the Python steps, and the others go by place.
+    columns = [F.col(f"`{c}`").cast("string").alias("_text") if c == text_col else F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    read = docs.select(*columns) if keep_columns else docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    kind = read.schema[0].dataType.simpleString()
+    out: StructType | str = read.schema if keep_columns else f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean" + ", clean_text string" * with_text
+    output = Output(keep_columns, with_text, window, coverage)
+    items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("item_text")).where("item_text is not null")
+    judged = _by_broadcast(read, items, output, out) if n_words(items, "item_text") <= broadcast_words else _by_joins(read, items, output, out)
+    return judged.toDF(*docs.columns) if keep_columns else judged
+
+
+def _by_broadcast(read: DataFrame, items: DataFrame, output: Output, out: StructType | str) -> DataFrame:
+    rows = items.collect()  # of checked size
+    automaton = read.sparkSession.sparkContext.broadcast(build([r["item"] for r in rows], item_words([r["item_text"] for r in rows]), output.window))
+    at = read.columns.index("_text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in W.slices(batch.column(at)):
-                n = texts.last - texts.first
-                found: dict[int, set[str | None]] = {}
-                words, hit = W.words(texts, W.ALNUM), None
-                for b in automata:
-                    automaton, sizes = b.value
-                    words, more, items = _hits(automaton, sizes, texts, window)
-                    hit = more if hit is None else hit | more
-                    for row, which in items.items():
-                        found.setdefault(row, set()).update(automaton.names[i] for i in which)
-                hit = np.zeros(len(words.starts), bool) if hit is None else hit
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_words, n_hit = np.diff(words.bounds), total[words.bounds[1:]] - total[words.bounds[:-1]]
-                names = [",".join(sorted(x for x in found.get(i, ()) if x is not None)) for i in range(n)]
-                column = batch.column(at).slice(texts.first, n)
-                if with_text and n_hit.any():
-                    clean = column.to_pylist()
-                    for i in np.flatnonzero(n_hit):
-                        a, z, o = words.bounds[i], words.bounds[i + 1], texts.offsets[i]
-                        clean[i] = _cut(clean[i], texts.data[o : texts.offsets[i + 1]], words.starts[a:z] - o, words.ends[a:z] - o, hit[a:z])
-                    column = pa.array(clean, column.type)
-                contaminated = (n_hit > 0) & (whole * n_hit >= part * n_words)
-                if keep_columns:
-                    columns = [column if k == at else batch.column(k).slice(texts.first, n) for k in range(batch.num_columns)]
-                    yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(~contaminated))
-                    continue
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(texts.first, n),
-                        pa.array(n_words.astype(np.int64)),
-                        pa.array(n_hit.astype(np.int64)),
-                        pa.array([len(found.get(i, ())) for i in range(n)], pa.int64()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in names]),
-                        pa.array(contaminated),
-                        *([column] if with_text else []),
-                    ],
-                    ["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(["clean_text"] if with_text else [])],
-                )
+                part = batch.slice(texts.first, texts.last - texts.first)
+                w, h = _hashed(texts)
+                hit, found = _hits(automaton.value, w, h, output.window)
+                yield output.rows(part, part.column(at), texts, w, hit, {i: {automaton.value.names[k] for k in which} for i, which in found.items()})
 
     return read.mapInArrow(judge, out)
+
+
+def _windows(w: W.Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of a size, which depend on the size, and where each row's begin."""
+    grams, bounds = W.ngrams(h, w.bounds, size)
+    return W.mix(grams + np.uint64(size)).view(np.int64), bounds
+
+
+def _by_joins(read: DataFrame, items: DataFrame, output: Output, out: StructType | str) -> DataFrame:
+    spark, window = read.sparkSession, output.window
+    # Written, so that a row's key is the same in every reading.
+    keyed_items = written(items.withColumn("item_key", F.monotonically_increasing_id()))
+    keyed = written(read.select(F.struct(*read.columns).alias("doc"), F.monotonically_increasing_id().alias("key")))
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column(0))
+            for texts in W.slices(batch.column(1)):
+                w, h = _hashed(texts)
+                own = np.minimum(np.diff(w.bounds), window)
+                for size in np.unique(own[own > 0]).tolist():
+                    grams, bounds = _windows(w, h, size)
+                    row = np.repeat(np.arange(len(own)), np.diff(bounds))
+                    mine = own[row] == size
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[mine]), pa.array(keys[texts.first + row[mine]]), pa.array(np.full(mine.sum(), size), pa.int32())], ["gram", "item_key", "size"])
+
+    grams = written(keyed_items.select("item_key", "item_text").mapInArrow(of_items, "gram bigint, item_key bigint, size int").distinct())
+    sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # window at most
+    known = spark.sparkContext.broadcast(key_filter(grams.select("gram").distinct()))
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.asarray(batch.column(0))
+            for texts in W.slices(batch.column(1)):
+                w, h = _hashed(texts)
+                for size in sizes:
+                    found, bounds = _windows(w, h, size)
+                    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                    passes = known.value.has(found)
+                    pair = np.unique(np.stack([row[passes], found[passes]], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[texts.first + pair[:, 0]]), pa.array(pair[:, 1])], ["key", "gram"])
+
+    met = keyed.select("key", F.col("doc._text").alias("t")).mapInArrow(of_docs, "key bigint, gram bigint").join(grams, "gram").select("key", "item_key").distinct()
+    lists = met.join(keyed_items, "item_key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("item_key", "item", "item_text"))).alias("items"))
+    lists = written(lists)
+    listed = spark.sparkContext.broadcast(key_filter(lists.select("key")))
+
+    @arrow_udf(BooleanType())
+    def may_hit(key: pa.Array) -> pa.Array:
+        return pa.array(listed.value.has(np.asarray(key)))
+
+    marked = keyed.withColumn("may_hit", may_hit("key"))
+    fields = read.columns
+    at = fields.index("_text")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[list, Automaton] | None = None
+        for batch in batches:
+            docs = pa.RecordBatch.from_arrays(batch.column(0).flatten(), fields)
+            for texts in W.slices(docs.column(at), most=1):  # one text after the other
+                part = docs.slice(texts.first, texts.last - texts.first)
+                w, h = _hashed(texts)
+                hit, found = np.zeros(len(w.starts), bool), {}
+                own = batch.column(1)[texts.first].as_py() or []
+                if own:
+                    if last is None or last[0] != own:  # copies of a passage often follow each other
+                        last = own, build([x["item"] for x in own], item_words([x["item_text"] for x in own]), window)
+                    hit, which = _hits(last[1], w, h, window)
+                    found = {i: {last[1].names[k] for k in some} for i, some in which.items()}
+                yield output.rows(part, part.column(at), texts, w, hit, found)
+
+    no_items = F.lit(None).cast(lists.schema["items"].dataType).alias("items")
+    some = marked.where("may_hit").join(lists, "key", "left").select("doc", "items")
+    return marked.where("not may_hit").select("doc", no_items).union(some).mapInArrow(judge, out)

@@ -137,16 +137,18 @@ def test_contamination_by_brute_force(spark):
     rows += [(100, "pre " * 30 + items[0][1] + " post" * 400), (101, None), (102, ""), (103, "short, ITEM!"), (104, " ".join(t or "" for _, t in items)), (None, "no-ID item"), (105, "z " * 100_000 + "short item")]
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id bigint, text string, n_hit string").repartition(3)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (500_000, 15):
-        got = {r.id: r for r in decontaminate(docs, bench, block_words=block).collect()}
+    for most in (0, 200_000):
+        got = {r.id: r for r in decontaminate(docs, bench, broadcast_words=most).collect()}
+        assert len(got) == len(rows)
         for i, t in rows:
             r = got[i]
             assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == contaminated(t, items), (i, t)
-    assert got[105].clean_text.rstrip() == ("z " * 100_000).rstrip() and got[101].clean_text is None
-    kept = decontaminate(docs, bench, keep_columns=True)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, t in rows if not contaminated(t, items)[4]}
-    assert not any(r.contaminated for r in decontaminate(docs, bench.where("false")).collect())
+        assert got[105].clean_text.rstrip() == ("z " * 100_000).rstrip() and got[101].clean_text is None
+        kept = decontaminate(docs, bench, keep_columns=True, broadcast_words=most)
+        assert kept.dtypes == docs.dtypes
+        assert {(r.doc_id, r.n_hit) for r in kept.collect()} == {(i, "k") for i, t in rows if not contaminated(t, items)[4]}
+    for most in (-1, 0):
+        assert not any(r.contaminated for r in decontaminate(docs, bench.where("false"), broadcast_words=most).collect())
 
 
 def test_url_rules_by_brute_force(spark):
