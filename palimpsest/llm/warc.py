@@ -6,6 +6,7 @@ inflates to nothing) as its line end, so archives go wherever Spark can write, a
 Reader: it walks an archive member by member, or record by record where it isn't compressed. Each must pass its checks: gzip's
 own sums, a version line, header syntax, a length that ends in two line ends, and the digests the header names. Where one fails, the reader
 looks for the next byte at which a member or version line begins a record that passes, goes on there, and logs the bytes between.
+Within a damaged stretch of an archive that isn't compressed, a record that a payload embeds is one that passes, and is given as such.
 The same search runs on a member's inflated bytes, as they come, so a failed record costs only itself. Of a member that doesn't inflate to
 its end, what came before counts, but not the record that inflating stops in or at; after an error in it, only records with a block digest do.
 """
@@ -31,11 +32,11 @@ _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload bytes of an archive, and the most that a record may inflate to.
+#: Payload bytes of an archive, and the most that a record may inflate to: Spark and Arrow have no larger values.
 ARCHIVE_BYTES = 64 << 20
-RECORD_BYTES = 1 << 30
-#: Bytes of a member that are inflated at once.
-PIECE = 1 << 20
+RECORD_BYTES = (1 << 31) - 1
+#: Bytes of a member that are inflated at once, first and at most.
+FIRST_PIECE, PIECE = 1 << 13, 1 << 20
 
 RECORD_FIELDS = (
     "archive string, offset bigint, length bigint, gap string, record_type string, record_id string, uri string, "
@@ -105,24 +106,28 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 class _Member:
-    """The inflated bytes of the member at `at`, bit by bit. Once done: size, end (of its bytes in data) and error, if any."""
+    """The inflated bytes of the member at `at`, bit by bit. Once done: size, end (of its bytes in data) and error, if any.
+
+    Pieces of the archive begin small and grow, as an archive of many small members would else be copied over and over.
+    """
 
     def __init__(self, data: bytes, at: int) -> None:
-        self.data, self.inflater = data, zlib.decompressobj(31)
+        self.data, self.at, self.inflater, self.piece = data, at, zlib.decompressobj(31), FIRST_PIECE
         self.end, self.size, self.done, self.error = at, 0, False, ""
 
     def more(self, want: int) -> bytes:
         out: list[bytes] = []
         got = 0
         while got < want and not self.done:
-            tail = self.inflater.unconsumed_tail
-            feed = tail or self.data[self.end : self.end + PIECE]
-            self.end += 0 if tail else len(feed)
-            before = self.inflater.copy()
+            feed = self.inflater.unconsumed_tail
+            if not feed:
+                feed = self.data[self.end : self.end + self.piece]
+                self.end += len(feed)
+                self.piece = min(4 * self.piece, PIECE)
             try:
                 part = self.inflater.decompress(feed, want - got)
             except zlib.error:
-                self.done, self.error, part = True, "gzip member", self._until_error(before, feed)
+                self.done, self.error, part = True, "gzip member", self._until_error(self.size + got)
             if self.inflater.eof and not self.error:
                 self.done = True
                 self.end -= len(self.inflater.unused_data)
@@ -133,15 +138,22 @@ class _Member:
         self.size += got
         return b"".join(out)
 
-    def _until_error(self, inflater: zlib._Decompress, feed: bytes) -> bytes:
-        out = []
-        for k in range(len(feed)):
+    def _until_error(self, known: int) -> bytes:
+        """The inflated bytes after the first `known` ones, up to the error: the member is inflated anew, byte by byte where it fails."""
+        inflater, out, at = zlib.decompressobj(31), [], self.at
+        step = FIRST_PIECE
+        while at < len(self.data):
+            before = inflater.copy() if step > 1 else inflater
             try:
-                out.append(inflater.decompress(feed[k : k + 1]))
+                out.append(inflater.decompress(self.data[at : at + step]))
             except zlib.error:
-                self.end -= len(feed) - k
-                break
-        return b"".join(out)
+                if step == 1:
+                    break
+                inflater, step = before, 1
+                continue
+            at += step
+        self.end = at
+        return b"".join(out)[known:]
 
 
 def _inside(member: _Member, buf: bytes, most: int) -> Iterator[tuple[int, int, str | None, dict[str, str], bytes]]:

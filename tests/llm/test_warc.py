@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 from collections import Counter
 
 from palimpsest.llm import warc
@@ -32,6 +33,17 @@ def test_whole_archives_have_no_gaps():
     assert ids(b"") == ([], [])
 
 
+def test_time_grows_as_the_archive():
+    def took(n):
+        data = warc.EMPTY_MEMBER.join(warc.record(str(i), "http://x", b"some payload %d " % i * 30, None, DATE) for i in range(n))
+        began = time.process_time()
+        assert len(ids(data)[0]) == n
+        return time.process_time() - began
+
+    small, large = min(took(2000) for _ in range(2)), took(8000)
+    assert large < 8 * small + 0.1  # 4 times the records; a reader that copies the rest at each takes 16 times as long
+
+
 def test_every_damaged_byte_costs_one_record_at_most():
     parts = members(4)
     data = b"".join(parts)
