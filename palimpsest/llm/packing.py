@@ -29,68 +29,110 @@ END_ID = 2
 #: What a cut counts for, beside the squares.
 CUT_COST = 8
 PIECES = "id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-#: Words known to an encoder before it starts anew.
+#: Pre-tokens and words known to an encoder before it starts anew.
 CACHED = 400_000
 
 
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for low, high in ranges:
+        out[low : high + 1] = True
+    return out
+
+
+_PLAIN = _bytes((0x21, 0x7E))
+_KIND = np.zeros(256, np.uint8)  # of lower-cased bytes: 1 letters, 2 digits, 0 others
+_KIND[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_KIND[0x30:0x3A] = 2
+
+
 class Encoder:
-    """Ids of texts by a tokenizer whose pre-tokens never span white space, with each different word encoded once.
+    """Ids of texts by a tokenizer whose pre-tokens never span white space, with each different pre-token encoded once.
 
-    Words of printable ASCII and Latin-1 letters are cut into pre-tokens here by the tokenizer's own pattern, and each pre-token
-    goes to its BPE model; all other words, and those that may hold a special token, go through the whole tokenizer.
+    Words of printable ASCII and Latin-1 letters are cut into pre-tokens here, for a whole slice of texts at once, and each different pre-token
+    goes to the tokenizer's BPE model; words with an apostrophe are cut by its own pattern; all other words, and those that may
+    hold a special token, go through the whole tokenizer.
     """
 
     # The tokenizer's fixed split pattern, narrowed to the characters of simple words.
     _PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
     _SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    _SALT = np.uint64(0x5DEECE66D5DEECE6)
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.by_word: dict[int, list[int]] = {}
-        self.by_part: dict[str, list[int]] = {}
+        self.known: dict[int, list[int]] = {}
         # Byte-level BPE's fixed alphabet: printable Latin-1 stands for itself, the other bytes for U+0100 on.
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         self.byte_chars = dict(zip((b for b in range(256) if b not in plain), map(chr, range(256, 512)), strict=False))
 
-    def _part(self, part: str) -> list[int]:
-        ids = self.by_part.get(part)
-        if ids is None:
-            text = part.encode().decode("latin-1").translate(self.byte_chars)
-            ids = self.by_part[part] = [t.id for t in self.model.tokenize(text)]
-        return ids
+    def _part(self, part: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(part.decode() if part.isascii() else part.decode("latin-1").translate(self.byte_chars))]
 
     def word(self, word: str) -> list[int]:
         if self._SIMPLE.fullmatch(word) and "<|" not in word:
-            parts = self._PRE.findall(word.lower())
-            return self._part(parts[0]) if len(parts) == 1 else [i for p in parts for i in self._part(p)]
+            return [i for p in self._PRE.findall(word.lower()) for i in self._part(p.encode())]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    @staticmethod
+    def parts(texts: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, begins and ends of the parts, and which of them are pre-tokens; the others are whole words."""
+        data = texts.data
+        w = W.words(texts, W.NOT_SPACE)
+        # A Latin-1 letter is C3 and one byte more, but not 97 or B7, the signs of multiplication and division.
+        after = np.empty_like(data)
+        after[:-1], after[-1:] = data[1:], 0
+        leads = data == 0xC3
+        pair = leads & (after != 0x97) & (after != 0xB7)
+        second = np.concatenate([[False], pair[:-1]])
+        odd = ~(_PLAIN[data] | pair | second) | (data == 0x27) | ((data == 0x3C) & (after == 0x7C))
+        low = data + (((data >= 0x41) & (data <= 0x5A)) | (second & (data >= 0x80) & (data <= 0x9E))).astype(np.uint8) * np.uint8(0x20)
+        seen = np.concatenate([[0], np.cumsum(odd)])
+        simple = seen[w.ends] == seen[w.starts]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[w.starts[simple]] = 1
+        np.subtract.at(inside, w.ends[simple], 1)
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        kind = _KIND[low]
+        begins = np.zeros(len(data), bool)
+        begins[1:] = inside[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        begins[w.starts] = True
+        starts = np.flatnonzero(begins)
+        of = np.cumsum(begins)[w.starts] - 1  # each word's first part
+        word = np.repeat(np.arange(len(w.starts)), np.diff(np.append(of, len(starts))))
+        ends = np.minimum(np.append(starts[1:], len(data)), w.ends[word])
+        return low, starts, ends, simple[word]
+
     def encode(self, texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end, and where each row's begin."""
-        w = W.words(texts, W.NOT_SPACE)
-        if not len(w.starts):
-            return np.zeros(0, np.uint32), np.zeros(len(w.bounds), np.int64)
-        if len(self.by_word) > CACHED or len(self.by_part) > CACHED:
-            self.by_word.clear()
-            self.by_part.clear()
-        hashes, first, back = np.unique(W.spans_hash(texts.data, w.starts, w.ends), return_index=True, return_inverse=True)
-        raw, known = texts.data.tobytes(), self.by_word
+        if not len(texts.data):
+            return np.zeros(0, np.uint32), np.zeros(len(texts.offsets), np.int64)
+        low, starts, ends, simple = self.parts(texts)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(texts.offsets), np.int64)
+        if len(self.known) > CACHED:
+            self.known.clear()
+        hashes = W.spans_hash(low, starts, ends)
+        if not simple.all():
+            hashes[~simple] = W.spans_hash(texts.data, starts[~simple], ends[~simple]) ^ self._SALT
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        raw, lowered, known = texts.data.tobytes(), low.tobytes(), self.known
         got = []
-        for h, a, z in zip(hashes.tolist(), w.starts[first].tolist(), w.ends[first].tolist(), strict=True):
+        for h, a, z, pre in zip(distinct.tolist(), starts[first].tolist(), ends[first].tolist(), simple[first].tolist(), strict=True):
             ids = known.get(h)
             if ids is None:
-                ids = known[h] = self.word(raw[a:z].decode())
+                ids = known[h] = self._part(lowered[a:z]) if pre else self.word(raw[a:z].decode())
             got.append(ids)
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
         begins = np.cumsum(sizes) - sizes
         count = sizes[back]
-        ends = np.cumsum(count)
-        ids = flat[np.repeat(begins[back] - (ends - count), count) + np.arange(ends[-1])]
-        return ids, np.concatenate([[0], ends])[w.bounds]
+        at = np.cumsum(count)
+        ids = flat[np.repeat(begins[back] - (at - count), count) + np.arange(at[-1])]
+        return ids, np.concatenate([[0], at])[np.searchsorted(starts, texts.offsets)]
 
 
 class Packer:

@@ -27,6 +27,19 @@ def test_ids_are_the_tokenizers():
             assert ids[bounds[k] : bounds[k + 1]] == whole.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_random_texts_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    whole, rng = Tokenizer.from_file(tokenizer_path()), random.Random(8)
+    signs = [*"aZbé×÷ßÿÀÞªµ²¼09'<|>.,-_/ \t\n", "'s", "'LL", "the", "<|", "ing ", "é", "Ω", "ǅ", "漢", "\x7f", "\xad", "\x85", "\xa0"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
+    encoder = packing.Encoder(tokenizer_path())
+    for s in W.slices(pa.array(texts), most=20_000):
+        ids, bounds = encoder.encode(s)
+        for k in range(s.last - s.first):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == whole.encode(texts[s.first + k], add_special_tokens=False).ids, texts[s.first + k]
+
+
 def test_each_piece_goes_where_squares_grow_least():
     rng = random.Random(2)
     for cost in (0, 2, 50):
