@@ -64,8 +64,15 @@ def token_list(text: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens_in(text))), ",")
 
 
+def squeezed(text: Column) -> Column:
+    """Each run of white space as one space, and none at the ends: as strip after one_space, with one pattern."""
+    return F.btrim(one_space(text))
+
+
 def clean_pronunciation(text: Column) -> Column:
-    return strip(one_space(reduce(lambda t, r: F.regexp_replace(t, "(?U)" + r[0], r[1]), fixed.PRONUNCIATION, text)))
+    """The rewrites in their order. Those without a sign of a pattern are literal, which takes no pattern's time."""
+    rewrite = lambda t, r: F.regexp_replace(t, "(?U)" + r[0], r[1]) if "\\" in r[0] else F.replace(t, F.lit(r[0]), F.lit(r[1]))
+    return squeezed(reduce(rewrite, fixed.PRONUNCIATION, text))
 
 
 def _lines(text: Column) -> Column:
@@ -80,13 +87,14 @@ def clean_body(text: Column) -> Column:
 
 
 def headword_key(text: Column) -> Column:
-    key = F.lower(strip(nfkc(text)))
+    # The ends' white space goes with the last step.
+    key = F.lower(nfkc(text))
     key = literally(key, dict.fromkeys(fixed.BROKEN_HYPHENS, "-") | {"･": " "})
     return F.btrim(one_space(F.regexp_replace(key, f"[{fixed.HYPHENS}]+", "-")), F.lit(" -"))
 
 
 def text_key(text: Column) -> Column:
-    return one_space(strip(nfkc(text)))
+    return squeezed(nfkc(text))
 
 
 def fix_header(text: Column) -> Column:
@@ -101,12 +109,13 @@ def head_part(text: Column) -> Column:
 
 
 def signature(text: Column, length: int = fixed.SIGNATURE) -> Column:
-    return F.substring(F.regexp_replace(text_key(text), f"[{fixed.SIGNATURE_DROPS}{fixed.SPACE}]+", ""), 1, length)
+    """The first characters of the key that count. White space doesn't, so the key's own steps for it aren't needed."""
+    return F.substring(F.regexp_replace(nfkc(text), f"[{fixed.SIGNATURE_DROPS}{fixed.SPACE}]+", ""), 1, length)
 
 
-def prefix_signature(text: Column) -> Column:
-    """The key has no line ends left, so the first line's signature is the first part of the whole one. White space alone gives ''."""
-    return signature(text, fixed.PREFIX_SIGNATURE)
+def prefix_signature(whole: Column) -> Column:
+    """Of a signature: the key has no line ends left, so the first line's signature is the first part of the whole one. White space alone gives ''."""
+    return F.substring(whole, 1, fixed.PREFIX_SIGNATURE)
 
 
 def orthography_line(text: Column) -> Column:

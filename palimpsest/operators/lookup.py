@@ -52,3 +52,60 @@ def cascade(rows: DataFrame, steps: list[Step]) -> DataFrame:
         methods.append(F.when(F.col(f"_r{k}").isNotNull(), F.lit(step.method)))
     spare = [c for k in range(len(steps)) for c in (f"_key{k}", f"_k{k}", f"_r{k}")]
     return out.withColumn("row", F.coalesce(*found)).withColumn("method", F.coalesce(*methods)).drop(*spare)
+
+
+class Look(NamedTuple):
+    """How entries are found by a key. rule "only": by keys that one entry has, "last": by the last entry of a key, "agree": by the first one of keys whose
+    entries have one `value`. before: only entries that hold it count; after: the chosen entry must hold it."""
+
+    key: Column
+    rule: str = "only"
+    before: Column | None = None
+    after: Column | None = None
+    value: Column | None = None
+
+
+def key_bits(key: Column) -> tuple[Column, Column]:
+    """128 bits of a key, as texts of any length are too much to sort and shuffle by. Two of n keys share them with probability n**2 / 2**129."""
+    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
+
+
+def stacked(rows: DataFrame, keys: list[Column], columns: list[Column]) -> DataFrame:
+    """(step, k1, k2, *columns): a row for each key that isn't null; step is the key's number. All keys are made in one pass over the rows."""
+    made = [F.when(k.isNotNull(), F.struct(F.lit(n).alias("step"), *[b.alias(f"k{i}") for i, b in enumerate(key_bits(k), 1)])) for n, k in enumerate(keys)]
+    return rows.select(F.explode(F.filter(F.array(*made), F.isnotnull)).alias("_x"), *columns).select("_x.*", "*").drop("_x")
+
+
+def found_by(looks: list[Look], entries: DataFrame, order: list[str]) -> DataFrame:
+    """(step, k1, k2, entry, variants): for each look (its number as step) and usable key the chosen entry's place, a struct of `order`. One aggregate for all looks."""
+    place = F.struct(*order)
+    parts = []
+    for n, look in enumerate(looks):
+        k1, k2 = key_bits(look.key)
+        counted = look.key.isNotNull() if look.before is None else look.key.isNotNull() & look.before
+        holds = F.lit(True) if look.after is None else F.coalesce(look.after, F.lit(False))
+        value = F.lit(None).cast("bigint") if look.value is None else F.xxhash64(look.value)
+        parts.append(F.when(counted, F.struct(F.lit(n).alias("step"), k1.alias("k1"), k2.alias("k2"), holds.alias("holds"), F.when(look.value.isNotNull(), value).alias("value") if look.value is not None else value.alias("value"))))
+    rows = entries.select(place.alias("place"), F.explode(F.filter(F.array(*parts), F.isnotnull)).alias("_x")).select("place", "_x.*")
+    grouped = rows.groupBy("step", "k1", "k2").agg(
+        F.min(F.struct("place", "holds")).alias("first"), F.max(F.struct("place", "holds")).alias("last"), F.count(F.lit(1)).alias("variants"),
+        F.min("value").alias("least"), F.max("value").alias("most"),
+    )
+    chosen, usable = F.lit(None), F.lit(False)
+    for n, look in enumerate(looks):
+        of = F.col("step") == n
+        row = F.col("last") if look.rule == "last" else F.col("first")
+        rule = F.col("variants") == 1 if look.rule == "only" else F.col("least") == F.col("most") if look.rule == "agree" else F.lit(True)
+        chosen, usable = F.when(of, row).otherwise(chosen), F.when(of, rule & row["holds"]).otherwise(usable)
+    return grouped.select("step", "k1", "k2", chosen.alias("_chosen"), "variants").where(usable).select("step", "k1", "k2", F.col("_chosen.place").alias("entry"), "variants")
+
+
+def match(rows: DataFrame, row_id: list[str], steps: list[tuple[str, Column, int]], looks: list[Look], entries: DataFrame, order: list[str]) -> DataFrame:
+    """(row_id, method, entry, variants) for the rows of which some step finds an entry: the first such step's. steps: method, the row's key, the look's number.
+
+    All keys of a side are made in one pass, and one aggregate and one join serve all steps, whatever their number. row_id names a row.
+    """
+    wanted = stacked(rows, [k for _, k, _ in steps], [F.col(c) for c in row_id]).withColumn("_look", F.array(*[F.lit(look) for *_, look in steps])[F.col("step")])
+    found = found_by(looks, entries, order).withColumnRenamed("step", "_look")
+    hits = wanted.join(found, ["_look", "k1", "k2"]).groupBy(*row_id).agg(F.min(F.struct("step", "entry", "variants")).alias("_hit"))
+    return hits.select(*row_id, F.array(*[F.lit(m) for m, *_ in steps])[F.col("_hit.step")].alias("method"), F.col("_hit.entry").alias("entry"), F.col("_hit.variants").alias("variants"))

@@ -108,9 +108,9 @@ def headline_entries(lines: DataFrame, tokens: dict[str, str]) -> DataFrame:
 
 def headline_fields(entries: DataFrame) -> DataFrame:
     """The index row's fields from header, mapped header and bodies."""
-    return entries.select(
+    return entries.withColumn("body_signature", t.signature(F.col("body_readable"))).select(
         "file", "ord", "headword_line", t.text_key(F.col("headword_line")).alias("headword_line_normalized"), "headword_line_mapped",
         t.text_key(F.col("headword_line_mapped")).alias("headword_line_mapped_normalized"), t.head_part(F.col("headword_line_mapped")).alias("headword_line_head_part"),
-        "body_raw", "body_mapped", "body_readable", t.signature(F.col("body_readable")).alias("body_signature"), t.prefix_signature(F.col("body_readable")).alias("body_prefix_signature"),
+        "body_raw", "body_mapped", "body_readable", "body_signature", t.prefix_signature(F.col("body_signature")).alias("body_prefix_signature"),
         F.size(t.tokens_in(F.col("body_mapped"))).cast("string").alias("body_unresolved_count"), t.token_list(F.col("body_mapped")).alias("body_unresolved_tokens"),
     )

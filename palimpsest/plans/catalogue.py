@@ -107,8 +107,8 @@ def t_ordered_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, substr({_SIGNATURE.format('text')}, 1, 80) AS signature, substr({_SIGNATURE.format('text')}, 1, 40) AS prefix_signature FROM documents")
 def t_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.col("text")
-    return _t(spark, sf_dir, "documents").select("doc_id", t.signature(own).alias("signature"), t.prefix_signature(own).alias("prefix_signature"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", t.signature(F.col("text")).alias("signature"))
+    return docs.withColumn("prefix_signature", t.prefix_signature(F.col("signature")))
 
 
 @query(f"SELECT doc_id, md5({_HEADWORD.format('text')}) AS key FROM documents")
@@ -207,12 +207,6 @@ def a_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Joins.
 
 
-def _usable(rows: DataFrame, key: Column) -> DataFrame:
-    keyed = rows.select("doc_id", "lang", "source", key.alias("k"))
-    got = lookup.unique_or_none(keyed, "k", "lang", "source", ["doc_id"]).where("distinct = 1")
-    return got.select("key", F.struct(F.col("first.doc_id").alias("doc_id"), "variants").alias("row"))
-
-
 @query(f"""
 WITH {_SIDES},
 keyed AS (SELECT doc_id, lang, unnest([{{'m': 1, 'k': text}}, {{'m': 2, 'k': {_HEADWORD.format('text')}}}, {{'m': 3, 'k': substr({_SIGNATURE.format('text')}, 1, 80)}}], recursive := true) FROM old),
@@ -221,11 +215,16 @@ wanted AS (SELECT doc_id, unnest([{{'m': 1, 'k': text}}, {{'m': 2, 'k': {_HEADWO
 hits AS (SELECT doc_id, min(m) AS m, arg_min(found_id, m) AS found_id, arg_min(variants, m) AS variants FROM wanted JOIN looks USING (m, k) GROUP BY doc_id)
 SELECT doc_id, CASE m WHEN 1 THEN 'exact' WHEN 2 THEN 'normalized' WHEN 3 THEN 'signature' END AS method, found_id, variants FROM drafts LEFT JOIN hits USING (doc_id)""")
 def j_cascade_exact_norm_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drafts, old = _sides(spark, sf_dir)
+    drafts, old = (_keyed(side) for side in _sides(spark, sf_dir))
+    names = {"exact": "text", "normalized": "headword", "signature": "signature"}
+    looks = [lookup.Look(F.col(c), "agree", value=F.col("lang")) for c in names.values()]
+    found = lookup.match(drafts, ["doc_id"], [(m, F.col(c), n) for n, (m, c) in enumerate(names.items())], looks, old, ["doc_id"])
+    return drafts.select("doc_id").join(found, "doc_id", "left").select("doc_id", "method", F.col("entry.doc_id").alias("found_id"), "variants")
+
+
+def _keyed(side: DataFrame) -> DataFrame:
     own = F.col("text")
-    keys = [("exact", own), ("normalized", t.headword_key(own)), ("signature", t.signature(own))]
-    got = lookup.cascade(drafts.select("doc_id", "text"), [lookup.Step(m, k, _usable(old, k)) for m, k in keys])
-    return got.select("doc_id", "method", F.col("row.doc_id").alias("found_id"), F.col("row.variants").alias("variants"))
+    return side.select("doc_id", "lang", "text", t.headword_key(own).alias("headword"), t.signature(own).alias("signature"))
 
 
 def _only_sql(key: str, before: str = "true", after: str = "true", guard: str = "true") -> str:
@@ -237,10 +236,10 @@ SELECT doc_id, found_id FROM wanted LEFT JOIN (SELECT * FROM ones WHERE {after})
 
 
 def _only(spark: SparkSession, sf_dir: str, key: Column, before: Column | None = None, after: Column | None = None, guard: bool = False) -> DataFrame:
-    drafts, old = _sides(spark, sf_dir)
-    one = lookup.only_of(old.select("doc_id", "lang", key.alias("k")), "k", ["doc_id"], before, after)
-    step = lookup.Step("unique", F.when(key != "", key) if guard else key, one)
-    return lookup.cascade(drafts.select("doc_id", "text"), [step]).select("doc_id", F.col("row.doc_id").alias("found_id"))
+    drafts, old = (side.select("doc_id", "lang", key.alias("k")) for side in _sides(spark, sf_dir))
+    own = F.col("k")
+    found = lookup.match(drafts, ["doc_id"], [("unique", F.when(own != "", own) if guard else own, 0)], [lookup.Look(own, before=before, after=after)], old, ["doc_id"])
+    return drafts.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("entry.doc_id").alias("found_id"))
 
 
 @query(_only_sql(_KEY.format("split_part(text, chr(10), 1)"), before="lang <> 'de'", guard="own <> ''"))
@@ -255,7 +254,7 @@ def j_body_signature_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_only_sql(f"substr({_SIGNATURE.format('text')}, 1, 40)", after="lang <> 'de'"))
 def j_prefix_signature_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _only(spark, sf_dir, t.prefix_signature(F.col("text")), after=F.col("lang") != "de")
+    return _only(spark, sf_dir, t.prefix_signature(t.signature(F.col("text"))), after=F.col("lang") != "de")
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

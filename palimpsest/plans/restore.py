@@ -11,7 +11,7 @@ from palimpsest.functions import fixed
 from palimpsest.functions import text as t
 from palimpsest.operators.choose import most_common, ratio, touched
 from palimpsest.operators.islands import positional_fill
-from palimpsest.operators.lookup import Step, cascade, last_of, only_of, unique_or_none
+from palimpsest.operators.lookup import Look, Step, cascade, last_of, match, unique_or_none
 from palimpsest.operators.segment import bracket_entries, headline_entries, headline_fields
 from palimpsest.sources.readers import lines_of, read_drafts, read_dump, read_token_map
 from palimpsest.sources.sinks import write_jsonl, write_report
@@ -31,7 +31,7 @@ SNIPPET, SAMPLES = 220, 240
 class Restored(NamedTuple):
     """entries: the dump's index; rows: drafts with row and method, and the finished line; index, report: exports.
 
-    entries and rows are persisted, as all exports come from them; release() frees them.
+    entries, rows and the drafts' keys are persisted, as all exports come from them; release() frees them.
     """
 
     entries: DataFrame
@@ -39,10 +39,12 @@ class Restored(NamedTuple):
     index: DataFrame
     report: DataFrame
     sample: DataFrame | None = None
+    keyed: DataFrame | None = None
 
     def release(self) -> None:
-        self.entries.unpersist()
-        self.rows.unpersist()
+        for table in (self.entries, self.rows, self.keyed):
+            if table is not None:
+                table.unpersist()
 
 
 def _split_tokens(joined: Column) -> Column:
@@ -197,16 +199,20 @@ def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str
     order = ["file", "ord"]
     head = F.startswith(F.col("headword_line_mapped"), F.lit("【"))
     columns = entries.columns
-    lookups = [
-        last_of(entries, "headword_line_mapped_normalized", order), only_of(entries, "headword_line_head_part", order, before=~head),
-        only_of(entries, "body_signature", order, after=~head), only_of(entries, "body_prefix_signature", order, after=~head),
+    own = lambda c: F.col(c)
+    looks = [
+        Look(own("headword_line_mapped_normalized"), "last"), Look(own("headword_line_head_part"), before=~head), Look(own("body_signature"), after=~head),
+        Look(own("body_prefix_signature"), after=~head),
     ]
     keyed = drafts.withColumn("header_key", t.text_key(F.coalesce("header.normalized", F.lit("")))).withColumn("_body", F.coalesce("canonical.body", F.lit("")))
     keyed = keyed.withColumn("body_key", t.text_key(F.col("_body")))
-    part = t.head_part(F.col("header_key"))
-    keys = [F.col("header_key"), F.when(part != "", part), t.signature(F.col("_body")), t.prefix_signature(F.col("_body"))]
+    keyed = keyed.withColumn("_part", t.head_part(F.col("header_key"))).withColumn("_signature", t.signature(F.col("_body"))).persist()
+    keys = [F.col("header_key"), F.when(F.col("_part") != "", F.col("_part")), F.col("_signature"), t.prefix_signature(F.col("_signature"))]
     names = ["header_normalized_exact", "head_part_unique", "body_signature_unique", "body_prefix_signature_unique"]
-    first = cascade(keyed, [Step(m, k, x) for m, k, x in zip(names, keys, lookups, strict=True)])
+    found = match(keyed, order, [(m, k, n) for n, (m, k) in enumerate(zip(names, keys, strict=True))], looks, entries, order)
+    rows_of = entries.select(F.struct(*order).alias("entry"), F.struct(*columns).alias("row"))
+    hits = found.join(rows_of, "entry").select(*order, "method", "row")
+    first = keyed.drop("_part", "_signature").join(hits, order, "left")
     flagged = F.coalesce("master_status.body_restored_from_old_text", F.lit(False))
     first = first.withColumn("restored", flagged | F.col("method").isNotNull()).withColumn("source_name", F.lit(source_name))
 
@@ -252,7 +258,7 @@ def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str
         "old_rows", counts.alias("merge_counts"), F.struct(ratio(F.col("restored"), F.col("total")).alias("restored_ratio")).alias("coverage"),
         F.struct(F.col("restored").alias("total_rows"), F.col("unresolved").alias("total_unresolved_tokens"), F.parse_json("top").alias("top_unresolved_tokens")).alias("restored_body"),
     )
-    return Restored(entries, rows, index, report)
+    return Restored(entries, rows, index, report, keyed=keyed)
 
 
 def _by_place():

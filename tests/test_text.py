@@ -35,7 +35,7 @@ def one(spark, expr, *values):
         (t.fix_header, "[zA423] はん【[zA42E]】", "はん【頒】"),
         (t.fix_header, "[zA423][zA423]x", "[zA423]x"),
         (t.head_part, "あ・い【x】【y】", "あ・い"),
-        (t.signature, " a(b) 。、,c― d ", "a。、cd"),
+        (t.signature, " a(b) 。、,c― d ", "ab。、cd"),
         (t.signature, "   ", ""),
         (lambda c: t.orthography_line(c)["orthography"], "【x】 rest ", "【x】"),
         (lambda c: t.orthography_line(c)["rest"], "【x】 rest ", "rest"),
@@ -79,7 +79,7 @@ def test_strided_and_context(spark):
 
 def test_decode():
     text, tokens = blocks.decode(b"\x24\x22\x1f\x0a\x1f\x41\x00A\x80\x0d\n\n\nB\x1f")
-    assert text == "あ\n⟦1F41⟧A\n\nB"
+    assert text == "あ\n⟦1F41⟧A \n\nB"
     assert [(x["type"], x["offset"], x["code"], x["hex"], x["text"]) for x in tokens] == [
         ("jis0208", 0, None, "2422", "あ"), ("control", 2, "1F0A", None, None), ("control", 4, "1F41", None, None),
         ("ascii", 7, None, "41", "A"), ("byte", 8, None, "80", None), ("ascii", 13, None, "42", "B"), ("byte", 14, None, "1F", None),
