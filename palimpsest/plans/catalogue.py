@@ -134,7 +134,7 @@ def b_decode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = docs.withColumn("n", F.floor(F.length("content") / 2048)).where("n > 0").select("doc_id", "content", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("block"))
     chunks = cut.select("doc_id", "block", F.expr("substring(content, cast(block * 2048 + 1 as int), 2048)").alias("chunk")).withColumn("d", decode_block("chunk"))
     preview = t.preview(F.col("d.text"))
-    return chunks.select("doc_id", "block", t.hex_number(F.col("block")).alias("block_hex"), t.script_score(preview).alias("score"), F.md5(preview).alias("preview"), F.size(control_counts(F.col("d.tokens"))).alias("n_controls"), F.size("d.tokens").alias("n_tokens"))
+    return chunks.select("doc_id", "block", t.hex_number(F.col("block")).alias("block_hex"), t.script_score(preview).alias("score"), F.md5(preview).alias("preview"), F.map_entries(control_counts(F.col("d"))).alias("controls"), F.col("d.n_units").alias("n_tokens"))
 
 
 # Aggregations.

@@ -23,7 +23,7 @@ def _sized(files: DataFrame, sizes: list[int]) -> DataFrame:
 def _decoded(chunks: DataFrame) -> DataFrame:
     """Adds text, normalised preview and control counts. The blocks are dealt out first, as a file is one row and decoding is the work."""
     dealt = chunks.repartition("source_id", "block_size", "offset")
-    return dealt.withColumn("_d", decode_block("chunk")).withColumn("normalized", t.preview(F.col("_d.text"))).withColumn("control_codes", control_counts(F.col("_d.tokens")))
+    return dealt.withColumn("_d", decode_block("chunk")).withColumn("normalized", t.preview(F.col("_d.text"))).withColumn("control_codes", control_counts(F.col("_d")))
 
 
 def block_samples(files: DataFrame, sizes: list[int] | None = None, known: list[int] | None = None, kept: int = KEPT) -> DataFrame:

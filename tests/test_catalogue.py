@@ -1,8 +1,15 @@
+import hashlib
+import re
+import unicodedata
+from collections import Counter
+
 import pytest
 
 import __spark_entry__
+from palimpsest.functions import fixed
 from palimpsest.plans import catalogue
 from tests.comparing import same
+from tests.test_text import plain_decode
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,14 +20,16 @@ def test_query_matches_its_sql(spark, name):
 
 
 def test_decoded_blocks_are_those_of_the_bytes(spark):
-    from palimpsest.functions.blocks import decode
-
     texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     rows = catalogue.QUERIES["b_decode_blocks"](spark, FOLDER).collect()
     assert len(rows) == sum(len(x) // 2048 for x in texts.values())
     for r in rows:
-        chunk = texts[r["doc_id"]][r["block"] * 2048 : (r["block"] + 1) * 2048]
-        assert r["n_tokens"] == len(decode(chunk)[1])
+        text, units = plain_decode(texts[r["doc_id"]][r["block"] * 2048 : (r["block"] + 1) * 2048])
+        assert (r["n_tokens"], r["block_hex"]) == (len(units), f"{r['block']:04X}")
+        assert [tuple(x) for x in r["controls"]] == list(Counter(u[2] for u in units if u[0] == "control").items())
+        preview = re.sub(r"[ \t]+", " ", re.sub("⟦1F[0-9A-F]{2}⟧", "", unicodedata.normalize("NFKC", text))).strip()
+        assert r["preview"] == hashlib.md5(preview.encode()).hexdigest()
+        assert r["score"] == sum(points * len(re.findall(kind, preview)) for points, kind in fixed.SCRIPT_SCORES)
 
 
 def test_entry(spark):

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,15 +81,46 @@ def test_strided_and_context(spark):
     assert tuple(one(spark, lambda p, n: context(p, n, 2, 5), 15, 40)) == (13, 21)
 
 
-def test_decode():
-    text, tokens = blocks.decode(b"\x24\x22\x1f\x0a\x1f\x41\x00A\x80\x0d\n\n\nB\x1f")
-    assert text == "あ\n⟦1F41⟧A \n\nB"
-    assert [(x["type"], x["offset"], x["code"], x["hex"], x["text"]) for x in tokens] == [
-        ("jis0208", 0, None, "2422", "あ"), ("control", 2, "1F0A", None, None), ("control", 4, "1F41", None, None),
-        ("ascii", 7, None, "41", "A"), ("byte", 8, None, "80", None), ("ascii", 13, None, "42", "B"), ("byte", 14, None, "1F", None),
-    ]
-    assert blocks.decode(b"\x29\x21")[0] == "�"
-    assert blocks.decode(b"") == ("", [])
+UNIT = re.compile(rb"\x1f(?P<control>.)|(?P<filler>\x00)|(?P<end>[\n\r])|(?P<jis0208>[\x21-\x7e]{2})|(?P<ascii>[\x20-\x7e])|(?P<byte>.)", re.DOTALL)
+
+
+def plain_decode(data):
+    """(text, units) of a block, unit by unit."""
+    shown, units = [], []
+    for m in UNIT.finditer(data):
+        kind, name = m.lastgroup, m[0].hex().upper()
+        if kind in ("filler", "end"):
+            shown.append("\n" * (kind == "end"))
+            continue
+        text = None
+        if kind == "control":
+            shown.append("\n" if m[0][1:] in b"\n\r" else f"⟦{name}⟧")
+        elif kind == "byte":
+            shown.append(" ")
+        else:
+            text = m[0].decode() if kind == "ascii" else bytes(x | 0x80 for x in m[0]).decode("euc_jp", errors="replace")[0]
+            shown.append(text)
+        units.append((kind, m.start(), name if kind == "control" else None, None if kind == "control" else name, text))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", "".join(shown))).strip(), units
+
+
+def test_decode(spark):
+    rng = random.Random(5)
+    signs = [b"\x24\x22", b"\x1f", b"\x1f\x0a", b"\x1f\x41", b"\x00", b"A", b" ", b"\t", b"\x80", b"\x0d", b"\n", b"\n\n\n", b"\x29\x21", b"\x7e\x7e", b"\xff", b"ab", b"\x1f\x1f"]
+    blocks_ = [b"\x24\x22\x1f\x0a\x1f\x41\x00A\x80\x0d\n\n\nB\x1f", b"\x29\x21", b"", None, b"\x1f", b"\x1f\x1f\x1f", b"ABC"]
+    blocks_ += [b"".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(500)] + [rng.randbytes(600) for _ in range(20)]
+    df = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(blocks_)], "i int, x binary").repartition(2)
+    got = df.select("i", blocks.decode_block("x").alias("d"), blocks.block_units("x").alias("u")).withColumn("c", blocks.control_counts(F.col("d"))).orderBy("i").collect()
+    for r, x in zip(got, blocks_, strict=True):
+        if x is None:
+            assert r.d is None and r.u is None
+            continue
+        text, units = plain_decode(x)
+        assert (r.d.text, r.d.n_units) == (text, len(units)), x
+        assert [tuple(u) for u in r.u] == units, x
+        counts = Counter(u[2] for u in units if u[0] == "control")
+        assert list(zip(r.d.codes, r.d.counts, strict=True)) == list(counts.items()) and r.c == counts, x
+    assert got[0].d.text == "あ\n⟦1F41⟧A \n\nB"
 
 
 def test_edits_keep_what_they_do_not_name(spark):
