@@ -58,5 +58,7 @@ DEFAULT_SOURCE = "crcen_START_2048"
 TOKEN_MAP_FILE = "symbol_map_solved_initial.json"
 PRONUNCIATION_DUMP, PRONUNCIATION_DRAFTS = "omiyage_02.txt", "entries_raw.jsonl"
 PRONUNCIATION_OUTPUTS = ["old_text_pron_index", "entries_pron_enriched", "entries_pron_enriched_sample", "entries_pron_verified_index"]
+PRONUNCIATION_REPORT = "entries_pron_enriched_report"
 HEADLINE_DUMP, HEADLINE_DRAFTS = "test_dic.txt", "entries_master_kokugo_draft.jsonl"
 HEADLINE_OUTPUTS = ["kokugo_old_text_index", "entries_master_kokugo_restored", "entries_master_kokugo_restored_index"]
+HEADLINE_REPORT = "entries_master_kokugo_restored_report"

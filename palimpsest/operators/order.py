@@ -21,3 +21,12 @@ def running_count(df: DataFrame, parts: list[str], order: str, flag: Column, nam
     totals = marked.groupBy(*parts, "_block").agg(F.sum("_flag").alias("_total"))
     starts = totals.select(*parts, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
     return counted.join(starts, [*parts, "_block"]).withColumn(name, F.col("_start") + F.col("_within")).drop("_block", "_flag", "_within", "_start")
+
+
+def numbered(df: DataFrame, part: str, order: str, name: str) -> DataFrame:
+    """df with each row's number from 0, by part and then by order. Only the parts' sizes are summed over the whole table."""
+    within = df.withColumn("_within", F.row_number().over(Window.partitionBy(part).orderBy(order)))
+    sizes = df.groupBy(F.col(part).alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_of", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    return within.join(starts, F.col(part) == F.col("_of")).withColumn(name, F.col("_start") + F.col("_within") - 1).drop("_of", "_within", "_start")

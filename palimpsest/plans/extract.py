@@ -76,10 +76,10 @@ def export_blocks(spark: SparkSession, source_root: str, out_root: str, sources:
         write_jsonl(windows, f"{out_root}/focused_known_windows.jsonl", [place, F.col("block_size"), F.col("known_block")])
         write_tsv(control_totals(samples), f"{out_root}/control_codes.tsv", ["code", "count"], [F.desc("count"), F.col("first")])
         facts = F.concat(F.lit("score="), F.col("score").cast("string"), F.lit(" offset="), F.col("offset").cast("string"), F.lit(" block_hex="), "block_hex")
-        texts = [("Normalized preview", "normalized_preview"), ("With control markers", "decoded_with_controls")]
-        write_html(samples, f"{out_root}/preview.html", "Trial decode", "Read-only trial extraction from block files.", "id", facts, texts, [F.col("source_id"), F.col("block_size"), F.col("rank")], 80)
+        texts = [("As text", "normalized_preview"), ("With its controls", "decoded_with_controls")]
+        write_html(samples, f"{out_root}/preview.html", "Decoded blocks", "The best sampled blocks of each file and block size; nothing is written back.", "id", facts, texts, [F.col("source_id"), F.col("block_size"), F.col("rank")], 80)
         where = F.concat(F.lit("offset="), F.col("offset").cast("string"), F.lit(" blocks="), F.col("window_start_block").cast("string"), F.lit(".."), F.col("window_end_block").cast("string"))
-        write_html(windows, f"{out_root}/focused_known_windows.html", "Focused known windows", "Continuous windows around known blocks.", "id", where, texts, [place, F.col("block_size"), F.col("known_block")])
+        write_html(windows, f"{out_root}/focused_known_windows.html", "Around the known blocks", "Each known block with its neighbours, decoded as one text.", "id", where, texts, [place, F.col("block_size"), F.col("known_block")])
     finally:
         samples.unpersist()
         windows.unpersist()

@@ -12,6 +12,7 @@ from palimpsest.functions import text as t
 from palimpsest.operators.choose import most_common, ratio, touched
 from palimpsest.operators.islands import positional_fill
 from palimpsest.operators.lookup import Look, Step, cascade, last_of, match, unique_or_none
+from palimpsest.operators.order import numbered
 from palimpsest.operators.segment import bracket_entries, headline_entries, headline_fields
 from palimpsest.sources.readers import lines_of, read_drafts, read_dump, read_token_map
 from palimpsest.sources.sinks import write_jsonl, write_report
@@ -217,8 +218,7 @@ def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str
     first = first.withColumn("restored", flagged | F.col("method").isNotNull()).withColumn("source_name", F.lit(source_name))
 
     # Places of entries count from 0 over the whole dump.
-    places = entries.select("*", F.lit(0).alias("_all"))
-    ranked = places.withColumn("place", F.row_number().over(_by_place()) - 1)
+    ranked = numbered(entries, "file", "ord", "place")
     sequence = ranked.select(F.col("place").cast("long").alias("ord"), F.col("headword_line_mapped_normalized").alias("key"), F.lit("").alias("_part"))
     after = F.coalesce(t.text_key(F.col("row.headword_line_mapped_normalized")), F.col("header_key"))
     along = first.select("file", F.col("ord").cast("long").alias("ord"), after.alias("key"), F.col("restored").alias("found"), F.lit("").alias("_part"))
@@ -261,13 +261,6 @@ def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str
     return Restored(entries, rows, index, report, keyed=keyed)
 
 
-def _by_place():
-    """Order over all entries of a dictionary's dumps: a dump is one value of its reader, so its entries fit a task."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_all").orderBy("file", "ord")
-
-
 def export_pronunciations(spark: SparkSession, source_root: str, out_root: str, raw_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None, source_id: str = fixed.DEFAULT_SOURCE) -> Restored:
     """Reads the files (by default below the two roots), restores, and writes index, rows, sample, verified index and report."""
     old = old_text_path or f"{source_root}/{fixed.PRONUNCIATION_DUMP}"
@@ -279,7 +272,7 @@ def export_pronunciations(spark: SparkSession, source_root: str, out_root: str,
     write_jsonl(got.rows, names[fixed.PRONUNCIATION_OUTPUTS[1]], [F.col("file"), F.col("ord")], raw="line")
     _write(got.sample, names[fixed.PRONUNCIATION_OUTPUTS[2]])
     _write(got.index, names[fixed.PRONUNCIATION_OUTPUTS[3]])
-    write_report(got.report.withColumn("outputs", F.struct(*[F.lit(v).alias(k) for k, v in names.items()])), f"{out_root}/merge_report.json")
+    write_report(got.report.withColumn("outputs", F.struct(*[F.lit(v).alias(k) for k, v in names.items()])), f"{out_root}/{fixed.PRONUNCIATION_REPORT}.json")
     return got
 
 
@@ -292,7 +285,7 @@ def export_headlines(spark: SparkSession, source_root: str, out_root: str, draft
     _write(got.entries, names[fixed.HEADLINE_OUTPUTS[0]])
     write_jsonl(got.rows, names[fixed.HEADLINE_OUTPUTS[1]], [F.col("file"), F.col("ord")], raw="line")
     _write(got.index, names[fixed.HEADLINE_OUTPUTS[2]])
-    write_report(got.report.withColumn("outputs", F.struct(*[F.lit(v).alias(k) for k, v in names.items()])), f"{out_root}/restore_report.json")
+    write_report(got.report.withColumn("outputs", F.struct(*[F.lit(v).alias(k) for k, v in names.items()])), f"{out_root}/{fixed.HEADLINE_REPORT}.json")
     return got
 
 

@@ -1,48 +1,69 @@
-"""Sinks. A table of any size is written by many tasks; ordered=True makes the one file that a reader of the export expects."""
+"""Sinks. Rows are sorted and written by many tasks, and the parts are then joined, in their order, to the one file that a reader of the export expects."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import escape_html
 
 
-def _text(df: DataFrame, value: Column, path: str, order: list[Column] | None) -> None:
-    rows = df.orderBy(*order) if order else df
-    rows = rows.select(value.alias("value"))
-    (rows.coalesce(1) if order else rows).write.mode("overwrite").option("lineSep", "\n").text(path)
+def _file(rows: DataFrame, value: Column, path: str, order: list[Column] | None, head: str = "") -> None:
+    """One text file of `head` and a line for each row, in place of what is there. The parts pass the driver as streams of bytes, never as rows."""
+    spark = rows.sparkSession
+    parts = f"{path}.{uuid.uuid4().hex}"
+    (rows.orderBy(*order) if order else rows).select(value.alias("value")).write.option("lineSep", "\n").text(parts)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    folder, target = fs_path(parts), fs_path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = target.getFileSystem(conf)
+    fs.delete(target, True)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")):
+            part = fs.open(fs_path(folder, name))
+            try:
+                spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+    fs.delete(folder, True)
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[Column] | None = None, raw: str | None = None) -> None:
     """A JSON object a line, nulls kept; raw: the column that has the finished lines instead."""
     fields = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    _text(df, F.col(raw) if raw else fields, path, order)
+    _file(df, F.col(raw) if raw else fields, path, order)
 
 
 def write_tsv(df: DataFrame, path: str, columns: list[str], order: list[Column]) -> None:
     """A header line and the rows in order."""
-    row = F.concat_ws("\t", *[F.col(c).cast("string") for c in columns])
-    body = df.orderBy(*order).select(row.alias("value")).coalesce(1).withColumn("_n", F.monotonically_increasing_id() + 1)
-    head = df.sparkSession.createDataFrame([("\t".join(columns), 0)], "value string, _n bigint")
-    _text(head.unionByName(body), F.col("value"), path, [F.col("_n")])
+    _file(df, F.concat_ws("\t", *[F.col(c).cast("string") for c in columns]), path, order, "\t".join(columns) + "\n")
 
 
 def write_report(report: DataFrame, path: str) -> None:
     """A one-row table as an indented JSON document."""
-    _text(report, F.to_json(F.struct(*report.columns), {"pretty": "true", "ignoreNullFields": "false"}), path, None)
+    _file(report, F.to_json(F.struct(*report.columns), {"pretty": "true", "ignoreNullFields": "false"}), path, None)
+
+
+_STYLE = """
+:root { color-scheme: light dark; font: 1rem/1.5 sans-serif }
+main { display: grid; gap: 2rem; max-width: 70rem; margin: 2rem auto; padding: 0 1rem }
+section { border: thin solid currentColor; border-radius: .4rem; padding: 0 1rem 1rem }
+pre { white-space: break-spaces; border-left: .2rem solid currentColor; padding-left: .8rem }
+small { opacity: .7 }
+"""
 
 
 def write_html(df: DataFrame, path: str, title: str, note: str, heading: str, facts: Column, sections: list[tuple[str, str]], order: list[Column], limit: int | None = None) -> None:
-    """A page with an article for each row: its heading, its facts and its texts, escaped."""
-    style = "body{font-family:system-ui,sans-serif;line-height:1.6;margin:24px;max-width:1100px}article{border-top:1px solid #bbb;padding:16px 0}pre{white-space:pre-wrap;background:#f6f6f6;padding:12px}.meta{color:#555}"
-    top = [f"<!doctype html><meta charset='utf-8'>\n<title>{title}</title>\n<style>{style}</style>\n<h1>{title}</h1>\n<p>{note}</p>"]
-    parts = [F.lit("<article>\n<h2>"), escape_html(F.col(heading)), F.lit("</h2><p class='meta'>"), facts, F.lit("</p>\n")]
+    """A page with a section for each row: its heading, its facts and its texts, escaped."""
+    head = f'<!doctype html>\n<html lang="en"><head><meta charset="utf-8"><title>{title}</title><style>{_STYLE}</style></head>\n<body><main>\n<header><h1>{title}</h1>{note}</header>\n'
+    parts = [F.lit("<section><h2>"), escape_html(F.col(heading)), F.lit("</h2><small>"), escape_html(facts), F.lit("</small>")]
     for name, column in sections:
-        parts += [F.lit(f"<h3>{name}</h3>\n<pre>"), escape_html(F.col(column)), F.lit("</pre>\n")]
-    article = F.concat(*parts, F.lit("</article>"))
-    rows = df.orderBy(*order)
-    rows = rows.limit(limit) if limit else rows
-    body = rows.select(article.alias("value")).coalesce(1).withColumn("_n", F.monotonically_increasing_id() + 1)
-    head = df.sparkSession.createDataFrame([(top[0],)], "value string").withColumn("_n", F.lit(0).cast("long"))
-    _text(head.unionByName(body), F.col("value"), path, [F.col("_n")])
+        parts += [F.lit(f"<h3>{name}</h3><pre>"), escape_html(F.col(column)), F.lit("</pre>")]
+    rows = df.orderBy(*order).limit(limit) if limit else df
+    _file(rows, F.concat(*parts, F.lit("</section>")), path, order, head)

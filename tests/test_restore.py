@@ -46,8 +46,9 @@ DRAFTS = [
 
 
 def lines(path):
+    """Lines of an export, which is one file, or of a stream's folder."""
     out = []
-    for part in sorted(glob(f"{path}/part-*")):
+    for part in sorted(glob(f"{path}/part-*")) or [path]:
         with open(part, encoding="utf-8", newline="") as f:
             out += f.read().split("\n")[:-1]
     return out
@@ -99,7 +100,7 @@ def test_pronunciations(spark, files):
     verified = rows(files / "entries_pron_verified_index.jsonl")
     assert [r["id"] for r in verified] == ["1", "3", "4"] and verified[1]["body_unresolved_count"] == 1 and verified[1]["orthography"] is None
     assert [r["pronunciation"] for r in rows(files / "entries_pron_enriched_sample.jsonl")] == ["əbl", "beɪ ɪ", "ə"]
-    report = json.loads("\n".join(lines(files / "merge_report.json")))
+    report = json.loads("\n".join(lines(files / "entries_pron_enriched_report.json")))
     assert report["lookup"] == {"old_rows": 7, "exact_keys": 5, "normalized_keys": 5, "exact_lookup_keys": 4, "normalized_lookup_keys": 4, "ambiguous_exact_keys": 1, "ambiguous_normalized_keys": 1}
     assert report["merge_counts"] == {
         "total_entries": 5, "filtered_entries": 4, "verified_matches": 3, "headword_exact": 1, "headword_normalized": 1, "orthography_normalized": 1,
@@ -200,7 +201,7 @@ def test_headlines(spark, files):
     assert by["split"]["canonical"]["body"] == "わずかの間も、もちこたえられない。" and by["split"]["notes"] == ["body_restored_from_old_text:inline_source_line_split"]
     restored = rows(files / "entries_master_kokugo_restored_index.jsonl")
     assert [r["review_ready"] for r in restored] == [False, True, None, True, True, True, True, True, False, None]
-    report = json.loads("\n".join(lines(files / "restore_report.json")))
+    report = json.loads("\n".join(lines(files / "entries_master_kokugo_restored_report.json")))
     assert report["old_rows"] == 10 and report["coverage"] == {"restored_ratio": 0.8}
     assert report["merge_counts"] == {
         "total_entries": 10, "restored_matches": 8, "unmatched_entries": 2, "restored_unresolved_tokens": 1, "match_method:header_normalized_exact": 3,
@@ -254,10 +255,13 @@ def test_blocks(spark, files):
     assert first["raw_hex_first_128"].startswith("24 22 24") and first["block_hex"] == "0000" and first["control_codes"]["1F41"] == first["control_codes"]["1F0A"]
     windows = rows(files / "focused_known_windows.jsonl")
     assert [(w["id"], w["window_start_block"], w["window_end_block"], w["offset"]) for w in windows] == [("root_START:512:15:window", 13, 20, 13 * 512)]
+    assert not [p for p in files.iterdir() if p.name.count(".") > 1 and not p.name.startswith(".")]  # parts are gone
+    export_blocks(spark, root, root)  # again, over what is there
+    assert rows(files / "raw_block_samples.jsonl") == samples
     table = [x.split("\t") for x in lines(files / "control_codes.tsv")]
     assert table[0] == ["code", "count"] and {c for c, _ in table[1:]} == {"1F41", "1F0A"}
     html = "\n".join(lines(files / "preview.html"))
-    assert html.startswith("<!doctype html>") and html.count("<article>") == len(samples)
+    assert html.startswith("<!doctype html>") and html.count("<section>") == len(samples)
 
 
 def test_best_blocks_keep_known_ones(spark):
