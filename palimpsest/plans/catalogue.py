@@ -401,17 +401,3 @@ def u_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {"both": part.intersect(sold), "unsold": part.subtract(sold), "any": part.union(suppliers).distinct()}
     parts = [df.select(F.lit(k).alias("kind"), "key") for k, df in kinds.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-@query("SELECT * FROM (VALUES ('missing', 0), ('extra', 0), ('shared', 0), ('whole', 4)) AS t(kind, n)")
-def map_split_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A token map split in two: the parts share no token and make up the whole."""
-    whole = spark.createDataFrame([("hA121", "ə"), ("hA126", "ɪ"), ("zA423", "<subentry>"), ("zA425", "<label>")], "token string, value string")
-    spoken, common = whole.where("token like 'hA%'"), whole.where("token like 'zA%'")
-    joined = spoken.unionByName(common)
-    kinds = {"missing": whole.exceptAll(joined), "extra": joined.exceptAll(whole), "shared": spoken.join(common, "token", "left_semi"), "whole": joined}
-    out = None
-    for kind, df in kinds.items():
-        one = df.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(kind).alias("kind"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out

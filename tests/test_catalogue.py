@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__
 from palimpsest.functions import fixed
-from palimpsest.plans import catalogue
+from palimpsest.plans import catalogue, formats  # noqa: F401
 from tests.comparing import same
 from tests.test_text import plain_decode
 
