@@ -26,6 +26,7 @@ def main(args: list[str] | None = None) -> None:
             sub.add_argument("--source-id", default=DEFAULT_SOURCE)
         if name == "headlines":
             sub.add_argument("--draft-path")
+            sub.add_argument("--rules-path")
     given = parser.parse_args(args)
     spark = SparkSession.builder.appName("palimpsest").getOrCreate()
     if given.command == "blocks":
@@ -35,7 +36,7 @@ def main(args: list[str] | None = None) -> None:
         got = export_pronunciations(spark, given.source_root, given.out_root, given.raw_path, given.map_path, given.old_text_path, given.source_id)
         _say(got.report)
     else:
-        _say(export_headlines(spark, given.source_root, given.out_root, given.draft_path, given.map_path, given.old_text_path).report)
+        _say(export_headlines(spark, given.source_root, given.out_root, given.draft_path, given.map_path, given.old_text_path, given.rules_path).report)
 
 
 def _say(report) -> None:

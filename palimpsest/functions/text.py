@@ -8,7 +8,7 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
@@ -149,6 +149,12 @@ def escape_html(text: Column) -> Column:
     return literally(text, {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;"})
 
 
+def symbols(spark: SparkSession) -> DataFrame:
+    """(symbol, code): the printable ASCII characters that are neither letters nor digits, with the number that enters each."""
+    codes = spark.range(0x21, 0x7F).select(F.char("id").alias("symbol"), F.col("id").alias("code"))
+    return codes.where(~F.col("symbol").rlike("[0-9A-Za-z]"))
+
+
 def script_score(text: Column) -> Column:
     return reduce(lambda a, b: a + b, (F.regexp_count(text, F.lit(pattern)) * points for points, pattern in fixed.SCRIPT_SCORES)).cast("int")
 

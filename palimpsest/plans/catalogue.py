@@ -18,6 +18,8 @@ from palimpsest.functions.blocks import control_counts, decode_block
 from palimpsest.operators import choose, lookup, segment
 from palimpsest.operators.islands import positional_fill
 from palimpsest.operators.order import running_count
+from palimpsest.plans.extract import control_totals
+from palimpsest.sources.readers import lines_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,10 +76,12 @@ def f_regex_token_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]+")).select("doc_id", n.alias("n"))
 
 
-@query("SELECT doc_id, i - 1 AS ord, md5(string_split(text, chr(10))[i]) AS line FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)")
+@query("""
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS parts FROM documents WHERE length(text) > 0)
+SELECT CAST(doc_id AS VARCHAR) AS file, i - 1 AS ord, md5(parts[i]) AS line FROM cut, unnest(range(1, len(parts) + 1)) AS r(i)""")
 def s_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"))
-    return docs.select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.md5("line").alias("line"))
+    texts = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    return lines_of(texts, ends="\\n").select("file", F.col("ord").cast("bigint").alias("ord"), F.md5("line").alias("line"))
 
 
 # Text functions.
@@ -204,6 +208,28 @@ def a_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.withColumn("coverage", choose.ratio(F.col("matched"), F.col("total")))
 
 
+@query("""
+WITH counts AS (SELECT user_id, event_type AS code, count(*) AS n FROM events GROUP BY ALL)
+SELECT code, CAST(sum(n) AS BIGINT) AS count FROM counts GROUP BY code""")
+def a_control_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' counts of event types as maps, summed by key."""
+    counts = _t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id")
+    maps = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("control_codes"))
+    samples = maps.select(F.lit("events").alias("source_id"), F.lit(1).alias("block_size"), F.col("user_id").alias("rank"), "control_codes")
+    return control_totals(samples).select("code", "count")
+
+
+@query("""
+WITH signs AS (SELECT unnest(regexp_extract_all(text, '[!-/:-@\\[-`{-~]')) AS symbol FROM documents), counts AS (SELECT symbol, count(*) AS n FROM signs GROUP BY symbol)
+SELECT chr(CAST(code AS INT)) AS symbol, code, coalesce(n, 0) AS n FROM unnest(range(33, 127)) AS r(code) LEFT JOIN counts ON symbol = chr(CAST(code AS INT))
+WHERE NOT regexp_matches(chr(CAST(code AS INT)), '[0-9A-Za-z]')""")
+def t_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each symbol with its number, and how often the documents have it."""
+    signs = _t(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[!-/:-@\\[-`{-~]"), F.lit(0))).alias("symbol"))
+    counts = signs.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    return t.symbols(spark).join(counts, "symbol", "left").select("symbol", "code", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 # Joins.
 
 

@@ -154,9 +154,24 @@ def headline_edits() -> Column:
     )
 
 
-def _literal_entries(spark: SparkSession) -> DataFrame:
+class Rules(NamedTuple):
+    """What is decided by hand for a dictionary, as data. clues: (texts that all stand in the body, header of the entry, method); headers: (header,
+    head line, body, method of the entry that is made for it). A document with both is read by read_rules."""
+
+    clues: list[tuple[list[str], str, str]] = fixed.MANUAL_CLUES
+    headers: list[tuple[str, str, str, str]] = fixed.MANUAL_HEADERS
+
+
+def read_rules(spark: SparkSession, path: str) -> Rules:
+    """Of a JSON document {"clues": [{"all", "header", "method"}], "headers": [{"header", "line", "body", "method"}]}, each list in the order in which rules apply."""
+    shape = "clues array<struct<all:array<string>,header:string,method:string>>, headers array<struct<header:string,line:string,body:string,method:string>>"
+    row = spark.read.schema(shape).json(path, multiLine=True, mode="FAILFAST").first()
+    return Rules([(list(c["all"]), c["header"], c["method"]) for c in row["clues"] or []], [tuple(h) for h in row["headers"] or []])
+
+
+def _literal_entries(spark: SparkSession, rules: Rules) -> DataFrame:
     """(header, row) of the entries that rules make from literals."""
-    rows = [(header, line, body) for header, line, body, _ in fixed.MANUAL_HEADERS]
+    rows = [(header, line, body) for header, line, body, _ in rules.headers]
     made = spark.createDataFrame(rows, "header string, line string, body string")
     fields = headline_fields(
         made.select(
@@ -167,22 +182,23 @@ def _literal_entries(spark: SparkSession) -> DataFrame:
     return fields.select(F.col("file").alias("key"), F.struct(*fields.columns).alias("row"))
 
 
-def apply_rules(rows: DataFrame, entries: DataFrame) -> DataFrame:
+def apply_rules(rows: DataFrame, entries: DataFrame, rules: Rules | None = None) -> DataFrame:
     """For rows without a match: entries chosen by clues in the body, or made for a header. rows: header_key, body_key, row, method, restored."""
+    rules = rules or Rules()
     known = entries.select("*", F.col("headword_line_mapped_normalized").alias("_header"))
     by_header = last_of(known, "_header", ["file", "ord"])
     wanted, clue_method = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for clues, header, method in reversed(fixed.MANUAL_CLUES):
+    for clues, header, method in reversed(rules.clues):
         holds = F.lit(True)
         for clue in clues:
             holds = holds & F.col("body_key").contains(clue)
         wanted, clue_method = F.when(holds, F.lit(header)).otherwise(wanted), F.when(holds, F.lit(method)).otherwise(clue_method)
     made = F.lit(None).cast("string")
-    for header, _, _, method in reversed(fixed.MANUAL_HEADERS):
+    for header, _, _, method in reversed(rules.headers):
         made = F.when(F.col("header_key") == header, F.lit(method)).otherwise(made)
     shape = entries.schema
     clue_rows = by_header.select(F.col("key").alias("_ck"), F.struct(*[F.col("row")[c].alias(c) for c in shape.names]).alias("_crow"))
-    literal = _literal_entries(rows.sparkSession).select(F.col("key").alias("_lk"), F.struct(*[F.col("row")[f.name].cast(f.dataType).alias(f.name) for f in shape]).alias("_lrow"))
+    literal = _literal_entries(rows.sparkSession, rules).select(F.col("key").alias("_lk"), F.struct(*[F.col("row")[f.name].cast(f.dataType).alias(f.name) for f in shape]).alias("_lrow"))
     open_row = ~F.col("restored")
     out = rows.withColumn("_want", F.when(open_row, wanted)).join(clue_rows, F.col("_want") == F.col("_ck"), "left")
     out = out.withColumn("_make", F.when(open_row & F.col("_crow").isNull(), F.col("header_key"))).join(literal, F.col("_make") == F.col("_lk"), "left")
@@ -191,7 +207,7 @@ def apply_rules(rows: DataFrame, entries: DataFrame) -> DataFrame:
     return out.drop("_want", "_ck", "_crow", "_make", "_lk", "_lrow")
 
 
-def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str], source_name: str = "old-text") -> Restored:
+def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str], source_name: str = "old-text", rules: Rules | None = None) -> Restored:
     """Matches drafts by header, head part and two body signatures, then by place between matched neighbours, then by rules.
 
     Drafts keep their file's order. Rows that were restored before count as matched, and are matched again where a key finds them.
@@ -230,7 +246,7 @@ def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str
         second.withColumn("method", F.when(hit, F.lit("positional_window_unique")).otherwise(F.col("method"))).withColumn("row", F.coalesce("_prow", "row"))
         .withColumn("source_name", F.when(hit, F.lit("old-text")).otherwise(F.col("source_name"))).withColumn("restored", F.col("restored") | hit).drop("_prow")
     )
-    third = apply_rules(second, entries)
+    third = apply_rules(second, entries, rules)
     third = third.withColumn("restored", F.col("restored") | F.col("method").isNotNull())
     rows = third.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), headline_edits()))).persist()
 
@@ -276,11 +292,14 @@ def export_pronunciations(spark: SparkSession, source_root: str, out_root: str,
     return got
 
 
-def export_headlines(spark: SparkSession, source_root: str, out_root: str, draft_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None) -> Restored:
+def export_headlines(
+    spark: SparkSession, source_root: str, out_root: str, draft_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None, rules_path: str | None = None
+) -> Restored:
+    """As export_pronunciations, for head lines; rules_path: the dictionary's rules, by default those of the formats' fixed values."""
     old = old_text_path or f"{source_root}/{fixed.HEADLINE_DUMP}"
     drafts = read_drafts(spark, draft_path or f"{out_root}/{fixed.HEADLINE_DRAFTS}", HEADLINE_DRAFT)
     tokens = read_token_map(spark, map_path or f"{out_root}/{fixed.TOKEN_MAP_FILE}")
-    got = restore_headlines(drafts, read_dump(spark, old), tokens, old.rsplit("/", 1)[-1])
+    got = restore_headlines(drafts, read_dump(spark, old), tokens, old.rsplit("/", 1)[-1], read_rules(spark, rules_path) if rules_path else None)
     names = {k: f"{out_root}/{k}.jsonl" for k in fixed.HEADLINE_OUTPUTS}
     _write(got.entries, names[fixed.HEADLINE_OUTPUTS[0]])
     write_jsonl(got.rows, names[fixed.HEADLINE_OUTPUTS[1]], [F.col("file"), F.col("ord")], raw="line")

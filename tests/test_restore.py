@@ -7,6 +7,7 @@ from glob import glob
 
 import pytest
 
+from palimpsest.__main__ import main
 from palimpsest.plans.extract import block_samples, export_blocks, known_windows
 from palimpsest.plans.restore import HEADLINE_DRAFT, export_headlines, export_pronunciations, restore_headlines
 from palimpsest.sources.readers import lines_of, read_drafts, read_dump, read_text_lines
@@ -271,3 +272,35 @@ def test_best_blocks_keep_known_ones(spark):
     assert [r["block"] for r in got] == [b for b in range(41) if b != 3] + [59, 3]
     assert [r["rank"] for r in got] == list(range(1, 43))
     assert known_windows(files, sizes=[512], known=[59, 900]).select("window_start_block", "window_end_block").collect() == [(57, 59)]
+
+
+def test_rules_as_data(spark, files):
+    (files / "d.txt").write_bytes("あ\n〈名〉one\nい\n〈名〉two\nう\n〈名〉three\n".encode("cp932"))
+    drafts = [draft("a", "q1", "has alpha and beta"), draft("b", "made"), draft("c", "q3", "alpha only")]
+    (files / "entries_master_kokugo_draft.jsonl").write_text("".join(json.dumps(d) + "\n" for d in drafts), encoding="utf-8")
+    rules = {"clues": [{"all": ["alpha", "beta"], "header": "い", "method": "by_clue"}], "headers": [{"header": "made", "line": "え【絵】", "body": "text", "method": "by_header"}]}
+    (files / "rules.json").write_text(json.dumps(rules, indent=1), encoding="utf-8")
+    root = f"file://{files}"
+    main(["headlines", "--source-root", root, "--out-root", root, "--old-text-path", f"{root}/d.txt", "--rules-path", f"{root}/rules.json"])
+    got = {r["id"]: r["canonical"] for r in rows(files / "entries_master_kokugo_restored.jsonl")}
+    assert (got["a"]["body_match_method"], got["a"]["body"]) == ("by_clue", "〈名〉two")
+    assert (got["b"]["body_match_method"], got["b"]["body"], got["b"]["orthography"]) == ("by_header", "text", "絵")
+    assert "body_match_method" not in got["c"]
+    # Again over its own output: what was restored counts as found and keeps its first header.
+    (files / "entries_master_kokugo_restored.jsonl").rename(files / "again.jsonl")
+    main(["headlines", "--source-root", root, "--out-root", root, "--draft-path", f"{root}/again.jsonl", "--old-text-path", f"{root}/d.txt", "--rules-path", f"{root}/rules.json"])
+    second = rows(files / "entries_master_kokugo_restored.jsonl")
+    assert [r["header"].get("extracted_normalized") for r in second] == ["q1", "made", None]
+    assert json.loads((files / "entries_master_kokugo_restored_report.json").read_text())["coverage"] == {"restored_ratio": 0.666667}
+
+
+def test_commands_write_their_files(spark, files, capsys):
+    root = f"file://{files}"
+    main(["pronunciations", "--source-root", root, "--out-root", root, "--source-id", "other"])
+    assert json.loads((files / "entries_pron_enriched_report.json").read_text())["merge_counts"]["filtered_entries"] == 1
+    for name in ("START", "KOKUGO/START", "CRCEN/START"):
+        (files / name).parent.mkdir(exist_ok=True)
+        (files / name).write_bytes(b"\x24\x22" * 600)
+    main(["blocks", "--source-root", root, "--out-root", f"{root}/out"])
+    assert {p.name for p in (files / "out").iterdir() if not p.name.startswith(".")} == {"raw_block_samples.jsonl", "focused_known_windows.jsonl", "control_codes.tsv", "preview.html", "focused_known_windows.html"}
+    assert "wrote 9 samples" in capsys.readouterr().out
