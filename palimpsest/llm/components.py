@@ -18,6 +18,7 @@ def connected(links: DataFrame) -> DataFrame:
 
     A large star links each node's larger neighbours to the least of its neighbourhood, a small star its smaller ones; both keep
     components, and the edges end as stars around the least nodes. The number of rounds grows with the logarithm of the nodes.
+    The least neighbour is summed before it is shuffled, and both sides of the join are tables, so AQE splits the edges of a hub.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     before = None

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ from palimpsest.llm.keyfilter import key_filter
 from palimpsest.llm.storage import discard, written
 
 SIZE, PERCENT = 5, 80
-#: The order's table of word counts has 2**COUNT_BITS numbers, and is added up in blocks.
-COUNT_BITS, _BLOCKS = 20, 32
+#: The order's table of word counts has 2**COUNT_BITS numbers, and is added up in blocks, by groups of tasks first.
+COUNT_BITS, _BLOCKS, _FAN = 20, 32, 64
 #: Sets and n-grams of one trie, about; prefix n-grams in one packed bucket; tasks that buckets are dealt to, at most.
 GROUP_SETS, GROUP_NGRAMS = 2048, 1 << 21
 BUCKET_NGRAMS = 1_000_000
@@ -85,27 +86,37 @@ def order_levels(read: DataFrame) -> tuple[np.ndarray, int]:
     """The bit length of each table place's count over all rows, 2**COUNT_BITS bytes, and the number of all words."""
     block = (1 << COUNT_BITS) // _BLOCKS
 
+    def packed(k: int, group: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([pa.compress(counts.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["block", "fan", "counts"])
+
+    def unpacked(x: pa.Scalar) -> np.ndarray:
+        return np.frombuffer(pa.decompress(x.as_buffer(), block * 8, codec="zstd", asbytes=True), np.int64)
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        group = (context.partitionId() if context else 0) % _FAN
         total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
             for texts in W.slices(batch.column(0)):
                 total += np.bincount(_place(_words(texts)[0]), minlength=1 << COUNT_BITS)
         for k, part in enumerate(total.reshape(_BLOCKS, block)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
+            if part.any():
+                yield packed(k, group, part)
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(block, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
-                total += np.frombuffer(x.as_buffer(), "<u4")
-        level = np.ceil(np.log2(total + 1)).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary()), pa.array([int(total.sum())])], ["block", "counts", "total"])
+                total += unpacked(x)
+        yield packed(key[0].as_py(), key[1].as_py() if len(key) > 1 else 0, total)
 
     out, total = np.zeros((_BLOCKS, block), np.uint8), 0
-    counts = read.select("_text").mapInArrow(partial, "block int, counts binary")
-    for row in counts.groupBy("block").applyInArrow(add, "block int, counts binary, total bigint").collect():  # of fixed size
-        out[row["block"]] = np.frombuffer(row["counts"], np.uint8)
-        total += row["total"]
+    fields = "block int, fan int, counts binary"
+    counts = read.select("_text").mapInArrow(partial, fields).groupBy("block", "fan").applyInArrow(add, fields)
+    for row in counts.groupBy("block").applyInArrow(add, fields).collect():  # of fixed size
+        own = unpacked(pa.scalar(bytes(row["counts"]), pa.binary()))
+        out[row["block"]] = np.ceil(np.log2(own + 1))
+        total += int(own.sum())
     return np.minimum(out.reshape(-1), 31), total
 
 
