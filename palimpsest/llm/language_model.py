@@ -82,32 +82,40 @@ class Grams(NamedTuple):
     number: np.ndarray
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys in ascending order, a place of each, and the number of the key at each place."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return ranked[new], order[new], number
+
+
 def grams(chunk: Chunk) -> list[Grams]:
     """Words, bigrams (with the begin as a word) and trigrams (from a text's second word on)."""
     own = chunk.names[chunk.tokens]
     first = chunk.bounds[:-1]
+    words = np.empty(len(chunk.names), np.int64)
+    words[chunk.tokens] = np.arange(len(own))
+    out = [Grams(chunk.names, words, chunk.tokens)]
     before = np.empty_like(own)
     before[1:] = own[:-1]
     before[first] = BEGIN
     two = W.mix(W.mix(before) + own)
-    pair_before = np.empty_like(two)
-    pair_before[1:] = two[:-1]
-    three = W.mix(W.mix(pair_before) + own)
-    words = np.empty(len(chunk.names), np.int64)
-    words[chunk.tokens[::-1]] = np.arange(len(own) - 1, -1, -1)
-    out = [Grams(chunk.names, words, chunk.tokens)]
+    out.append(Grams(*_numbered(two >> np.uint64(64 - KEY_BITS[1]))))
+    before[1:] = two[:-1]
+    del two
     inner = np.ones(len(own), bool)
     inner[first] = False
-    for keys, bits, where in ((two, KEY_BITS[1], None), (three, KEY_BITS[2], np.flatnonzero(inner))):
-        some = (keys if where is None else keys[where]) >> np.uint64(64 - bits)
-        distinct, at, back = np.unique(some, return_index=True, return_inverse=True)
-        number = np.full(len(own), -1, np.int32)
-        if where is None:
-            number[:] = back
-        else:
-            number[where] = back
-            at = where[at]
-        out.append(Grams(distinct, at, number))
+    place = np.flatnonzero(inner)
+    three = W.mix(W.mix(before[place]) + own[place])
+    del before, own, inner
+    keys, at, some = _numbered(three >> np.uint64(64 - KEY_BITS[2]))
+    number = np.full(len(chunk.tokens), -1, np.int32)
+    number[place] = some
+    out.append(Grams(keys, place[at], number))
     return out
 
 
