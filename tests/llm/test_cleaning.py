@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -60,6 +61,58 @@ def test_line_rules(spark):
     assert q.clean_lines(docs.where("false")).count() == 0
 
 
+def plain_lines(text):
+    """(line, fails, word characters) of each line, rule by rule."""
+    out, seen = [], set()
+    lines = (text or "").split("\n")
+    link = {}
+    for k, line in enumerate(lines):
+        w = split(line)
+        if w:
+            tail = w[-1][-1]
+            link[k] = len(w) <= 4 and ord(tail) < 128 and tail not in ".!?:;\"')" and not "a" <= w[0][0] <= "z"
+    worded, menu = sorted(link), set()
+    for same, group in itertools.groupby(worded, key=lambda k: link[k]):
+        group = list(group)
+        if same and len(group) >= 3:
+            menu |= set(group)
+    for k, line in enumerate(lines):
+        w = split(line)
+        chars = sum(map(len, w))
+        fails = False
+        if w:
+            n, tail = len(w), w[-1][-1]
+            fails = (
+                100 * len(re.findall(r"[#*$%&|<>]", line)) > 10 * chars or n >= 4 and 100 * line.count("!") > 60 * n or n >= 4 and 100 * sum(x in ["|", "/", ">", "»", "›", "·", "•"] for x in w) >= 20 * n
+                or n >= 10 and 100 * (n - len(set(w))) >= 80 * n or n >= 12 and ord(tail) < 128 and tail not in ".!?:;\"')" or line in seen or k in menu
+                or any(p in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line) for p in q.PHRASES)
+            )
+            seen.add(line)
+        out.append((line, fails, chars))
+    return out
+
+
+def plain_judge(text):
+    """(kept, clean text)."""
+    n_words, chars, _, _, again = counts(text)
+    lines = plain_lines(text)
+    lost = sum(c for _, fails, c in lines if fails)
+    kept = n_words >= 10 and 100 * again <= 20 * n_words and 100 * lost <= 50 * chars
+    return kept, None if text is None else "\n".join(x for x, fails, _ in lines if not fails)
+
+
+def test_lines_by_plain_rules(spark):
+    rng = random.Random(11)
+    parts = ["Home", "About us", "a", "word", "The end.", "buy$$", "x|y", "|", "/", "»", "•", "WOW!", "go!!", "漢字", "é", "Accept cookies", "privacy policy", "spam", "spam", "\n", "\n", "\n\n", ".", "\x1c", "\t"]
+    texts = [t for t in TEXTS if t is None or len(t) < 5000] + [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 45))) for _ in range(1500)]
+    texts += ["\n".join(rng.choice(["A sentence of many words stands here for all to read.", "Home", "News today", "lower case", "End here.", ""]) for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r.id: (r.kept, r.clean_text) for r in q.clean_lines(docs).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == plain_judge(text), text
+    assert 0 < sum(k for k, _ in got.values()) < len(texts)
+
+
 MENUS = [
     ["Home", "About us", "Products", "Contact", "Login", "Back to top"],
     ["Start", "", "News", "", "Sport"],

@@ -9,13 +9,9 @@ import sys
 from pathlib import Path
 
 import corpus_pipeline
-from palimpsest.llm.quality_rules import Rules, judge
-from palimpsest.llm import words as W
-from tests.llm.test_cleaning import contaminated
+from tests.llm.test_cleaning import contaminated, plain_judge
 from tests.llm.test_ngram_join import brute
 
-import pyarrow as pa
-
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -54,15 +50,8 @@ def test_stages_beside_plain_python(spark, tmp_path):
     want, at, got = [(i, t, s) for i, t, s in rows], [], spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         if name == "quality_rules":
-            next_rows = []
-            for s in W.slices(pa.array([t for _, t, _ in want], pa.string())):
-                j = judge(s, Rules())
-                for k in range(s.last - s.first):
-                    i, t, source = want[s.first + k]
-                    if j.kept[k]:
-                        a, z = j.line_bounds[k], j.line_bounds[k + 1]
-                        next_rows.append((i, "\n".join(x for x, bad in zip(t.split("\n"), j.line_fails[a:z], strict=True) if not bad), source))
-            want = next_rows
+            judged = [(i, plain_judge(t), source) for i, t, source in want]
+            want = [(i, clean, source) for i, (kept, clean), source in judged if kept]
         elif name == "line_dedup":
             want = site_lines(want)
         elif name == "near_duplicates":
