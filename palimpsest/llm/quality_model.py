@@ -23,6 +23,8 @@ from palimpsest.llm.storage import written
 #: Rows of shapes and of words: far more than frequent words, so that only rare ones share a row. Numbers of a vector; those that aren't 0 in an index vector.
 SHAPE_ROWS, WORD_ROWS, DIM, NONZERO = 1 << 13, 1 << 16, 48, 6
 ROWS = SHAPE_ROWS + WORD_ROWS
+#: Added to the length of a row's sum before the sum is divided by it: what was seen a few times only says little.
+RARE = 30.0
 #: Blocks in which sums meet, and groups of tasks in which each block is summed first.
 _BLOCKS, _FAN = 16, 64
 #: The most labelled rows that the network is fitted on, taken by a hash of their ids.
@@ -81,7 +83,7 @@ def contexts(texts: W.Texts, index: tuple[np.ndarray, np.ndarray], out: np.ndarr
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The table of unit word vectors over all rows: ROWS x DIM numbers, whatever the size of the corpus."""
+    """The table of word vectors over all rows: ROWS x DIM numbers, whatever the size of the corpus. Their length is below one, and small for rare rows."""
     size = ROWS // _BLOCKS * DIM
 
     def packed(block: int, group: int, sums: np.ndarray) -> pa.RecordBatch:
@@ -115,7 +117,7 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     for b in blocks:
         table[b["block"]] = unpacked(pa.scalar(bytes(b["sums"]), pa.binary()))
     table = table.reshape(ROWS, DIM)
-    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    return (table / (np.linalg.norm(table, axis=1, keepdims=True) + RARE)).astype(np.float32)
 
 
 def pooled(texts: W.Texts, vectors: np.ndarray) -> np.ndarray:

@@ -194,7 +194,7 @@ def test_vectors_and_pools_by_plain_counting(spark):
                 if 0 <= j < len(text):
                     want[shape] += index[rows_of[text[j][0]]]
                     want[word] += index[rows_of[text[j][1]]]
-    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    want /= np.linalg.norm(want, axis=1, keepdims=True) + qm.RARE
     got = qm.word_vectors(spark.createDataFrame([(t,) for t in ODD], "text string").repartition(3))
     assert np.allclose(got, want, atol=1e-6)
     for s in W.slices(pa.array(ODD, pa.string())):
