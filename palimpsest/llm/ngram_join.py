@@ -14,8 +14,9 @@ last. Equal sets are one class, and only classes go on.
    size is dealt out in blocks, the sets of one walking the trie of another.
 4. A pair of linked classes belongs to the least anchor that both have. There it counts for both, so links are counted, not listed:
    a task returns one count for each class, and of the pairs only links enough to connect what it found.
-   For components alone, subtrees whose sets are already linked with the walkers are left, and a group of several blocks first
-   compares each block with itself and with the first one; only sets outside its largest component then walk all blocks.
+   For components alone, subtrees whose sets are already linked with the walkers are left, and a group of more than some sets first
+   compares small blocks with themselves and with the first one; only sets outside its largest component then walk all of it. So a
+   group of near copies costs as many steps as it has sets.
 5. Links make components by stars. Rows get their class's component and links.
 Hashes have 59 bits beside the order's 5. Two of a document's n-grams meet by chance with a probability below 2**-40, and two of n sets share
 a class's 64 bits by chance with a probability of about n**2 / 2**65.
@@ -39,8 +40,8 @@ from palimpsest.llm.storage import discard, written
 SIZE, PERCENT = 5, 80
 #: The order's table of word counts has 2**COUNT_BITS numbers, and is added up in blocks, by groups of tasks first.
 COUNT_BITS, _BLOCKS, _FAN = 20, 32, 64
-#: Sets and n-grams of one trie, about; prefix n-grams in one packed bucket; tasks that buckets are dealt to, at most.
-GROUP_SETS, GROUP_NGRAMS = 2048, 1 << 21
+#: Sets and n-grams of one trie, about; sets of a block in the first comparison for components alone; prefix n-grams in one packed bucket; tasks that buckets are dealt to, at most.
+GROUP_SETS, GROUP_NGRAMS, FIRST_SETS = 2048, 1 << 21, 128
 BUCKET_NGRAMS = 1_000_000
 MAX_TASKS = 8192
 #: Bytes of the table that tells which walkers have an n-gram.
@@ -401,9 +402,10 @@ def jaccard_components(
     ties = dealt.mapInArrow(anchor, "part int, ties binary").repartition(tasks, "part").sortWithinPartitions("part")
     tied = written(ties.mapInArrow(prune, "anchor bigint, cls bigint, n bigint"))
     sizes = tied.groupBy("anchor").agg(F.count(F.lit(1)).alias("_size"), F.sum("n").alias("_ngrams")).where("_size > 1")
-    blocks = F.greatest(F.ceil(F.col("_size") / group_sets), F.ceil(F.col("_ngrams") / group_ngrams)).cast("int")
-    placed = tied.join(sizes.select("anchor", blocks.alias("blocks")), "anchor")
-    members = written(placed.select("anchor", "cls", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("own")))
+    in_blocks = lambda sets: F.greatest(F.ceil(F.col("_size") / sets), F.ceil(F.col("_ngrams") / group_ngrams)).cast("int")
+    first_sets = min(group_sets, FIRST_SETS) if components_only else group_sets
+    placed = tied.join(sizes.select("anchor", in_blocks(first_sets).alias("blocks"), in_blocks(group_sets).alias("tries")), "anchor")
+    members = written(placed.select("anchor", "cls", "blocks", "tries", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("own")))
     discard(tied)
 
     # Full sets of the classes in groups, once for each task that has the class.
@@ -455,12 +457,13 @@ def jaccard_components(
         many = members.where("blocks > 1").join(roots, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cls")).drop("node", "root")
         parts = many.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("_n"))
         largest = parts.groupBy("anchor").agg(F.max_by("label", F.struct("_n", "label")).alias("_largest"), F.sum("_n").alias("_all"), F.max("_n").alias("_most")).where("_all > _most")
-        many = written(many.join(largest, "anchor").withColumn("_walkers", F.ceil((F.col("_all") - F.col("_most")) / group_sets).cast("int")))
+        share = (F.col("_all") - F.col("_most")) / F.col("_all")
+        many = written(many.join(largest, "anchor").withColumn("_walkers", F.greatest(F.lit(1), F.ceil(share * F.col("tries"))).cast("int")))
         if not many.isEmpty():
             outside = F.col("label") != F.col("_largest")
-            block = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("_walkers")).cast("int")
-            walkers = many.where(outside).withColumn("j", F.explode(F.sequence(zero, last))).select("anchor", block.alias("i"), "j", F.lit(1).alias("role"), "label", "cls")
-            tries = many.withColumn("i", F.explode(F.sequence(zero, F.col("_walkers") - 1))).select("anchor", "i", own.alias("j"), zero.alias("role"), "label", "cls")
+            block, trie = (F.pmod(F.xxhash64("cls", F.lit(1)), F.col(c)).cast("int") for c in ("_walkers", "tries"))
+            walkers = many.where(outside).withColumn("j", F.explode(F.sequence(zero, F.col("tries") - 1))).select("anchor", block.alias("i"), "j", F.lit(1).alias("role"), "label", "cls")
+            tries = many.withColumn("i", F.explode(F.sequence(zero, F.col("_walkers") - 1))).select("anchor", "i", trie.alias("j"), zero.alias("role"), "label", "cls")
             more = links_of(walkers.union(tries))
             discard(roots)
             roots = connected(found.union(more).where("b is not null").select("a", "b"))
