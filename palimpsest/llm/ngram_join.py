@@ -455,10 +455,12 @@ def jaccard_components(
         roots = connected(found.where("b is not null").select("a", "b"))
         # What stands outside the largest component of a group of several blocks walks all of them.
         many = members.where("blocks > 1").join(roots, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cls")).drop("node", "root")
-        parts = many.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("_n"))
-        largest = parts.groupBy("anchor").agg(F.max_by("label", F.struct("_n", "label")).alias("_largest"), F.sum("_n").alias("_all"), F.max("_n").alias("_most")).where("_all > _most")
+        parts = many.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("_n"), F.max("blocks").alias("_blocks"))
+        largest = parts.groupBy("anchor").agg(F.max_by("label", F.struct("_n", "label")).alias("_largest"), F.sum("_n").alias("_all"), F.max("_n").alias("_most"), F.max("_blocks").alias("_blocks")).where("_all > _most")
+        # A row for each block, so that a large group isn't joined in one task.
+        largest = largest.withColumn("own", F.explode(F.sequence(zero, F.col("_blocks") - 1))).drop("_blocks")
         share = (F.col("_all") - F.col("_most")) / F.col("_all")
-        many = written(many.join(largest, "anchor").withColumn("_walkers", F.greatest(F.lit(1), F.ceil(share * F.col("tries"))).cast("int")))
+        many = written(many.join(largest, ["anchor", "own"]).withColumn("_walkers", F.greatest(F.lit(1), F.ceil(share * F.col("tries"))).cast("int")))
         if not many.isEmpty():
             outside = F.col("label") != F.col("_largest")
             block, trie = (F.pmod(F.xxhash64("cls", F.lit(1)), F.col(c)).cast("int") for c in ("_walkers", "tries"))
