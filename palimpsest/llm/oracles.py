@@ -149,3 +149,77 @@ FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b)
 LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a) USING (doc_id)
 LEFT JOIN (SELECT a AS doc_id, min(b) AS e FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE shared = x.n AND shared = y.n GROUP BY a) USING (doc_id)
 """
+
+_DRAW = "CAST('0x' || substr(digest, {}, 8) AS BIGINT)"
+
+FILL_MIDDLE = f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS digest,
+         regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u
+  FROM documents),
+cuts AS (
+  SELECT *, len(u) AS n, least({_DRAW.format(1)} % (len(u) + 1), {_DRAW.format(9)} % (len(u) + 1)) AS a, greatest({_DRAW.format(1)} % (len(u) + 1), {_DRAW.format(9)} % (len(u) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_DRAW.format(17)} % 100 >= 50 THEN 'plain'
+              WHEN {_DRAW.format(25)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM docs),
+parts AS (SELECT *, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 :], '') AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+_STAMP = (
+    "^(?:(20[0-9][0-9])-([0-9][0-9])-([0-9][0-9])|(20[0-9][0-9])([0-9][0-9])([0-9][0-9])|([0-9][0-9])[.]([0-9][0-9])[.](20[0-9][0-9])"
+    "|([0-9][0-9]) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (20[0-9][0-9])|([0-9][0-9])/([0-9][0-9])/(20[0-9][0-9]))"
+    "(?:[T ]([0-9][0-9]):([0-9][0-9])(?::([0-9][0-9]))?(?: ?([AP]M))?(?: ?(Z|([+-])([0-9][0-9]):?([0-9][0-9])))?)?$"
+)
+_GROUPS = ["y1", "m1", "d1", "y2", "m2", "d2", "d3", "m3", "y3", "d4", "b", "y4", "s1", "s2", "ys", "h", "mi", "s", "half", "off", "sign", "oh", "om"]
+_OFFSET = "CAST(epoch(timezone(zone, to_timestamp({0}))) AS BIGINT) - ({0})"
+
+
+def _settled(name: str) -> str:
+    """Common table expressions that place the wall seconds `name` in their zone, as utc_`name` and unsure_`name`."""
+    return f"""
+{name}_around AS (SELECT stamp_id, zone, {name} AS w, {_OFFSET.format(name + " - 86400")} AS a, {_OFFSET.format(name + " + 86400")} AS b FROM fields WHERE {name} IS NOT NULL AND off = ''),
+{name}_tried AS (SELECT *, {_OFFSET.format("w - a")} = a AS a_fits, {_OFFSET.format("w - b")} = b AS b_fits FROM {name}_around),
+{name}_local AS (SELECT stamp_id, CASE WHEN a = b OR a_fits AND NOT b_fits THEN w - a ELSE w - b END AS utc_{name}, a <> b AND a_fits = b_fits AS unsure_{name} FROM {name}_tried),"""
+
+
+TIMESTAMPS = f"""
+WITH trimmed AS (SELECT stamp_id, source, zone, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS raw FROM stamps),
+taken AS (SELECT stamp_id, source, zone, raw, regexp_extract(raw, '{_STAMP}', {_GROUPS}) AS g FROM trimmed),
+split AS (SELECT stamp_id, source, zone, raw, unnest(g) FROM taken),
+timed AS (
+  SELECT *, TRY_CAST(h AS INT) AS hh, s1 <> '' AS slashed,
+         TRY_CAST(CASE WHEN off IN ('', 'Z') THEN 0 WHEN CAST(oh AS INT) <= 14 AND CAST(om AS INT) < 60 THEN (CAST(oh AS INT) * 3600 + CAST(om AS INT) * 60) * CASE sign WHEN '-' THEN -1 ELSE 1 END END AS BIGINT) AS offset_s,
+         TRY_CAST(CASE WHEN y1 <> '' THEN y1 || '-' || m1 || '-' || d1 WHEN y2 <> '' THEN y2 || '-' || m2 || '-' || d2 WHEN y3 <> '' THEN y3 || '-' || m3 || '-' || d3
+                       WHEN y4 <> '' THEN y4 || '-' || lpad(CAST(1 + (position(b IN 'JanFebMarAprMayJunJulAugSepOctNovDec') - 1) // 3 AS VARCHAR), 2, '0') || '-' || d4
+                       WHEN ys <> '' THEN ys || '-' || s2 || '-' || s1 END AS DATE) AS day1,
+         TRY_CAST(CASE WHEN ys <> '' THEN ys || '-' || s1 || '-' || s2 END AS DATE) AS day2
+  FROM split),
+clocked AS (
+  SELECT *, CASE WHEN h = '' THEN 0
+                 WHEN CAST(mi AS INT) < 60 AND coalesce(TRY_CAST(s AS INT), 0) < 60 AND CASE half WHEN '' THEN hh < 24 ELSE hh BETWEEN 1 AND 12 END
+                 THEN CASE half WHEN '' THEN hh WHEN 'AM' THEN hh % 12 ELSE hh % 12 + 12 END * 3600 + CAST(mi AS INT) * 60 + coalesce(TRY_CAST(s AS INT), 0) END AS of_day
+  FROM timed),
+fields AS (
+  SELECT *, CASE WHEN offset_s IS NOT NULL THEN CAST(epoch(day1) AS BIGINT) + of_day END AS w1, CASE WHEN offset_s IS NOT NULL THEN CAST(epoch(day2) AS BIGINT) + of_day END AS w2 FROM clocked),
+{_settled("w1")}{_settled("w2")}
+placed AS (
+  SELECT f.stamp_id, source, raw, slashed, CASE WHEN off = '' THEN utc_w1 ELSE w1 - offset_s END AS u1, CASE WHEN off = '' THEN utc_w2 ELSE w2 - offset_s END AS u2,
+         s1 = s2 AS alike, coalesce(unsure_w1, false) AS unsure1, coalesce(unsure_w2, false) AS unsure2
+  FROM fields f LEFT JOIN w1_local USING (stamp_id) LEFT JOIN w2_local USING (stamp_id)),
+votes AS (
+  SELECT source, count(*) FILTER (u1 IS NOT NULL AND u2 IS NULL) AS day_votes, count(*) FILTER (u1 IS NULL AND u2 IS NOT NULL) AS month_votes
+  FROM placed WHERE slashed GROUP BY source),
+judged AS (
+  SELECT p.*, slashed AND u1 IS NOT NULL AND u2 IS NOT NULL AND NOT alike AS asked, coalesce(day_votes, 0) AS dv, coalesce(month_votes, 0) AS mv,
+         CASE WHEN regexp_full_match(raw, '[0-9]{{10}}') THEN CAST(raw AS BIGINT) * 1000000 WHEN regexp_full_match(raw, '[0-9]{{13}}') THEN CAST(raw AS BIGINT) * 1000 END AS epoch_us
+  FROM placed p LEFT JOIN votes v ON p.source IS NOT DISTINCT FROM v.source),
+chosen AS (SELECT *, CASE WHEN asked THEN mv > 10 * dv ELSE slashed AND u1 IS NULL END AS second FROM judged)
+SELECT stamp_id, coalesce(epoch_us, CASE WHEN second THEN u2 ELSE u1 END * 1000000) AS utc_us,
+       CASE WHEN epoch_us IS NOT NULL THEN 'epoch' WHEN u1 IS NULL AND u2 IS NULL THEN 'bad' WHEN NOT asked THEN 'plain' WHEN dv > 10 * mv OR mv > 10 * dv THEN 'votes' ELSE 'default' END AS rule,
+       epoch_us IS NULL AND (u1 IS NOT NULL OR u2 IS NOT NULL) AND (asked OR CASE WHEN second THEN unsure2 ELSE unsure1 END) AS ambiguous
+FROM chosen
+"""

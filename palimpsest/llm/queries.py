@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import oracles
 from palimpsest.llm.decontaminate import decontaminate
+from palimpsest.llm.fill_middle import fill_middle, restored
 from palimpsest.llm.language_model import score_texts
 from palimpsest.llm.line_dedup import dedup_lines
+from palimpsest.llm.nearest import nearest
 from palimpsest.llm.ngram_join import jaccard_components
 from palimpsest.llm.packing import pack
 from palimpsest.llm.pii import find_pii
 from palimpsest.llm.quality_model import score_quality
 from palimpsest.llm.quality_rules import clean_lines
 from palimpsest.llm.storage import shared_dir
+from palimpsest.llm.timestamps import normalise_times
 from palimpsest.llm.url_filter import filter_urls
 from palimpsest.llm.warc import read_warc, write_warc
 
@@ -77,6 +80,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (restored(F.col("output"), F.col("form")), "restored_sha256"))]
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise_times(_table(spark, sf_dir, "stamps")).select(F.col("id").alias("stamp_id"), "utc_us", "rule", "ambiguous")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_salvage": op1_warc_salvage,
     "op2_pii": op2_pii,
@@ -88,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_model": op8_language_model,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_nearest": op11_nearest,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_timestamps": op13_timestamps,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_salvage": oracles.WARC,
@@ -96,4 +116,6 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": oracles.LINE_DEDUP,
     "op9_url_filter": oracles.URL_FILTER,
     "op10_decontaminate": oracles.DECONTAMINATE,
+    "op12_fill_middle": oracles.FILL_MIDDLE,
+    "op13_timestamps": oracles.TIMESTAMPS,
 }
