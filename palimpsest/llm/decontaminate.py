@@ -40,6 +40,8 @@ class Automaton(NamedTuple):
     length: list[int]
     #: for states that hold windows: (size, items) of the windows of each size, largest first
     items: list[tuple[tuple[int, tuple[int, ...]], ...]]
+    #: of each state itself or the nearest one on its failure path that holds windows; 0 if none does
+    holder: list[int]
     names: list[str | None]
     shortest: int
 
@@ -106,12 +108,18 @@ def build(names: list[str | None], hashes: list[np.ndarray], window: int = WINDO
             if k + 1 >= size:
                 owners[at].setdefault(size, set()).add(i)
     held = [tuple((size, tuple(sorted(o[size]))) for size in sorted(o, reverse=True)) for o in owners]
-    return Automaton(vocabulary, nexts, link, length, held, names, min((len(numbers[i]) for i in kept), default=window))
+    holder = [0] * len(nexts)
+    for at in sorted(range(1, len(nexts)), key=length.__getitem__):  # a failure arc leads to a shorter text
+        holder[at] = at if held[at] else holder[link[at]]
+    return Automaton(vocabulary, nexts, link, length, held, holder, names, min((len(numbers[i]) for i in kept), default=window))
 
 
 def walk(automaton: Automaton, numbers: list[int], window: int) -> tuple[list[tuple[int, int]], set[int]]:
-    """Hit spans of a run of known words, end exclusive, and the items whose windows occur in it."""
-    nexts, link, length, items = automaton.next, automaton.link, automaton.length, automaton.items
+    """Hit spans of a run of known words, end exclusive, and the items whose windows occur in it.
+
+    At each word only states that hold windows are looked at, and as these have at most `window` words each, they are that many at most.
+    """
+    nexts, link, length, items, holder = automaton.next, automaton.link, automaton.length, automaton.items, automaton.holder
     least = min(window, automaton.shortest)
     state, matched = 0, 0
     spans: list[tuple[int, int]] = []
@@ -125,13 +133,14 @@ def walk(automaton: Automaton, numbers: list[int], window: int) -> tuple[list[tu
         if matched < least:
             continue
         # The texts that end here, from the longest: a window's text lies in this state or on its failure path.
-        longest, at, reach = 0, state, matched
+        longest, at = 0, holder[state]
+        reach = matched if at == state else length[at]
         while at:
             for place, (size, _) in enumerate(items[at]):
                 if size <= reach:
                     occurred.add((at, place))
                     longest = max(longest, size)
-            at = link[at]
+            at = holder[link[at]]
             reach = length[at]
         if longest:
             spans.append((k + 1 - longest, k + 1))

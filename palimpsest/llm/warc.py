@@ -70,7 +70,11 @@ def record(record_id: str | None, uri: str | None, payload: bytes, refers_to: st
 
 
 class Damaged(Exception):
-    pass
+    """A failed check. resume: no version line that begins before that place can begin a record, as it would run into the same fault."""
+
+    def __init__(self, what: str, resume: int = 0) -> None:
+        super().__init__(what)
+        self.resume = resume
 
 
 class Short(Damaged):
@@ -81,19 +85,23 @@ def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """Header, block and end of the record that begins at `at`; Damaged if a check fails."""
     if not _VERSION.match(data, at):
         raise (Damaged if len(data) - at >= 10 else Short)("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
-        raise Short("header without end")
     header: dict[str, str] = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    begin = data.find(b"\r\n", at) + 2
+    while True:  # line by line, as the end of the header may be far behind the first line that can't belong to one
+        stop = data.find(b"\r\n", begin)
+        if stop < 0:
+            raise Short("header without end", len(data))
+        if stop == begin:
+            break
+        name, colon, value = data[begin:stop].partition(b":")
         if not colon or not name.strip():
-            raise Damaged("header syntax")
+            raise Damaged("header syntax", begin)
         header[name.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        begin = stop + 2
     size = header.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", size):
-        raise Damaged("no length")
-    begin, end = stop + 4, stop + 4 + int(size)
+        raise Damaged("no length", stop if not size else 0)
+    begin, end = stop + 2, stop + 2 + int(size)
     if end + 4 > len(data):
         raise Short("length does not end the record")
     if data[end : end + 4] != b"\r\n\r\n":
@@ -175,7 +183,8 @@ def _inside(member: _Member, buf: bytes, most: int) -> Iterator[tuple[int, int,
                 continue
             if gap < 0:
                 gap, reason = base + place, str(e)
-            m = _VERSION.search(buf, place + 1)
+            # What is short of an end may get one with more bytes.
+            m = _VERSION.search(buf, max(place + 1, e.resume if member.done or not isinstance(e, Short) else 0))
             if m:
                 place = m.start()
             elif member.done:
@@ -221,6 +230,7 @@ def salvage(data: bytes, most: int = RECORD_BYTES) -> Iterator[tuple[int, int, s
     Gaps inside a member have the member's offset and length, and the range of inflated bytes in their reason.
     """
     at, gap, reason = 0, -1, ""
+    resume = 0  # version lines before it fail, members may not
     taken = 0  # end of what broken members gave; before it only members are looked for
     while at < len(data):
         given, failed, waiting = False, "", []
@@ -241,7 +251,7 @@ def salvage(data: bytes, most: int = RECORD_BYTES) -> Iterator[tuple[int, int, s
             if not given:
                 failed = error or (waiting[0][2].partition(", inflated")[0] if waiting else "")
         except Damaged as e:
-            failed, error, end = str(e), "", at
+            failed, error, end, resume = str(e), "", at, max(resume, e.resume)
         if not failed and not error:  # an empty member alone doesn't prove that the reader is in step again
             at = end
             continue
@@ -250,6 +260,8 @@ def salvage(data: bytes, most: int = RECORD_BYTES) -> Iterator[tuple[int, int, s
         elif gap < 0:
             gap, reason = max(at, taken), failed
         m = re.compile(re.escape(_MAGIC)).search(data, at + 1, taken) or _START.search(data, max(at + 1, taken))
+        while m and m.start() < resume and m[0] != _MAGIC:
+            m = _START.search(data, m.start() + 1)
         at = m.start() if m else len(data)
         if given and at <= gap:
             gap = -1

@@ -6,10 +6,13 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 
+from palimpsest.llm import decontaminate as decontaminating
 from palimpsest.llm import quality_rules as q
 from palimpsest.llm import words as W
 from palimpsest.llm.decontaminate import decontaminate
@@ -182,6 +185,19 @@ def contaminated(text, items, window=13):
     return len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
+def test_time_of_repeated_words_grows_as_their_number():
+    def took(n):
+        automaton = decontaminating.build(["i"], decontaminating.item_words(["a " * n]))
+        number = np.zeros(n, int).tolist()
+        began = time.process_time()
+        spans, items = decontaminating.walk(automaton, number, 13)
+        assert items == {0} and spans[-1] == (n - 13, n) and len(spans) == n - 12
+        return time.process_time() - began
+
+    small, large = min(took(4_000) for _ in range(2)), took(16_000)
+    assert large < 8 * small + 0.1
+
+
 def test_contamination_by_brute_force(spark):
     rng = random.Random(2)
     say = lambda n: " ".join(rng.choice(["ab", "c", "D", "é1", "x-y"]) for _ in range(n))

@@ -44,6 +44,29 @@ def test_time_grows_as_the_archive():
     assert large < 8 * small + 0.1  # 4 times the records; a reader that copies the rest at each takes 16 times as long
 
 
+def test_time_grows_as_the_damage():
+    noise = {
+        "version lines": lambda n: b"WARC/1.0\r\n" * n,
+        "version lines in values": lambda n: b"WARC/1.0\r\n" + b"x: WARC/1.0\r\n" * n,
+        "headers without length": lambda n: b"WARC/1.0\r\n" + b"x: WARC/1.0\r\n" * n + b"\r\n",
+        "headers that break off": lambda n: b"WARC/1.0\r\n" + b"x: WARC/1.0\r\n" * n + b"y\r\n\r\n",
+    }
+    last = members(1)[0]
+
+    def took(data, n_found):
+        began = time.process_time()
+        found, gaps = ids(data)
+        assert len(found) == n_found and gaps
+        return time.process_time() - began
+
+    for kind, make in noise.items():
+        for data in (lambda n: make(n) + last, lambda n: gzip.compress(make(n), 1) + last, lambda n: make(n) + gzip.decompress(last)):  # noqa: B023
+            # Behind what never ends its header, a plain record belongs to that header.
+            n_found = len(ids(data(3))[0])
+            small, large = min(took(data(5_000), n_found) for _ in range(2)), took(data(20_000), n_found)
+            assert large < 8 * small + 0.1, kind
+
+
 def test_every_damaged_byte_costs_one_record_at_most():
     parts = members(4)
     data = b"".join(parts)
