@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import reduce
 
@@ -39,17 +40,44 @@ def literally(text: Column, pairs: dict[str, str]) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs.items(), text)
 
 
+def _addressed(tokens: dict[str, str]) -> list[tuple[int, list[str | None], list[str | None]]]:
+    """Tables (first address, codes, values) of a token map. A code's address is its letter and the number that its digits are.
+
+    Codes that differ in the case of their digits share an address, so each further one goes to a further table: one table for most maps.
+    """
+    tables: list[dict[int, str]] = []
+    for code in sorted(tokens):
+        if not re.fullmatch("[zh]A[0-9A-Fa-f]{3}", code):
+            continue  # no text holds it as a token
+        address = 4096 * (code[0] == "z") + int(code[2:], 16)
+        table = next((x for x in tables if address not in x), None)
+        if table is None:
+            tables.append(table := {})
+        table[address] = code
+    out = []
+    for table in tables:
+        first, last = min(table), max(table)
+        codes = [table.get(k) for k in range(first, last + 1)]
+        out.append((first, codes, [None if c is None else tokens[c] for c in codes]))
+    return out
+
+
 def map_tokens(text: Column, tokens: dict[str, str]) -> Column:
     """Each token with its value, once from left to right; tokens that the map lacks stay, and values aren't read again.
 
-    The text is cut in front of each token, so that each piece has one token at most, at its start. The map is a literal of the plan.
+    The text is cut in front of each token, so that each piece has one token at most, at its start. The map is a literal array of the plan, in which a
+    token's letter and digits are its place, so the map's size doesn't matter.
     """
-    flat = [F.lit(x) for pair in sorted(tokens.items()) for x in pair]
-    values = F.create_map(*flat) if flat else F.create_map().cast("map<string,string>")
+    literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<string>")
+    tables = [(first, literal(codes), literal(values)) for first, codes, values in _addressed(tokens)]
+    if not tables:
+        return text
 
     def piece(p: Column) -> Column:
-        value = F.try_element_at(values, F.regexp_extract(p, "^" + fixed.TOKEN, 1))
-        return F.when(value.isNotNull(), F.concat(value, F.substring(p, 8, 2147483647))).otherwise(p)
+        code = F.regexp_extract(p, "^" + fixed.TOKEN, 1)
+        address = F.conv(F.substring(code, 3, 3), 16, 10).cast("int") + F.when(F.startswith(code, F.lit("z")), 4096).otherwise(0)
+        values = [F.when(F.get(codes, address - first) == code, F.get(values, address - first)) for first, codes, values in tables]
+        return F.when(code == "", p).otherwise(F.coalesce(*[F.concat(v, F.substring(p, 8, 2147483647)) for v in values], p))
 
     return F.array_join(F.transform(F.split(text, f"(?={fixed.TOKEN})"), piece), "")
 
@@ -75,15 +103,18 @@ def clean_pronunciation(text: Column) -> Column:
     return squeezed(reduce(rewrite, fixed.PRONUNCIATION, text))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, rf"\r\n|\r|[{fixed.LINE_ENDS}]", "\n"), "\n", -1)
+#: White space that ends no line, once all line ends are "\n".
+_IN_LINE = rf"[{fixed.SPACE}&&[^\n]]"
 
 
 def clean_body(text: Column) -> Column:
-    """A mapped body as a reader sees it: markup as signs, NFKC, lines without extra white space, at most one blank line together."""
+    """A mapped body as a reader sees it: markup as signs, NFKC, lines without extra white space, at most one blank line together. All lines are cleaned at once."""
     shown = F.regexp_replace(literally(text, fixed.BODY_MARKUP), "<label>([^\\n]*?)</label>", "〔$1〕")
-    lines = F.transform(_lines(nfkc(shown)), lambda x: strip(F.regexp_replace(x, "[ \\t]+", " ")))
-    return strip(F.regexp_replace(F.array_join(lines, "\n"), "\\n{3,}", "\n\n"))
+    one_end = F.regexp_replace(nfkc(shown), rf"\r\n|\r|[{fixed.LINE_ENDS}]", "\n")
+    spaced = F.regexp_replace(one_end, "[ \\t]+", " ")
+    tails = F.regexp_replace(spaced, rf"(?<!{_IN_LINE}){_IN_LINE}++\n", "\n")
+    heads = F.regexp_replace(tails, rf"\n{_IN_LINE}++", "\n")
+    return strip(F.regexp_replace(heads, "\\n{3,}", "\n\n"))
 
 
 def headword_key(text: Column) -> Column:

@@ -22,16 +22,6 @@ def last_of(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(F.col(key).alias("key")).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("row"))
 
 
-def only_of(rows: DataFrame, key: str, order: list[str], before: Column | None = None, after: Column | None = None) -> DataFrame:
-    """(key, row) for keys with exactly one row. before: only rows that hold it are counted; after: the one row must hold it."""
-    counted = rows if before is None else rows.where(before)
-    one = counted.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("row")).where("n = 1")
-    one = one.select("key", "row")
-    if after is None:
-        return one
-    return one.select("key", "row", "row.*").where(after).select("key", "row")
-
-
 class Step(NamedTuple):
     method: str
     key: Column

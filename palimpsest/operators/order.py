@@ -14,13 +14,49 @@ def running_count(df: DataFrame, parts: list[str], order: str, flag: Column, nam
 
     Rows are counted within blocks of places, and only the blocks' totals are summed along the order, so no task holds a part whole.
     """
-    marked = df.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("bigint"))
-    within = Window.partitionBy(*parts, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = marked.withColumn("_within", F.sum("_flag").over(within))
+    return carried_count(in_blocks(df, parts, order, block), parts, order, flag, name).drop("_block")
+
+
+def in_blocks(df: DataFrame, parts: list[str], order: str, block: int = BLOCK) -> DataFrame:
+    """df dealt out by blocks of places, numbered in _block. What carries over block borders is summed up in one small row a block.
+
+    All that follows reads this one exchange: windows and sums over (parts, _block) need no other, and equal exchanges run once.
+    """
+    return df.withColumn("_block", F.floor(F.col(order) / block)).repartition(*parts, "_block")
+
+
+def beside(dealt: DataFrame, parts: list[str], order: str, value: str) -> DataFrame:
+    """dealt (from in_blocks) with _prev and _next, the values of the rows before and after, also across blocks; value isn't null."""
+    keys = [*parts, "_block"]
+    ends = dealt.groupBy(*keys).agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    blocks = Window.partitionBy(*parts).orderBy("_block")
+    carried = ends.select(*keys, F.lag("_last").over(blocks).alias("_before"), F.lead("_first").over(blocks).alias("_behind"))
+    inside = Window.partitionBy(*keys).orderBy(order)
+    own = dealt.withColumn("_prev", F.lag(value).over(inside)).withColumn("_next", F.lead(value).over(inside)).join(carried, keys)
+    return own.withColumn("_prev", F.coalesce("_prev", "_before")).withColumn("_next", F.coalesce("_next", "_behind")).drop("_before", "_behind")
+
+
+def carried_count(dealt: DataFrame, parts: list[str], order: str, flag: Column, name: str) -> DataFrame:
+    """dealt (from in_blocks) with the number of flagged rows up to and with each row of a part."""
+    keys = [*parts, "_block"]
+    marked = dealt.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("bigint"))
     before = Window.partitionBy(*parts).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = marked.groupBy(*parts, "_block").agg(F.sum("_flag").alias("_total"))
-    starts = totals.select(*parts, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    return counted.join(starts, [*parts, "_block"]).withColumn(name, F.col("_start") + F.col("_within")).drop("_block", "_flag", "_within", "_start")
+    totals = marked.groupBy(*keys).agg(F.sum("_flag").alias("_total"))
+    starts = totals.select(*keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("_within", F.sum("_flag").over(within)).join(starts, keys).withColumn(name, F.col("_start") + F.col("_within")).drop("_flag", "_within", "_start")
+
+
+def next_filled(dealt: DataFrame, parts: list[str], order: str, value: Column, name: str) -> DataFrame:
+    """dealt (from in_blocks) with the next value of a later row that isn't null, also of a later block."""
+    keys = [*parts, "_block"]
+    marked = dealt.withColumn("_value", value)
+    firsts = marked.groupBy(*keys).agg(F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_first"))
+    later = lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    blocks, inside = Window.partitionBy(*parts).orderBy("_block"), Window.partitionBy(*keys).orderBy(order)
+    carried = firsts.select(*keys, F.first("_first", ignorenulls=True).over(later(blocks)).alias("_behind"))
+    own = marked.withColumn("_own", F.first("_value", ignorenulls=True).over(later(inside))).join(carried, keys)
+    return own.withColumn(name, F.coalesce("_own", "_behind")).drop("_value", "_own", "_behind")
 
 
 def numbered(df: DataFrame, part: str, order: str, name: str) -> DataFrame:

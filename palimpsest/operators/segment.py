@@ -1,22 +1,21 @@
-"""Records from lines. Lines come as (file, ord, line); a dump is one value of its reader, so windows go by file."""
+"""Records from lines. Lines come as (file, ord, line, ended); places count from 0 in each file, and no step holds a file.
+
+What reaches over a border between blocks of lines, the next line that isn't blank, whether the line before took this one, and the
+number of head lines so far, is carried by one small row for each block.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
 from palimpsest.functions import text as t
+from palimpsest.operators.order import BLOCK, beside, carried_count, in_blocks
 
 _HEAD = rf"^[{fixed.SPACE}]*([^\[]+?)［([^］]+)］\z"
 
 
-def segments(lines: DataFrame, head: Column, parts: list[str], order: str) -> DataFrame:
-    """lines with seg, the number of head rows so far; rows in front of the first head have 0."""
-    along = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("seg", F.sum(F.coalesce(head, F.lit(False)).cast("bigint")).over(along))
-
-
 def in_order(parts: Column | str, order: str, keep: Column | None = None) -> Column:
     """The group's values in their order, as an array; keep chooses rows."""
     row = F.struct(F.col(order).alias("o"), (F.col(parts) if isinstance(parts, str) else parts).alias("v"))
@@ -24,25 +23,18 @@ def in_order(parts: Column | str, order: str, keep: Column | None = None) -> Col
     return F.transform(F.array_sort(got), lambda x: x["v"])
 
 
-def next_filled(column: str, parts: list[str], order: str, filled: Column) -> Column:
-    """The next value that counts, past those that don't."""
-    after = Window.partitionBy(*parts).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.when(filled, F.col(column)), ignorenulls=True).over(after)
-
-
-def bracket_entries(dumps: DataFrame, tokens: dict[str, str]) -> DataFrame:
+def bracket_entries(lines: DataFrame, tokens: dict[str, str], block: int = BLOCK) -> DataFrame:
     """Entries of a dump whose head lines end in ［pronunciation］: file, ord and the index row's fields.
 
-    A body is all up to the next head line. A head line without a line end closes a body and begins none; what comes before the first
+    A body is all up to the next head line. A head line without a line end (not `ended`) closes a body and begins none; what comes before the first
     head is lost; an ASCII "[" in front of the bracket keeps a line from being a head. Entries whose pronunciation has no token are left out
-    after they took their text. Null and empty texts have no entries.
+    after they took their text. Files without lines have no entries.
     """
-    lines = dumps.where(F.length("text") > 0).select("file", "text", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"))
-    last = F.size(F.split("text", "\n", -1)) - 1
-    lines = lines.select("file", "ord", "line", (F.col("ord") < last).alias("ended"), F.col("line").rlike(_HEAD).alias("head"))
+    dealt = in_blocks(lines.select("file", F.col("ord").cast("bigint").alias("ord"), "line", "ended"), ["file"], "ord", block)
+    cut = carried_count(dealt.withColumn("head", F.col("line").rlike(_HEAD)), ["file"], "ord", F.col("head"), "seg").where("seg > 0")
     body = F.array_join(in_order("line", "ord", ~F.col("head")), "\n")
     head = F.max(F.when(F.col("head"), F.struct("ord", "line", "ended")))
-    entries = segments(lines, F.col("head"), ["file"], "ord").where("seg > 0").groupBy("file", "seg").agg(head.alias("h"), body.alias("body"))
+    entries = cut.groupBy("file", "seg").agg(head.alias("h"), body.alias("body"))
     raw = entries.where("h.ended").select(
         "file", F.col("h.ord").alias("ord"), t.strip(F.regexp_extract("h.line", _HEAD, 1)).alias("headword"),
         t.strip(F.regexp_extract("h.line", _HEAD, 2)).alias("pronunciation_raw"), t.strip(F.col("body")).alias("body_raw"),
@@ -57,15 +49,19 @@ def bracket_entries(dumps: DataFrame, tokens: dict[str, str]) -> DataFrame:
     )
 
 
+def _is_marked(line: Column) -> Column:
+    out = F.lit(False)
+    for mark in fixed.READING_MARKS:
+        out = out | F.startswith(line, F.lit(mark))
+    return out
+
+
 def is_head(line: Column, following: Column) -> Column:
     """Whether a stripped line begins an entry, given the next line that isn't blank. A body start in the next line's raw form makes a plain line a head."""
     fixed_line, fixed_next = t.fix_header(line), t.fix_header(following)
-    marker = F.lit(False)
-    for mark in fixed.READING_MARKS:
-        marker = marker | F.startswith(fixed_line, F.lit(mark))
     return (
         F.when((line == "") | F.startswith(line, F.lit(fixed.ID_LINE)) | following.isNull(), False)
-        .when(marker & F.startswith(fixed_next, F.lit("【")), True)
+        .when(_is_marked(fixed_line) & F.startswith(fixed_next, F.lit("【")), True)
         .when(F.startswith(fixed_line, F.lit("【")), True)
         .when(t.is_body_start(fixed_line), False)
         .when(fixed_line.contains("【"), True)
@@ -73,29 +69,31 @@ def is_head(line: Column, following: Column) -> Column:
     )
 
 
-def headline_entries(lines: DataFrame, tokens: dict[str, str]) -> DataFrame:
+def headline_entries(lines: DataFrame, tokens: dict[str, str], block: int = BLOCK) -> DataFrame:
     """Entries of a dump with head lines: file, ord and the index row's fields.
 
     A reading mark's line and the 【…】 line after it make one head; what follows the bracket there, or on a head that begins with a
     bracket, is the body's first line. The last line that isn't blank never begins an entry. Blank lines don't stay.
     """
-    by_file = Window.partitionBy("file").orderBy("ord")
-    filled = lines.select("file", "ord", t.strip(F.col("line")).alias("line")).where("line <> ''")
-    seen = filled.withColumn("_next", F.lead("line").over(by_file)).withColumn("_head", is_head(F.col("line"), F.col("_next")))
-    own, after = t.fix_header(F.col("line")), t.fix_header(F.col("_next"))
-    marked = F.lit(False)
-    for mark in fixed.READING_MARKS:
-        marked = marked | F.startswith(own, F.lit(mark))
+    filled = lines.select("file", F.col("ord").cast("bigint").alias("ord"), t.strip(F.col("line")).alias("line")).where("line <> ''")
+    seen = beside(in_blocks(filled, ["file"], "ord", block), ["file"], "ord", "line")
+    # What each line and those beside it are is made once.
+    made = [t.fix_header(F.col(c)).alias(f"_{n}") for c, n in (("_prev", "own_prev"), ("line", "own"), ("_next", "after"))]
+    seen = seen.select("*", *made, is_head(F.col("line"), F.col("_next")).alias("_begins"))
+    own, after = F.col("_own"), F.col("_after")
+    marked = _is_marked(own)
     joined = t.orthography_line(after)
-    takes = F.col("_head") & marked & F.startswith(after, F.lit("【")) & joined["orthography"].isNotNull()
-    seen = seen.withColumn("_takes", takes).withColumn("_taken", F.coalesce(F.lag("_takes").over(by_file), F.lit(False)))
-    seen = seen.withColumn("_head", F.col("_head") & ~F.col("_taken"))
+    seen = seen.withColumn("_takes", F.col("_begins") & marked & F.startswith(after, F.lit("【")) & joined["orthography"].isNotNull())
+    # Whether the line before takes this one. A reading mark's line before a 【…】 line is a head, unless it names an id.
+    named = F.startswith("_prev", F.lit(fixed.ID_LINE))
+    taken = F.coalesce(_is_marked(F.col("_own_prev")) & ~named & F.startswith(own, F.lit("【")) & t.orthography_line(own)["orthography"].isNotNull(), F.lit(False))
+    seen = seen.withColumn("_taken", taken).withColumn("_head", F.col("_begins") & ~F.col("_taken"))
 
     alone = t.orthography_line(own)
     bracket = F.startswith(own, F.lit("【")) & ~marked & alone["orthography"].isNotNull()
     header = F.when(F.col("_takes"), F.concat(own, joined["orthography"])).when(bracket, alone["orthography"]).otherwise(own)
     inline = F.when(F.col("_takes"), joined["rest"]).when(bracket, alone["rest"]).otherwise("")
-    cut = segments(seen, F.col("_head"), ["file"], "ord").where("seg > 0")
+    cut = carried_count(seen, ["file"], "ord", F.col("_head"), "seg").where("seg > 0")
     body = in_order("line", "ord", ~F.col("_head") & ~F.col("_taken"))
     entries = cut.groupBy("file", "seg").agg(
         F.max(F.when(F.col("_head"), F.struct(F.col("ord"), header.alias("header"), inline.alias("inline")))).alias("h"), body.alias("body")

@@ -17,7 +17,7 @@ from palimpsest.functions import text as t
 from palimpsest.functions.blocks import control_counts, decode_block
 from palimpsest.operators import choose, lookup, segment
 from palimpsest.operators.islands import positional_fill
-from palimpsest.operators.order import running_count
+from palimpsest.operators.order import in_blocks, next_filled, running_count
 from palimpsest.plans.extract import control_totals
 from palimpsest.sources.readers import lines_of
 
@@ -369,7 +369,7 @@ SELECT conv_id, CAST(seg AS BIGINT) AS seg, min(turn) AS first_turn, md5(coalesc
 FROM cut WHERE seg > 0 GROUP BY conv_id, seg""")
 def w_segment_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _t(spark, sf_dir, "conversations").withColumn("text", t.strip(F.col("text")))
-    cut = segment.segments(turns, F.col("role") == "user", ["conv_id"], "turn").where("seg > 0")
+    cut = running_count(turns, ["conv_id"], "turn", F.col("role") == "user", "seg", block=4).where("seg > 0")
     body = F.array_join(segment.in_order("text", "turn", F.col("text") != ""), "\n")
     return cut.groupBy("conv_id", "seg").agg(F.min("turn").alias("first_turn"), F.md5(body).alias("body"))
 
@@ -379,8 +379,9 @@ WITH lines AS (SELECT doc_id, i - 1 AS ord, string_split(text, chr(10))[i] AS li
 SELECT doc_id, ord, md5(first_value(CASE WHEN trim(line) <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS following FROM lines""")
 def w_next_nonblank(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ord", "line"))
-    following = segment.next_filled("line", ["doc_id"], "ord", F.btrim("line") != "")
-    return lines.select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.md5(following).alias("following"))
+    dealt = in_blocks(lines, ["doc_id"], "ord", block=64)
+    seen = next_filled(dealt, ["doc_id"], "ord", F.when(F.btrim("line") != "", F.col("line")), "following")
+    return seen.select("doc_id", F.col("ord").cast("bigint").alias("ord"), F.md5("following").alias("following"))
 
 
 @query("SELECT event_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) AS purchases FROM events")

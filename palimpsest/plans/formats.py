@@ -91,7 +91,7 @@ SELECT CAST(doc_id AS VARCHAR) AS file, ord, headword, {_HEADWORD.format('headwo
 FROM entries""")
 def p_bracket_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     dumps = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), t.literally(F.col("text"), _BRACKETS).alias("text"))
-    return bracket_entries(dumps, TOKENS).select(
+    return bracket_entries(lines_of(dumps, ends=""), TOKENS).select(
         "file", F.col("ord").cast("bigint").alias("ord"), "headword", F.col("headword_normalized").alias("headword_key"), F.col("pronunciation_raw").alias("pronunciation"),
         F.col("pronunciation_normalized").alias("normalized"), *[F.md5(c).alias(c) for c in ("body_raw", "body_mapped")], F.md5("body_readable").alias("readable"),
         F.col("body_snippet").alias("snippet"), F.col("body_unresolved_count").alias("unresolved"), F.col("body_unresolved_tokens").alias("tokens"),
@@ -256,7 +256,7 @@ def p_restore_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lang == "fr", word).alias("orthography"), F.struct(F.when(F.col("source") == "src3", "other").otherwise(fixed.DEFAULT_SOURCE).alias("source_id")).alias("source"),
         F.struct(F.lit("1").alias("block_guess"), F.lit("2").alias("byte_offset_guess")).alias("location"), F.struct(F.lit("n").alias("normalized")).alias("body"),
     ).withColumn("_raw", F.to_json(F.struct("id", F.array(F.lit("note")).alias("notes"))))
-    got = restore_pronunciations(drafts, dumps, TOKENS).rows
+    got = restore_pronunciations(drafts, lines_of(dumps, ends=""), TOKENS).rows
     shape = "id string, notes array<string>, body struct<restored_old_text_raw:string,restored_old_text_readable:string>, pronunciation struct<raw:string,normalized:string,match_method:string>"
     rows = got.select("id", "mine", F.from_json("line", shape).alias("j"))
     return rows.select(
@@ -314,7 +314,7 @@ def s_cp932_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = F.hex(F.encode(F.replace(plain, F.lit("\n"), F.lit("\r\n")), "UTF-8"))
     coded = t.literally(digits, {x.encode().hex().upper(): x.encode("cp932").hex().upper() for x in "あカ"})
     _t(spark, sf_dir, "documents").select(F.unhex(coded).cast("string").alias("value")).write.option("lineSep", "\r\n").text(path)
-    return lines_of(read_dump(spark, path)).groupBy(F.md5("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return read_dump(spark, path).groupBy(F.md5("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _MAP_SQL = "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'hA' ELSE 'zA' END || printf('%03X', s_suppkey) AS token, s_name AS value FROM supplier WHERE s_suppkey < 4096"

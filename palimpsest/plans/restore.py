@@ -14,7 +14,7 @@ from palimpsest.operators.islands import positional_fill
 from palimpsest.operators.lookup import Look, Step, cascade, last_of, match, unique_or_none
 from palimpsest.operators.order import numbered
 from palimpsest.operators.segment import bracket_entries, headline_entries, headline_fields
-from palimpsest.sources.readers import lines_of, read_drafts, read_dump, read_token_map
+from palimpsest.sources.readers import read_drafts, read_dump, read_token_map
 from palimpsest.sources.sinks import write_jsonl, write_report
 
 PRONUNCIATION_DRAFT = (
@@ -100,12 +100,13 @@ def match_pronunciations(drafts: DataFrame, exact: DataFrame, normal: DataFrame,
     return matched.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), pronunciation_edits(source_name))))
 
 
-def restore_pronunciations(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str], source_id: str = fixed.DEFAULT_SOURCE, source_name: str = "old-text") -> Restored:
+def restore_pronunciations(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str], source_id: str = fixed.DEFAULT_SOURCE, source_name: str = "old-text") -> Restored:
     """Matches drafts of one source by headword, normalised headword, then normalised orthography; other drafts pass unchanged.
 
-    A key is usable if all its entries have one pronunciation; the first entry's body is taken. drafts: as read_drafts gives them.
+    A key is usable if all its entries have one pronunciation; the first entry's body is taken. drafts: as read_drafts gives them; lines: as read_dump
+    gives them with ends="", or lines_of.
     """
-    entries = bracket_entries(dumps, tokens).persist()
+    entries = bracket_entries(lines, tokens).persist()
     exact, normal = pronunciation_lookups(entries)
     rows = match_pronunciations(drafts, exact, normal, source_id, source_name).persist()
     hits = rows.where("method is not null")
@@ -207,12 +208,12 @@ def apply_rules(rows: DataFrame, entries: DataFrame, rules: Rules | None = None)
     return out.drop("_want", "_ck", "_crow", "_make", "_lk", "_lrow")
 
 
-def restore_headlines(drafts: DataFrame, dumps: DataFrame, tokens: dict[str, str], source_name: str = "old-text", rules: Rules | None = None) -> Restored:
+def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str], source_name: str = "old-text", rules: Rules | None = None) -> Restored:
     """Matches drafts by header, head part and two body signatures, then by place between matched neighbours, then by rules.
 
     Drafts keep their file's order. Rows that were restored before count as matched, and are matched again where a key finds them.
     """
-    entries = headline_entries(lines_of(dumps), tokens).persist()
+    entries = headline_entries(lines, tokens).persist()
     order = ["file", "ord"]
     head = F.startswith(F.col("headword_line_mapped"), F.lit("【"))
     columns = entries.columns
@@ -282,7 +283,7 @@ def export_pronunciations(spark: SparkSession, source_root: str, out_root: str,
     old = old_text_path or f"{source_root}/{fixed.PRONUNCIATION_DUMP}"
     drafts = read_drafts(spark, raw_path or f"{out_root}/{fixed.PRONUNCIATION_DRAFTS}", PRONUNCIATION_DRAFT)
     tokens = read_token_map(spark, map_path or f"{out_root}/{fixed.TOKEN_MAP_FILE}")
-    got = restore_pronunciations(drafts, read_dump(spark, old), tokens, source_id, old.rsplit("/", 1)[-1])
+    got = restore_pronunciations(drafts, read_dump(spark, old, ends=""), tokens, source_id, old.rsplit("/", 1)[-1])
     names = {k: f"{out_root}/{k}.jsonl" for k in fixed.PRONUNCIATION_OUTPUTS}
     _write(got.entries, names[fixed.PRONUNCIATION_OUTPUTS[0]])
     write_jsonl(got.rows, names[fixed.PRONUNCIATION_OUTPUTS[1]], [F.col("file"), F.col("ord")], raw="line")

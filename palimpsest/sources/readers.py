@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import json
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
 
 from palimpsest.functions import fixed
-from palimpsest.operators.order import running_count
 
 TOKEN_MAP = "status string, scope string, warning string, derived_from string, tokens map<string,struct<value:string,kind:string,confidence:string,evidence:array<string>>>"
 
 
-@arrow_udf(StringType())
-def decode_cp932(data: pa.Array) -> pa.Array:
-    """Text of CP932 bytes; what isn't CP932 becomes U+FFFD as Python's codec does it, which later rules rely on."""
-    return pa.array([None if x is None else x.decode("cp932", errors="replace") for x in data.to_pylist()], pa.string())
-
-
 def read_catalogue(spark: SparkSession, root: str, sources: list[tuple[str, str]] | None = None) -> DataFrame:
     """(source_id, source, content) of the named files below a root. A missing file is an error."""
     rows = [(name, f"{root.rstrip('/')}/{path}") for name, path in sources or fixed.BLOCK_SOURCES]
@@ -33,16 +25,70 @@ def read_catalogue(spark: SparkSession, root: str, sources: list[tuple[str, str]
     return found
 
 
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text) of CP932 files, with all line ends as "\\n". A dump is one value, so files should be of dictionary size, not larger than a task."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.col("path").alias("file"), F.regexp_replace(decode_cp932("content"), "\r\n?", "\n").alias("text"))
-
-
-def lines_of(dumps: DataFrame, ends: str = fixed.LINE_ENDS) -> DataFrame:
-    """(file, ord, line): the lines of each text in their order, from 0. A line end at the end of the text begins no further line."""
-    cut = F.split(F.regexp_replace("text", f"[{ends}]\\z", ""), f"[{ends}]", -1)
-    return dumps.where(F.length("text") > 0).select("file", F.posexplode(cut).alias("ord", "line"))
+#: What ends a line of a dump's bytes, besides 0A: none of these is ever the second byte of a character.
+_BYTE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e"
+
+
+def read_dump(spark: SparkSession, path: str, ends: str = fixed.LINE_ENDS) -> DataFrame:
+    """(file, ord, line, ended): the lines of CP932 files of any size; ended: whether a line end follows.
+
+    Files are split at byte 0A, which is never part of a character, and decoded line by line in the tasks of the scan, whose own order gives a line's
+    place in its split. Sums over the splits, one row each, make places in the file; no row is shuffled. Lines end at "\\n", "\\r" or both, and
+    at `ends` ("": at these alone). What isn't CP932 becomes U+FFFD as Python's codec does it. A line end at a file's end begins no further line; an
+    empty file has no lines. A stretch without byte 0A is one row of the scan, which may have 2 GB.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path, lineSep="\n").select(meta["file_path"].alias("file"), meta["file_block_start"].alias("at"), meta["file_size"].alias("size"), F.col("value").cast("binary").alias("raw"))
+    inner = [c for c in _BYTE_ENDS if c == "\r" or re.match(f"[{ends}]", c)] if ends else ["\r"]
+    kinds = "".join(f"\\x{ord(c):02X}" for c in inner)
+    one_byte = F.regexp_replace(F.decode("raw", "ISO-8859-1"), "\r\\z", "")
+    splits = rows.groupBy("file", "at").agg(
+        F.sum(F.regexp_count(one_byte, F.lit(f"[{kinds}]")) + 1).alias("n"), F.sum(F.length("raw") + 1).alias("bytes"), F.max("size").alias("size"),
+    )
+    by_file = Window.partitionBy("file")
+    along = by_file.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    # A scan leaves out a byte order mark, which is three signs here (a file of it alone has no lines). One byte more than the file has: its last line has no end.
+    more = F.sum("bytes").over(by_file) - F.col("size")
+    starts = splits.select("file", "at", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("before"), F.sum("n").over(by_file).alias("total"), F.pmod(more, F.lit(3)).alias("open"), (more < 0).alias("cut_mark"))
+    pattern = re.compile(f"[{''.join(inner)}]")
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, k = None, 0
+        for batch in batches:
+            files, ats, raws = (c.to_pylist() for c in batch.columns)
+            out = []
+            for file, at, raw in zip(files, ats, raws, strict=True):
+                if (file, at) != split:
+                    split, k = (file, at), 0
+                text = raw.decode("cp932", errors="replace")
+                closed = text.endswith("\r")
+                parts = pattern.split(text[:-1] if closed else text)
+                out += [{"file": file, "at": at, "k": k + i, "line": x, "closed": i < len(parts) - 1 or closed, "inner": i > 0} for i, x in enumerate(parts)]
+                k += len(parts)
+            yield pa.RecordBatch.from_pylist(out, schema=_DECODED)
+
+    lines = rows.select("file", "at", "raw").mapInArrow(decoded, "file string, at bigint, k bigint, line string, closed boolean, inner boolean")
+    placed = lines.join(starts, ["file", "at"]).withColumn("ord", F.col("before") + F.col("k"))
+    last = (F.col("ord") == F.col("total") - 1) & (F.col("open") == 1)
+    line = F.when(F.col("cut_mark") & (F.col("ord") == 0), F.concat(F.lit(_MARK), "line")).otherwise(F.col("line"))
+    # Of a file without 0A at its end, what follows another line end there is no line.
+    return placed.where(~(last & F.col("inner") & ~F.col("closed") & (F.col("line") == ""))).select("file", "ord", line.alias("line"), (~last | F.col("closed")).alias("ended"))
+
+
+_MARK = bytes.fromhex("EFBBBF").decode("cp932", errors="replace")
+_DECODED = pa.schema([("file", pa.string()), ("at", pa.int64()), ("k", pa.int64()), ("line", pa.string()), ("closed", pa.bool_()), ("inner", pa.bool_())])
+
+
+def lines_of(texts: DataFrame, ends: str = fixed.LINE_ENDS) -> DataFrame:
+    """(file, ord, line, ended): the lines of texts that are values, (file, text), in their order, from 0; ends as in read_dump.
+
+    A line end at the end of a text begins no further line. Null and empty texts have no lines.
+    """
+    pattern = f"\r\n|\r|\n|[{ends}]" if ends else "\r\n|\r|\n"
+    closed = F.col("text").rlike(f"(?:{pattern})\\z")
+    cut = texts.where(F.length("text") > 0).select("file", F.split("text", pattern, -1).alias("cut"), closed.alias("closed"))
+    whole = cut.select("file", "closed", F.when(F.col("closed"), F.slice("cut", 1, F.size("cut") - 1)).otherwise(F.col("cut")).alias("cut"))
+    return whole.select("file", "closed", F.size("cut").alias("n"), F.posexplode("cut").alias("ord", "line")).select("file", "ord", "line", (F.col("closed") | (F.col("ord") < F.col("n") - 1)).alias("ended"))
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -76,12 +122,3 @@ def read_token_map(spark: SparkSession, path: str) -> dict[str, str]:
     if len(rows) > 65_536:
         raise ValueError("a token map has at most 65,536 tokens")
     return {r["token"]: r["value"] for r in rows}
-
-
-def token_map_of(document: str) -> dict[str, str]:
-    return {k: str(v["value"]) for k, v in json.loads(document)["tokens"].items()}
-
-
-__all__ = [
-    "decode_cp932", "lines_of", "read_catalogue", "read_drafts", "read_dump", "read_text_lines", "read_token_map", "read_token_rows", "running_count", "token_map_of",
-]

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import json
+import random
+import re
 from glob import glob
 
 import pytest
 
 from palimpsest.__main__ import main
+from palimpsest.functions import fixed
+from palimpsest.operators.segment import bracket_entries, headline_entries
 from palimpsest.plans.extract import block_samples, export_blocks, known_windows
 from palimpsest.plans.restore import HEADLINE_DRAFT, export_headlines, export_pronunciations, restore_headlines
 from palimpsest.sources.readers import lines_of, read_drafts, read_dump, read_text_lines
@@ -112,9 +116,7 @@ def test_pronunciations(spark, files):
 
 def test_drafts_as_a_stream(spark, files):
     root = f"file://{files}"
-    from palimpsest.operators.segment import bracket_entries
-
-    entries = bracket_entries(read_dump(spark, f"{root}/omiyage_02.txt"), MAP)
+    entries = bracket_entries(read_dump(spark, f"{root}/omiyage_02.txt", ends=""), MAP)
     (files / "in").mkdir()
     (files / "entries_raw.jsonl").rename(files / "in" / "a.jsonl")
     for expected in (5, 6):
@@ -236,12 +238,55 @@ def test_readers(spark, files):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     (files / "cp.txt").write_bytes("あ".encode("cp932") + b"\r\nb\r\x81\xffc\n")
     dump = read_dump(spark, f"file://{files}/cp.txt")
-    assert [r["line"] for r in lines_of(dump).orderBy("ord").collect()] == ["あ", "b", b"\x81\xffc".decode("cp932", errors="replace")]
+    assert [r["line"] for r in dump.orderBy("ord").collect()] == ["あ", "b", b"\x81\xffc".decode("cp932", errors="replace")]
     (files / "blank.jsonl").write_text('{"id":"1"}\n\n{"id":"2"}\n')
     with pytest.raises(Exception, match="blank line"):
         read_drafts(spark, f"file://{files}/blank.jsonl", "id string").collect()
 
 
+def test_dumps_are_read_alike_at_every_cut(spark, tmp_path):
+    """Lines of files of all kinds of ends and damage, in splits of a few bytes, beside those of the whole file's text."""
+    rng, bits = random.Random(5), [b"a", b"\x82\xa0", b"\r", b"\n", b"\r\n", b"\x81", b"\xff", b"\x0b", b"\x1c", b"\xf0", b"\xb1", b"\x80", b" ", b"\xef\xbb\xbf"]
+    contents = [b"", b"\n", b"a", b"a\r", b"a\r\n", b"a\x0b", b"a\x0b\n", b"\x81\n\x40", b"\r\r\n\n", b"\x1c", b"\xef\xbb\xbfa\nb", b"x\n\x81"]
+    contents += [b"".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(40)]
+    for k, data in enumerate(contents):
+        (tmp_path / f"{k:03}.txt").write_bytes(data)
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for cut in ("7", "128m"):
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            for ends, more in ((fixed.LINE_ENDS, "\x0b\x0c\x1c\x1d\x1e"), ("", "")):
+                got = {}
+                for r in read_dump(spark, f"file://{tmp_path}", ends).orderBy("file", "ord").collect():
+                    lines = got.setdefault(int(r["file"][-7:-4]), [])
+                    assert r["ord"] == len(lines)
+                    lines.append((r["line"], r["ended"]))
+                for k, data in enumerate(contents):
+                    text = re.sub("\r\n?", "\n", data.decode("cp932", errors="replace"))
+                    parts = re.split(f"[\n{more}]", text) if text else []
+                    want = [(x, i < len(parts) - 1) for i, x in enumerate(parts)]
+                    assert got.get(k, []) == (want[:-1] if want and want[-1][0] == "" else want), (cut, data)
+        finally:
+            for c, v in before.items():
+                spark.conf.set(c, v)
+
+
+@pytest.mark.parametrize("block", [1, 3, 5, 65_536])
+def test_entries_are_the_same_in_blocks_of_any_size(spark, block):
+    texts = spark.createDataFrame([("a", SPOKEN), ("b", "\n\n" + SPOKEN), ("c", None), ("d", "")], "file string, text string")
+    whole = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    lines = lines_of(texts, ends="")
+    assert whole(bracket_entries(lines, MAP, block)) == whole(bracket_entries(lines, MAP, 1000))
+    gaps = HEADLINES.replace("\n", "\n\n\n\n")
+    dumps = spark.createDataFrame([("a", HEADLINES), ("b", gaps), ("c", "↓x\n\n\n\n【y】z\n〈n〉\n↑q\n\n\n【r】\n\n"), ("d", "[ID=1]\n【x】\ny")], "file string, text string")
+    small, large = (whole(headline_entries(lines_of(dumps), MAP, n)) for n in (block, 1000))
+    assert small == large and len(small) > 20
+    plan = headline_entries(lines_of(dumps), MAP, block)._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"windowspecdefinition\((.*?)\)", plan)
+    assert windows and all("_block" in w for w in windows)
+
+
 def test_blocks(spark, files):
     page = ("\x24\x22" * 40).encode() + b"\x1f\x41" + b"\x1f\x0a" + b"\x00" * 10
     for name, size in (("START", 512 * 30 + 100), ("KOKUGO/START", 700), ("CRCEN/START", 0)):
