@@ -1,150 +1,113 @@
-"""Decoding of binary blocks: controls, two-byte characters, ASCII and stray bytes.
+"""Decoding of binary blocks: controls, two-byte characters, ASCII and stray bytes, by functions of Spark alone.
 
-Spark has no two-byte decoder that resumes as the format does, so this is an Arrow UDF, but over whole batches at once: what each byte is
-comes from tables and from the parity of runs, and a table of the 94 x 94 cells, made by rule from the codec, gives the characters.
+Bytes are read as ISO-8859-1, so each is one character, and one pattern of alternatives cuts a block into its units from left to right: that is the
+whole state machine. What a unit shows is found by its place in literal arrays: 256 entries for single bytes and for controls, 94 x 94 for the cells
+of two bytes, made by rule from the codec.
 """
 
 from __future__ import annotations
 
-import re
+import json
 from functools import lru_cache
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import arrow_udf
 
-DECODED = T.StructType([T.StructField("text", T.StringType()), T.StructField("codes", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("n_units", T.IntegerType())])
-UNITS = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType() if n == "offset" else T.StringType()) for n in ("type", "offset", "code", "hex", "text")]))
-_CONTROL, _FILLER, _END, _CELL, _ASCII, _BYTE, _TAKEN = range(7)
-_NAMES = ["control", "filler", "end", "jis0208", "ascii", "byte"]
-_WIDE, _PRINTED = np.zeros(256, bool), np.zeros(256, bool)
-_WIDE[0x21:0x7F] = True
-_PRINTED[0x20:0x7F] = True
+from palimpsest.functions import text as t
+
+#: A control takes the byte behind it, whatever it is; two printable bytes other than the space are a cell; all else is a unit of one byte.
+UNIT = r"(?s)\x1F.|[\x21-\x7E]{2}|."
+#: First and last byte of a cell's two.
+LOW, HIGH = 0x21, 0x7E
+_SIDE = HIGH - LOW + 1
 
 
 @lru_cache(maxsize=1)
-def cells() -> np.ndarray:
-    """The character of each cell by 94 * (high - 0x21) + low - 0x21, U+FFFD where there is none."""
-    out = np.full(94 * 94, 0xFFFD, "<u4")
-    for high in range(94):
-        for low in range(94):
-            try:
-                out[94 * high + low] = ord(bytes((high + 0xA1, low + 0xA1)).decode("euc_jp"))
-            except UnicodeDecodeError:
-                pass
-    return out
-
-
-def _paired(flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the pairs of each run of flags begin, and where its odd last one stands. A run ends before each place in first."""
-    edge = np.zeros(len(flags) + 1, bool)
-    edge[first] = True
-    begins = np.flatnonzero(flags & (edge[:-1] | ~np.concatenate([[False], flags[:-1]])))
-    ends = np.flatnonzero(flags & (edge[1:] | ~np.concatenate([flags[1:], [False]]))) + 1
-    place = np.zeros(len(flags), np.int64)
-    place[begins] = begins
-    at = np.arange(len(flags)) - np.maximum.accumulate(place)
-    last = np.zeros(len(flags), bool)
-    last[ends - 1] = True
-    even = flags & (at % 2 == 0)
-    return even & ~last, even & last
-
-
-def kinds_of(data: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """What each byte begins, or that it belongs to the unit before it. first: where blocks begin."""
-    out = np.full(len(data), _BYTE, np.uint8)
-    out[_PRINTED[data]] = _ASCII
-    out[(data == 0x0A) | (data == 0x0D)] = _END
-    out[data == 0x00] = _FILLER
-    # Of a run of 1F each takes the next; an odd last one takes the byte behind the run, if the block has one.
-    pair, lone = _paired(data == 0x1F, first)
-    begins = np.zeros(len(data) + 1, bool)
-    begins[first] = True
-    begins[len(data)] = True
-    lone &= ~begins[1:]
-    control = pair | lone
-    taken = np.concatenate([[False], control[:-1]])
-    out[control], out[taken] = _CONTROL, _TAKEN
-    # Cells: two bytes after each other that no control took.
-    pair, _ = _paired(_WIDE[data] & ~taken, first)
-    out[pair] = _CELL
-    out[np.concatenate([[False], pair[:-1]])] = _TAKEN
-    return out
-
-
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, and where each row's begin (one more entry than rows). Nulls are empty."""
-    values = column.fill_null(b"").to_pylist()
-    return np.frombuffer(b"".join(values), np.uint8), np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
-
-
-def _shown(data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> list[str]:
-    """The text of each row, before white space is put in order."""
-    after = np.append(data[1:], 0).astype(np.int64)
-    sign = np.zeros(len(data), "<u4")
-    sign[kinds == _ASCII] = data[kinds == _ASCII]
-    sign[kinds == _BYTE] = 0x20
-    sign[kinds == _END] = 0x0A
-    cell = kinds == _CELL
-    sign[cell] = cells()[94 * (data[cell].astype(np.int64) - 0x21) + after[cell] - 0x21]
-    control = kinds == _CONTROL
-    breaks = control & ((after == 0x0A) | (after == 0x0D))
-    sign[breaks] = 0x0A
-    marks = control & ~breaks
-    # A mark is six characters: its bracket, "1F", two digits, its bracket. Each row ends in U+0000, which nothing else gives.
-    size = (sign > 0).astype(np.int64) + 6 * marks
-    row_end = np.zeros(len(data) + 1, np.int64)
-    np.add.at(row_end, bounds[1:], 1)
-    at = np.cumsum(size) - size + np.cumsum(row_end)[:-1]
-    out = np.zeros(int(size.sum()) + len(bounds) - 1, "<u4")
-    out[at[sign > 0]] = sign[sign > 0]
-    digits = np.frombuffer(b"0123456789ABCDEF", np.uint8)
-    code = after[marks]
-    for k, x in enumerate((0x27E6, 0x31, 0x46, digits[code >> 4], digits[code & 15], 0x27E7)):
-        out[at[marks] + k] = x
-    return out.tobytes().decode("utf-32-le").split("\0")[:-1]
-
-
-@arrow_udf(DECODED)
-def decode_block(data: pa.Array) -> pa.Array:
-    """Of each block its text, its control codes in the order of their first place with their counts, and the number of its units; null for null."""
-    flat, bounds = _flat(data)
-    kinds = kinds_of(flat, bounds[:-1][bounds[:-1] < len(flat)])
-    whole = "\0".join(_shown(flat, bounds, kinds))
-    texts = [x.strip() for x in re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", whole)).split("\0")]
-    row = np.repeat(np.arange(len(data)), np.diff(bounds))
-    n_units = np.bincount(row[kinds <= _BYTE], minlength=len(data)) - np.bincount(row[(kinds == _FILLER) | (kinds == _END)], minlength=len(data))
-    at = np.flatnonzero(kinds == _CONTROL)
-    pairs, first, counts = np.unique(row[at] * 256 + flat[at + 1], return_index=True, return_counts=True)
-    order = np.lexsort((first, pairs // 256))
-    per_row = np.concatenate([[0], np.cumsum(np.bincount(pairs // 256, minlength=len(data)))]).astype(np.int32)
-    codes = pa.array([f"1F{c:02X}" for c in (pairs[order] % 256).tolist()], pa.string())
-    fields = [pa.array(texts, pa.string()), pa.ListArray.from_arrays(per_row, codes), pa.ListArray.from_arrays(per_row, pa.array(counts[order], pa.int64())), pa.array(n_units, pa.int32())]
-    return pa.StructArray.from_arrays(fields, ["text", "codes", "counts", "n_units"], mask=data.is_null())
-
-
-@arrow_udf(UNITS)
-def block_units(data: pa.Array) -> pa.Array:
+def cells() -> str:
+    """The character of each cell in its order, U+FFFD where there is none."""
+    rows = range(LOW | 0x80, (HIGH | 0x80) + 1)
+    shown = lambda pair: pair.decode("euc_jp", errors="replace")
+    return "".join(x if len(x := shown(bytes((a, b)))) == 1 else "�" for a in rows for b in rows)
+
+
+def single(byte: int) -> str:
+    """What a byte shows that is a unit of its own."""
+    return "\n" if byte in (0x0A, 0x0D) else "" if byte == 0 else chr(byte) if 0x20 <= byte <= HIGH else " "
+
+
+def control(byte: int) -> str:
+    """What a control shows whose second byte this is."""
+    return "\n" if byte in (0x0A, 0x0D) else f"⟦1F{byte:02X}⟧"
+
+
+def _literal(values: list[str]) -> Column:
+    """An array of the plan, folded once."""
+    return F.from_json(F.lit(json.dumps(values)), "array<string>")
+
+
+def _tables() -> dict[str, Column]:
+    of_bytes = {"single": single, "control": control, "hex": lambda b: f"{b:02X}"}
+    return {name: _literal([f(b) for b in range(256)]) for name, f in of_bytes.items()} | {"cell": _literal(list(cells()))}
+
+
+def units_of(chunk: Column) -> Column:
+    """A block's units, each as a string of one or two characters that stand for its bytes; null for null."""
+    return F.regexp_extract_all(F.decode(chunk, "ISO-8859-1"), F.lit(UNIT), F.lit(0))
+
+
+_first = F.ascii
+
+
+def _second(unit: Column) -> Column:
+    return F.ascii(F.substring(unit, 2, 1))
+
+
+def _is_control(unit: Column) -> Column:
+    return (F.length(unit) == 2) & (_first(unit) == 0x1F)
+
+
+def _counts_as_unit(unit: Column) -> Column:
+    """Filler and line ends aren't units."""
+    return ~unit.isin("\0", "\n", "\r")
+
+
+def _cell(unit: Column, tables: dict[str, Column]) -> Column:
+    return F.get(tables["cell"], (_first(unit) - LOW) * _SIDE + _second(unit) - LOW)
+
+
+def with_decoded(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:
+    """chunks with text, codes (different controls in the order of their first place), counts (of these) and n_units; nulls for a null block."""
+    tables = _tables()
+    shown = lambda u: F.when(F.length(u) == 1, F.get(tables["single"], _first(u))).when(_first(u) == 0x1F, F.get(tables["control"], _second(u))).otherwise(_cell(u, tables))
+    cut = chunks.select("*", units_of(F.col(chunk)).alias("_units"))
+    every = F.transform(F.filter("_units", _is_control), lambda u: F.concat(F.lit("1F"), F.get(tables["hex"], _second(u))))
+    read = cut.select(*chunks.columns, F.array_join(F.transform("_units", shown), "").alias("_text"), every.alias("_codes"), F.size(F.filter("_units", _counts_as_unit)).alias("n_units"))
+    text = t.strip(F.regexp_replace(F.regexp_replace("_text", "[ \\t]+", " "), "\\n{3,}", "\n\n"))
+    named = read.select(*chunks.columns, text.alias("text"), "_codes", F.array_distinct("_codes").alias("codes"), F.when(F.col(chunk).isNotNull(), F.col("n_units")).alias("n_units"))
+    counts = F.transform("codes", lambda c: F.size(F.filter("_codes", lambda x: x == c)).cast("bigint"))
+    return named.select(*chunks.columns, "text", "codes", counts.alias("counts"), "n_units")
+
+
+def block_units(chunk: Column) -> Column:
     """The units of each block, without filler and line ends: type, offset, code (of controls), hex and text; null for null."""
-    flat, bounds = _flat(data)
-    kinds = kinds_of(flat, bounds[:-1][bounds[:-1] < len(flat)])
-    raw, table = flat.tobytes(), cells()
-    out: list[list[dict] | None] = []
-    for valid, a, z in zip(data.is_valid().to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        units = []
-        for k in (a + np.flatnonzero(np.isin(kinds[a:z], (_CONTROL, _CELL, _ASCII, _BYTE)))).tolist():
-            kind = int(kinds[k])
-            unit = raw[k : k + 1 + (kind in (_CONTROL, _CELL))]
-            text = chr(table[94 * (unit[0] - 0x21) + unit[1] - 0x21]) if kind == _CELL else unit.decode() if kind == _ASCII else None
-            name = unit.hex().upper()
-            units.append({"type": _NAMES[kind], "offset": k - a, "code": name if kind == _CONTROL else None, "hex": None if kind == _CONTROL else name, "text": text})
-        out.append(units if valid else None)
-    return pa.array(out, pa.list_(pa.struct([(n, pa.int32() if n == "offset" else pa.string()) for n in ("type", "offset", "code", "hex", "text")])))
-
-
-def control_counts(decoded: Column) -> Column:
+    tables = _tables()
+    # One entry for each byte, null for the second one of a unit, so an entry's place is its offset.
+    by_byte = F.flatten(F.transform(units_of(chunk), lambda u: F.when(F.length(u) == 2, F.array(u, F.lit(None).cast("string"))).otherwise(F.array(u))))
+
+    def unit(u: Column, offset: Column) -> Column:
+        two, is_control = F.length(u) == 2, _is_control(u)
+        digits = F.concat(F.get(tables["hex"], _first(u)), F.when(two, F.get(tables["hex"], _second(u))).otherwise(""))
+        is_ascii = (_first(u) >= 0x20) & (_first(u) <= HIGH)
+        kind = F.when(is_control, "control").when(two, "jis0208").when(is_ascii, "ascii").otherwise("byte")
+        text = F.when(is_control, F.lit(None).cast("string")).when(two, _cell(u, tables)).when(is_ascii, u)
+        fields = [kind.alias("type"), offset.alias("offset"), F.when(is_control, digits).alias("code"), F.when(~is_control, digits).alias("hex"), text.alias("text")]
+        return F.when(u.isNotNull() & _counts_as_unit(u), F.struct(*fields))
+
+    return F.filter(F.transform(by_byte, unit), F.isnotnull)
+
+
+def control_counts(codes: Column, counts: Column) -> Column:
     """How often each control code comes, as a map in the order of their first places."""
-    return F.map_from_arrays(decoded["codes"], decoded["counts"])
+    return F.map_from_arrays(codes, counts)
+
+

@@ -59,10 +59,10 @@ def next_filled(dealt: DataFrame, parts: list[str], order: str, value: Column, n
     return own.withColumn(name, F.coalesce("_own", "_behind")).drop("_value", "_own", "_behind")
 
 
-def numbered(df: DataFrame, part: str, order: str, name: str) -> DataFrame:
-    """df with each row's number from 0, by part and then by order. Only the parts' sizes are summed over the whole table."""
-    within = df.withColumn("_within", F.row_number().over(Window.partitionBy(part).orderBy(order)))
+def numbered(df: DataFrame, part: str, order: str, name: str, block: int = BLOCK) -> DataFrame:
+    """df with each row's number from 0, by part and then by order, whose places differ within a part. Rows are counted in blocks of places, and only sizes are summed beyond."""
+    inside = carried_count(in_blocks(df, [part], order, block), [part], order, F.lit(True), "_nth").drop("_block")
     sizes = df.groupBy(F.col(part).alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_of", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    return within.join(starts, F.col(part) == F.col("_of")).withColumn(name, F.col("_start") + F.col("_within") - 1).drop("_of", "_within", "_start")
+    return inside.join(starts, F.col(part) == F.col("_of")).withColumn(name, F.col("_start") + F.col("_nth") - 1).drop("_of", "_nth", "_start")

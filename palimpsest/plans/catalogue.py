@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
 from palimpsest.functions import text as t
-from palimpsest.functions.blocks import control_counts, decode_block
 from palimpsest.operators import choose, lookup, segment
 from palimpsest.operators.islands import positional_fill
 from palimpsest.operators.order import in_blocks, next_filled, running_count
@@ -131,16 +130,6 @@ def b_script_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", t.script_score(F.col("text")).cast("bigint").alias("score"))
 
 
-@query()
-def b_decode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of 2,048 bytes of every document, decoded; the rest at the end is dropped. The decoder has no SQL."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    cut = docs.withColumn("n", F.floor(F.length("content") / 2048)).where("n > 0").select("doc_id", "content", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("block"))
-    chunks = cut.select("doc_id", "block", F.expr("substring(content, cast(block * 2048 + 1 as int), 2048)").alias("chunk")).withColumn("d", decode_block("chunk"))
-    preview = t.preview(F.col("d.text"))
-    return chunks.select("doc_id", "block", t.hex_number(F.col("block")).alias("block_hex"), t.script_score(preview).alias("score"), F.md5(preview).alias("preview"), F.map_entries(control_counts(F.col("d"))).alias("controls"), F.col("d.n_units").alias("n_tokens"))
-
-
 # Aggregations.
 
 

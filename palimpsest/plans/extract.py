@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
 from palimpsest.functions import text as t
-from palimpsest.functions.blocks import control_counts, decode_block
+from palimpsest.functions.blocks import control_counts, with_decoded
 from palimpsest.operators.choose import context, strided, topk_forced
-from palimpsest.sources.readers import read_catalogue
+from palimpsest.sources.block_ranges import read_ranges
 from palimpsest.sources.sinks import write_html, write_jsonl, write_tsv
 
 SAMPLES, KEPT, LEAST_SCORE = 400, 40, 80
+BEFORE, AFTER = 2, 5
+SHOWN, SHOWN_WINDOW, HEX_BYTES = 3000, 12000, 128
 
 
 def _sized(files: DataFrame, sizes: list[int]) -> DataFrame:
@@ -20,41 +22,48 @@ def _sized(files: DataFrame, sizes: list[int]) -> DataFrame:
     return sized.withColumn("_blocks", F.floor(F.length("content") / F.col("block_size")).cast("bigint"))
 
 
-def _decoded(chunks: DataFrame) -> DataFrame:
-    """Adds text, normalised preview and control counts. The blocks are dealt out first, as a file is one row and decoding is the work."""
-    dealt = chunks.repartition("source_id", "block_size", "offset")
-    return dealt.withColumn("_d", decode_block("chunk")).withColumn("normalized", t.preview(F.col("_d.text"))).withColumn("control_codes", control_counts(F.col("_d")))
+def cut_samples(files: DataFrame, sizes: list[int] | None = None, known: list[int] | None = None) -> DataFrame:
+    """The sampled blocks of files that are values (source_id, source, content), as read_ranges gives them."""
+    known = fixed.KNOWN_BLOCKS if known is None else known
+    blocks = _sized(files, sizes or fixed.BLOCK_SIZES).withColumn("block", F.explode(strided(F.col("_blocks"), SAMPLES, known)))
+    chunk = F.expr("substring(content, cast(block * block_size + 1 as int), block_size)")
+    return blocks.select("source_id", "source", "block_size", "block", F.col("block").alias("first"), (F.col("block") + 1).alias("stop"), chunk.alias("chunk"))
+
+
+def cut_windows(files: DataFrame, sizes: list[int] | None = None, known: list[int] | None = None, before: int = BEFORE, after: int = AFTER) -> DataFrame:
+    """The windows around the known blocks of files that are values, as read_ranges gives them."""
+    known = fixed.KNOWN_BLOCKS if known is None else known
+    placed = _sized(files, sizes or fixed.BLOCK_SIZES).withColumn("block", F.explode(F.array(*[F.lit(k).cast("bigint") for k in known]))).where("block < _blocks")
+    places = placed.withColumn("_w", context(F.col("block"), F.col("_blocks"), before, after)).select("*", "_w.first", "_w.stop")
+    chunk = F.expr("substring(content, cast(first * block_size + 1 as int), cast((stop - first) * block_size as int))")
+    return places.select("source_id", "source", "block_size", "block", "first", "stop", chunk.alias("chunk"))
+
 
+def _decoded(chunks: DataFrame) -> DataFrame:
+    """Adds text, normalised preview, control counts and the chunk's offset. The blocks are dealt out first, as reading takes less than decoding."""
+    dealt = chunks.withColumn("offset", F.col("first") * F.col("block_size")).repartition("source_id", "block_size", "block")
+    return with_decoded(dealt).withColumn("normalized", t.preview(F.col("text"))).withColumn("control_codes", control_counts(F.col("codes"), F.col("counts")))
 
-def block_samples(files: DataFrame, sizes: list[int] | None = None, known: list[int] | None = None, kept: int = KEPT) -> DataFrame:
-    """Sampled blocks of (source_id, source, content) that score well or are known: the best `kept` of each file and size, then the known ones.
 
-    Only sampled blocks are cut from the content. Partial blocks at the end are dropped; an empty file has none.
-    """
+def block_samples(blocks: DataFrame, known: list[int] | None = None, kept: int = KEPT) -> DataFrame:
+    """Of sampled blocks (read_ranges, cut_samples) those that score well or are known: the best `kept` of each file and size, then the known ones."""
     known = fixed.KNOWN_BLOCKS if known is None else known
-    blocks = _sized(files, sizes or fixed.BLOCK_SIZES).withColumn("block", F.explode(strided(F.col("_blocks"), SAMPLES, known)))
-    offset = F.col("block") * F.col("block_size")
-    cut = blocks.select("source_id", "source", "block_size", "block", offset.alias("offset"), F.expr("substring(content, cast(block * block_size + 1 as int), block_size)").alias("chunk"))
     forced = F.col("block").isin(known)
-    scored = _decoded(cut).withColumn("score", t.script_score(F.col("normalized"))).where((F.col("score") > LEAST_SCORE) | forced)
+    scored = _decoded(blocks).withColumn("score", t.script_score(F.col("normalized"))).where((F.col("score") > LEAST_SCORE) | forced)
     best = topk_forced(scored, ["source_id", "block_size"], "score", "block", kept, forced)
     return best.select(
         F.concat_ws(":", "source_id", "block_size", "block").alias("id"), "source", "source_id", "block_size", "block", t.hex_number(F.col("block")).alias("block_hex"), "offset", "score", "rank",
-        F.substring("_d.text", 1, 3000).alias("decoded_with_controls"), F.substring("normalized", 1, 3000).alias("normalized_preview"), "control_codes",
-        t.hex_bytes(F.expr("substring(chunk, 1, 128)")).alias("raw_hex_first_128"),
+        F.substring("text", 1, SHOWN).alias("decoded_with_controls"), F.substring("normalized", 1, SHOWN).alias("normalized_preview"), "control_codes",
+        t.hex_bytes(F.substring("chunk", 1, HEX_BYTES)).alias("raw_hex_first_128"),
     )
 
 
-def known_windows(files: DataFrame, sizes: list[int] | None = None, known: list[int] | None = None, before: int = 2, after: int = 5) -> DataFrame:
-    """The blocks around each known block as one text; known blocks that a file doesn't have are left out."""
-    known = fixed.KNOWN_BLOCKS if known is None else known
-    placed = _sized(files, sizes or fixed.BLOCK_SIZES).withColumn("known_block", F.explode(F.array(*[F.lit(k).cast("bigint") for k in known]))).where("known_block < _blocks")
-    around = placed.withColumn("_w", context(F.col("known_block"), F.col("_blocks"), before, after)).withColumn("offset", F.col("_w.first") * F.col("block_size"))
-    cut = around.withColumn("chunk", F.expr("substring(content, cast(offset + 1 as int), cast((_w.stop - _w.first) * block_size as int))")).drop("content")
-    return _decoded(cut).select(
-        F.concat(F.concat_ws(":", "source_id", "block_size", "known_block"), F.lit(":window")).alias("id"), "source", "source_id", "block_size", "known_block",
-        t.hex_number(F.col("known_block")).alias("known_block_hex"), F.col("_w.first").alias("window_start_block"), (F.col("_w.stop") - 1).alias("window_end_block"), "offset",
-        F.substring("_d.text", 1, 12000).alias("decoded_with_controls"), F.substring("normalized", 1, 12000).alias("normalized_preview"), "control_codes",
+def known_windows(windows: DataFrame) -> DataFrame:
+    """The blocks around each known block (read_ranges, cut_windows) as one text; known blocks that a file doesn't have have no window."""
+    return _decoded(windows).select(
+        F.concat(F.concat_ws(":", "source_id", "block_size", "block"), F.lit(":window")).alias("id"), "source", "source_id", "block_size", F.col("block").alias("known_block"),
+        t.hex_number(F.col("block")).alias("known_block_hex"), F.col("first").alias("window_start_block"), (F.col("stop") - 1).alias("window_end_block"), "offset",
+        F.substring("text", 1, SHOWN_WINDOW).alias("decoded_with_controls"), F.substring("normalized", 1, SHOWN_WINDOW).alias("normalized_preview"), "control_codes",
     )
 
 
@@ -67,10 +76,13 @@ def control_totals(samples: DataFrame) -> DataFrame:
 
 def export_blocks(spark: SparkSession, source_root: str, out_root: str, sources: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """Reads the block files, and writes samples, windows, control totals and two HTML pages. Sources keep the catalogue's order."""
-    names = [n for n, _ in sources or fixed.BLOCK_SOURCES]
-    files = read_catalogue(spark, source_root, sources)
+    named = sources or fixed.BLOCK_SOURCES
+    names = [n for n, _ in named]
+    files = [(n, f"{source_root.rstrip('/')}/{path}") for n, path in named]
+    asked = {"sizes": fixed.BLOCK_SIZES, "known": fixed.KNOWN_BLOCKS}
+    blocks, around = read_ranges(spark, files, samples=SAMPLES, **asked), read_ranges(spark, files, window=(BEFORE, AFTER), **asked)
     place = F.array_position(F.array(*map(F.lit, names)), F.col("source_id"))
-    samples, windows = block_samples(files).persist(), known_windows(files).persist()
+    samples, windows = block_samples(blocks).persist(), known_windows(around).persist()
     try:
         write_jsonl(samples, f"{out_root}/raw_block_samples.jsonl", [place, F.col("block_size"), F.col("rank")])
         write_jsonl(windows, f"{out_root}/focused_known_windows.jsonl", [place, F.col("block_size"), F.col("known_block")])

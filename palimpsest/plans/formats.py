@@ -7,15 +7,18 @@ query and in its SQL. Files are written to the shared folder by the library's si
 from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
+from unicodedata import normalize
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import fixed
+from palimpsest.functions import blocks, fixed
 from palimpsest.functions import text as t
 from palimpsest.operators.segment import bracket_entries, headline_entries, headline_fields
 from palimpsest.plans.catalogue import _DROPS, _HEADWORD, _KEY, _SIGNATURE, _rewritten, _t, query
-from palimpsest.plans.restore import apply_rules, restore_pronunciations
+from palimpsest.plans.extract import AFTER, BEFORE, SAMPLES, block_samples, known_windows
+from palimpsest.plans.restore import Restored, apply_rules, restore_headlines, restore_pronunciations
+from palimpsest.sources.block_ranges import read_ranges
 from palimpsest.sources.readers import lines_of, read_drafts, read_dump, read_text_lines, read_token_map, read_token_rows
 from palimpsest.sources.scratch import scratch
 from palimpsest.sources.sinks import write_html, write_jsonl, write_report, write_tsv
@@ -103,12 +106,16 @@ _HEADLINES = {
     " to ": "\n\n↑to\n", " for ": "\n【open\n「q ",
 }
 _FIX = "CASE WHEN starts_with({0}, '[zA423]') THEN trim(substr({0}, 8), ' ') ELSE trim({0}, ' ') END"
+for _old, _new in fixed.HEADER_LITERALS.items():
+    _FIX = f"replace({_FIX}, '{_old}', '{_new}')"
 _BODY_START = "(" + " OR ".join(f"starts_with({{0}}, '{s}')" for s in fixed.BODY_STARTS) + " OR regexp_matches({0}, '^[0-9０-９]'))"
 _ORTHOGRAPHY = "^【([^】]+)】([^\\n]*)"
-_HEADLINE_ENTRIES = f"""
+def _headline_entries_sql(text: str) -> str:
+    """Common table expressions up to `entries`, the head-line entries of a text for each document."""
+    return f"""
 lines AS (
   SELECT doc_id, i - 1 AS ord, {_STRIP.format('parts[i]')} AS line
-  FROM (SELECT doc_id, string_split({_put_sql(_HEADLINES)}, chr(10)) AS parts FROM documents WHERE length(text) > 0), unnest(range(1, len(parts) + 1)) AS r(i)),
+  FROM (SELECT doc_id, string_split({text}, chr(10)) AS parts FROM documents WHERE length({text}) > 0), unnest(range(1, len(parts) + 1)) AS r(i)),
 filled AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY ord) AS following FROM lines WHERE line <> ''),
 own AS (SELECT *, {_FIX.format('line')} AS fixed, {_FIX.format('following')} AS after, starts_with({_FIX.format('line')}, '↓') OR starts_with({_FIX.format('line')}, '↑') AS marked FROM filled),
 judged AS (
@@ -131,7 +138,7 @@ entries AS (SELECT *, {_readable('body_mapped')} AS readable FROM mapped)"""
 
 
 @query(f"""
-WITH {_HEADLINE_ENTRIES}
+WITH {_headline_entries_sql(_put_sql(_HEADLINES))}
 SELECT CAST(doc_id AS VARCHAR) AS file, ord, header, {_KEY.format('header')} AS header_key, {_KEY.format('header_mapped')} AS mapped_key, {_KEY.format("split_part(header_mapped, '【', 1)")} AS head_part,
        md5(body_raw) AS body_raw, md5(readable) AS readable, substr({_SIGNATURE.format('readable')}, 1, 80) AS signature, substr({_SIGNATURE.format('readable')}, 1, 40) AS prefix_signature, {_unresolved('body_mapped')}
 FROM entries""")
@@ -187,6 +194,136 @@ def b_hex_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", F.concat(raw, F.lit(" .")).alias("bytes"), t.hex_number(F.col("doc_id")).alias("number"), F.substring(t.preview(shown), 1, 300).alias("preview"))
 
 
+# Blocks.
+
+#: Controls, line ends and filler put into documents, so that their bytes are blocks of all kinds of units.
+_CODED = {" the ": "\x1fA\x1f\n", " and ": "\x1f\x1f\x1f", " of ": " \x00\r", " in ": "\t\t\x80\n\n\n\n\n"}
+
+
+def _quoted(text: str) -> str:
+    """Text as SQL, its control characters by number."""
+    parts = [f"chr({ord(c)})" if ord(c) < 32 else "'" + c.replace("'", "''") + "'" for c in text]
+    return f"({' || '.join(parts)})"
+
+
+def _coded_sql(column: str) -> str:
+    for old, new in _CODED.items():
+        column = f"replace({column}, '{old}', {_quoted(new)})"
+    return column
+
+
+_CELLS_SQL = "SELECT string_split('" + blocks.cells().replace("'", "''") + "', '') AS cells"
+_SHOWN_SQL = f"""list_transform(u, lambda x: CASE WHEN length(x) = 1 AND x IN (chr(10), chr(13)) THEN chr(10) WHEN length(x) = 1 AND x = chr(0) THEN ''
+  WHEN length(x) = 1 AND unicode(x) BETWEEN 32 AND 126 THEN x WHEN length(x) = 1 THEN ' ' WHEN x[1] = chr(31) AND x[2] IN (chr(10), chr(13)) THEN chr(10)
+  WHEN x[1] = chr(31) THEN '⟦1F' || printf('%02X', unicode(x[2])) || '⟧' ELSE cells[94 * (unicode(x[1]) - 33) + unicode(x[2]) - 32] END)"""
+
+
+def _nfkc_sql(column: str) -> str:
+    """NFKC of what blocks can show, character by character."""
+    changed = {c: n for c in sorted(set(blocks.cells())) if (n := normalize("NFKC", c)) != c}
+    alone = {c: n for c, n in changed.items() if len(n) == 1}
+    for c, n in changed.items():
+        if len(n) > 1:
+            column = f"replace({column}, '{c}', {_quoted(n)})"
+    return f"translate({column}, {_quoted(''.join(alone))}, {_quoted(''.join(alone.values()))})"
+
+
+_WIDE_BLANKS = "' ' || chr(9) || chr(10) || chr(13) || '　'"
+
+
+def _decoded_sql(chunks: str) -> str:
+    """Common table expressions from chunks (a table with h, the bytes as hex digits) to decoded: text, preview, score, controls, n_units."""
+    score = " + ".join(f"{p} * length(regexp_replace(preview, '{c.replace('[', '[^', 1) if c.startswith('[') else f'[^{c}]'}', '', 'g'))" for p, c in fixed.SCRIPT_SCORES)
+    return f"""
+cells AS ({_CELLS_SQL}),
+signs AS (SELECT *, array_to_string(list_transform(range(0, strlen(h) // 2), lambda k: chr(CAST('0x' || substr(h, 2 * k + 1, 2) AS INT))), '') AS s FROM {chunks}),
+units AS (SELECT * EXCLUDE s, regexp_extract_all(s, '(?s)\\x1F.|[\\x21-\\x7E]{{2}}|.') AS u FROM signs),
+shown AS (
+  SELECT * EXCLUDE (u, cells), trim(regexp_replace(regexp_replace(array_to_string({_SHOWN_SQL}, ''), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_WIDE_BLANKS}) AS text,
+         list_transform(list_filter(u, lambda x: length(x) = 2 AND x[1] = chr(31)), lambda x: '1F' || printf('%02X', unicode(x[2]))) AS codes,
+         len(list_filter(u, lambda x: x NOT IN (chr(0), chr(10), chr(13)))) AS n_units
+  FROM units, cells),
+previewed AS (SELECT *, trim(regexp_replace(regexp_replace({_nfkc_sql('text')}, '⟦1F[0-9A-F]{{2}}⟧', '', 'g'), '[ \\t]+', ' ', 'g'), {_WIDE_BLANKS}) AS preview FROM shown),
+decoded AS (
+  SELECT *, {score} AS score,
+         array_to_string(list_transform(list_sort(list_distinct(codes)), lambda c: c || ':' || len(list_filter(codes, lambda x: x = c))), ',') AS controls
+  FROM previewed)"""
+
+
+def _controls(codes: Column) -> Column:
+    """A map of counts as text, by code."""
+    return F.array_join(F.transform(F.array_sort(F.map_keys(codes)), lambda c: F.concat(c, F.lit(":"), codes[c].cast("string"))), ",")
+
+
+@query(f"""
+WITH docs AS (SELECT doc_id, hex(encode({_coded_sql('text')})) AS whole FROM documents WHERE text IS NOT NULL),
+chunks AS (SELECT doc_id, i AS block, substr(whole, i * 4096 + 1, 4096) AS h FROM docs, unnest(range(0, strlen(whole) // 4096)) AS r(i)),
+{_decoded_sql('chunks')}
+SELECT doc_id, block, printf('%04X', block) AS block_hex, score, md5(text) AS text, md5(preview) AS preview, controls, n_units AS n_tokens FROM decoded""")
+def b_decode_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 2,048 bytes of every document, decoded; the rest at the end is dropped."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.encode(t.literally(F.col("text"), _CODED), "UTF-8").alias("content"))
+    cut = docs.withColumn("n", F.floor(F.length("content") / 2048)).where("n > 0").select("doc_id", "content", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("block"))
+    chunks = cut.select("doc_id", "block", F.expr("substring(content, cast(block * 2048 + 1 as int), 2048)").alias("chunk"))
+    read = blocks.with_decoded(chunks).withColumn("shown", t.preview(F.col("text")))
+    controls = _controls(blocks.control_counts(F.col("codes"), F.col("counts")))
+    return read.select("doc_id", "block", t.hex_number(F.col("block")).alias("block_hex"), t.script_score(F.col("shown")).alias("score"), F.md5("text").alias("text"), F.md5("shown").alias("preview"), controls.alias("controls"), F.col("n_units").alias("n_tokens"))
+
+
+_FILE_DOCS, _FILE_SIZES, _FILE_KNOWN = 250, [512, 2048], [3, 15, 900]
+
+
+def _block_files(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+    """Files of some 250 documents each, their texts with controls one after the other; (name, path) of each."""
+    path = scratch(spark)
+    docs = _t(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / _FILE_DOCS).alias("part"), "doc_id", t.literally(F.coalesce("text", F.lit("")), _CODED).alias("value"))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").option("lineSep", "\n").text(path)
+    files = spark.read.format("binaryFile").load(path).select("path").collect()  # a listing, no contents
+    return sorted((r["path"].rsplit("part=", 1)[1].split("/")[0], r["path"]) for r in files)
+
+
+_BLOCKS_SQL = f"""
+files AS (SELECT doc_id // {_FILE_DOCS} AS part, hex(encode(string_agg({_coded_sql("coalesce(text, '')")} || chr(10), '' ORDER BY doc_id))) AS whole FROM documents GROUP BY 1),
+sized AS (SELECT *, strlen(whole) // 2 // size AS n FROM files, (SELECT unnest({_FILE_SIZES}) AS size))"""
+
+
+@query(f"""
+WITH {_BLOCKS_SQL},
+chunks AS (
+  SELECT part, size, i AS block, substr(whole, i * size * 2 + 1, size * 2) AS h FROM sized, unnest(range(0, n)) AS r(i)
+  WHERE i % greatest(1, n // 400) = 0 OR i IN {tuple(_FILE_KNOWN)}),
+{_decoded_sql('chunks')},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY part, size ORDER BY score DESC, block) AS rn FROM decoded WHERE score > 80 OR block IN {tuple(_FILE_KNOWN)})
+SELECT part || ':' || size || ':' || block AS id, printf('%04X', block) AS block_hex, block * size AS at, score, row_number() OVER (PARTITION BY part, size ORDER BY rn) AS rank,
+       md5(substr(text, 1, 3000)) AS text, md5(substr(preview, 1, 3000)) AS preview, controls, trim(lower(regexp_replace(substr(h, 1, 256), '(..)', '\\1 ', 'g'))) AS bytes
+FROM ranked WHERE rn <= 40 OR block IN {tuple(_FILE_KNOWN)}""")
+def b_block_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as block files, of which only the sampled blocks are read: the best 40 of each file and size, then the known ones."""
+    read = read_ranges(spark, _block_files(spark, sf_dir), _FILE_SIZES, _FILE_KNOWN, samples=SAMPLES)
+    got = block_samples(read, known=_FILE_KNOWN)
+    return got.select(
+        "id", "block_hex", F.col("offset").alias("at"), F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"), F.md5("decoded_with_controls").alias("text"),
+        F.md5("normalized_preview").alias("preview"), _controls(F.col("control_codes")).alias("controls"), F.col("raw_hex_first_128").alias("bytes"),
+    )
+
+
+@query(f"""
+WITH {_BLOCKS_SQL},
+chunks AS (
+  SELECT part, size, known, greatest(0, known - 2) AS first, least(n, known + 6) AS stop, substr(whole, greatest(0, known - 2) * size * 2 + 1, (least(n, known + 6) - greatest(0, known - 2)) * size * 2) AS h
+  FROM sized, (SELECT CAST(unnest({_FILE_KNOWN}) AS BIGINT) AS known) WHERE known < n),
+{_decoded_sql('chunks')}
+SELECT part || ':' || size || ':' || known || ':window' AS id, printf('%04X', known) AS known_hex, first, stop - 1 AS last, first * size AS at, md5(substr(text, 1, 12000)) AS text, md5(substr(preview, 1, 12000)) AS preview, controls
+FROM decoded""")
+def b_known_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the same files only the blocks around the known ones are read."""
+    got = known_windows(read_ranges(spark, _block_files(spark, sf_dir), _FILE_SIZES, _FILE_KNOWN, window=(BEFORE, AFTER)))
+    return got.select(
+        "id", F.col("known_block_hex").alias("known_hex"), F.col("window_start_block").alias("first"), F.col("window_end_block").alias("last"), F.col("offset").alias("at"),
+        F.md5("decoded_with_controls").alias("text"), F.md5("normalized_preview").alias("preview"), _controls(F.col("control_codes")).alias("controls"),
+    )
+
+
 # Rules and restorations.
 
 _CLUED = "つかまえる。「とんぼを―」" + "皮算用"
@@ -265,6 +402,127 @@ def p_restore_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A dump entry for each document, with headers of all kinds, and a draft for each, whose number says what it can be found by.
+_IDS = "CAST(doc_id AS VARCHAR)"
+_OWN_HEADER = f"""CASE WHEN doc_id % 1000 = 5 THEN '{fixed.MANUAL_CLUES[0][1]}' WHEN doc_id % 10 = 7 THEN 'dup【x】' WHEN doc_id % 10 = 8 THEN 'はん【[zA42E]】' WHEN doc_id % 10 = 9 THEN 'g' || {_IDS}
+  WHEN doc_id % 10 = 6 THEN '[zA423]k' || {_IDS} || '【y】' ELSE 'h' || {_IDS} || '【' || coalesce(source, 's') || '】' END"""
+_DUMP_TEXT = f"({_OWN_HEADER} || chr(10) || '〈n〉 ' || CASE WHEN doc_id % 3 = 0 THEN '[hA1FF] [hA121] ' ELSE '' END || coalesce(text, ''))"
+_DRAFT_HEADER = f"""CASE WHEN doc_id % 12 IN (0, 6) THEN {_FIX.format(f'({_OWN_HEADER})')} WHEN doc_id % 12 = 1 THEN 'h' || {_IDS} || '【zz】' WHEN doc_id % 12 = 11 THEN 'dup【x】'
+  WHEN doc_id % 12 = 8 THEN '{fixed.MANUAL_HEADERS[0][0]}' WHEN doc_id % 12 = 9 THEN '{fixed.MANUAL_HEADERS[1][0]}' ELSE 'none' || {_IDS} END"""
+_DRAFT_BODY = f"""CASE doc_id % 12 WHEN 2 THEN '〈n〉 ' || coalesce(text, '') WHEN 3 THEN '〈n〉 ' || substr(coalesce(text, ''), 1, 60) || 'ZZZZ' || substr(coalesce(text, ''), 61)
+  WHEN 7 THEN 'pre ' || '{"".join(fixed.MANUAL_CLUES[0][0])}' ELSE 'nothing ' || {_IDS} END"""
+_METHOD_NAMES = ["header_normalized_exact", "head_part_unique", "body_signature_unique", "body_prefix_signature_unique"]
+_RESTORED_HEADLINES = f"""
+{_headline_entries_sql(_DUMP_TEXT)},
+keyed AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, ord) - 1 AS place, {_KEY.format('header_mapped')} AS mapped_key, {_KEY.format("split_part(header_mapped, '【', 1)")} AS head_part,
+         {_SIGNATURE.format('readable')} AS sig, starts_with(header_mapped, '【') AS bracket,
+         list_sort(list_distinct(regexp_extract_all(body_mapped, '{_TOKEN}', 1))) AS tokens
+  FROM entries),
+looks AS (
+  SELECT 0 AS s, mapped_key AS k, max(place) AS place FROM keyed GROUP BY mapped_key
+  UNION ALL SELECT 1, head_part, min(place) FROM keyed WHERE NOT bracket GROUP BY head_part HAVING count(*) = 1
+  UNION ALL SELECT 2, substr(sig, 1, 80), min(place) FROM keyed GROUP BY 2 HAVING count(*) = 1 AND NOT bool_or(bracket)
+  UNION ALL SELECT 3, substr(sig, 1, 40), min(place) FROM keyed GROUP BY 2 HAVING count(*) = 1 AND NOT bool_or(bracket)),
+drafts AS (SELECT doc_id, {_DRAFT_HEADER} AS header_key, {_DRAFT_BODY} AS body, doc_id % 12 = 10 AS flagged FROM documents),
+signed AS (SELECT *, {_KEY.format("split_part(header_key, '【', 1)")} AS part, {_SIGNATURE.format('body')} AS own_sig FROM drafts),
+wanted AS (
+  SELECT doc_id, unnest([{{'s': 0, 'k': header_key}}, {{'s': 1, 'k': CASE WHEN part <> '' THEN part END}}, {{'s': 2, 'k': substr(own_sig, 1, 80)}}, {{'s': 3, 'k': substr(own_sig, 1, 40)}}], recursive := true)
+  FROM signed),
+hits AS (SELECT doc_id, min(s) AS s, arg_min(place, s) AS place FROM wanted JOIN looks USING (s, k) GROUP BY doc_id),
+first AS (
+  SELECT d.*, s, place, coalesce(mapped_key, header_key) AS along_key, flagged OR s IS NOT NULL AS found, sum((flagged OR s IS NOT NULL)::INT) OVER (ORDER BY d.doc_id) AS grp
+  FROM drafts d LEFT JOIN hits USING (doc_id) LEFT JOIN (SELECT place, mapped_key FROM keyed) USING (place)),
+islands AS (SELECT grp, min(doc_id) AS start, count(*) AS n FROM first WHERE NOT found GROUP BY grp),
+bounded AS (
+  SELECT i.*, a.along_key AS k1, b.along_key AS k2 FROM islands i JOIN first a ON a.found AND a.doc_id = start - 1 JOIN first b ON b.found AND b.doc_id = start + n),
+one AS (
+  SELECT grp, min(start) AS start, min(a.place) AS p FROM bounded JOIN keyed a ON a.mapped_key = k1 JOIN keyed b ON b.place = a.place + n + 1 AND b.mapped_key = k2
+  GROUP BY grp HAVING count(*) = 1),
+bridged AS (SELECT doc_id, p + 1 + doc_id - start AS filler FROM first JOIN one USING (grp) WHERE NOT found),
+clued AS (SELECT max(place) AS clue_place FROM keyed WHERE mapped_key = '{fixed.MANUAL_CLUES[0][1]}'),
+chosen AS (
+  SELECT f.*, filler, CASE WHEN NOT found AND filler IS NULL AND {" AND ".join(f"contains(body, '{c}')" for c in fixed.MANUAL_CLUES[0][0])} THEN clue_place END AS by_clue
+  FROM first f LEFT JOIN bridged USING (doc_id), clued),
+placed AS (
+  SELECT doc_id, header_key, body, flagged, coalesce(filler, place, by_clue) AS spot,
+         CASE WHEN filler IS NOT NULL THEN 'positional_window_unique' WHEN s IS NOT NULL THEN {_METHOD_NAMES}[s + 1] WHEN by_clue IS NOT NULL THEN '{fixed.MANUAL_CLUES[0][2]}'
+              WHEN NOT flagged THEN CASE header_key {" ".join(f"WHEN '{h}' THEN '{m}'" for h, _, _, m in fixed.MANUAL_HEADERS)} END END AS method
+  FROM chosen),
+rows AS (
+  SELECT p.doc_id, p.header_key, p.body, flagged, method,
+         CASE method {" ".join(f"WHEN '{m}' THEN '{line}'" for _, line, _, m in fixed.MANUAL_HEADERS)} ELSE mapped_key END AS entry_key,
+         CASE method {" ".join(f"WHEN '{m}' THEN '{body}'" for _, _, body, m in fixed.MANUAL_HEADERS)} ELSE readable END AS entry_body, coalesce(tokens, []) AS tokens
+  FROM placed p LEFT JOIN (SELECT place AS spot, mapped_key, readable, tokens FROM keyed) USING (spot))"""
+
+
+def _restored_headlines(spark: SparkSession, sf_dir: str) -> Restored:
+    """The whole restoration of drafts by head lines: a dump entry and a draft for each document."""
+    docs = _t(spark, sf_dir, "documents")
+    n, ids, text = F.col("doc_id"), F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    clue, headers = fixed.MANUAL_CLUES[0], fixed.MANUAL_HEADERS
+    plain = F.concat(F.lit("h"), ids, F.lit("【"), F.coalesce("source", F.lit("s")), F.lit("】"))
+    kinds = [(7, F.lit("dup【x】")), (8, F.lit("はん【[zA42E]】")), (9, F.concat(F.lit("g"), ids)), (6, F.concat(F.lit("[zA423]k"), ids, F.lit("【y】")))]
+    header = F.when(n % 1000 == 5, clue[1])
+    for rest, value in kinds:
+        header = header.when(n % 10 == rest, value)
+    header = header.otherwise(plain)
+    dump = F.concat(header, F.lit("\n〈n〉 "), F.when(n % 3 == 0, "[hA1FF] [hA121] ").otherwise(""), text)
+    dumps = docs.select(F.lpad(ids, 18, "0").alias("file"), dump.alias("text"))
+    m = n % 12
+    sought = (
+        F.when(m.isin(0, 6), t.fix_header(header)).when(m == 1, F.concat(F.lit("h"), ids, F.lit("【zz】"))).when(m == 11, "dup【x】")
+        .when(m == 8, headers[0][0]).when(m == 9, headers[1][0]).otherwise(F.concat(F.lit("none"), ids))
+    )
+    body = (
+        F.when(m == 2, F.concat(F.lit("〈n〉 "), text)).when(m == 3, F.concat(F.lit("〈n〉 "), F.substring(text, 1, 60), F.lit("ZZZZ"), F.substring(text, 61, 2147483647)))
+        .when(m == 7, F.lit("pre " + "".join(clue[0]))).otherwise(F.concat(F.lit("nothing "), ids))
+    )
+    none = F.lit(None)
+    canonical = F.struct(body.alias("body"), none.cast("string").alias("body_quality"), none.cast("boolean").alias("review_ready"), F.when(m == 10, "earlier").alias("body_match_method"), none.cast("array<string>").alias("body_unresolved_tokens"))
+    fields = [ids.alias("id"), none.cast("string").alias("headword"), none.cast("string").alias("orthography"), F.struct(sought.alias("normalized")).alias("header"), canonical.alias("canonical"), F.struct((m == 10).alias("body_restored_from_old_text")).alias("master_status")]
+    drafts = docs.select(F.lit("drafts").alias("file"), n.alias("ord"), *fields).withColumn("_raw", F.to_json(F.struct("id", "header", "canonical", "master_status", F.array(F.lit("draft")).alias("notes"))))
+    return restore_headlines(drafts, lines_of(dumps), TOKENS, "dump")
+
+
+@query(f"""
+WITH {_RESTORED_HEADLINES}, shaped AS (SELECT *, regexp_matches(entry_key, '^【([^】]+)】$') AS alone, contains(entry_key, '【') AND contains(entry_key, '】') AS paired FROM rows)
+SELECT {_IDS} AS id, method, flagged OR method IS NOT NULL AS restored, CASE WHEN method IS NULL THEN header_key ELSE entry_key END AS header, CASE WHEN method IS NOT NULL THEN header_key END AS first_header,
+       CASE WHEN method IS NULL THEN NULL WHEN alone THEN regexp_extract(entry_key, '^【([^】]+)】$', 1) WHEN paired THEN split_part(entry_key, '【', 1) ELSE entry_key END AS headword,
+       CASE WHEN method IS NOT NULL AND paired AND NOT alone THEN split_part(regexp_extract(entry_key, '【(.*)$', 1), '】', 1) END AS orthography,
+       md5(CASE WHEN method IS NULL THEN body ELSE entry_body END) AS body, CASE WHEN method IS NOT NULL THEN len(tokens) END AS n_left,
+       CASE WHEN method IS NOT NULL THEN len(tokens) = 0 AND entry_body <> '' END AS ready, CASE WHEN method = 'positional_window_unique' THEN 'old-text' WHEN method IS NOT NULL THEN 'dump' END AS body_source,
+       CASE WHEN method IS NULL THEN 1 ELSE 2 END AS n_notes
+FROM shaped""")
+def p_restore_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _restored_headlines(spark, sf_dir).rows
+    shape = (
+        "id string, headword string, orthography string, notes array<string>, header struct<normalized:string,extracted_normalized:string>, "
+        "canonical struct<body:string,body_source:string,review_ready:boolean,body_unresolved_tokens:array<string>>"
+    )
+    rows = got.select("method", "restored", F.from_json("line", shape).alias("j"))
+    left = F.col("j.canonical.body_unresolved_tokens")
+    return rows.select(
+        "j.id", "method", "restored", F.col("j.header.normalized").alias("header"), F.col("j.header.extracted_normalized").alias("first_header"), "j.headword", "j.orthography",
+        F.md5("j.canonical.body").alias("body"), F.when(left.isNotNull(), F.size(left)).cast("bigint").alias("n_left"), F.col("j.canonical.review_ready").alias("ready"),
+        "j.canonical.body_source", F.size("j.notes").alias("n_notes"),
+    )
+
+
+@query(f"""
+WITH {_RESTORED_HEADLINES},
+counts AS (
+  SELECT count(*) AS total, count(*) FILTER (flagged OR method IS NOT NULL) AS restored, CAST(coalesce(sum(CASE WHEN method IS NOT NULL THEN len(tokens) END), 0) AS BIGINT) AS unresolved FROM rows),
+named AS (
+  SELECT unnest([{{'name': 'total_entries', 'n': total}}, {{'name': 'restored_matches', 'n': restored}}, {{'name': 'unmatched_entries', 'n': total - restored}}, {{'name': 'restored_unresolved_tokens', 'n': unresolved}}], recursive := true) FROM counts
+  UNION ALL SELECT 'match_method:' || coalesce(method, 'earlier'), count(*) FROM rows WHERE flagged OR method IS NOT NULL GROUP BY 1)
+SELECT name, n, (SELECT count(*) FROM keyed) AS old_rows, round_even(restored / total, 6) AS ratio FROM named, counts WHERE n > 0 OR name = 'restored_unresolved_tokens'""")
+def k_headline_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the whole restoration: its counters, one a row, with the dump's size and the share that was restored."""
+    report = _restored_headlines(spark, sf_dir).report
+    return report.select(F.explode("merge_counts").alias("name", "n"), "old_rows", F.col("coverage.restored_ratio").alias("ratio"))
+
+
 # Files.
 
 

@@ -15,16 +15,6 @@ from palimpsest.functions import fixed
 TOKEN_MAP = "status string, scope string, warning string, derived_from string, tokens map<string,struct<value:string,kind:string,confidence:string,evidence:array<string>>>"
 
 
-def read_catalogue(spark: SparkSession, root: str, sources: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(source_id, source, content) of the named files below a root. A missing file is an error."""
-    rows = [(name, f"{root.rstrip('/')}/{path}") for name, path in sources or fixed.BLOCK_SOURCES]
-    found = None
-    for name, path in rows:
-        one = spark.read.format("binaryFile").load(path).select(F.lit(name).alias("source_id"), F.lit(path).alias("source"), "content")
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
 #: What ends a line of a dump's bytes, besides 0A: none of these is ever the second byte of a character.
 _BYTE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e"
 

@@ -12,8 +12,9 @@ import pytest
 from palimpsest.__main__ import main
 from palimpsest.functions import fixed
 from palimpsest.operators.segment import bracket_entries, headline_entries
-from palimpsest.plans.extract import block_samples, export_blocks, known_windows
+from palimpsest.plans.extract import block_samples, cut_samples, cut_windows, export_blocks, known_windows
 from palimpsest.plans.restore import HEADLINE_DRAFT, export_headlines, export_pronunciations, restore_headlines
+from palimpsest.sources.block_ranges import BlockReader, read_ranges
 from palimpsest.sources.readers import lines_of, read_drafts, read_dump, read_text_lines
 from palimpsest.streaming.enrich import stream_pronunciations
 
@@ -310,13 +311,44 @@ def test_blocks(spark, files):
     assert html.startswith("<!doctype html>") and html.count("<section>") == len(samples)
 
 
+def test_only_sampled_blocks_of_a_large_file_are_read(spark, tmp_path):
+    """A sparse file of 3 GB, and the same rows from a small file read in ranges and as one value."""
+    size, n = 2048, 3 * (1 << 30) // 2048
+    step, known = n // 400, [5, n - 1, n + 7]
+    with open(tmp_path / "large", "wb") as f:
+        for b in (step, 5, n - 1):
+            f.seek(b * size)
+            f.write(b"\x24\x22" * (size // 2))
+        f.truncate(n * size + 100)
+    reader = BlockReader({"files": json.dumps([["a", f"file://{tmp_path}/large"]]), "sizes": f"[{size}]", "known": json.dumps(known), "samples": "400"})
+    parts = reader.partitions()
+    chunks = [x for p in parts for batch in reader.read(p) for x in batch.to_pylist()]
+    assert len(parts) > 1 and sum(len(x["chunk"]) for x in chunks) == len(chunks) * size
+    assert [x["block"] for x in chunks] == sorted({*range(0, n, step), 5, n - 1})
+    assert [x["block"] for x in chunks if any(x["chunk"])] == [5, step, n - 1]
+    read = read_ranges(spark, [("a", f"file://{tmp_path}/large")], [size], known, samples=400)
+    got = block_samples(read, known).orderBy("rank").select("block", "score").collect()
+    assert [tuple(r) for r in got] == [(5, 3072), (step, 3072), (n - 1, 3072)]
+    around = known_windows(read_ranges(spark, [("a", f"file://{tmp_path}/large")], [size], known, window=(2, 5)))
+    assert [tuple(r) for r in around.select("window_start_block", "window_end_block").orderBy("offset").collect()] == [(3, 10), (n - 3, n - 1)]
+
+    data = random.Random(1).randbytes(300_000)
+    (tmp_path / "small").write_bytes(data)
+    files = spark.createDataFrame([("s", f"file://{tmp_path}/small", bytearray(data))], "source_id string, source string, content binary")
+    ranged = [("s", f"file://{tmp_path}/small")]
+    for cut, one in ((cut_samples(files, [512, 700], [2, 9]), read_ranges(spark, ranged, [512, 700], [2, 9], samples=400)), (cut_windows(files, [512], [0, 9]), read_ranges(spark, ranged, [512], [0, 9], window=(2, 5)))):
+        assert sorted(cut.collect(), key=repr) == sorted(one.collect(), key=repr)
+    with pytest.raises(Exception, match="large2"):
+        read_ranges(spark, [("a", f"file://{tmp_path}/large2")], [512], [], samples=4).collect()
+
+
 def test_best_blocks_keep_known_ones(spark):
     content = b"".join((b"\x24\x22" * 256 if i != 3 else b"\x00" * 512) for i in range(60))
     files = spark.createDataFrame([("s", "p", bytearray(content))], "source_id string, source string, content binary")
-    got = block_samples(files, sizes=[512], known=[3, 59, 900], kept=40).orderBy("rank").collect()
+    got = block_samples(cut_samples(files, [512], [3, 59, 900]), [3, 59, 900], kept=40).orderBy("rank").collect()
     assert [r["block"] for r in got] == [b for b in range(41) if b != 3] + [59, 3]
     assert [r["rank"] for r in got] == list(range(1, 43))
-    assert known_windows(files, sizes=[512], known=[59, 900]).select("window_start_block", "window_end_block").collect() == [(57, 59)]
+    assert known_windows(cut_windows(files, [512], [59, 900])).select("window_start_block", "window_end_block").collect() == [(57, 59)]
 
 
 def test_rules_as_data(spark, files):

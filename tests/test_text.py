@@ -110,17 +110,19 @@ def test_decode(spark):
     blocks_ = [b"\x24\x22\x1f\x0a\x1f\x41\x00A\x80\x0d\n\n\nB\x1f", b"\x29\x21", b"", None, b"\x1f", b"\x1f\x1f\x1f", b"ABC"]
     blocks_ += [b"".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(500)] + [rng.randbytes(600) for _ in range(20)]
     df = spark.createDataFrame([(i, None if x is None else bytearray(x)) for i, x in enumerate(blocks_)], "i int, x binary").repartition(2)
-    got = df.select("i", blocks.decode_block("x").alias("d"), blocks.block_units("x").alias("u")).withColumn("c", blocks.control_counts(F.col("d"))).orderBy("i").collect()
+    made = blocks.with_decoded(df, "x").withColumn("u", blocks.block_units(F.col("x"))).withColumn("c", blocks.control_counts(F.col("codes"), F.col("counts")))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.orderBy("i").collect()
     for r, x in zip(got, blocks_, strict=True):
         if x is None:
-            assert r.d is None and r.u is None
+            assert r.text is None and r.codes is None and r.n_units is None and r.u is None
             continue
         text, units = plain_decode(x)
-        assert (r.d.text, r.d.n_units) == (text, len(units)), x
+        assert (r.text, r.n_units) == (text, len(units)), x
         assert [tuple(u) for u in r.u] == units, x
         counts = Counter(u[2] for u in units if u[0] == "control")
-        assert list(zip(r.d.codes, r.d.counts, strict=True)) == list(counts.items()) and r.c == counts, x
-    assert got[0].d.text == "あ\n⟦1F41⟧A \n\nB"
+        assert list(zip(r.codes, r.counts, strict=True)) == list(counts.items()) and r.c == counts, x
+    assert got[0].text == "あ\n⟦1F41⟧A \n\nB"
 
 
 def test_edits_keep_what_they_do_not_name(spark):
