@@ -25,14 +25,24 @@ def nfkc(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
 
 
+#: fixed.SPACE as a class that Java tests by a character's kind, and its characters one by one.
+_SPACE = r"[\s\x1c-\x1f]"
+_SPACES = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{fixed.SPACE}]", c))
+
+
 def strip(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, rf"^[{fixed.SPACE}]+|[{fixed.SPACE}]+\z", "")
+    """Without white space at both ends. Nothing but the ends is looked at."""
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def one_space(text: Column) -> Column:
     """Each run of white space as one space."""
-    return F.regexp_replace(text, rf"[{fixed.SPACE}]+", " ")
+    return F.regexp_replace(text, f"(?U){_SPACE}+", " ")
+
+
+def one_end(text: Column, ends: str = fixed.LINE_ENDS) -> Column:
+    """All line ends as "\\n": those of two characters first, then each other one of the class `ends`."""
+    return F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"[\v\x1c-\x1e&&[^\n]]" if ends == fixed.LINE_ENDS else f"[\r{ends}&&[^\n]]", "\n")
 
 
 def literally(text: Column, pairs: dict[str, str]) -> Column:
@@ -104,16 +114,15 @@ def clean_pronunciation(text: Column) -> Column:
 
 
 #: White space that ends no line, once all line ends are "\n".
-_IN_LINE = rf"[{fixed.SPACE}&&[^\n]]"
+_IN_LINE = r"[\s\x1c-\x1f&&[^\n]]"
 
 
 def clean_body(text: Column) -> Column:
     """A mapped body as a reader sees it: markup as signs, NFKC, lines without extra white space, at most one blank line together. All lines are cleaned at once."""
     shown = F.regexp_replace(literally(text, fixed.BODY_MARKUP), "<label>([^\\n]*?)</label>", "〔$1〕")
-    one_end = F.regexp_replace(nfkc(shown), rf"\r\n|\r|[{fixed.LINE_ENDS}]", "\n")
-    spaced = F.regexp_replace(one_end, "[ \\t]+", " ")
-    tails = F.regexp_replace(spaced, rf"(?<!{_IN_LINE}){_IN_LINE}++\n", "\n")
-    heads = F.regexp_replace(tails, rf"\n{_IN_LINE}++", "\n")
+    spaced = F.regexp_replace(one_end(nfkc(shown)), "[ \\t]+", " ")
+    tails = F.regexp_replace(spaced, rf"(?U)(?<!{_IN_LINE}){_IN_LINE}++\n", "\n")
+    heads = F.regexp_replace(tails, rf"(?U)\n{_IN_LINE}++", "\n")
     return strip(F.regexp_replace(heads, "\\n{3,}", "\n\n"))
 
 
@@ -141,7 +150,7 @@ def head_part(text: Column) -> Column:
 
 def signature(text: Column, length: int = fixed.SIGNATURE) -> Column:
     """The first characters of the key that count. White space doesn't, so the key's own steps for it aren't needed."""
-    return F.substring(F.regexp_replace(nfkc(text), f"[{fixed.SIGNATURE_DROPS}{fixed.SPACE}]+", ""), 1, length)
+    return F.substring(F.regexp_replace(nfkc(text), rf"(?U)[{fixed.SIGNATURE_DROPS}\s\x1c-\x1f]+", ""), 1, length)
 
 
 def prefix_signature(whole: Column) -> Column:

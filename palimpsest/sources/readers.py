@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import fixed
+from palimpsest.functions import text as t
 
 TOKEN_MAP = "status string, scope string, warning string, derived_from string, tokens map<string,struct<value:string,kind:string,confidence:string,evidence:array<string>>>"
 
@@ -74,11 +75,12 @@ def lines_of(texts: DataFrame, ends: str = fixed.LINE_ENDS) -> DataFrame:
 
     A line end at the end of a text begins no further line. Null and empty texts have no lines.
     """
-    pattern = f"\r\n|\r|\n|[{ends}]" if ends else "\r\n|\r|\n"
-    closed = F.col("text").rlike(f"(?:{pattern})\\z")
-    cut = texts.where(F.length("text") > 0).select("file", F.split("text", pattern, -1).alias("cut"), closed.alias("closed"))
-    whole = cut.select("file", "closed", F.when(F.col("closed"), F.slice("cut", 1, F.size("cut") - 1)).otherwise(F.col("cut")).alias("cut"))
-    return whole.select("file", "closed", F.size("cut").alias("n"), F.posexplode("cut").alias("ord", "line")).select("file", "ord", "line", (F.col("closed") | (F.col("ord") < F.col("n") - 1)).alias("ended"))
+    whole = texts.where(F.length("text") > 0).select("file", t.one_end(F.col("text"), ends).alias("text"))
+    closed = F.endswith("text", F.lit("\n"))
+    cut = whole.select("file", closed.alias("closed"), F.split(F.when(closed, F.expr("left(text, length(text) - 1)")).otherwise(F.col("text")), "\n", -1).alias("cut"))
+    # An outer generator: for others Spark puts the whole expression, made of the text, into a filter of the scan as well.
+    lines = cut.select("file", "closed", F.size("cut").alias("n"), F.posexplode_outer("cut").alias("ord", "line"))
+    return lines.select("file", "ord", "line", (F.col("closed") | (F.col("ord") < F.col("n") - 1)).alias("ended"))
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:

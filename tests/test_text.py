@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions import blocks
+from palimpsest.functions import blocks, fixed
 from palimpsest.functions import text as t
 from palimpsest.operators.choose import context, ratio, strided
 
@@ -72,6 +72,18 @@ def test_bytes_and_numbers(spark):
     assert one(spark, ratio, 2, 3) == 0.666667
 
 
+def test_white_space_is_that_of_the_formats(spark):
+    signs = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c,) for c in signs], "c string")
+    wrapped = F.concat(F.lit("x"), "c", F.lit("y"))
+    made = df.select("c", t.strip(F.col("c")).alias("stripped"), t.one_space(wrapped).alias("spaced"), t.one_end(wrapped).alias("ended"), t.one_end(wrapped, "").alias("bare"))
+    for r in made.collect():
+        blank = re.match(f"[{fixed.SPACE}]", r["c"]) is not None
+        assert r["stripped"] == ("" if blank else r["c"]) and r["spaced"] == ("x y" if blank else f"x{r['c']}y"), hex(ord(r["c"]))
+        assert r["ended"] == (re.sub(f"[\r{fixed.LINE_ENDS}]", "\n", f"x{r['c']}y")) and r["bare"] == re.sub("\r", "\n", f"x{r['c']}y"), hex(ord(r["c"]))
+    assert one(spark, t.one_end, "a\r\r\n\nb\u2028\x1dc") == "a\n\n\nb\n\nc"
+
+
 def test_strided_and_context(spark):
     assert one(spark, lambda n: strided(n, 400, [15, 12596]), 0) == []
     assert one(spark, lambda n: strided(n, 400, [15, 12596]), 3) == [0, 1, 2]
