@@ -17,8 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 NAME = "block_ranges"
 SCHEMA = "source_id string, source string, block_size int, block bigint, first bigint, stop bigint, chunk binary"
 _ARROW = pa.schema([("source_id", pa.string()), ("source", pa.string()), ("block_size", pa.int32()), *[(c, pa.int64()) for c in ("block", "first", "stop")], ("chunk", pa.binary())])
-#: Ranges of one partition.
-RANGES = 64
+#: Bytes that one partition reads, and of one batch that it gives.
+PARTITION_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
 
 
 def sampled(n_blocks: int, samples: int, known: list[int]) -> list[tuple[int, int, int]]:
@@ -59,7 +59,8 @@ class BlockReader(DataSourceReader):
             for size in self.sizes:
                 n = info.size // size
                 ranges = sampled(n, self.samples, self.known) if self.window is None else around(n, self.known, *self.window)
-                out += [Ranges(source_id, path, size, ranges[i : i + RANGES]) for i in range(0, len(ranges), RANGES)]
+                most = max(1, PARTITION_BYTES // max((stop - first) * size for _, first, stop in ranges)) if ranges else 1
+                out += [Ranges(source_id, path, size, ranges[i : i + most]) for i in range(0, len(ranges), most)]
         return out or [Ranges("", "", 1, [])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
@@ -68,9 +69,16 @@ class BlockReader(DataSourceReader):
             return
         fs, at = _opened(path)
         with fs.open_input_file(at) as file:
+            rows, held = [], 0
             for block, first, stop in ranges:
                 chunk = file.read_at((stop - first) * size, first * size)
-                yield pa.RecordBatch.from_pylist([{"source_id": source_id, "source": path, "block_size": size, "block": block, "first": first, "stop": stop, "chunk": chunk}], schema=_ARROW)
+                rows.append({"source_id": source_id, "source": path, "block_size": size, "block": block, "first": first, "stop": stop, "chunk": chunk})
+                held += len(chunk)
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 class BlockRanges(DataSource):

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from palimpsest.operators.islands import positional_fill
+from palimpsest.operators.islands import bounded_islands, pairs_of, positional_fill
 from palimpsest.operators.order import running_count
 from pyspark.sql import functions as F
 
@@ -39,6 +39,17 @@ def test_islands_are_filled_where_one_place_fits(spark):
     assert want
 
 
+def test_one_key_on_all_rows(spark):
+    """Islands of few lengths between rows of one key: rows in between grow with places times lengths, not with islands times places."""
+    n = 3000
+    rows = spark.range(n).select(F.lit(0).alias("part"), F.col("id").alias("ord"), F.lit("k").alias("key"), (F.col("id") % 4 == 0).alias("found"))
+    other = rows.select("part", "ord", "key")
+    assert positional_fill(rows, other, ["part"]).count() == 0
+    _, bounded = bounded_islands(rows, ["part"])
+    assert bounded.count() == n // 4 - 1
+    assert pairs_of(bounded, other, ["part"]).count() == n - 4  # all islands have three rows
+
+
 def test_running_count_over_blocks(spark):
     rng = random.Random(4)
     rows = [(p, i, rng.random() < 0.3 or None) for p in (0, 1) for i in range(100)]
