@@ -15,6 +15,7 @@ from palimpsest.operators.lookup import Look, Step, cascade, last_of, match, uni
 from palimpsest.operators.order import numbered
 from palimpsest.operators.segment import bracket_entries, headline_entries, headline_fields
 from palimpsest.sources.readers import read_drafts, read_dump, read_token_map
+from palimpsest.sources.scratch import dropped, kept
 from palimpsest.sources.sinks import write_jsonl, write_report
 
 PRONUNCIATION_DRAFT = (
@@ -32,20 +33,18 @@ SNIPPET, SAMPLES = 220, 240
 class Restored(NamedTuple):
     """entries: the dump's index; rows: drafts with row and method, and the finished line; index, report: exports.
 
-    entries, rows and the drafts' keys are persisted, as all exports come from them; release() frees them.
+    entries, rows and what they are made from are tables in the shared folder, as all exports come from them; release() deletes these.
     """
 
     entries: DataFrame
     rows: DataFrame
     index: DataFrame
     report: DataFrame
-    sample: DataFrame | None = None
-    keyed: DataFrame | None = None
+    sample: DataFrame | None
+    tables: list[str]
 
     def release(self) -> None:
-        for table in (self.entries, self.rows, self.keyed):
-            if table is not None:
-                table.unpersist()
+        dropped(self.entries.sparkSession, self.tables)
 
 
 def _split_tokens(joined: Column) -> Column:
@@ -106,9 +105,9 @@ def restore_pronunciations(drafts: DataFrame, lines: DataFrame, tokens: dict[str
     A key is usable if all its entries have one pronunciation; the first entry's body is taken. drafts: as read_drafts gives them; lines: as read_dump
     gives them with ends="", or lines_of.
     """
-    entries = bracket_entries(lines, tokens).persist()
+    entries, at_entries = kept(bracket_entries(lines, tokens))
     exact, normal = pronunciation_lookups(entries)
-    rows = match_pronunciations(drafts, exact, normal, source_id, source_name).persist()
+    rows, at_rows = kept(match_pronunciations(drafts, exact, normal, source_id, source_name))
     hits = rows.where("method is not null")
     index = hits.select(
         "file", "ord", "id", F.col("source.source_id").alias("source_id"), "headword", "orthography", F.col("row.pronunciation_raw").alias("pronunciation_raw"),
@@ -133,7 +132,7 @@ def restore_pronunciations(drafts: DataFrame, lines: DataFrame, tokens: dict[str
         "lookup", counts.alias("merge_counts"), F.struct(ratio(F.col("verified"), F.col("filtered")).alias("verified_ratio")).alias("coverage"),
         F.struct(F.col("verified").alias("total_rows"), F.col("unresolved").alias("total_unresolved_tokens"), F.parse_json("top").alias("top_unresolved_tokens")).alias("restored_body"),
     )
-    return Restored(entries, rows, index, report, sample)
+    return Restored(entries, rows, index, report, sample, [at_entries, at_rows])
 
 
 def headline_edits() -> Column:
@@ -213,7 +212,7 @@ def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str
 
     Drafts keep their file's order. Rows that were restored before count as matched, and are matched again where a key finds them.
     """
-    entries = headline_entries(lines, tokens).persist()
+    entries, at_entries = kept(headline_entries(lines, tokens))
     order = ["file", "ord"]
     head = F.startswith(F.col("headword_line_mapped"), F.lit("【"))
     columns = entries.columns
@@ -224,7 +223,8 @@ def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str
     ]
     keyed = drafts.withColumn("header_key", t.text_key(F.coalesce("header.normalized", F.lit("")))).withColumn("_body", F.coalesce("canonical.body", F.lit("")))
     keyed = keyed.withColumn("body_key", t.text_key(F.col("_body")))
-    keyed = keyed.withColumn("_part", t.head_part(F.col("header_key"))).withColumn("_signature", t.signature(F.col("_body"))).persist()
+    keyed = keyed.withColumn("_part", t.head_part(F.col("header_key"))).withColumn("_signature", t.signature(F.col("_body")))
+    keyed, at_keyed = kept(keyed)
     keys = [F.col("header_key"), F.when(F.col("_part") != "", F.col("_part")), F.col("_signature"), t.prefix_signature(F.col("_signature"))]
     names = ["header_normalized_exact", "head_part_unique", "body_signature_unique", "body_prefix_signature_unique"]
     found = match(keyed, order, [(m, k, n) for n, (m, k) in enumerate(zip(names, keys, strict=True))], looks, entries, order)
@@ -232,7 +232,8 @@ def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str
     hits = found.join(rows_of, "entry").select(*order, "method", "row")
     first = keyed.drop("_part", "_signature").join(hits, order, "left")
     flagged = F.coalesce("master_status.body_restored_from_old_text", F.lit(False))
-    first = first.withColumn("restored", flagged | F.col("method").isNotNull()).withColumn("source_name", F.lit(source_name))
+    # All that comes by place reads these rows several times, so they are made once.
+    first, at_first = kept(first.withColumn("restored", flagged | F.col("method").isNotNull()).withColumn("source_name", F.lit(source_name)))
 
     # Places of entries count from 0 over the whole dump.
     ranked = numbered(entries, "file", "ord", "place")
@@ -249,7 +250,7 @@ def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str
     )
     third = apply_rules(second, entries, rules)
     third = third.withColumn("restored", F.col("restored") | F.col("method").isNotNull())
-    rows = third.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), headline_edits()))).persist()
+    rows, at_rows = kept(third.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), headline_edits()))))
 
     new = F.col("method").isNotNull()
     parts = t.header_parts(F.col("row.headword_line_mapped"))
@@ -275,7 +276,7 @@ def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str
         "old_rows", counts.alias("merge_counts"), F.struct(ratio(F.col("restored"), F.col("total")).alias("restored_ratio")).alias("coverage"),
         F.struct(F.col("restored").alias("total_rows"), F.col("unresolved").alias("total_unresolved_tokens"), F.parse_json("top").alias("top_unresolved_tokens")).alias("restored_body"),
     )
-    return Restored(entries, rows, index, report, keyed=keyed)
+    return Restored(entries, rows, index, report, None, [at_entries, at_keyed, at_first, at_rows])
 
 
 def export_pronunciations(spark: SparkSession, source_root: str, out_root: str, raw_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None, source_id: str = fixed.DEFAULT_SOURCE) -> Restored:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -16,3 +16,17 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="palimpsest-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """df as a table in such a folder, and the folder: what reads it many times plans and runs from there, whatever made it, and needs no executor's memory."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes such folders, once nothing reads them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
