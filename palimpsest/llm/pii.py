@@ -165,36 +165,96 @@ def _tokens(text: str, begin: int, end: int) -> Iterator[list[tuple[int, int]]]:
     yield [m.span() for m in _TOKEN.finditer(text, low, high)]
 
 
+#: What the characters of a span leave it to be: a number of any kind, hexadecimal groups, a key, an account, an address.
+_NUM, _HEX, _KEY, _IBAN, _MAIL = 1, 2, 4, 8, 16
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_MADE_OF = {
+    _NUM: _NUMBER_SIGNS, _HEX: frozenset("0123456789abcdefABCDEF:"), _KEY: frozenset("0123456789_-+/=" + _LETTERS), _IBAN: frozenset("0123456789 " + _LETTERS.upper()),
+    _MAIL: frozenset("0123456789._%+-@()[] " + _LETTERS),
+}
+
+
+#: Signs of which one may stand between two groups of a number.
+_BETWEEN = (" ", ".", "-", "/")
+_ALL_CUES = frozenset().union(*_CUES.values())
+
+
+@lru_cache(maxsize=1 << 14)
+def _may_be(part: str) -> int:
+    return sum(bit for bit, signs in _MADE_OF.items() if signs.issuperset(part))
+
+
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[float]]]:
     """(first token, end token, features) of the spans that may be an entity.
 
-    These have no white space at their ends, and an "at" with a word on both sides, or three digits and no free word between them.
+    These have no white space at their ends, and an "at" with a word on both sides, or three digits and no free word between them. Their characters
+    must leave them to be something: a number of 9 to 19 digits (beyond 15 with a card's checksum) or of four groups, hexadecimal
+    groups, a key of 16 characters, an account that begins with two letters and two digits, an address. A span that can be nothing can't be longer either.
+    A number amid other numbers on both sides, without a word near it that names a kind, is a row's.
     """
     n = len(tokens)
     parts = [text[a:b] for a, b in tokens]
+    may = [_may_be(p) for p in parts]
     blank = [p.isspace() for p in parts]
     digits = [sum(c.isdigit() and c.isascii() for c in p) for p in parts]
     free = [len(p) > 2 and p.isalpha() and not p.isupper() and (k == 0 or blank[k - 1]) and (k + 1 == n or blank[k + 1]) for k, p in enumerate(parts)]
     at = [p == "@" or p.lower() == "at" and 0 < k < n - 1 and parts[k - 1] in "([" and parts[k + 1] in ")]" for k, p in enumerate(parts)]
+    next_at = [n] * (n + 1)
+    for k in range(n - 1, -1, -1):
+        next_at[k] = k if at[k] else next_at[k + 1]
     out = []
     for i, (start, _) in enumerate(tokens):
-        if blank[i]:
+        bits = may[i]
+        if blank[i] or not bits:
             continue
+        if next_at[i + 1] >= i + MAX_TOKENS:
+            bits &= ~_MAIL
+        if not (len(parts[i]) >= 4 and parts[i][:2].isalpha() and parts[i][2:4].isdigit()):
+            bits &= ~_IBAN
         before: set[str] | None = None
-        n_digits, n_free, has_at = 0, 0, False
+        n_digits, n_free, n_dots, n_colons, has_at = 0, 0, 0, 0, False
         for j in range(i, min(n, i + MAX_TOKENS)):
+            bits &= may[j]
             end = tokens[j][1]
-            if end - start > MAX_CHARS:
-                break
             n_digits, n_free, has_at = n_digits + digits[j], n_free + free[j], has_at or at[j] and j > i
-            if blank[j] or not (has_at and not at[j] or n_digits >= 3 and not n_free):
+            if n_digits > 19:
+                bits &= ~_NUM
+            if not bits or end - start > MAX_CHARS:
+                break
+            n_dots, n_colons = n_dots + (parts[j] == "."), n_colons + (parts[j] == ":")
+            if blank[j]:
                 continue
+            if not (bits & _MAIL and has_at and not at[j]):
+                if n_digits < 3 or n_free:
+                    continue
+                number = bits & _NUM and (9 <= n_digits or n_dots == 3) and (n_digits <= 15 or luhn("".join(filter(str.isdigit, text[start:end]))))
+                if not (number or bits & _HEX and n_colons >= 2 or bits & _KEY and end - start >= 16 or bits & _IBAN and end - start >= 15):
+                    continue
             if before is None:
                 before = {w.lower() for w in re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start])}
+                follows = before.isdisjoint(_ALL_CUES) and text[start].isdigit() and text[start - 1 : start] in _BETWEEN and text[start - 2 : start - 1].isdigit()
+            if follows and bits == _NUM and text[end - 1].isdigit() and text[end : end + 1] in _BETWEEN and text[end + 1 : end + 2].isdigit():
+                continue
             out.append((i, j + 1, features(text, start, end, before)))
     return out
 
 
+_F = {name: k for k, name in enumerate(FEATURES)}
+
+
+def scored(x: np.ndarray, weights: Weights) -> np.ndarray:
+    """Scores of candidates by type. No account is a number alone. No card fails its checksum. Without a word that names them cards have a card's groups,
+    and cards and social security numbers no further digits beside them.
+    """
+    scores = x @ weights.spans.T
+    scores[x[:, _F["number_signs"]] > 0, KINDS.index("iban")] = -np.inf
+    goes_on = (x[:, _F["goes_on_left"]] > 0) | (x[:, _F["goes_on_right"]] > 0)
+    card = (x[:, _F["luhn"]] > 0) & ((x[:, _F["form_card"]] > 0) & ~goes_on | (x[:, _F["cue_card"]] > 0))
+    scores[~card, KINDS.index("card")] = -np.inf
+    scores[goes_on & (x[:, _F["cue_ssn"]] == 0), KINDS.index("ssn")] = -np.inf
+    return scores
+
+
 def viterbi(n: int, spans: list[tuple[int, int]], scores: np.ndarray, moves: np.ndarray) -> list[tuple[int, int]]:
     """(candidate, type) of the best labelling of n tokens; tokens outside score 0. moves: weights by the type of the entity before (none last) and the type."""
     ends: list[list[int]] = [[] for _ in range(n + 1)]
@@ -389,7 +449,7 @@ def field_spans(text: str, weights: Weights) -> list[tuple[int, int, str]]:
         found = candidates(text, tokens)
         if found:
             spans = [(i, j) for i, j, _ in found]
-            for k, t in viterbi(len(tokens), spans, np.array([f for *_, f in found]) @ weights.spans.T, weights.moves):
+            for k, t in viterbi(len(tokens), spans, scored(np.array([f for *_, f in found]), weights), weights.moves):
                 out.append((tokens[spans[k][0]][0], tokens[spans[k][1] - 1][1], KINDS[t]))
     return out
 

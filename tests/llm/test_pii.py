@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 import re
 import time
 
@@ -120,6 +121,44 @@ def test_entities_are_found_at_every_offset():
             assert (at, at + 14, "phone") in pii.field_spans(text, weights), (fill, shift)
 
 
+def dense(kind, n, seed=1):
+    """n rows of text that is mostly numbers."""
+    rng = random.Random(seed)
+    number = lambda: str(rng.randrange(10 ** rng.randint(2, 4)))
+    make = {
+        "csv": lambda: ",".join(number() for _ in range(12)),
+        "table": lambda: " ".join(number() for _ in range(12)),
+        "log": lambda: f"2024-0{rng.randint(1, 9)}-{rng.randint(10, 28)} {rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}.{number()} INFO worker {number()} took {number()} ms",
+        "prose": lambda: "Plain words that hold no number at all, and one line like any other. " + (number() if rng.random() < 0.2 else ""),
+    }
+    return "\n".join(make[kind]() for _ in range(n))
+
+
+def test_numbers_alone_are_no_accounts_and_few_cards():
+    weights = pii.trained()
+    for kind in ("csv", "table", "log"):
+        for seed in range(3):
+            text = dense(kind, 90, seed)
+            added = [(text[a:b], k) for a, b, k in pii.field_spans(text, weights)]
+            assert not [x for x in added if x[1] == "iban"], kind
+            assert not [x for x in added if x[1] == "card"], (kind, added)
+    assert [k for *_, k in pii.field_spans("card 4111 1111 1111 1111 and 4111-1111-1111-1111", weights)] == ["card", "card"]
+
+
+def test_time_on_numbers():
+    """Lines of numbers cost a bounded multiple of ordinary text."""
+    weights = pii.trained()
+
+    def took(kind):
+        text = dense(kind, 400)
+        began = time.process_time()
+        pii.find(text, weights)
+        return (time.process_time() - began) / len(text) * 1e9
+
+    seconds = {kind: min(took(kind) for _ in range(2)) for kind in ("csv", "table", "log", "prose")}
+    assert seconds["csv"] < 6_000 and seconds["log"] < 20_000 and seconds["table"] < 30_000, seconds
+
+
 def test_long_regions_are_not_cut():
     weights = pii.trained()
     line = "call (651) 555-8500, "
