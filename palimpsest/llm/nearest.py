@@ -309,7 +309,7 @@ def _sent(rows: DataFrame, index, k: int) -> DataFrame:
 
 
 def _different(rows: DataFrame, dim: int) -> DataFrame:
-    """(key, vector) of the different vectors of rows: partial sums in each batch and task before the exchange."""
+    """(key, vector) of the different vectors of rows, which each batch sends once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,7 +318,9 @@ def _different(rows: DataFrame, dim: int) -> DataFrame:
             first, _ = _first_places(keys)
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in first], pa.binary()), pa.array([vectors[i].tobytes() for i in first], pa.binary())], ["key", "vector"])
 
-    return rows.mapInArrow(run, "key binary, vector binary").groupBy("key").agg(F.first("vector").alias("vector"))
+    # Dealt out by a number of tasks, as the search behind it is the work, not the bytes.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.mapInArrow(run, "key binary, vector binary").repartition(n, "key").groupBy("key").agg(F.first("vector").alias("vector"))
 
 
 def _asked(different: DataFrame, index, k: int) -> DataFrame:

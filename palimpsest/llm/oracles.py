@@ -98,23 +98,33 @@ SELECT *, n_words < {_R.min_doc_words} OR 100 * n_repeat_words > {_R.max_repeat}
 FROM counted
 """
 
-LINE_DEDUP = """
-WITH lines AS (
-  SELECT doc_id, source, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS core
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+_HOST = f"CASE WHEN contains(url, '://') THEN {_LOWER.format("regexp_extract(url, '://([^/?#]*)', 1)")} END"
+
+
+def _line_dedup(table: str, row_id: str, site: str, text: str, kept: str) -> str:
+    """Lines without those on more than 5 % of their site's rows; kept: the columns that stay as they are."""
+    return f"""
+WITH sited AS (SELECT *, {site} AS site FROM {table}),
+lines AS (
+  SELECT {row_id}, site, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS core
+  FROM (SELECT {row_id}, site, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM sited)),
+sizes AS (SELECT site, count(*) AS n_rows FROM sited GROUP BY site),
 common AS (
-  SELECT source, core FROM (SELECT source, core, count(DISTINCT doc_id) AS n FROM lines WHERE core <> '' GROUP BY source, core) JOIN pages USING (source)
-  WHERE n > 1 AND 100 * n > 5 * pages),
-judged AS (SELECT l.*, c.core IS NOT NULL AS dropped FROM lines l LEFT JOIN common c USING (source, core)),
-by_doc AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS text,
+  SELECT c.site, core FROM (SELECT site, core, count(DISTINCT {row_id}) AS n FROM lines WHERE core <> '' GROUP BY site, core) c JOIN sizes s ON c.site IS NOT DISTINCT FROM s.site
+  WHERE n > 1 AND 100 * n > 5 * n_rows),
+judged AS (SELECT l.*, c.core IS NOT NULL AS dropped FROM lines l LEFT JOIN common c ON l.core = c.core AND l.site IS NOT DISTINCT FROM c.site),
+by_row AS (
+  SELECT {row_id}, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS clean,
          count(*) FILTER (core <> '') AS n_lines, count(*) FILTER (dropped) AS n_dropped
-  FROM judged GROUP BY doc_id)
-SELECT d.doc_id, d.source, CASE WHEN d.text IS NOT NULL THEN b.text END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
-FROM documents d LEFT JOIN by_doc b USING (doc_id)
+  FROM judged GROUP BY {row_id})
+SELECT d.{row_id}, {kept}, CASE WHEN d.{text} IS NOT NULL THEN clean END AS {text}, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM {table} d LEFT JOIN by_row USING ({row_id})
 """
 
+
+LINE_DEDUP = _line_dedup("documents", "doc_id", "source", "text", "source")
+LINE_DEDUP_BY_HOST = _line_dedup("pages", "page_id", _HOST, "html", "url")
+
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, {1 + 10 * g}, 10) AS BIGINT) >> {35 - 5 * k}) & 31 AS INT), 1)"
     for g in range(4)

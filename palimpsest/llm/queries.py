@@ -64,6 +64,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by the host of their URL."""
+    return dedup_lines(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), text_col="html", url_col="url")
+
+
+def line_dedup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, which have no URL, by their source."""
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
@@ -108,12 +114,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_nearest": op11_nearest,
     "op12_fill_middle": op12_fill_middle,
     "op13_timestamps": op13_timestamps,
+    "line_dedup_by_source": line_dedup_by_source,
 }
 ORACLES: dict[str, str] = {
     "op1_warc_salvage": oracles.WARC,
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op6_quality_rules": oracles.QUALITY_RULES,
-    "op7_line_dedup": oracles.LINE_DEDUP,
+    "op7_line_dedup": oracles.LINE_DEDUP_BY_HOST,
+    "line_dedup_by_source": oracles.LINE_DEDUP,
     "op9_url_filter": oracles.URL_FILTER,
     "op10_decontaminate": oracles.DECONTAMINATE,
     "op12_fill_middle": oracles.FILL_MIDDLE,
