@@ -1,8 +1,8 @@
 """Queries over the supplied tables, one for each kind of operator, and the DuckDB SQL that must return the same rows.
 
-The dictionary files that the operators are made for aren't among the tables, so each query runs the operator's own code over a table of like
-shape: labelled documents play the drafts and the others the old entries, users' events the ordered sequences, and so on. Long texts are
-returned as MD5 sums of the whole.
+The dictionary files that the operators are made for aren't among the tables, so the queries run over tables of like shape: labelled documents play
+the drafts and the others the old entries, users' events the ordered sequences, and so on. Most call the library's own functions; plain filters, counts,
+anti-joins and set operations are written out here, as they are in the plans that use them. Long texts are returned as MD5 sums of the whole.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ from palimpsest.functions import blocks, fixed
 from palimpsest.functions import text as t
 from palimpsest.operators.segment import bracket_entries, headline_entries, headline_fields
 from palimpsest.plans.catalogue import _DROPS, _HEADWORD, _KEY, _SIGNATURE, _rewritten, _t, query
-from palimpsest.plans.extract import AFTER, BEFORE, SAMPLES, block_samples, known_windows
+from palimpsest.plans.extract import AFTER, BEFORE, HEX_BYTES, SAMPLES, block_samples, known_windows
 from palimpsest.plans.restore import Restored, apply_rules, restore_headlines, restore_pronunciations
 from palimpsest.sources.block_ranges import read_ranges
 from palimpsest.sources.readers import lines_of, read_drafts, read_dump, read_text_lines, read_token_map, read_token_rows
@@ -185,13 +185,13 @@ def t_clean_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, lower(regexp_replace(hex(encode(substr(text, 1, 40))), '(..)', '\\1 ', 'g')) || '.' AS bytes, printf('%04X', doc_id) AS number,
-       substr(trim(regexp_replace(regexp_replace(replace(text, ' the ', '⟦1F41⟧ ' || chr(9)), '⟦1F[0-9A-F]{2}⟧', '', 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(10)), 1, 300) AS preview
+SELECT doc_id, lower(regexp_replace(substr(hex(encode(text)), 1, 256), '(..)', '\\1 ', 'g')) || '.' AS bytes, printf('%04X', doc_id) AS number,
+       md5(trim(regexp_replace(regexp_replace(replace(text, ' the ', '⟦1F41⟧ ' || chr(9)), '⟦1F[0-9A-F]{2}⟧', '', 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(10))) AS preview
 FROM documents""")
 def b_hex_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.replace("text", F.lit(" the "), F.lit("⟦1F41⟧ \t"))
-    raw = t.hex_bytes(F.encode(F.substring("text", 1, 40), "UTF-8"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.concat(raw, F.lit(" .")).alias("bytes"), t.hex_number(F.col("doc_id")).alias("number"), F.substring(t.preview(shown), 1, 300).alias("preview"))
+    raw = t.hex_bytes(F.substring(F.encode("text", "UTF-8"), 1, HEX_BYTES))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.concat(raw, F.lit(" .")).alias("bytes"), t.hex_number(F.col("doc_id")).alias("number"), F.md5(t.preview(shown)).alias("preview"))
 
 
 # Blocks.
@@ -575,15 +575,16 @@ def s_cp932_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_dump(spark, path).groupBy(F.md5("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_MAP_SQL = "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'hA' ELSE 'zA' END || printf('%03X', s_suppkey) AS token, s_name AS value FROM supplier WHERE s_suppkey < 4096"
+_MAP_SQL = "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'hA' ELSE 'zA' END || printf('%03X', s_suppkey // 2 % 4096) AS token, arg_max(s_name, s_suppkey) AS value FROM supplier GROUP BY 1"
 
 
 def _map_file(spark: SparkSession, sf_dir: str) -> str:
-    """A token map as a JSON document, with a token for each supplier that three digits can name."""
+    """A token map as a JSON document: a token for each supplier, the last one of a token naming it, as two letters and three digits name 8,192."""
     path = f"{scratch(spark)}/map.json"
     kind = F.when(F.col("s_suppkey") % 2 == 0, "hA").otherwise("zA")
+    named = _t(spark, sf_dir, "supplier").groupBy(F.concat(kind, t.hex_number(F.floor(F.col("s_suppkey") / 2) % 4096, 3)).alias("token")).agg(F.max_by("s_name", "s_suppkey").alias("s_name"))
     entry = F.struct(F.col("s_name").alias("value"), F.lit("k").alias("kind"), F.lit("high").alias("confidence"), F.array(F.lit("e")).alias("evidence"))
-    rows = _t(spark, sf_dir, "supplier").where("s_suppkey < 4096").select(F.concat(kind, t.hex_number(F.col("s_suppkey"), 3)).alias("token"), entry.alias("x"))
+    rows = named.select("token", entry.alias("x"))
     write_report(rows.agg(F.map_from_entries(F.collect_list(F.struct("token", "x"))).alias("tokens")).select(F.lit("solved").alias("status"), F.lit("all").alias("scope"), "tokens"), path)
     return path
 
@@ -617,13 +618,14 @@ def map_split_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN source = 'src0' THEN '{"a":"' || source || '"}' ELSE '{"a":"' || source || '"}' END AS kept, source <> 'src0' AS edited FROM documents""")
+SELECT doc_id, source <> 'src0' AS edited, md5(text) AS text, CASE WHEN source = 'src0' THEN 'old' ELSE source END AS mark, true AS stable FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")
 def n_rows_without_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines without edits pass byte for byte; edits that set what is there change nothing, however often they run."""
-    raw = F.concat(F.lit('{"a":"'), "source", F.lit('"}'))
-    same = F.when(F.col("source") != "src0", t.edits(("set", "a", F.col("source"))))
-    docs = _t(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"), same.alias("changes"))
-    once = docs.withColumn("once", t.edit_json("raw", "changes")).withColumn("twice", t.edit_json("once", "changes"))
-    edited = F.col("changes").isNotNull()
-    kept = F.when(edited & (F.col("once") == F.col("twice")), F.replace("once", F.lit(": "), F.lit(":"))).otherwise(F.col("once"))
-    return once.select("doc_id", kept.alias("kept"), edited.alias("edited"))
+    """Lines without edits pass byte for byte, whatever their spacing; edits that set values give the same line again, however often they run."""
+    docs = _t(spark, sf_dir, "documents").where("text is not null and source is not null")
+    raw = F.concat(F.lit('{ "mark" :"old",  "text":'), F.substring(F.to_json(F.struct("text")), 9, 2147483647))
+    edited = F.col("source") != "src0"
+    made = docs.select("doc_id", "source", raw.alias("raw"), F.when(edited, t.edits(("set", "mark", F.col("source")))).alias("changes"))
+    once = made.withColumn("once", t.edit_json("raw", "changes")).withColumn("twice", t.edit_json("once", "changes"))
+    stable = (F.col("once") == F.col("twice")) & (F.col("changes").isNotNull() | (F.col("once") == F.col("raw")))
+    fields = F.from_json("once", "mark string, text string")
+    return once.select("doc_id", F.col("changes").isNotNull().alias("edited"), F.md5(fields["text"]).alias("text"), fields["mark"].alias("mark"), stable.alias("stable"))
