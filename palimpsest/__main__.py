@@ -21,6 +21,7 @@ def main(args: list[str] | None = None) -> None:
         if name != "blocks":
             sub.add_argument("--map-path")
             sub.add_argument("--old-text-path")
+            sub.add_argument("--profile-path")
         if name == "pronunciations":
             sub.add_argument("--raw-path")
             sub.add_argument("--source-id", default=DEFAULT_SOURCE)
@@ -33,10 +34,10 @@ def main(args: list[str] | None = None) -> None:
         samples, windows = export_blocks(spark, given.source_root, given.out_root)
         print(f"wrote {samples.count()} samples and {windows.count()} windows to {given.out_root}")
     elif given.command == "pronunciations":
-        got = export_pronunciations(spark, given.source_root, given.out_root, given.raw_path, given.map_path, given.old_text_path, given.source_id)
+        got = export_pronunciations(spark, given.source_root, given.out_root, given.raw_path, given.map_path, given.old_text_path, given.source_id, given.profile_path)
         _say(got.report)
     else:
-        _say(export_headlines(spark, given.source_root, given.out_root, given.draft_path, given.map_path, given.old_text_path, given.rules_path).report)
+        _say(export_headlines(spark, given.source_root, given.out_root, given.draft_path, given.map_path, given.old_text_path, given.rules_path, given.profile_path).report)
 
 
 def _say(report) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
 from palimpsest.functions import fixed
+from palimpsest.functions.profile import DEFAULT, Profile
 
 
 @arrow_udf(StringType())
@@ -72,34 +73,50 @@ def _addressed(tokens: dict[str, str]) -> list[tuple[int, list[str | None], list
     return out
 
 
-def map_tokens(text: Column, tokens: dict[str, str]) -> Column:
+def map_tokens(text: Column, tokens: dict[str, str], p: Profile = DEFAULT) -> Column:
     """Each token with its value, once from left to right; tokens that the map lacks stay, and values aren't read again.
 
     The text is cut in front of each token, so that each piece has one token at most, at its start. The map is a literal array of the plan, in which a
-    token's letter and digits are its place, so the map's size doesn't matter.
+    token's letter and digits are its place, so the map's size doesn't matter. Of a profile with other tokens it is a literal map.
     """
+    if p.token != fixed.TOKEN:
+        return _map_others(text, tokens, p.token)
     literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<string>")
     tables = [(first, literal(codes), literal(values)) for first, codes, values in _addressed(tokens)]
     if not tables:
         return text
 
-    def piece(p: Column) -> Column:
-        code = F.regexp_extract(p, "^" + fixed.TOKEN, 1)
+    def piece(x: Column) -> Column:
+        code = F.regexp_extract(x, "^" + fixed.TOKEN, 1)
         address = F.conv(F.substring(code, 3, 3), 16, 10).cast("int") + F.when(F.startswith(code, F.lit("z")), 4096).otherwise(0)
         values = [F.when(F.get(codes, address - first) == code, F.get(values, address - first)) for first, codes, values in tables]
-        return F.when(code == "", p).otherwise(F.coalesce(*[F.concat(v, F.substring(p, 8, 2147483647)) for v in values], p))
+        return F.when(code == "", x).otherwise(F.coalesce(*[F.concat(v, F.substring(x, 8, 2147483647)) for v in values], x))
 
     return F.array_join(F.transform(F.split(text, f"(?={fixed.TOKEN})"), piece), "")
 
 
-def tokens_in(text: Column) -> Column:
+def _map_others(text: Column, tokens: dict[str, str], pattern: str) -> Column:
+    """map_tokens for any token pattern."""
+    if not tokens:
+        return text
+    values = F.create_map(*[F.lit(x) for pair in sorted(tokens.items()) for x in pair])
+
+    def piece(x: Column) -> Column:
+        code = F.regexp_extract(x, f"^(?:{pattern})", 1)
+        value = F.when(code != "", F.try_element_at(values, code))
+        return F.when(value.isNotNull(), F.concat(value, F.regexp_replace(x, f"^(?:{pattern})", ""))).otherwise(x)
+
+    return F.array_join(F.transform(F.split(text, f"(?={pattern})"), piece), "")
+
+
+def tokens_in(text: Column, p: Profile = DEFAULT) -> Column:
     """Codes of all tokens, in their order."""
-    return F.regexp_extract_all(text, F.lit(fixed.TOKEN), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(p.token), F.lit(1))
 
 
-def token_list(text: Column) -> Column:
+def token_list(text: Column, p: Profile = DEFAULT) -> Column:
     """Different codes, sorted and joined with commas."""
-    return F.array_join(F.array_sort(F.array_distinct(tokens_in(text))), ",")
+    return F.array_join(F.array_sort(F.array_distinct(tokens_in(text, p))), ",")
 
 
 def squeezed(text: Column) -> Column:
@@ -107,40 +124,40 @@ def squeezed(text: Column) -> Column:
     return F.btrim(one_space(text))
 
 
-def clean_pronunciation(text: Column) -> Column:
+def clean_pronunciation(text: Column, p: Profile = DEFAULT) -> Column:
     """The rewrites in their order. Those without a sign of a pattern are literal, which takes no pattern's time."""
-    rewrite = lambda t, r: F.regexp_replace(t, "(?U)" + r[0], r[1]) if "\\" in r[0] else F.replace(t, F.lit(r[0]), F.lit(r[1]))
-    return squeezed(reduce(rewrite, fixed.PRONUNCIATION, text))
+    rewrite = lambda t, r: F.regexp_replace(t, "(?U)" + r[0], r[1]) if re.search(r"[\\.^$|?*+()\[\]{}]", r[0]) else F.replace(t, F.lit(r[0]), F.lit(r[1]))
+    return squeezed(reduce(rewrite, p.pronunciation, text))
 
 
 #: White space that ends no line, once all line ends are "\n".
 _IN_LINE = r"[\s\x1c-\x1f&&[^\n]]"
 
 
-def clean_body(text: Column) -> Column:
+def clean_body(text: Column, p: Profile = DEFAULT) -> Column:
     """A mapped body as a reader sees it: markup as signs, NFKC, lines without extra white space, at most one blank line together. All lines are cleaned at once."""
-    shown = F.regexp_replace(literally(text, fixed.BODY_MARKUP), "<label>([^\\n]*?)</label>", "〔$1〕")
+    shown = F.regexp_replace(literally(text, p.body_markup), "<label>([^\\n]*?)</label>", "〔$1〕")
     spaced = F.regexp_replace(one_end(nfkc(shown)), "[ \\t]+", " ")
     tails = F.regexp_replace(spaced, rf"(?U)(?<!{_IN_LINE}){_IN_LINE}++\n", "\n")
     heads = F.regexp_replace(tails, rf"(?U)\n{_IN_LINE}++", "\n")
     return strip(F.regexp_replace(heads, "\\n{3,}", "\n\n"))
 
 
-def headword_key(text: Column) -> Column:
+def headword_key(text: Column, p: Profile = DEFAULT) -> Column:
     # The ends' white space goes with the last step.
     key = F.lower(nfkc(text))
-    key = literally(key, dict.fromkeys(fixed.BROKEN_HYPHENS, "-") | {"･": " "})
-    return F.btrim(one_space(F.regexp_replace(key, f"[{fixed.HYPHENS}]+", "-")), F.lit(" -"))
+    key = literally(key, dict.fromkeys(p.broken_hyphens, "-") | {"･": " "})
+    return F.btrim(one_space(F.regexp_replace(key, f"[{p.hyphens}]+", "-")), F.lit(" -"))
 
 
 def text_key(text: Column) -> Column:
     return squeezed(nfkc(text))
 
 
-def fix_header(text: Column) -> Column:
+def fix_header(text: Column, p: Profile = DEFAULT) -> Column:
     """Without one leading head prefix, and with the literal corrections."""
-    bare = F.when(F.startswith(text, F.lit(fixed.HEAD_PREFIX)), F.substring(text, len(fixed.HEAD_PREFIX) + 1, 2147483647)).otherwise(text)
-    return literally(strip(bare), fixed.HEADER_LITERALS)
+    bare = F.when(F.startswith(text, F.lit(p.head_prefix)), F.substring(text, len(p.head_prefix) + 1, 2147483647)).otherwise(text)
+    return literally(strip(bare), p.header_literals)
 
 
 def head_part(text: Column) -> Column:
@@ -148,14 +165,14 @@ def head_part(text: Column) -> Column:
     return text_key(F.substring_index(text, "【", 1))
 
 
-def signature(text: Column, length: int = fixed.SIGNATURE) -> Column:
+def signature(text: Column, p: Profile = DEFAULT) -> Column:
     """The first characters of the key that count. White space doesn't, so the key's own steps for it aren't needed."""
-    return F.substring(F.regexp_replace(nfkc(text), rf"(?U)[{fixed.SIGNATURE_DROPS}\s\x1c-\x1f]+", ""), 1, length)
+    return F.substring(F.regexp_replace(nfkc(text), rf"(?U)[{p.signature_drops}\s\x1c-\x1f]+", ""), 1, p.signature)
 
 
-def prefix_signature(whole: Column) -> Column:
+def prefix_signature(whole: Column, p: Profile = DEFAULT) -> Column:
     """Of a signature: the key has no line ends left, so the first line's signature is the first part of the whole one. White space alone gives ''."""
-    return F.substring(whole, 1, fixed.PREFIX_SIGNATURE)
+    return F.substring(whole, 1, p.prefix_signature)
 
 
 def orthography_line(text: Column) -> Column:
@@ -181,8 +198,8 @@ def header_parts(header: Column) -> Column:
     )
 
 
-def is_body_start(line: Column) -> Column:
-    return reduce(lambda a, b: a | b, (F.startswith(line, F.lit(s)) for s in fixed.BODY_STARTS)) | line.rlike("^[0-9０-９]")
+def is_body_start(line: Column, p: Profile = DEFAULT) -> Column:
+    return reduce(lambda a, b: a | b, (F.startswith(line, F.lit(s)) for s in p.body_starts)) | line.rlike("^[0-9０-９]")
 
 
 def escape_html(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
 from palimpsest.functions import text as t
+from palimpsest.functions.profile import DEFAULT, Profile
 from palimpsest.operators.order import BLOCK, beside, carried_count, in_blocks
 
 _HEAD = rf"^[{fixed.SPACE}]*([^\[]+?)［([^］]+)］\z"
@@ -23,7 +24,7 @@ def in_order(parts: Column | str, order: str, keep: Column | None = None) -> Col
     return F.transform(F.array_sort(got), lambda x: x["v"])
 
 
-def bracket_entries(lines: DataFrame, tokens: dict[str, str], block: int = BLOCK) -> DataFrame:
+def bracket_entries(lines: DataFrame, tokens: dict[str, str], block: int = BLOCK, p: Profile = DEFAULT) -> DataFrame:
     """Entries of a dump whose head lines end in ［pronunciation］: file, ord and the index row's fields.
 
     A body is all up to the next head line. A head line without a line end (not `ended`) closes a body and begins none; what comes before the first
@@ -38,38 +39,38 @@ def bracket_entries(lines: DataFrame, tokens: dict[str, str], block: int = BLOCK
     raw = entries.where("h.ended").select(
         "file", F.col("h.ord").alias("ord"), t.strip(F.regexp_extract("h.line", _HEAD, 1)).alias("headword"),
         t.strip(F.regexp_extract("h.line", _HEAD, 2)).alias("pronunciation_raw"), t.strip(F.col("body")).alias("body_raw"),
-    ).where(F.col("pronunciation_raw").rlike(fixed.TOKEN))
-    mapped = raw.withColumn("pronunciation_mapped", t.map_tokens(F.col("pronunciation_raw"), tokens)).withColumn("body_mapped", t.map_tokens(F.col("body_raw"), tokens))
-    readable = mapped.withColumn("body_readable", t.clean_body(F.col("body_mapped")))
+    ).where(F.col("pronunciation_raw").rlike(p.token))
+    mapped = raw.withColumn("pronunciation_mapped", t.map_tokens(F.col("pronunciation_raw"), tokens, p)).withColumn("body_mapped", t.map_tokens(F.col("body_raw"), tokens, p))
+    readable = mapped.withColumn("body_readable", t.clean_body(F.col("body_mapped"), p))
     return readable.select(
-        "file", "ord", "headword", t.headword_key(F.col("headword")).alias("headword_normalized"), "pronunciation_raw", "pronunciation_mapped",
-        t.clean_pronunciation(F.col("pronunciation_mapped")).alias("pronunciation_normalized"), "body_raw", "body_mapped", "body_readable",
-        F.substring("body_readable", 1, 220).alias("body_snippet"), F.size(t.tokens_in(F.col("body_mapped"))).cast("string").alias("body_unresolved_count"),
-        t.token_list(F.col("body_mapped")).alias("body_unresolved_tokens"),
+        "file", "ord", "headword", t.headword_key(F.col("headword"), p).alias("headword_normalized"), "pronunciation_raw", "pronunciation_mapped",
+        t.clean_pronunciation(F.col("pronunciation_mapped"), p).alias("pronunciation_normalized"), "body_raw", "body_mapped", "body_readable",
+        F.substring("body_readable", 1, 220).alias("body_snippet"), F.size(t.tokens_in(F.col("body_mapped"), p)).cast("string").alias("body_unresolved_count"),
+        t.token_list(F.col("body_mapped"), p).alias("body_unresolved_tokens"),
     )
 
 
-def _is_marked(line: Column) -> Column:
+def _is_marked(line: Column, p: Profile) -> Column:
     out = F.lit(False)
-    for mark in fixed.READING_MARKS:
+    for mark in p.reading_marks:
         out = out | F.startswith(line, F.lit(mark))
     return out
 
 
-def is_head(line: Column, following: Column) -> Column:
+def is_head(line: Column, following: Column, p: Profile = DEFAULT) -> Column:
     """Whether a stripped line begins an entry, given the next line that isn't blank. A body start in the next line's raw form makes a plain line a head."""
-    fixed_line, fixed_next = t.fix_header(line), t.fix_header(following)
+    fixed_line, fixed_next = t.fix_header(line, p), t.fix_header(following, p)
     return (
-        F.when((line == "") | F.startswith(line, F.lit(fixed.ID_LINE)) | following.isNull(), False)
-        .when(_is_marked(fixed_line) & F.startswith(fixed_next, F.lit("【")), True)
+        F.when((line == "") | F.startswith(line, F.lit(p.id_line)) | following.isNull(), False)
+        .when(_is_marked(fixed_line, p) & F.startswith(fixed_next, F.lit("【")), True)
         .when(F.startswith(fixed_line, F.lit("【")), True)
-        .when(t.is_body_start(fixed_line), False)
+        .when(t.is_body_start(fixed_line, p), False)
         .when(fixed_line.contains("【"), True)
-        .otherwise(t.is_body_start(following))
+        .otherwise(t.is_body_start(following, p))
     )
 
 
-def headline_entries(lines: DataFrame, tokens: dict[str, str], block: int = BLOCK) -> DataFrame:
+def headline_entries(lines: DataFrame, tokens: dict[str, str], block: int = BLOCK, p: Profile = DEFAULT) -> DataFrame:
     """Entries of a dump with head lines: file, ord and the index row's fields.
 
     A reading mark's line and the 【…】 line after it make one head; what follows the bracket there, or on a head that begins with a
@@ -78,15 +79,15 @@ def headline_entries(lines: DataFrame, tokens: dict[str, str], block: int = BLOC
     filled = lines.select("file", F.col("ord").cast("bigint").alias("ord"), t.strip(F.col("line")).alias("line")).where("line <> ''")
     seen = beside(in_blocks(filled, ["file"], "ord", block), ["file"], "ord", "line")
     # What each line and those beside it are is made once.
-    made = [t.fix_header(F.col(c)).alias(f"_{n}") for c, n in (("_prev", "own_prev"), ("line", "own"), ("_next", "after"))]
-    seen = seen.select("*", *made, is_head(F.col("line"), F.col("_next")).alias("_begins"))
+    made = [t.fix_header(F.col(c), p).alias(f"_{n}") for c, n in (("_prev", "own_prev"), ("line", "own"), ("_next", "after"))]
+    seen = seen.select("*", *made, is_head(F.col("line"), F.col("_next"), p).alias("_begins"))
     own, after = F.col("_own"), F.col("_after")
-    marked = _is_marked(own)
+    marked = _is_marked(own, p)
     joined = t.orthography_line(after)
     seen = seen.withColumn("_takes", F.col("_begins") & marked & F.startswith(after, F.lit("【")) & joined["orthography"].isNotNull())
     # Whether the line before takes this one. A reading mark's line before a 【…】 line is a head, unless it names an id.
-    named = F.startswith("_prev", F.lit(fixed.ID_LINE))
-    taken = F.coalesce(_is_marked(F.col("_own_prev")) & ~named & F.startswith(own, F.lit("【")) & t.orthography_line(own)["orthography"].isNotNull(), F.lit(False))
+    named = F.startswith("_prev", F.lit(p.id_line))
+    taken = F.coalesce(_is_marked(F.col("_own_prev"), p) & ~named & F.startswith(own, F.lit("【")) & t.orthography_line(own)["orthography"].isNotNull(), F.lit(False))
     seen = seen.withColumn("_taken", taken).withColumn("_head", F.col("_begins") & ~F.col("_taken"))
 
     alone = t.orthography_line(own)
@@ -100,15 +101,15 @@ def headline_entries(lines: DataFrame, tokens: dict[str, str], block: int = BLOC
     )
     whole = F.array_join(F.filter(F.concat(F.array("h.inline"), "body"), lambda x: x != ""), "\n")
     raw = entries.select("file", F.col("h.ord").alias("ord"), F.col("h.header").alias("headword_line"), whole.alias("body_raw"))
-    mapped = raw.withColumn("headword_line_mapped", t.fix_header(t.map_tokens(F.col("headword_line"), tokens))).withColumn("body_mapped", t.map_tokens(F.col("body_raw"), tokens))
-    return headline_fields(mapped.withColumn("body_readable", t.clean_body(F.col("body_mapped"))))
+    mapped = raw.withColumn("headword_line_mapped", t.fix_header(t.map_tokens(F.col("headword_line"), tokens, p), p)).withColumn("body_mapped", t.map_tokens(F.col("body_raw"), tokens, p))
+    return headline_fields(mapped.withColumn("body_readable", t.clean_body(F.col("body_mapped"), p)), p)
 
 
-def headline_fields(entries: DataFrame) -> DataFrame:
+def headline_fields(entries: DataFrame, p: Profile = DEFAULT) -> DataFrame:
     """The index row's fields from header, mapped header and bodies."""
-    return entries.withColumn("body_signature", t.signature(F.col("body_readable"))).select(
+    return entries.withColumn("body_signature", t.signature(F.col("body_readable"), p)).select(
         "file", "ord", "headword_line", t.text_key(F.col("headword_line")).alias("headword_line_normalized"), "headword_line_mapped",
         t.text_key(F.col("headword_line_mapped")).alias("headword_line_mapped_normalized"), t.head_part(F.col("headword_line_mapped")).alias("headword_line_head_part"),
-        "body_raw", "body_mapped", "body_readable", "body_signature", t.prefix_signature(F.col("body_signature")).alias("body_prefix_signature"),
-        F.size(t.tokens_in(F.col("body_mapped"))).cast("string").alias("body_unresolved_count"), t.token_list(F.col("body_mapped")).alias("body_unresolved_tokens"),
+        "body_raw", "body_mapped", "body_readable", "body_signature", t.prefix_signature(F.col("body_signature"), p).alias("body_prefix_signature"),
+        F.size(t.tokens_in(F.col("body_mapped"), p)).cast("string").alias("body_unresolved_count"), t.token_list(F.col("body_mapped"), p).alias("body_unresolved_tokens"),
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
 from palimpsest.functions import text as t
+from palimpsest.functions.profile import DEFAULT, Profile, read_profile
 from palimpsest.operators.choose import most_common, ratio, touched
 from palimpsest.operators.islands import positional_fill
 from palimpsest.operators.lookup import Look, Step, cascade, last_of, match, unique_or_none
@@ -79,7 +80,7 @@ def lookup_figures(exact: DataFrame, normal: DataFrame, entries: DataFrame) -> D
         "old_rows", "exact_keys", "normalized_keys", "exact_lookup_keys", "normalized_lookup_keys", "ambiguous_exact_keys", "ambiguous_normalized_keys").alias("lookup"))
 
 
-METHODS = ["headword_exact", "headword_normalized", "orthography_normalized"]
+METHODS = DEFAULT.pronunciation_methods
 
 
 def pronunciation_lookups(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,26 +89,27 @@ def pronunciation_lookups(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return made[0], made[1]
 
 
-def match_pronunciations(drafts: DataFrame, exact: DataFrame, normal: DataFrame, source_id: str, source_name: str) -> DataFrame:
+def match_pronunciations(drafts: DataFrame, exact: DataFrame, normal: DataFrame, source_id: str, source_name: str, p: Profile = DEFAULT) -> DataFrame:
     """drafts with mine (of the source), row, method and line (the finished JSON). It keeps no state, so drafts may be a stream."""
     usable = lambda lookup: lookup.where("distinct = 1").select("key", F.col("first").alias("row"))
     mine = F.coalesce(F.col("source.source_id") == source_id, F.lit(False))
-    orthography = F.when(F.col("orthography") != "", t.headword_key(F.col("orthography")))
-    keys = [F.col("headword"), t.headword_key(F.col("headword")), orthography]
-    steps = [Step(m, F.when(mine, k), usable(x)) for m, k, x in zip(METHODS, keys, (exact, normal, normal), strict=True)]
+    orthography = F.when(F.col("orthography") != "", t.headword_key(F.col("orthography"), p))
+    keys = [F.col("headword"), t.headword_key(F.col("headword"), p), orthography]
+    known = {m: (k, x) for m, k, x in zip(METHODS, keys, (exact, normal, normal), strict=True)}
+    steps = [Step(m, F.when(mine, known[m][0]), usable(known[m][1])) for m in p.pronunciation_methods]
     matched = cascade(drafts, steps).withColumn("mine", mine)
     return matched.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), pronunciation_edits(source_name))))
 
 
-def restore_pronunciations(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str], source_id: str = fixed.DEFAULT_SOURCE, source_name: str = "old-text") -> Restored:
+def restore_pronunciations(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str], source_id: str = fixed.DEFAULT_SOURCE, source_name: str = "old-text", p: Profile = DEFAULT) -> Restored:
     """Matches drafts of one source by headword, normalised headword, then normalised orthography; other drafts pass unchanged.
 
     A key is usable if all its entries have one pronunciation; the first entry's body is taken. drafts: as read_drafts gives them; lines: as read_dump
     gives them with ends="", or lines_of.
     """
-    entries, at_entries = kept(bracket_entries(lines, tokens))
+    entries, at_entries = kept(bracket_entries(lines, tokens, p=p))
     exact, normal = pronunciation_lookups(entries)
-    rows, at_rows = kept(match_pronunciations(drafts, exact, normal, source_id, source_name))
+    rows, at_rows = kept(match_pronunciations(drafts, exact, normal, source_id, source_name, p))
     hits = rows.where("method is not null")
     index = hits.select(
         "file", "ord", "id", F.col("source.source_id").alias("source_id"), "headword", "orthography", F.col("row.pronunciation_raw").alias("pronunciation_raw"),
@@ -169,7 +171,7 @@ def read_rules(spark: SparkSession, path: str) -> Rules:
     return Rules([(list(c["all"]), c["header"], c["method"]) for c in row["clues"] or []], [tuple(h) for h in row["headers"] or []])
 
 
-def _literal_entries(spark: SparkSession, rules: Rules) -> DataFrame:
+def _literal_entries(spark: SparkSession, rules: Rules, p: Profile) -> DataFrame:
     """(header, row) of the entries that rules make from literals."""
     rows = [(header, line, body) for header, line, body, _ in rules.headers]
     made = spark.createDataFrame(rows, "header string, line string, body string")
@@ -177,14 +179,14 @@ def _literal_entries(spark: SparkSession, rules: Rules) -> DataFrame:
         made.select(
             F.col("header").alias("file"), F.lit(0).alias("ord"), F.col("line").alias("headword_line"), F.col("line").alias("headword_line_mapped"),
             F.col("body").alias("body_raw"), F.col("body").alias("body_mapped"), F.col("body").alias("body_readable"),
-        )
+        ), p
     )
     return fields.select(F.col("file").alias("key"), F.struct(*fields.columns).alias("row"))
 
 
-def apply_rules(rows: DataFrame, entries: DataFrame, rules: Rules | None = None) -> DataFrame:
+def apply_rules(rows: DataFrame, entries: DataFrame, rules: Rules | None = None, p: Profile = DEFAULT) -> DataFrame:
     """For rows without a match: entries chosen by clues in the body, or made for a header. rows: header_key, body_key, row, method, restored."""
-    rules = rules or Rules()
+    rules = rules or Rules(p.clues, p.headers)
     known = entries.select("*", F.col("headword_line_mapped_normalized").alias("_header"))
     by_header = last_of(known, "_header", ["file", "ord"])
     wanted, clue_method = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -198,7 +200,7 @@ def apply_rules(rows: DataFrame, entries: DataFrame, rules: Rules | None = None)
         made = F.when(F.col("header_key") == header, F.lit(method)).otherwise(made)
     shape = entries.schema
     clue_rows = by_header.select(F.col("key").alias("_ck"), F.struct(*[F.col("row")[c].alias(c) for c in shape.names]).alias("_crow"))
-    literal = _literal_entries(rows.sparkSession, rules).select(F.col("key").alias("_lk"), F.struct(*[F.col("row")[f.name].cast(f.dataType).alias(f.name) for f in shape]).alias("_lrow"))
+    literal = _literal_entries(rows.sparkSession, rules, p).select(F.col("key").alias("_lk"), F.struct(*[F.col("row")[f.name].cast(f.dataType).alias(f.name) for f in shape]).alias("_lrow"))
     open_row = ~F.col("restored")
     out = rows.withColumn("_want", F.when(open_row, wanted)).join(clue_rows, F.col("_want") == F.col("_ck"), "left")
     out = out.withColumn("_make", F.when(open_row & F.col("_crow").isNull(), F.col("header_key"))).join(literal, F.col("_make") == F.col("_lk"), "left")
@@ -207,12 +209,12 @@ def apply_rules(rows: DataFrame, entries: DataFrame, rules: Rules | None = None)
     return out.drop("_want", "_ck", "_crow", "_make", "_lk", "_lrow")
 
 
-def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str], source_name: str = "old-text", rules: Rules | None = None) -> Restored:
+def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str], source_name: str = "old-text", rules: Rules | None = None, p: Profile = DEFAULT) -> Restored:
     """Matches drafts by header, head part and two body signatures, then by place between matched neighbours, then by rules.
 
     Drafts keep their file's order. Rows that were restored before count as matched, and are matched again where a key finds them.
     """
-    entries, at_entries = kept(headline_entries(lines, tokens))
+    entries, at_entries = kept(headline_entries(lines, tokens, p=p))
     order = ["file", "ord"]
     head = F.startswith(F.col("headword_line_mapped"), F.lit("【"))
     columns = entries.columns
@@ -223,9 +225,9 @@ def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str
     ]
     keyed = drafts.withColumn("header_key", t.text_key(F.coalesce("header.normalized", F.lit("")))).withColumn("_body", F.coalesce("canonical.body", F.lit("")))
     keyed = keyed.withColumn("body_key", t.text_key(F.col("_body")))
-    keyed = keyed.withColumn("_part", t.head_part(F.col("header_key"))).withColumn("_signature", t.signature(F.col("_body")))
+    keyed = keyed.withColumn("_part", t.head_part(F.col("header_key"))).withColumn("_signature", t.signature(F.col("_body"), p))
     keyed, at_keyed = kept(keyed)
-    keys = [F.col("header_key"), F.when(F.col("_part") != "", F.col("_part")), F.col("_signature"), t.prefix_signature(F.col("_signature"))]
+    keys = [F.col("header_key"), F.when(F.col("_part") != "", F.col("_part")), F.col("_signature"), t.prefix_signature(F.col("_signature"), p)]
     names = ["header_normalized_exact", "head_part_unique", "body_signature_unique", "body_prefix_signature_unique"]
     found = match(keyed, order, [(m, k, n) for n, (m, k) in enumerate(zip(names, keys, strict=True))], looks, entries, order)
     rows_of = entries.select(F.struct(*order).alias("entry"), F.struct(*columns).alias("row"))
@@ -248,7 +250,7 @@ def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str
         second.withColumn("method", F.when(hit, F.lit("positional_window_unique")).otherwise(F.col("method"))).withColumn("row", F.coalesce("_prow", "row"))
         .withColumn("source_name", F.when(hit, F.lit("old-text")).otherwise(F.col("source_name"))).withColumn("restored", F.col("restored") | hit).drop("_prow")
     )
-    third = apply_rules(second, entries, rules)
+    third = apply_rules(second, entries, rules, p)
     third = third.withColumn("restored", F.col("restored") | F.col("method").isNotNull())
     rows, at_rows = kept(third.withColumn("line", t.edit_json("_raw", F.when(F.col("method").isNotNull(), headline_edits()))))
 
@@ -279,12 +281,12 @@ def restore_headlines(drafts: DataFrame, lines: DataFrame, tokens: dict[str, str
     return Restored(entries, rows, index, report, None, [at_entries, at_keyed, at_first, at_rows])
 
 
-def export_pronunciations(spark: SparkSession, source_root: str, out_root: str, raw_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None, source_id: str = fixed.DEFAULT_SOURCE) -> Restored:
-    """Reads the files (by default below the two roots), restores, and writes index, rows, sample, verified index and report."""
+def export_pronunciations(spark: SparkSession, source_root: str, out_root: str, raw_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None, source_id: str = fixed.DEFAULT_SOURCE, profile_path: str | None = None) -> Restored:
+    """Reads the files (by default below the two roots), restores by a profile (by default that of the formats' fixed values), and writes index, rows, sample, verified index and report."""
     old = old_text_path or f"{source_root}/{fixed.PRONUNCIATION_DUMP}"
     drafts = read_drafts(spark, raw_path or f"{out_root}/{fixed.PRONUNCIATION_DRAFTS}", PRONUNCIATION_DRAFT)
     tokens = read_token_map(spark, map_path or f"{out_root}/{fixed.TOKEN_MAP_FILE}")
-    got = restore_pronunciations(drafts, read_dump(spark, old, ends=""), tokens, source_id, old.rsplit("/", 1)[-1])
+    got = restore_pronunciations(drafts, read_dump(spark, old, ends=""), tokens, source_id, old.rsplit("/", 1)[-1], read_profile(spark, profile_path) if profile_path else DEFAULT)
     names = {k: f"{out_root}/{k}.jsonl" for k in fixed.PRONUNCIATION_OUTPUTS}
     _write(got.entries, names[fixed.PRONUNCIATION_OUTPUTS[0]])
     write_jsonl(got.rows, names[fixed.PRONUNCIATION_OUTPUTS[1]], [F.col("file"), F.col("ord")], raw="line")
@@ -295,13 +297,13 @@ def export_pronunciations(spark: SparkSession, source_root: str, out_root: str,
 
 
 def export_headlines(
-    spark: SparkSession, source_root: str, out_root: str, draft_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None, rules_path: str | None = None
+    spark: SparkSession, source_root: str, out_root: str, draft_path: str | None = None, map_path: str | None = None, old_text_path: str | None = None, rules_path: str | None = None, profile_path: str | None = None
 ) -> Restored:
-    """As export_pronunciations, for head lines; rules_path: the dictionary's rules, by default those of the formats' fixed values."""
+    """As export_pronunciations, for head lines; rules_path: the dictionary's rules, by default those of its profile."""
     old = old_text_path or f"{source_root}/{fixed.HEADLINE_DUMP}"
     drafts = read_drafts(spark, draft_path or f"{out_root}/{fixed.HEADLINE_DRAFTS}", HEADLINE_DRAFT)
     tokens = read_token_map(spark, map_path or f"{out_root}/{fixed.TOKEN_MAP_FILE}")
-    got = restore_headlines(drafts, read_dump(spark, old), tokens, old.rsplit("/", 1)[-1], read_rules(spark, rules_path) if rules_path else None)
+    got = restore_headlines(drafts, read_dump(spark, old), tokens, old.rsplit("/", 1)[-1], read_rules(spark, rules_path) if rules_path else None, read_profile(spark, profile_path) if profile_path else DEFAULT)
     names = {k: f"{out_root}/{k}.jsonl" for k in fixed.HEADLINE_OUTPUTS}
     _write(got.entries, names[fixed.HEADLINE_OUTPUTS[0]])
     write_jsonl(got.rows, names[fixed.HEADLINE_OUTPUTS[1]], [F.col("file"), F.col("ord")], raw="line")

@@ -399,3 +399,33 @@ def test_commands_write_their_files(spark, files, capsys):
     main(["blocks", "--source-root", root, "--out-root", f"{root}/out"])
     assert {p.name for p in (files / "out").iterdir() if not p.name.startswith(".")} == {"raw_block_samples.jsonl", "focused_known_windows.jsonl", "control_codes.tsv", "preview.html", "focused_known_windows.html"}
     assert "wrote 9 samples" in capsys.readouterr().out
+
+
+def test_a_second_dictionary_by_its_profile(spark, files):
+    """Other tokens, marks, rewrites and rules, without a change of code."""
+    profile = {
+        "token": "<([a-z]+[0-9]+)>", "pronunciation": [["x+", "ks"]], "body_markup": {"##": "; "}, "body_starts": ["*"], "reading_marks": ["^"], "id_line": "ID:", "head_prefix": "%",
+        "header_literals": {"bad head": "good head"}, "signature": 6, "prefix_signature": 3, "pronunciation_methods": ["headword_normalized"], "clues": [[["alpha", "beta"], "good head", "clue"]], "headers": [],
+    }
+    (files / "profile.json").write_text(json.dumps(profile), encoding="utf-8")
+    tokens = {k: {"value": v} for k, v in {"t1": "ə", "t22": "ɪ"}.items()}
+    (files / "map.json").write_text(json.dumps({"tokens": tokens}), encoding="utf-8")
+    (files / "d.txt").write_bytes("Able［<t1>xx<t9>］\na##b <t22>\nplain［[hA121]］\nc".encode("cp932"))
+    root = f"file://{files}"
+    common = ["--source-root", root, "--out-root", root, "--map-path", f"{root}/map.json", "--profile-path", f"{root}/profile.json", "--old-text-path"]
+    main(["pronunciations", *common, f"{root}/d.txt"])
+    index = rows(files / "old_text_pron_index.jsonl")
+    assert [(r["headword"], r["pronunciation_normalized"], r["body_readable"]) for r in index] == [("Able", "əks<t9>", "a; b ɪ")]
+    assert [r.get("pronunciation", {}).get("match_method") for r in rows(files / "entries_pron_enriched.jsonl")] == ["headword_normalized", None, None, None, None]
+
+    (files / "h.txt").write_bytes("%bad head\n* one <t22> two\nother\n* three\nID: 7\n* four\n".encode("cp932"))
+    drafts = [draft("a", "good head"), draft("b", "q", "alpha beta"), draft("c", "q", "* threeXX"), draft("d", "none")]
+    (files / "entries_master_kokugo_draft.jsonl").write_text("".join(json.dumps(d) + "\n" for d in drafts), encoding="utf-8")
+    main(["headlines", *common, f"{root}/h.txt"])
+    index = rows(files / "kokugo_old_text_index.jsonl")
+    assert [(r["headword_line"], r["body_readable"], r["body_signature"]) for r in index] == [("good head", "* one ɪ two", "*oneɪt"), ("other", "* three\nID: 7\n* four", "*three")]
+    got = {r["id"]: r["canonical"].get("body_match_method") for r in rows(files / "entries_master_kokugo_restored.jsonl")}
+    assert got == {"a": "header_normalized_exact", "b": "clue", "c": "body_signature_unique", "d": None}
+    (files / "profile.json").write_text('{"tokens": "x"}')
+    with pytest.raises(ValueError, match="tokens"):
+        main(["headlines", *common, f"{root}/h.txt"])
