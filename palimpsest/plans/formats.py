@@ -357,8 +357,8 @@ _SPOKEN = "replace(replace(text, '. ', '［' || CASE WHEN source = 'src0' THEN '
 _FIRST_HEAD = r"list_filter(list_transform(string_split(replace(text, ', ', chr(10)), '. ')[1:1], lambda x: trim(string_split(x, chr(10))[-1], ' ')), lambda x: true)[1]"
 
 
-@query(f"""
-WITH lines AS (
+_RESTORED_SPOKEN = f"""
+lines AS (
   SELECT doc_id, i - 1 AS ord, parts[i] AS line, i < len(parts) AS ended
   FROM (SELECT doc_id, string_split({_SPOKEN}, chr(10)) AS parts FROM documents WHERE length(text) > 0), unnest(range(1, len(parts) + 1)) AS r(i)),
 cut AS (SELECT *, regexp_matches(line, '{_HEAD_SQL}') AS head FROM lines),
@@ -371,14 +371,16 @@ entries AS (
 keyed AS (SELECT *, {_KEY.format(_rewritten(_mapped('pron')))} AS spoken, unnest([{{'m': 1, 'k': headword}}, {{'m': 2, 'k': {_HEADWORD.format('headword')}}}], recursive := true) FROM entries),
 looks AS (SELECT m, k, arg_min(pron, (file, ord)) AS pron, arg_min(spoken, (file, ord)) AS spoken, arg_min(body_raw, (file, ord)) AS body_raw FROM keyed GROUP BY m, k HAVING count(DISTINCT spoken) = 1),
 drafts AS (SELECT doc_id, lang, source, {_FIRST_HEAD} AS w FROM documents),
+named AS (
+  SELECT doc_id, CASE WHEN lang = 'fr' THEN 'zzz' WHEN lang = 'de' THEN translate(w, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE w END AS h, CASE WHEN lang = 'fr' THEN w END AS o FROM drafts WHERE source <> 'src3'),
 wanted AS (
   SELECT doc_id, unnest([{{'s': 1, 'm': 1, 'k': h}}, {{'s': 2, 'm': 2, 'k': {_HEADWORD.format('h')}}}, {{'s': 3, 'm': 2, 'k': CASE WHEN o <> '' THEN {_HEADWORD.format('o')} END}}], recursive := true)
-  FROM (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'zzz' WHEN lang = 'de' THEN translate(w, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE w END AS h, CASE WHEN lang = 'fr' THEN w END AS o FROM drafts WHERE source <> 'src3')),
-hits AS (SELECT doc_id, min(s) AS s, arg_min(pron, s) AS pron, arg_min(spoken, s) AS spoken, arg_min(body_raw, s) AS body_raw FROM wanted JOIN looks USING (m, k) GROUP BY doc_id)
-SELECT CAST(doc_id AS VARCHAR) AS id, source <> 'src3' AS mine, CASE s WHEN 1 THEN 'headword_exact' WHEN 2 THEN 'headword_normalized' WHEN 3 THEN 'orthography_normalized' END AS method,
-       pron, spoken, md5(body_raw) AS body, md5({_readable(_mapped('body_raw'))}) AS readable, CASE WHEN s IS NULL THEN 1 ELSE 3 END AS n_notes
-FROM drafts LEFT JOIN hits USING (doc_id)""")
-def p_restore_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
+  FROM named),
+hits AS (SELECT doc_id, min(s) AS s, arg_min(pron, s) AS pron, arg_min(spoken, s) AS spoken, arg_min(body_raw, s) AS body_raw FROM wanted JOIN looks USING (m, k) GROUP BY doc_id)"""
+_SPOKEN_METHOD = "CASE s WHEN 1 THEN 'headword_exact' WHEN 2 THEN 'headword_normalized' WHEN 3 THEN 'orthography_normalized' END"
+
+
+def _restored_pronunciations(spark: SparkSession, sf_dir: str) -> Restored:
     """The whole restoration: documents are the dump, and drafts that seek their first entry by its headword, by that in capitals, or by the orthography."""
     docs = _t(spark, sf_dir, "documents")
     spoken = F.when(F.col("source") == "src0", "ai").otherwise("ei")
@@ -393,7 +395,17 @@ def p_restore_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lang == "fr", word).alias("orthography"), F.struct(F.when(F.col("source") == "src3", "other").otherwise(fixed.DEFAULT_SOURCE).alias("source_id")).alias("source"),
         F.struct(F.lit("1").alias("block_guess"), F.lit("2").alias("byte_offset_guess")).alias("location"), F.struct(F.lit("n").alias("normalized")).alias("body"),
     ).withColumn("_raw", F.to_json(F.struct("id", F.array(F.lit("note")).alias("notes"))))
-    got = restore_pronunciations(drafts, lines_of(dumps, ends=""), TOKENS).rows
+    return restore_pronunciations(drafts, lines_of(dumps, ends=""), TOKENS)
+
+
+@query(f"""
+WITH {_RESTORED_SPOKEN}
+SELECT CAST(doc_id AS VARCHAR) AS id, source <> 'src3' AS mine, {_SPOKEN_METHOD} AS method,
+       pron, spoken, md5(body_raw) AS body, md5({_readable(_mapped('body_raw'))}) AS readable, CASE WHEN s IS NULL THEN 1 ELSE 3 END AS n_notes
+FROM drafts LEFT JOIN hits USING (doc_id)""")
+def p_restore_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drafts with what was restored, read from their finished lines."""
+    got = _restored_pronunciations(spark, sf_dir).rows
     shape = "id string, notes array<string>, body struct<restored_old_text_raw:string,restored_old_text_readable:string>, pronunciation struct<raw:string,normalized:string,match_method:string>"
     rows = got.select("id", "mine", F.from_json("line", shape).alias("j"))
     return rows.select(
@@ -402,6 +414,47 @@ def p_restore_pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+WITH {_RESTORED_SPOKEN}, found AS (SELECT d.doc_id, h, o, s, pron, spoken, body_raw FROM named d JOIN hits USING (doc_id))
+SELECT CAST(doc_id AS VARCHAR) AS id, '{fixed.DEFAULT_SOURCE}' AS source_id, h AS headword, o AS orthography, pron AS pronunciation_raw, spoken AS pronunciation_normalized, {_SPOKEN_METHOD} AS match_method,
+       '1' AS block_guess, '2' AS byte_offset_guess, 'n' AS body_snippet, substr({_readable(_mapped('body_raw'))}, 1, 220) AS body_restored_snippet,
+       len(regexp_extract_all({_mapped('body_raw')}, '{_TOKEN}')) AS unresolved, row_number() OVER (ORDER BY doc_id) <= 240 AS sampled
+FROM found""")
+def p_verified_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of what was restored, with what its sample of the first 240 rows holds."""
+    got = _restored_pronunciations(spark, sf_dir)
+    sample = got.sample.select("ord", F.struct("id", "headword", "orthography", "pronunciation", "match_method", "body_restored_snippet").alias("shown"))
+    rows = got.index.join(sample, "ord", "left")
+    same = F.struct("id", "headword", "orthography", F.col("pronunciation_normalized").alias("pronunciation"), "match_method", "body_restored_snippet")
+    return rows.select(
+        "id", "source_id", "headword", "orthography", "pronunciation_raw", "pronunciation_normalized", "match_method", "block_guess", "byte_offset_guess", "body_snippet", "body_restored_snippet",
+        F.col("body_unresolved_count").cast("bigint").alias("unresolved"), F.col("shown").eqNullSafe(same).alias("sampled"),
+    )
+
+
+@query(f"""
+WITH {_RESTORED_SPOKEN},
+sums AS (SELECT (SELECT count(*) FROM drafts) AS total, (SELECT count(*) FROM named) AS filtered, count(*) AS verified, count(*) FILTER (s = 1) AS one, count(*) FILTER (s = 2) AS two, count(*) FILTER (s = 3) AS three,
+                CAST(coalesce(sum(len(regexp_extract_all({_mapped('body_raw')}, '{_TOKEN}'))), 0) AS BIGINT) AS unresolved FROM hits),
+keys AS (SELECT m, count(*) AS n, count(*) FILTER (spoken_ways = 1) AS usable FROM (SELECT m, k, count(DISTINCT spoken) AS spoken_ways FROM keyed GROUP BY m, k) GROUP BY m),
+named_counts AS (
+  SELECT unnest([{{'name': 'total_entries', 'n': total}}, {{'name': 'filtered_entries', 'n': filtered}}, {{'name': 'verified_matches', 'n': verified}}, {{'name': 'headword_exact', 'n': one}},
+    {{'name': 'headword_normalized', 'n': two}}, {{'name': 'orthography_normalized', 'n': three}}, {{'name': 'restored_body_total', 'n': verified}}, {{'name': 'unmatched_filtered', 'n': filtered - verified}}], recursive := true) FROM sums)
+SELECT name, n FROM named_counts WHERE n > 0
+UNION ALL SELECT 'restored_body_unresolved_tokens', unresolved FROM sums WHERE verified > 0
+UNION ALL SELECT 'old_rows', count(*) FROM entries
+UNION ALL SELECT CASE m WHEN 1 THEN 'exact_keys' ELSE 'normalized_keys' END, n FROM keys
+UNION ALL SELECT CASE m WHEN 1 THEN 'exact_lookup_keys' ELSE 'normalized_lookup_keys' END, usable FROM keys
+UNION ALL SELECT CASE m WHEN 1 THEN 'ambiguous_exact_keys' ELSE 'ambiguous_normalized_keys' END, n - usable FROM keys
+UNION ALL SELECT 'verified_per_million', CAST(round_even(verified / filtered, 6) * 1000000 AS BIGINT) FROM sums""")
+def k_pronunciation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the pronunciations' restoration, one figure a row."""
+    report = _restored_pronunciations(spark, sf_dir).report
+    lookup = F.from_json(F.to_json("lookup"), "map<string,bigint>")
+    ratio = F.create_map(F.lit("verified_per_million"), F.round(F.col("coverage.verified_ratio") * 1_000_000).cast("bigint"))
+    return report.select(F.explode(F.map_concat("merge_counts", lookup, ratio)).alias("name", "n"))
+
+
 #: A dump entry for each document, with headers of all kinds, and a draft for each, whose number says what it can be found by.
 _IDS = "CAST(doc_id AS VARCHAR)"
 _OWN_HEADER = f"""CASE WHEN doc_id % 1000 = 5 THEN '{fixed.MANUAL_CLUES[0][1]}' WHEN doc_id % 10 = 7 THEN 'dup【x】' WHEN doc_id % 10 = 8 THEN 'はん【[zA42E]】' WHEN doc_id % 10 = 9 THEN 'g' || {_IDS}
