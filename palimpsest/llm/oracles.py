@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from palimpsest.llm.quality_rules import ENDS, PHRASES, SEPARATORS, Rules
-from palimpsest.llm.url_filter import BLOCK_GLOBS, SITE_RULES
+from palimpsest.llm.url_filter import BLOCK_GLOBS, ENCODED, SITE_RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -14,19 +14,30 @@ def _glob_regex(glob: str) -> str:
     return f"{escape(host, '[^#]*')}#{escape(path, '.*')}"
 
 
+_DECODED = "array_to_string(list_transform(regexp_extract_all({0}, '{1}|%|[^%]+'), lambda x: CASE WHEN regexp_full_match(x, '{1}') THEN chr(CAST('0x' || substr(x, 2) AS INT)) ELSE x END), '')"
+
 URL_FILTER = f"""
 WITH parts AS (
   SELECT page_id,
          {_LOWER.format("regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)")} AS host,
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
+decoded AS (
+  SELECT *, regexp_replace(regexp_replace({_LOWER.format(_DECODED.format("host", ENCODED))}, '^.*@', '', 's'), ':[0-9]*$', '') AS h,
+         string_split(substr({_LOWER.format(_DECODED.format("path", ENCODED))}, 2), '/') AS segments
+  FROM parts),
+forms AS (
+  SELECT *, rtrim(h, '.') AS chost,
+         '/' || array_to_string(list_reduce(list_transform(segments, lambda x: [x]), lambda a, x: CASE x[1] WHEN '..' THEN a[1 : len(a) - 1] WHEN '.' THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[]))
+                                || CASE WHEN segments[-1] IN ('.', '..') THEN [''] ELSE [] END, '/') AS cpath
+  FROM decoded),
 fits AS (
   SELECT *, CASE {" ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(SITE_RULES, key=lambda r: -len(r[0] + r[1])))} END AS rule,
-         {" + ".join(f"CAST(regexp_full_match('.' || host || '#' || path, '{_glob_regex(g)}', 's') AS BIGINT)" for g in BLOCK_GLOBS)} AS n_globs
-  FROM parts)
+         {" + ".join(f"CAST(regexp_full_match('.' || chost || '#' || cpath, '{_glob_regex(g)}', 's') AS BIGINT)" for g in BLOCK_GLOBS)} AS n_globs
+  FROM forms)
 SELECT page_id, host, path, rule,
        CASE {" ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in SITE_RULES)} WHEN n_globs > 0 THEN 'block' ELSE 'allow' END AS verdict,
-       n_globs
+       n_globs, chost || cpath AS canonical
 FROM fits
 """
 

@@ -1,9 +1,12 @@
 """URL filter: glob rules as one bit-parallel Shift-And automaton in several 64-bit words.
 
-A rule is a glob over the canonical form of a URL, which is "." + host + "#" + path: the host is what stands between
-the first "://" and the next "/", "?", "#" or the end, with A-Z in lower case; the path goes on to "?", "#" or the end.
-"#" stands in neither, so a rule's host part can't run into the path. In a rule's host part "*" means any characters
-but "#"; in its path part it means any characters.
+A rule is a glob over "." + host + "#" + path: the host is what stands between the first "://" and the next "/", "?", "#" or
+the end, with A-Z in lower case; the path goes on to "?", "#" or the end. "#" stands in neither, so a rule's host part can't run into
+the path. In a rule's host part "*" means any characters but "#"; in its path part it means any characters.
+
+Site rules see host and path as the URL writes them. Block globs see their canonical form (canonical()), so other spellings of
+an address don't pass them: unreserved characters that are percent-encoded are decoded, A-Z is lower case in both, the host has no user
+part, port or trailing dots, and the path begins with "/" and has no dot segments.
 
 Each glob position is one bit. Reading a character c moves all rules at once:
     state = (((state << 1) | begin) & enters[c]) | (state & stays[c])
@@ -13,6 +16,7 @@ URL has characters, and each step touches only URLs that are that long.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,6 +41,10 @@ BLOCK_GLOBS = [
 ]
 
 _SEPARATOR = ord("#")
+#: Percent-encoded letters, digits, "-", ".", "_" and "~".
+ENCODED = "%(?:2[DdEe]|3[0-9]|4[1-9A-Fa-f]|5[0-9AaFf]|6[1-9A-Fa-f]|7[0-9AaEe])"
+_ENCODED = re.compile(ENCODED)
+_TO_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 class Automaton(NamedTuple):
@@ -54,6 +62,26 @@ def site_glob(host: str, path: str) -> str:
     return f"*.{host}#{path}*"
 
 
+def canonical(host: str, path: str) -> tuple[str, str]:
+    """Host and path as block globs see them. "%" isn't unreserved, so "%2561" stays. An empty host has "/" as path if it has none."""
+    if "%" in host or "%" in path:
+        host, path = (_ENCODED.sub(lambda m: chr(int(m[0][1:], 16)), x) for x in (host, path))
+    host, path = host.translate(_TO_LOWER), path.translate(_TO_LOWER)
+    host = re.sub(r":[0-9]*\Z", "", host.rpartition("@")[2]).rstrip(".")
+    if "/." in path:
+        kept: list[str] = []
+        parts = path[1:].split("/")
+        for part in parts:
+            if part == "..":
+                del kept[-1:]
+            elif part != ".":
+                kept.append(part)
+        if parts[-1] in (".", ".."):
+            kept.append("")
+        path = "/" + "/".join(kept)
+    return host, path or "/"
+
+
 def compile_globs(globs: list[str]) -> Automaton:
     """Bits of a rule: one in front, always on while the rule begins with it, then one for each character that isn't "*".
 
@@ -125,10 +153,10 @@ def filter_urls(
     site_rules: list[tuple[str, str, str]] | None = None,
     block_globs: list[str] | None = None,
 ) -> DataFrame:
-    """A verdict for each row: id, host, path, rule, verdict, n_globs (block globs that match).
+    """A verdict for each row: id, host, path, rule, verdict, n_globs (block globs that match), canonical (host and path as these see them).
 
-    Of the site rules that fit, the longest decides, and of equally long ones the first; else the URL is blocked if any block
-    glob matches it. Null URLs and those without "://" have an empty host and path, no rule, and are allowed. Repeated rows are
+    Block globs don't tell A-Z from a-z. Of the site rules that fit, the longest decides, and of equally long ones the first; else the URL is blocked if any block
+    glob matches it. Null URLs and those without "://" have an empty host and path, "/" as canonical form, no rule, and are allowed. Repeated rows are
     judged each by itself; a null id is kept; other columns are not read. An empty table gives an empty result.
     """
     rules = SITE_RULES if site_rules is None else site_rules
@@ -143,11 +171,12 @@ def filter_urls(
     by_length = sorted(range(len(rules)), key=lambda i: -len(names[i]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = compile_globs([site_glob(h, p) for h, p, _ in rules] + globs)
+        sites, blocks = compile_globs([site_glob(h, p) for h, p, _ in rules]), compile_globs([g.translate(_TO_LOWER) for g in globs])
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            got = matches(automaton, [f".{h}#{p}" for h, p in zip(hosts, paths, strict=True)])
-            n_globs = got[:, len(rules) :].sum(axis=1)
+            forms = [canonical(h, p) for h, p in zip(hosts, paths, strict=True)]
+            got = matches(sites, [f".{h}#{p}" for h, p in zip(hosts, paths, strict=True)])
+            n_globs = matches(blocks, [f".{h}#{p}" for h, p in forms]).sum(axis=1)
             rule = np.full(len(hosts), -1)
             for i in reversed(by_length):
                 rule[got[:, i]] = i
@@ -159,8 +188,9 @@ def filter_urls(
                     pa.array([names[i] if i >= 0 else None for i in rule], pa.string()),
                     pa.array([rules[i][2] if i >= 0 else ("block" if n else "allow") for i, n in zip(rule, n_globs, strict=True)], pa.string()),
                     pa.array(n_globs.astype(np.int64)),
+                    pa.array([h + p for h, p in forms], pa.string()),
                 ],
-                ["id", "host", "path", "rule", "verdict", "n_globs"],
+                ["id", "host", "path", "rule", "verdict", "n_globs", "canonical"],
             )
 
-    return read.mapInArrow(judge, f"id {kind}, host string, path string, rule string, verdict string, n_globs bigint")
+    return read.mapInArrow(judge, f"id {kind}, host string, path string, rule string, verdict string, n_globs bigint, canonical string")

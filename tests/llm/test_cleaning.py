@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import time
 from collections import Counter
 
@@ -220,10 +221,43 @@ def test_contamination_by_brute_force(spark):
         assert not any(r.contaminated for r in decontaminate(docs, bench.where("false"), broadcast_words=most).collect())
 
 
+UNRESERVED = string.ascii_letters + string.digits + "-._~"
+FORMS = [
+    ("http://x.org/A.JPG", "x.org/a.jpg"), ("http://x.org/a%2Ejpg", "x.org/a.jpg"), ("http://u:p@Ads.x.com:8080/", "ads.x.com/"), ("http://a@b@x.org.", "x.org/"),
+    ("http://x.org/a/./b/../c", "x.org/a/c"), ("http://x.org/../../a/..", "x.org/"), ("http://x.org/a/%2e%2E/b/.", "x.org/b/"), ("http://x.org/a%2fb%2561", "x.org/a%2fb%2561"),
+    ("http://x.org//a/...", "x.org//a/..."), ("http://%41ds.x.org:/%zz%", "ads.x.org/%zz%"), ("http://x.org/.", "x.org/"), ("http://x.org/a/../", "x.org/"), ("http://[::1]:80/", "[::1]/"),
+]
+
+
+def plain_form(host, path):
+    for code in UNRESERVED:
+        for hexed in {f"%{ord(code):02x}", f"%{ord(code):02X}"}:
+            host, path = host.replace(hexed, "\0" + code), path.replace(hexed, "\0" + code)
+    host, path = ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.replace("\0", "")) for x in (host, path))
+    host = host.split("@")[-1]
+    while host and host.rstrip("0123456789") != host and ":" in host and host.rstrip("0123456789").endswith(":"):
+        host = host.rstrip("0123456789")
+    host = host.removesuffix(":").rstrip(".")
+    path = path or "/"
+    while "/./" in path:
+        path = path.replace("/./", "/", 1)
+    path = path[:-1] if path.endswith("/.") else path
+    while m := re.search(r"/\.\.(/|\Z)", path):
+        path = path[: max(path.rfind("/", 0, m.start()), 0)] + "/" + path[m.end() :]
+    return host, path
+
+
+def test_canonical_form_for_globs(spark):
+    rows = [(i, u) for i, (u, _) in enumerate(FORMS)]
+    got = {r.id: r for r in filter_urls(spark.createDataFrame(rows, "page_id int, url string")).collect()}
+    assert [got[i].canonical for i in range(len(FORMS))] == [form for _, form in FORMS]
+    assert [got[i].n_globs for i in range(3)] == [1, 1, 1] and [(got[i].rule, got[i].verdict) for i in range(3)] == [("org/", "allow"), ("org/", "allow"), (None, "block")]
+
+
 def test_url_rules_by_brute_force(spark):
     rng = random.Random(3)
-    hosts = ["example.org", "a.example.org", "xexample.org", "ORG", "org", "b.com", "com", "spam-farm.example.net", "m.casino-x.de", "ads.x.y", "x.ads", "ünï.org", ""]
-    paths = ["", "/", "/es/", "/es", "/en/1", "/en/12", "/fr/x", "/de/", "/a.exe", "/A.EXE", "/x/wp-admin/y", "/x#y.exe", "/x?y=/es/", "/漢.zip", "/" + "long" * 5000]
+    hosts = ["example.org", "a.example.org", "xexample.org", "ORG", "org", "b.com", "com", "spam-farm.example.net", "m.casino-x.de", "ads.x.y", "x.ads", "ünï.org", "", "u@ads.x.com:80", "a:b@Ads.org.", "x:", "%61ds.x.y"]
+    paths = ["", "/", "/es/", "/es", "/en/1", "/en/12", "/fr/x", "/de/", "/a.exe", "/A.EXE", "/x/wp-admin/y", "/x#y.exe", "/x?y=/es/", "/漢.zip", "/A%2eJPG", "/x/./wp-admin/../WP-admin/y", "/a/..", "/%2e/%41%zz%2f", "/" + "long" * 5000]
     urls = [f"http://{h}{p}" for h in hosts for p in paths] + [None, "", "no scheme", "://", "a://b://c.org/es/", "http://org\n/es/", "HTTP://EXAMPLE.org/es/"]
     rng.shuffle(urls)
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id bigint, url string, host string")
@@ -233,8 +267,9 @@ def test_url_rules_by_brute_force(spark):
         host, path = (m[1], m[2]) if m else ("", "")
         host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
         fits = [(h + p, v) for h, p, v in SITE_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-        rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, "block" if any(x.fullmatch(f".{host}#{path}") for x in regex) else "allow")
+        rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, "block" if any(x.fullmatch(".%s#%s" % plain_form(host, path)) for x in regex) else "allow")
         assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, verdict), urls[r.id]
+        assert r.canonical == "".join(plain_form(host, path)), urls[r.id]
     assert filter_urls(pages.where("false")).count() == 0
 
 
