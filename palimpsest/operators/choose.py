@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.scratch import kept
+
+#: Values that a task's summary keeps.
+CAPACITY = 100_000
+
 
 def topk_forced(rows: DataFrame, parts: list[str], score: str, tie: str, k: int, forced: Column) -> DataFrame:
     """The k best rows of each group by score, ties by the least `tie`, then forced rows that aren't among them; with their rank.
@@ -39,6 +48,63 @@ def most_common(rows: DataFrame, value: str, order: str, n: int | None = None) -
     return ranked.limit(n) if n is not None else ranked
 
 
+def _summaries(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    """Frequent values of a task: (value, n, first, error). A value stands at least n times and at most n + error; one that isn't named, at most error.
+
+    From twice the capacity on, all counts are lowered by the largest count that doesn't fit, and values without a count go; error sums these steps.
+    """
+    table, error, waiting = None, 0, 0
+    held: list[pa.Table] = []
+
+    def merged() -> pa.Table:
+        together = pa.concat_tables(([table] if table is not None else []) + held)
+        return together.group_by("value").aggregate([("n", "sum"), ("first", "min")]).rename_columns(["value", "n", "first"])
+
+    for batch in batches:
+        some = pa.table({"value": batch.column(0), "first": batch.column(1), "n": pa.repeat(pa.scalar(1, pa.int64()), batch.num_rows)})
+        held.append(some.group_by("value").aggregate([("n", "sum"), ("first", "min")]).rename_columns(["value", "n", "first"]))
+        waiting += held[-1].num_rows
+        if waiting < capacity:
+            continue
+        table, held, waiting = merged(), [], 0
+        if table.num_rows >= 2 * capacity:
+            step = pc.array_sort_indices(table["n"], order="descending")[capacity].as_py()
+            cut = table["n"][step].as_py()
+            error += cut
+            table = table.set_column(1, "n", pc.subtract(table["n"], cut)).filter(pc.greater(table["n"], cut))
+    if held:
+        table = merged()
+    if table is None:
+        return
+    yield from table.append_column("error", pa.repeat(pa.scalar(error, pa.int64()), table.num_rows)).append_column("lead", pa.array([i == 0 for i in range(table.num_rows)], pa.bool_())).to_batches()
+    if not table.num_rows and error:
+        blank = [pa.nulls(1, f.type) for f in table.schema]
+        yield pa.RecordBatch.from_arrays([*blank, pa.array([error], pa.int64()), pa.array([True])], [*table.schema.names, "error", "lead"])
+
+
+def top_counts(rows: DataFrame, value: str, order: str, n: int, capacity: int = CAPACITY) -> DataFrame:
+    """The n most common values as (value, n, first), exactly, largest first, ties by first place and then by value; null values don't count.
+
+    For values of any number: tasks summarise their rows in bounded memory, so `capacity` values a task are shuffled at most. Where no task left
+    any out, the sums are the counts. Else only values whose upper bound reaches the n-th best lower bound are counted again, in a second pass that
+    shuffles these alone. If that bound doesn't exceed what unnamed values may have, so that summaries can't tell, all values are counted.
+    """
+    shape = rows.select(value, order).schema
+    kinds = [f.dataType.simpleString() for f in shape]
+    read = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("value"), F.col(order).alias("first"))
+    made = read.mapInArrow(lambda b: _summaries(b, capacity), f"value {kinds[0]}, n bigint, first {kinds[1]}, error bigint, lead boolean")
+    summed = made.groupBy("value").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum(F.when(F.col("lead"), F.col("error"))).alias("error"))
+    summary, _ = kept(summed)
+    error = summary.agg(F.coalesce(F.sum("error"), F.lit(0))).first()[0]
+    named = summary.where("value is not null").select("value", "n", "first")
+    if error:
+        least = [r["n"] for r in named.select("n").orderBy(F.desc("n")).limit(n).collect()]
+        sure = len(least) == n and least[-1] > error
+        chosen = read.join(named.where(F.col("n") + error >= least[-1]).select("value"), "value", "left_semi") if sure else read
+        named = chosen.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
+    return named.select(F.col("value").alias(value), "n", "first").orderBy(F.desc("n"), "first", value).limit(n)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """Rounded half to even at six digits; 0.0 of nothing."""
     return F.coalesce(F.bround(F.try_divide(part.cast("double"), whole.cast("double")), 6), F.lit(0.0))

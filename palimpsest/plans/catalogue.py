@@ -177,7 +177,7 @@ WITH words AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[^\
 SELECT word, count(*) AS n, min(doc_id) AS first FROM words GROUP BY word ORDER BY n DESC, first, word LIMIT 30""")
 def a_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[^\\x20\\n]+"), F.lit(0)))).alias("word"))
-    return choose.most_common(words, "word", "doc_id").orderBy(F.desc("n"), "first", "word").limit(30)
+    return choose.top_counts(words, "word", "doc_id", 30)
 
 
 @query("""
