@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm.quality_rules import ENDS, PHRASES, SEPARATORS, Rules
+from palimpsest.llm.quality_rules import DENSE, ENDS, PHRASES, SEPARATORS, Rules
 from palimpsest.llm.url_filter import BLOCK_GLOBS, ENCODED, SITE_RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -66,6 +66,8 @@ _WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 _R = Rules()
 _ENDS = ENDS.replace("'", "''")
 _SEPARATORS = ", ".join(f"'{x}'" for x in SEPARATORS)
+_DENSE = "[" + "".join(f"\\x{{{ord(a):X}}}-\\x{{{ord(z):X}}}" for a, z in DENSE) + "]"
+_CLOSING = f"(contains('{_ENDS}', tail) OR ascii(tail) >= 128 AND NOT regexp_matches(tail, '[\\p{{L}}\\p{{M}}\\p{{N}}]'))"
 
 QUALITY_RULES = f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
@@ -76,18 +78,26 @@ facts AS (
   SELECT len(w) AS n, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: x IN ({_SEPARATORS}))) AS n_bars, doc_id, i,
          length(array_to_string(w, '')) AS chars, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
          length(regexp_replace(line, '[^!]', '', 'g')) AS marks, right(w[-1], 1) AS tail, lower(line) AS low,
-         row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS repeated,
-         len(w) <= {_R.max_menu_words} AND ascii(right(w[-1], 1)) < 128 AND NOT contains('{_ENDS}', right(w[-1], 1)) AND NOT regexp_matches(w[1], '^[a-z]') AS link
+         left(w[1], 1) AS head, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS repeated
   FROM lines WHERE len(w) > 0),
+sized AS (
+  SELECT *, {_CLOSING} AS closed, regexp_matches(head, '[\\p{{Ll}}\\p{{Lo}}\\p{{Lm}}\\p{{M}}]') OR ascii(head) >= 128 AND regexp_matches(head, '\\p{{N}}') AS low_head,
+         CASE WHEN regexp_matches(head, '[0-9]') AND n > 1 THEN greatest(n, {_R.max_menu_words}) WHEN regexp_matches(head, '{_DENSE}') THEN greatest(n, (chars + 1) // 2) ELSE n END AS size
+  FROM facts),
+said AS (SELECT doc_id, min(i) AS first_said, max(i) AS last_said FROM sized WHERE closed AND (n > {_R.max_menu_words} OR chars >= {_R.min_sentence_chars}) GROUP BY doc_id),
+linked AS (
+  SELECT *, size <= {_R.max_menu_words} AND NOT closed AND (NOT low_head OR coalesce(i < first_said OR i > last_said, false)) AS link FROM sized LEFT JOIN said USING (doc_id)),
 runs AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, link ORDER BY i) AS run FROM facts),
-shaped AS (SELECT *, link AND count(*) OVER (PARTITION BY doc_id, link, run) >= {_R.min_menu_lines} AS menu FROM runs),
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - row_number() OVER (PARTITION BY doc_id, link ORDER BY i) AS run FROM linked),
+shaped AS (
+  SELECT *, link AND count(*) OVER same >= {_R.min_menu_lines} AND 100 * sum(size) OVER same <= {_R.mean_menu_words} * count(*) OVER same AS menu
+  FROM runs WINDOW same AS (PARTITION BY doc_id, link, run)),
 judged AS (
   SELECT *, 100 * symbols > {_R.max_symbols} * chars
          OR n >= {_R.min_words} AND 100 * marks > {_R.max_marks} * n
          OR n >= {_R.min_words} AND 100 * n_bars >= {_R.max_bars} * n
          OR n >= {_R.min_varied} AND 100 * (n - n_distinct) >= {_R.max_same} * n
-         OR n >= {_R.min_sentence} AND ascii(tail) < 128 AND NOT contains('{_ENDS}', tail)
+         OR n >= {_R.min_sentence} AND NOT contains('{_ENDS}', tail) AND (ascii(tail) < 128 OR regexp_matches(tail, '[\\p{{Ll}}\\p{{Lu}}\\p{{Lt}}]'))
          OR menu
          OR repeated
          OR {" OR ".join(f"contains(low, '{p}')" for p in PHRASES)} AS fails

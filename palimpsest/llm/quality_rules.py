@@ -1,15 +1,21 @@
 """Line-first cleaning: rules judge each line, failing lines go, and a document that loses too much text is rejected.
 
 Punctuation: too many symbols or exclamation marks, or a long line that doesn't end like a sentence. Navigation: words with separators
-between them, or a run of short lines that begin like titles and end without a mark, blank lines aside. Boilerplate: lines that the text has had, lines of few
+between them, or a run of short lines that end without a mark, blank lines aside. Boilerplate: lines that the text has had, lines of few
 different words, and fixed phrases.
 
+Letters and marks are told by Unicode's categories. A menu's lines hold two words at most on the average, so verses stay, and a line that begins with a
+number and goes on counts as a long one, so lists of quantities stay. Lines that begin like titles are a menu anywhere; those that begin with
+a small letter or with one of a script without capitals only before a text's first sentence or behind its last. Two characters of Chinese or
+Japanese count as a word there. A long line may end with a letter of a script without capitals, as some of these have no marks between sentences.
+
 All counts come from whole slices of a batch at once: a byte table marks words, symbols and letters, running sums give the
 counts of each line and document, and hashes of words, five-word windows and lines find what repeats.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,6 +40,9 @@ class Rules(NamedTuple):
     #: words of a menu's line at most, and such lines after each other from which they are a menu
     max_menu_words: int = 4
     min_menu_lines: int = 3
+    #: their words on the average; word characters from which a line of so few words may be a sentence
+    mean_menu_words: int = 200
+    min_sentence_chars: int = 20
     #: words of a line from which too few different words make it boilerplate
     min_varied: int = 10
     max_same: int = 80
@@ -56,12 +65,13 @@ PHRASES = [
     "enable javascript", "click here to", "skip to content", "share on facebook", "subscribe to our newsletter",
 ]
 
-_SYMBOL, _END = np.zeros(256, bool), np.zeros(256, bool)
+#: First and last characters of the scripts that are written without spaces and with characters for words or syllables.
+DENSE = [("\u3040", "\u30ff"), ("\u3400", "\u9fff"), ("\uf900", "\ufaff")]
+
+#: Kinds of a line's first and last character.
+_OTHER, _CLOSING, _SMALL, _CAPITAL, _BARE, _SIGN, _DIGIT = range(7)
+_SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
-_END[[ord(c) for c in ENDS]] = True
-_END[0x80:] = True  # closing marks of other scripts
-_LOW = np.zeros(256, bool)
-_LOW[0x61:0x7B] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _separators = next(W.slices(pa.array([" ".join(SEPARATORS)])))
@@ -73,6 +83,31 @@ def _running(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
 
 
+def _kind(point: int) -> int:
+    c = chr(point)
+    category = unicodedata.category(c)
+    if c in ENDS:
+        return _CLOSING
+    if category in ("Ll", "Lu", "Lt", "Lo"):
+        return {"Ll": _SMALL, "Lo": _BARE}.get(category, _CAPITAL)
+    if point < 0x80:
+        return _DIGIT if c.isdigit() else _OTHER
+    return _SIGN if category[0] in "LMN" else _CLOSING
+
+
+def _points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of the characters that begin at these places."""
+    lead, *rest = (data[np.minimum(at + k, len(data) - 1)].astype(np.int64) for k in range(4))
+    a, b, c = (x & 0x3F for x in rest)
+    wide = (lead & 7) << 18 | a << 12 | b << 6 | c
+    return np.select([lead < 0x80, lead < 0xE0, lead < 0xF0], [lead, (lead & 0x1F) << 6 | a, (lead & 0xF) << 12 | a << 6 | b], np.minimum(wide, 0x10FFFF))
+
+
+def _kinds(points: np.ndarray) -> np.ndarray:
+    different, back = np.unique(points, return_inverse=True)
+    return np.array([_kind(int(x)) for x in different], np.uint8)[back]
+
+
 class Judged(NamedTuple):
     counts: dict[str, np.ndarray]
     base_failed: np.ndarray
@@ -108,19 +143,33 @@ def judge(texts: W.Texts, rules: Rules) -> Judged:
     n_bars = bars[line_words[1:]] - bars[line_words[:-1]]
     _, distinct = W.distinct_sorted(hashes, line_words)
     n_distinct = np.diff(distinct)
-    tail = np.zeros(len(starts), np.uint8)
     has = n_words > 0
-    tail[has] = data[w.ends[line_words[1:][has] - 1] - 1]
+    worded = np.flatnonzero(has)
+    last_char = w.ends[line_words[1:][has] - 1] - 1
+    for _ in range(3):
+        last_char -= (data[last_char] & 0xC0) == 0x80
+    begins = _points(data, w.starts[line_words[:-1][has]])
+    head, tail = _kinds(begins), _kinds(_points(data, last_char))
+    ended = np.zeros(len(starts), bool)
+    ended[worded] = np.isin(tail, (_CLOSING, _BARE, _SIGN)) | (n_words[worded] < rules.min_sentence)
 
     # Menus: the lines with words that follow each other and look like links, counted in runs.
-    worded = np.flatnonzero(has)
-    begins_low = np.zeros(len(starts), bool)
-    begins_low[has] = _LOW[data[w.starts[line_words[:-1][has]]]]
-    link = (has & (n_words <= rules.max_menu_words) & ~_END[tail] & ~begins_low)[worded]
+    words, held = n_words[worded], line_chars[worded]
+    dense = np.zeros(len(worded), bool)
+    for low, high in DENSE:
+        dense |= (begins >= ord(low)) & (begins <= ord(high))
+    length = np.where((head == _DIGIT) & (words > 1), np.maximum(words, rules.max_menu_words), np.where(dense, np.maximum(words, (held + 1) // 2), words))
     line_row = np.repeat(np.arange(len(per_row)), per_row)[worded]
+    place = np.arange(len(worded))
+    said = np.flatnonzero((tail == _CLOSING) & ((words > rules.max_menu_words) | (held >= rules.min_sentence_chars)))
+    first_said, last_said = np.full(len(per_row), -1), np.full(len(per_row), len(worded))
+    first_said[line_row[said[::-1]]], last_said[line_row[said]] = said[::-1], said
+    outside = (place < first_said[line_row]) | (place > last_said[line_row])
+    link = (length <= rules.max_menu_words) & (tail != _CLOSING) & (outside | ~np.isin(head, (_SMALL, _BARE, _SIGN)))
     run = np.cumsum(np.concatenate([[True], (link[1:] != link[:-1]) | (line_row[1:] != line_row[:-1])])) if len(worded) else np.zeros(0, np.int64)
+    lines_of = np.bincount(run)
     menu = np.zeros(len(starts), bool)
-    menu[worded] = link & (np.bincount(run)[run] >= rules.min_menu_lines)
+    menu[worded] = link & (lines_of >= rules.min_menu_lines)[run] & (100 * np.bincount(run, length) <= rules.mean_menu_words * lines_of)[run]
 
     # Lines with a word that equal an earlier line of their row.
     row = np.repeat(np.arange(len(per_row)), per_row)
@@ -146,7 +195,7 @@ def judge(texts: W.Texts, rules: Rules) -> Judged:
         | (enough & (100 * n_marks > rules.max_marks * n_words))
         | (enough & (100 * n_bars >= rules.max_bars * n_words))
         | ((n_words >= rules.min_varied) & (100 * (n_words - n_distinct) >= rules.max_same * n_words))
-        | ((n_words >= rules.min_sentence) & ~_END[tail])
+        | ~ended
         | menu
         | repeated
         | furniture

@@ -8,6 +8,7 @@ import random
 import re
 import string
 import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -65,20 +66,30 @@ def test_line_rules(spark):
     assert q.clean_lines(docs.where("false")).count() == 0
 
 
+def closing(c):
+    return c in ".!?:;\"')" or c > "\x7f" and unicodedata.category(c)[0] not in "LMN"
+
+
 def plain_lines(text):
     """(line, fails, word characters) of each line, rule by rule."""
     out, seen = [], set()
     lines = (text or "").split("\n")
-    link = {}
-    for k, line in enumerate(lines):
-        w = split(line)
-        if w:
-            tail = w[-1][-1]
-            link[k] = len(w) <= 4 and ord(tail) < 128 and tail not in ".!?:;\"')" and not "a" <= w[0][0] <= "z"
-    worded, menu = sorted(link), set()
+    link, size = {}, {}
+    worded, menu = [k for k, line in enumerate(lines) if split(line)], set()
+    said = [k for k in worded if closing(split(lines[k])[-1][-1]) and (len(split(lines[k])) > 4 or sum(map(len, split(lines[k]))) >= 20)]
+    for k in worded:
+        w = split(lines[k])
+        size[k] = len(w)
+        if w[0][0] in string.digits and len(w) > 1:
+            size[k] = max(4, len(w))
+        elif "\u3040" <= w[0][0] <= "\u30ff" or "\u3400" <= w[0][0] <= "\u9fff" or "\uf900" <= w[0][0] <= "\ufaff":
+            size[k] = max(len(w), (sum(map(len, w)) + 1) // 2)
+        kind = unicodedata.category(w[0][0])
+        small = kind in ("Ll", "Lo", "Lm") or kind[0] == "M" or kind[0] == "N" and w[0][0] > "\x7f"
+        link[k] = size[k] <= 4 and not closing(w[-1][-1]) and (not small or bool(said) and not said[0] <= k <= said[-1])
     for same, group in itertools.groupby(worded, key=lambda k: link[k]):
         group = list(group)
-        if same and len(group) >= 3:
+        if same and len(group) >= 3 and sum(size[k] for k in group) <= 2 * len(group):
             menu |= set(group)
     for k, line in enumerate(lines):
         w = split(line)
@@ -88,7 +99,7 @@ def plain_lines(text):
             n, tail = len(w), w[-1][-1]
             fails = (
                 100 * len(re.findall(r"[#*$%&|<>]", line)) > 10 * chars or n >= 4 and 100 * line.count("!") > 60 * n or n >= 4 and 100 * sum(x in ["|", "/", ">", "»", "›", "·", "•"] for x in w) >= 20 * n
-                or n >= 10 and 100 * (n - len(set(w))) >= 80 * n or n >= 12 and ord(tail) < 128 and tail not in ".!?:;\"')" or line in seen or k in menu
+                or n >= 10 and 100 * (n - len(set(w))) >= 80 * n or n >= 12 and (tail < "\x80" and tail not in ".!?:;\"')" or tail > "\x7f" and unicodedata.category(tail) in ("Ll", "Lu", "Lt")) or line in seen or k in menu
                 or any(p in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line) for p in q.PHRASES)
             )
             seen.add(line)
@@ -107,9 +118,9 @@ def plain_judge(text):
 
 def test_lines_by_plain_rules(spark):
     rng = random.Random(11)
-    parts = ["Home", "About us", "a", "word", "The end.", "buy$$", "x|y", "|", "/", "»", "•", "WOW!", "go!!", "漢字", "é", "Accept cookies", "privacy policy", "spam", "spam", "\n", "\n", "\n\n", ".", "\x1c", "\t"]
+    parts = ["Home", "About us", "a", "word", "The end.", "buy$$", "x|y", "|", "/", "»", "•", "WOW!", "go!!", "漢字", "é", "首页", "関東地方の", "2", "50 g", "Я", "слово", "।", "。", "ाक", "٣", "ǅ", "ⅷ", "🎉", "Accept cookies", "privacy policy", "spam", "spam", "\n", "\n", "\n\n", ".", "\x1c", "\t"]
     texts = [t for t in TEXTS if t is None or len(t) < 5000] + [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 45))) for _ in range(1500)]
-    texts += ["\n".join(rng.choice(["A sentence of many words stands here for all to read.", "Home", "News today", "lower case", "End here.", ""]) for _ in range(rng.randint(1, 12))) for _ in range(500)]
+    texts += ["\n".join(rng.choice(["A sentence of many words stands here for all to read.", "Home", "News today", "lower case", "End here.", "", "Новости", "цены и акции", "联系我们", "五月的花开", "2 cups flour", "من نحن", "Ça a été fermé", "Длинное предложение из пяти слов здесь."]) for _ in range(rng.randint(1, 12))) for _ in range(500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
     got = {r.id: (r.kept, r.clean_text) for r in q.clean_lines(docs).collect()}
     for i, text in enumerate(texts):
@@ -145,6 +156,39 @@ def test_menus_fail_and_prose_does_not():
         assert not got.line_fails[: got.line_bounds[1]].any() and not got.line_fails[got.line_bounds[2] :].any()
 
 
+SENTENCE = "A full sentence stands here to begin with."
+#: Lines around a sentence, and whether they go.
+EDGES = [
+    (["Главная", "О нас", "Новости", "Контакты"], True),
+    (["首页", "关于我们", "产品中心", "联系我们"], True),
+    (["home", "about us", "products", "contact"], True),
+    (["الرئيسية", "من نحن", "اتصل بنا"], True),
+    (["The Moon Is Rising", "Over Quiet Hills", "And Rivers Of Silver", "Sing Me To Sleep"], False),
+    (["200 g Flour", "2 Eggs", "1 cup Milk", "Salt", "Butter"], False),
+    (["床前明月光", "疑是地上霜", "举头望明月"], False),
+    (["roses are red", "violets are blue", "sugar is sweet"], False),
+]
+
+
+def test_menus_of_other_scripts_and_places():
+    for lines, bad in EDGES:
+        for text, own in [([*lines, SENTENCE], slice(0, -1)), ([SENTENCE, *lines], slice(1, None))]:
+            fails = q.judge(next(W.slices(pa.array(["\n".join(text)]))), q.Rules()).line_fails.tolist()
+            assert fails[own] == [bad] * len(lines) and sum(fails) == bad * len(lines), lines
+    capital = EDGES[0][0]
+    for lines, bad in [(capital, True), *((x, False) for x, _ in EDGES[1:4])]:
+        fails = q.judge(next(W.slices(pa.array(["\n".join([SENTENCE, *lines, "Another sentence ends the whole text."])]))), q.Rules()).line_fails
+        assert fails.sum() == bad * len(lines), lines
+    for poem in (EDGES[4][0], EDGES[5][0], EDGES[6][0], EDGES[7][0]):
+        assert not q.judge(next(W.slices(pa.array(["\n".join(poem)]))), q.Rules()).line_fails.any()
+
+
+def test_long_lines_without_a_mark():
+    words = "un deux trois quatre cinq six sept huit neuf dix onze "
+    for end, bad in [("fermé", True), ("fermé.", False), ("слово", True), ("слово»", False), ("end", True), ("จบ", False), ("文。", False), ("है", False), ("ABCÉ", True)]:
+        assert q.judge(next(W.slices(pa.array([words + end]))), q.Rules()).line_fails.tolist() == [bad], end
+
+
 def test_site_lines(spark):
     rows = [(i, "s", f"  menu \nown {i}\n\nrare") for i in range(20)] + [(100 + i, "t", f"menu\n{i}") for i in range(2)]
     rows += [(200, None, "menu\nx"), (201, "s", None), (202, "s", ""), (203, "s", "menu\nmenu"), (None, "s", "menu\nnull id")]
