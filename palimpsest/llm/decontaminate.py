@@ -6,8 +6,10 @@ at least a window's length marks its words as hit, and the states on the way nam
 every match, so only runs of known words are walked; they are found for a whole slice of texts at once.
 
 Scale. An automaton takes about 0.75 KB a word, in each Python worker, so items of up to BROADCAST_WORDS words in all are broadcast as one. More items
-are never in one place: the hashes of their windows make a filter of bounded size, what passes it is joined with the windows,
-and a document that shares a window with items meets just these items, in an automaton of their own. Other documents are not shuffled.
+are never in one place. Their different windows are a table, each with its words and with a hash of the set of items that have it; the hashes of
+windows make a filter of bounded size, and a document gets, by an exact join, the windows that it shares, in an automaton of their own. So what
+a document gets is bounded by its own words, however many items share a window. Other documents are not shuffled. The items' names are looked
+up once for each different combination of sets that documents have.
 """
 
 from __future__ import annotations
@@ -286,24 +288,30 @@ def _windows(w: W.Words, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 def _by_joins(read: DataFrame, items: DataFrame, output: Output, out: StructType | str) -> DataFrame:
     spark, window = read.sparkSession, output.window
     # Written, so that a row's key is the same in every reading.
-    keyed_items = written(items.withColumn("item_key", F.monotonically_increasing_id()))
     keyed = written(read.select(F.struct(*read.columns).alias("doc"), F.monotonically_increasing_id().alias("key")))
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column(0))
             for texts in W.slices(batch.column(1)):
                 w, h = _hashed(texts)
                 own = np.minimum(np.diff(w.bounds), window)
                 for size in np.unique(own[own > 0]).tolist():
                     grams, bounds = _windows(w, h, size)
                     row = np.repeat(np.arange(len(own)), np.diff(bounds))
-                    mine = own[row] == size
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[mine]), pa.array(keys[texts.first + row[mine]]), pa.array(np.full(mine.sum(), size), pa.int32())], ["gram", "item_key", "size"])
-
-    grams = written(keyed_items.select("item_key", "item_text").mapInArrow(of_items, "gram bigint, item_key bigint, size int").distinct())
-    sizes = [r["size"] for r in grams.select("size").distinct().collect()]  # window at most
-    known = spark.sparkContext.broadcast(key_filter(grams.select("gram").distinct()))
+                    mine = np.flatnonzero(own[row] == size)
+                    begins = w.bounds[:-1][row[mine]] + mine - bounds[:-1][row[mine]]
+                    words = np.ascontiguousarray(h[begins[:, None] + np.arange(size)]).reshape(-1).view(np.uint8)
+                    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * size), len(mine), [None, pa.py_buffer(words)])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[mine]), fixed.cast(pa.binary()), batch.column(0).take(pa.array(texts.first + row[mine]))], ["gram", "words", "item"])
+
+    shown = written(items.select("item", "item_text").mapInArrow(of_items, "gram bigint, words binary, item string").distinct())
+    # A set of items is told by two hashes of its members, which are summed without order before they are shuffled.
+    member = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), F.col("item").isNull(), F.coalesce("item", F.lit(""))))
+    windows = written(shown.groupBy("gram", "words").agg(F.concat_ws(":", member(1), member(2)).alias("set")))
+    a_window = windows.groupBy("set").agg(F.min(F.struct("gram", "words")).alias("w")).select("set", "w.gram", "w.words")
+    members = shown.join(a_window, ["gram", "words"]).select("set", "item")
+    sizes = [r["size"] for r in windows.select((F.length("words") / 8).cast("int").alias("size")).distinct().collect()]  # window at most
+    known = spark.sparkContext.broadcast(key_filter(windows.select("gram").distinct()))
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,9 +325,8 @@ def _by_joins(read: DataFrame, items: DataFrame, output: Output, out: StructType
                     pair = np.unique(np.stack([row[passes], found[passes]], axis=1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(keys[texts.first + pair[:, 0]]), pa.array(pair[:, 1])], ["key", "gram"])
 
-    met = keyed.select("key", F.col("doc._text").alias("t")).mapInArrow(of_docs, "key bigint, gram bigint").join(grams, "gram").select("key", "item_key").distinct()
-    lists = met.join(keyed_items, "item_key").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("item_key", "item", "item_text"))).alias("items"))
-    lists = written(lists)
+    met = keyed.select("key", F.col("doc._text").alias("t")).mapInArrow(of_docs, "key bigint, gram bigint").join(windows, "gram")
+    lists = written(met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("words", "set"))).alias("shared")))
     listed = spark.sparkContext.broadcast(key_filter(lists.select("key")))
 
     @arrow_udf(BooleanType())
@@ -337,15 +344,29 @@ def _by_joins(read: DataFrame, items: DataFrame, output: Output, out: StructType
             for texts in W.slices(docs.column(at), most=1):  # one text after the other
                 part = docs.slice(texts.first, texts.last - texts.first)
                 w, h = _hashed(texts)
-                hit, found = np.zeros(len(w.starts), bool), {}
+                hit, sets = np.zeros(len(w.starts), bool), []
                 own = batch.column(1)[texts.first].as_py() or []
                 if own:
                     if last is None or last[0] != own:  # copies of a passage often follow each other
-                        last = own, build([x["item"] for x in own], item_words([x["item_text"] for x in own]), window)
+                        last = own, build([x["set"] for x in own], [np.frombuffer(x["words"], np.uint64) for x in own], window)
                     hit, which = _hits(last[1], w, h, window)
-                    found = {i: {last[1].names[k] for k in some} for i, some in which.items()}
-                yield output.rows(part, part.column(at), texts, w, hit, found)
-
-    no_items = F.lit(None).cast(lists.schema["items"].dataType).alias("items")
-    some = marked.where("may_hit").join(lists, "key", "left").select("doc", "items")
-    return marked.where("not may_hit").select("doc", no_items).union(some).mapInArrow(judge, out)
+                    sets = sorted({last[1].names[k] for some in which.values() for k in some})
+                rows = output.rows(part, part.column(at), texts, w, hit, {})
+                if not output.keep_columns:
+                    rows = rows.append_column("combination", pa.array([hashlib.sha256(",".join(sets).encode()).hexdigest()])).append_column("sets", pa.array([sets], pa.list_(pa.string())))
+                yield rows
+
+    judged = out if output.keep_columns else f"{out}, combination string, sets array<string>"
+    nothing = F.lit(None).cast(lists.schema["shared"].dataType).alias("shared")
+    clean = marked.where("not may_hit").select("doc", nothing)
+    some = marked.where("may_hit").join(lists, "key", "left").select("doc", "shared")
+    if output.keep_columns:
+        return clean.union(some).mapInArrow(judge, judged)
+    hits = written(some.mapInArrow(judge, judged))
+    combinations = hits.groupBy("combination").agg(F.any_value("sets").alias("sets")).select("combination", F.explode("sets").alias("set"))
+    named = combinations.join(members, "set").select("combination", "item").distinct()
+    digest = F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("item"))), 256)
+    figures = named.groupBy("combination").agg(F.count(F.lit(1)).alias("_n"), digest.alias("_sha"))
+    full = hits.join(figures, "combination", "left").withColumn("n_items", F.coalesce("_n", "n_items")).withColumn("items_sha256", F.coalesce("_sha", "items_sha256"))
+    columns = [c for c in hits.columns if c not in ("combination", "sets")]
+    return clean.mapInArrow(judge, judged).select(columns).union(full.select(columns))

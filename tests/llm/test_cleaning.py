@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate as decontaminating
 from palimpsest.llm import quality_rules as q
@@ -298,6 +299,22 @@ def test_canonical_form_for_globs(spark):
     assert [got[i].n_globs for i in range(3)] == [1, 1, 1] and [(got[i].rule, got[i].verdict) for i in range(3)] == [("org/", "allow"), ("org/", "allow"), (None, "block")]
 
 
+def test_window_that_very_many_items_share(spark):
+    shared = " ".join(f"s{k}" for k in range(13))
+    n = 100_000
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.concat(F.lit(shared + " own"), "id").alias("text")).union(spark.createDataFrame([(n, "quite another one")], "item_id bigint, text string"))
+    texts = [f"before {shared} after {k}" for k in range(300)] + [f"x {shared} own7", "here is quite another one", f"{shared} quite another one", "nothing of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.id: r for r in decontaminate(docs, items, broadcast_words=0).collect()}
+    digest = lambda ids: hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+    all_of_them = digest(range(n))
+    assert len(got) == len(texts) and all((got[k].n_hit, got[k].n_items, got[k].items_sha256) == (13, n, all_of_them) for k in range(300))
+    assert (got[300].n_hit, got[300].n_items, got[300].items_sha256, got[300].clean_text) == (14, n, all_of_them, "x ")
+    assert (got[301].n_hit, got[301].items_sha256) == (3, digest([n]))
+    assert (got[302].n_hit, got[302].n_items, got[302].items_sha256) == (16, n + 1, digest(range(n + 1)))
+    assert (got[303].n_hit, got[303].n_items, got[303].items_sha256) == (0, 0, digest([]))
+
+
 def test_url_rules_by_brute_force(spark):
     rng = random.Random(3)
     hosts = ["example.org", "a.example.org", "xexample.org", "ORG", "org", "b.com", "com", "spam-farm.example.net", "m.casino-x.de", "ads.x.y", "x.ads", "ünï.org", "", "u@ads.x.com:80", "a:b@Ads.org.", "x:", "%61ds.x.y"]
