@@ -13,6 +13,8 @@ from palimpsest.sources.scratch import kept
 
 #: Values that a task's summary keeps.
 CAPACITY = 100_000
+#: Bytes of values up to which those that may be among the most common are broadcast.
+MAX_BROADCAST = 64 << 20
 
 
 def topk_forced(rows: DataFrame, parts: list[str], score: str, tie: str, k: int, forced: Column) -> DataFrame:
@@ -100,7 +102,12 @@ def top_counts(rows: DataFrame, value: str, order: str, n: int, capacity: int =
     if error:
         least = [r["n"] for r in named.select("n").orderBy(F.desc("n")).limit(n).collect()]
         sure = len(least) == n and least[-1] > error
-        chosen = read.join(named.where(F.col("n") + error >= least[-1]).select("value"), "value", "left_semi") if sure else read
+        chosen = read
+        if sure:
+            among = named.where(F.col("n") + error >= least[-1]).select("value")
+            # Left to itself, the join would shuffle all rows before it knows how few values these are.
+            held = among.agg(F.coalesce(F.sum(F.octet_length(F.col("value").cast("string")) + 32), F.lit(0))).first()[0]
+            chosen = read.join(F.broadcast(among) if held <= MAX_BROADCAST else among, "value", "left_semi")
         named = chosen.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"))
     return named.select(F.col("value").alias(value), "n", "first").orderBy(F.desc("n"), "first", value).limit(n)
 
