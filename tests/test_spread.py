@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.operators.lookup import Step, cascade, fetched, frequent
-from palimpsest.operators.segment import headline_fields
+from palimpsest.operators.order import beside, carried_count, in_blocks
+from palimpsest.operators.segment import bracket_entries, headline_entries, headline_fields
 from palimpsest.plans.restore import Rules, apply_rules
 
 
@@ -56,3 +57,17 @@ def test_rows_of_a_frequent_entry_are_fetched_by_many_tasks(shuffled):
     assert {(r["id"], r["row"]) for r in got.collect()} == {(i, "e3" if i < 400 else f"e{i - 400}" if i < 405 else None) for i in range(900)}
     assert got.count() == 900
     assert largest(got) < 300
+
+
+def test_lines_are_read_and_judged_once(shuffled):
+    """What carries over block borders joins no rows by shuffles, and entries come from a table of judged lines."""
+    lines = shuffled.createDataFrame([("f", i, x, True) for i, x in enumerate(["あ【亜】", "〈n〉 one", "い", "（two）", "x［tei [hA121]］", "body"])], "file string, ord bigint, line string, ended boolean")
+    dealt = in_blocks(lines, ["file"], "ord", 2)
+    for df in (beside(dealt, ["file"], "ord", "line"), carried_count(dealt, ["file"], "ord", F.col("ord") == 2, "n")):
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    heads, brackets = headline_entries(lines, {}, 2), bracket_entries(lines, {}, 2)
+    for df in (heads, brackets):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Scan ExistingRDD" not in plan
+    assert [(r["headword_line"], r["body_raw"]) for r in heads.orderBy("ord").collect()] == [("あ【亜】", "〈n〉 one"), ("い", "（two）\nx［tei [hA121]］\nbody")]
+    assert [(r["headword"], r["body_raw"]) for r in brackets.collect()] == [("x", "body")]
