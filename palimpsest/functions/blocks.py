@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from unicodedata import normalize
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +89,20 @@ def with_decoded(chunks: DataFrame, chunk: str = "chunk") -> DataFrame:
     return named.select(*chunks.columns, "text", "codes", counts.alias("counts"), "n_units")
 
 
+@lru_cache(maxsize=1)
+def _wide() -> dict[str, str]:
+    """NFKC of the characters of cells that it changes. Marks that it sets apart stand behind a space each, so no character changes another."""
+    return {c: n for c in sorted(set(cells())) if (n := normalize("NFKC", c)) != c}
+
+
+def preview(text: Column) -> Column:
+    """t.preview of decoded text (with_decoded), whose characters are known, so that its NFKC needs no Python."""
+    changed = _wide()
+    alone = {c: n for c, n in changed.items() if len(n) == 1}
+    plain = F.translate(t.literally(text, {c: n for c, n in changed.items() if len(n) > 1}), "".join(alone), "".join(alone.values()))
+    return t.without_marks(plain)
+
+
 def block_units(chunk: Column) -> Column:
     """The units of each block, without filler and line ends: type, offset, code (of controls), hex and text; null for null."""
     tables = _tables()
@@ -109,5 +124,3 @@ def block_units(chunk: Column) -> Column:
 def control_counts(codes: Column, counts: Column) -> Column:
     """How often each control code comes, as a map in the order of their first places."""
     return F.map_from_arrays(codes, counts)
-
-

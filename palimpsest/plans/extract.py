@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import fixed
 from palimpsest.functions import text as t
-from palimpsest.functions.blocks import control_counts, with_decoded
+from palimpsest.functions.blocks import control_counts, preview, with_decoded
 from palimpsest.operators.choose import context, strided, topk_forced
 from palimpsest.sources.block_ranges import read_ranges
+from palimpsest.sources.scratch import kept as as_table
 from palimpsest.sources.sinks import write_html, write_jsonl, write_tsv
 
 SAMPLES, KEPT, LEAST_SCORE = 400, 40, 80
@@ -42,14 +43,17 @@ def cut_windows(files: DataFrame, sizes: list[int] | None = None, known: list[in
 def _decoded(chunks: DataFrame) -> DataFrame:
     """Adds text, normalised preview, control counts and the chunk's offset. The blocks are dealt out first, as reading takes less than decoding."""
     dealt = chunks.withColumn("offset", F.col("first") * F.col("block_size")).repartition("source_id", "block_size", "block")
-    return with_decoded(dealt).withColumn("normalized", t.preview(F.col("text"))).withColumn("control_codes", control_counts(F.col("codes"), F.col("counts")))
+    return with_decoded(dealt).withColumn("normalized", preview(F.col("text"))).withColumn("control_codes", control_counts(F.col("codes"), F.col("counts")))
 
 
 def block_samples(blocks: DataFrame, known: list[int] | None = None, kept: int = KEPT) -> DataFrame:
     """Of sampled blocks (read_ranges, cut_samples) those that score well or are known: the best `kept` of each file and size, then the known ones."""
     known = fixed.KNOWN_BLOCKS if known is None else known
     forced = F.col("block").isin(known)
-    scored = _decoded(blocks).withColumn("score", t.script_score(F.col("normalized"))).where((F.col("score") > LEAST_SCORE) | forced)
+    scored = _decoded(blocks).withColumn("score", t.script_score(F.col("normalized")))
+    # Written, as the choice reads it several times: blocks are read and decoded once. Only what is shown of them stays.
+    shown = scored.select("source_id", "source", "block_size", "block", "offset", "score", F.substring("text", 1, SHOWN).alias("text"), F.substring("normalized", 1, SHOWN).alias("normalized"), "control_codes", F.substring("chunk", 1, HEX_BYTES).alias("chunk"))
+    scored = as_table(shown)[0].where((F.col("score") > LEAST_SCORE) | forced)
     best = topk_forced(scored, ["source_id", "block_size"], "score", "block", kept, forced)
     return best.select(
         F.concat_ws(":", "source_id", "block_size", "block").alias("id"), "source", "source_id", "block_size", "block", t.hex_number(F.col("block")).alias("block_hex"), "offset", "score", "rank",

@@ -1,7 +1,7 @@
 """Block files as a source that reads only the blocks that are asked for.
 
-The plan of a scan is the list of byte ranges, made from the files' sizes; a partition is some ranges of one file and seeks to each. A file
-may have any size, as only its sampled blocks, or the windows around its known ones, are ever read. Files are reached by Arrow's file
+The plan of a scan is the list of byte ranges, made from the files' sizes; a partition is some ranges of one file, or of several small ones, and
+seeks to each. A file may have any size, as only its sampled blocks, or the windows around its known ones, are ever read. Files are reached by Arrow's file
 systems (local paths, file:, hdfs:, s3:, gs:), so the machines that run tasks must see them under the same name.
 """
 
@@ -17,8 +17,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 NAME = "block_ranges"
 SCHEMA = "source_id string, source string, block_size int, block bigint, first bigint, stop bigint, chunk binary"
 _ARROW = pa.schema([("source_id", pa.string()), ("source", pa.string()), ("block_size", pa.int32()), *[(c, pa.int64()) for c in ("block", "first", "stop")], ("chunk", pa.binary())])
-#: Bytes that one partition reads, and of one batch that it gives.
+#: Bytes that one partition reads of a file, and of one batch that it gives.
 PARTITION_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
+#: Bytes up to which small files share a partition, and what opening one counts as: a task takes longer to start than to read some hundred KB.
+SHARED_BYTES, OPEN_BYTES = 4 << 20, 64 << 10
 
 
 def sampled(n_blocks: int, samples: int, known: list[int]) -> list[tuple[int, int, int]]:
@@ -32,9 +34,27 @@ def around(n_blocks: int, known: list[int], before: int, after: int) -> list[tup
     return [(k, max(0, k - before), min(n_blocks, k + after + 1)) for k in known if k < n_blocks]
 
 
+#: (source_id, path, block_size, ranges)
+Part = tuple[str, str, int, list[tuple[int, int, int]]]
+
+
 class Ranges(InputPartition):
-    def __init__(self, source_id: str, path: str, block_size: int, ranges: list[tuple[int, int, int]]) -> None:
-        super().__init__((source_id, path, block_size, ranges))
+    def __init__(self, parts: list[Part]) -> None:
+        super().__init__(parts)
+
+
+def packed(parts: list[Part]) -> list[list[Part]]:
+    """Parts in their order, several in one list up to SHARED_BYTES."""
+    out: list[list[Part]] = []
+    held = 0
+    for part in parts:
+        size = OPEN_BYTES + sum(stop - first for _, first, stop in part[3]) * part[2]
+        if not out or held + size > SHARED_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(part)
+        held += size
+    return out
 
 
 def _opened(path: str):
@@ -50,7 +70,7 @@ class BlockReader(DataSourceReader):
         self.samples, self.window = json.loads(options.get("samples", "null")), json.loads(options.get("window", "null"))
 
     def partitions(self) -> list[Ranges]:
-        out = []
+        out: list[Part] = []
         for source_id, path in self.files:
             fs, at = _opened(path)
             info = fs.get_file_info(at)
@@ -60,25 +80,23 @@ class BlockReader(DataSourceReader):
                 n = info.size // size
                 ranges = sampled(n, self.samples, self.known) if self.window is None else around(n, self.known, *self.window)
                 most = max(1, PARTITION_BYTES // max((stop - first) * size for _, first, stop in ranges)) if ranges else 1
-                out += [Ranges(source_id, path, size, ranges[i : i + most]) for i in range(0, len(ranges), most)]
-        return out or [Ranges("", "", 1, [])]
+                out += [(source_id, path, size, ranges[i : i + most]) for i in range(0, len(ranges), most)]
+        return [Ranges(parts) for parts in packed(out)] or [Ranges([])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        source_id, path, size, ranges = partition.value
-        if not ranges:
-            return
-        fs, at = _opened(path)
-        with fs.open_input_file(at) as file:
-            rows, held = [], 0
-            for block, first, stop in ranges:
-                chunk = file.read_at((stop - first) * size, first * size)
-                rows.append({"source_id": source_id, "source": path, "block_size": size, "block": block, "first": first, "stop": stop, "chunk": chunk})
-                held += len(chunk)
-                if held >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+        rows, held = [], 0
+        for source_id, path, size, ranges in partition.value:
+            fs, at = _opened(path)
+            with fs.open_input_file(at) as file:
+                for block, first, stop in ranges:
+                    chunk = file.read_at((stop - first) * size, first * size)
+                    rows.append({"source_id": source_id, "source": path, "block_size": size, "block": block, "first": first, "stop": stop, "chunk": chunk})
+                    held += len(chunk)
+                    if held >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
 class BlockRanges(DataSource):
