@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from palimpsest.functions.fixed import DEFAULT_SOURCE
-from palimpsest.plans.restore import PRONUNCIATION_DRAFT, match_pronunciations, pronunciation_lookups
+from palimpsest.plans.restore import PRONUNCIATION_DRAFT, match_pronunciations
 
 
 def stream_pronunciations(
@@ -19,7 +19,6 @@ def stream_pronunciations(
     """
     lines = spark.readStream.text(drafts)
     parsed = lines.select(F.col("value").alias("_raw"), F.from_json("value", PRONUNCIATION_DRAFT, {"mode": "FAILFAST"}).alias("_row")).select("_raw", "_row.*")
-    exact, normal = pronunciation_lookups(entries)
-    rows = match_pronunciations(parsed, exact, normal, source_id, source_name)
+    rows = match_pronunciations(parsed, entries, source_id, source_name)
     writer = rows.select(F.col("line").alias("value")).writeStream.format("text").outputMode("append")
     return writer.option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
