@@ -68,3 +68,35 @@ def test_texts_restore_as_lines_do_and_lines_are_made_when_read(spark, monkeypat
     # The tables of the restoration have no lines; what reads none makes none.
     assert not any("line" in spark.read.parquet(path).columns for path in one.tables)
     assert "edit_json" not in one.index._jdf.queryExecution().executedPlan().toString()
+
+
+def test_head_lines_are_the_same_by_the_quick_pattern(spark):
+    rng = random.Random(19)
+    lines = ["".join(rng.choices(["a", " ", "　", "\t", "[", "]", "［", "］", "(", "é", "$1"], k=rng.randrange(0, 9))) + "］" * rng.randrange(2) for _ in range(5000)]
+    marked = lambda pattern, parts: F.regexp_replace("x", pattern, parts)
+    slow, quick = F.split(marked(segment._HEAD, "\n$1\n$2"), "\n"), F.split(marked(segment._HEAD_QUICK, "\n$1$3\n$2$4"), "\n")
+    rows = spark.createDataFrame([(x,) for x in lines], "x string").select("x", *[F.transform(c, segment.t.strip).alias(n) for c, n in ((slow, "slow"), (quick, "quick"))]).collect()
+    assert [r for r in rows if r["slow"] != r["quick"]] == []
+    assert sum(len(r["slow"]) == 3 for r in rows) > 100
+
+
+def test_keys_are_made_once_and_kept_without_texts(spark):
+    texts = spark.createDataFrame([("f", "w1［[hA121]］\nbody\nW1［[hA121]x］\nbody\n")], "file string, text string")
+    got = restore_pronunciations(drafts_of(spark, ["w1", "none"]), texts, {}, "mine")
+    kinds = dict(spark.read.parquet(got.tables[0]).dtypes)
+    assert [c for c, kind in kinds.items() if kind == "string"] == ["file"]
+    figures = got.report.first()["lookup"]
+    assert (figures["exact_keys"], figures["normalized_keys"], figures["ambiguous_normalized_keys"]) == (2, 1, 1)
+
+
+def test_too_many_keys_to_broadcast_are_sieved_before_the_shuffle(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.col("id").alias("n"), F.xxhash64("id").alias("k"))
+    keys, _ = kept(rows.where("n % 100 = 3").select("k").union(rows.where("n = 3").select("k")))
+    monkeypatch.setattr(lookup, "MAX_BROADCAST", -1)
+    got = lookup.among(rows, keys, ["k"])
+    assert "getbit" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["n"] for r in got.select("n").collect()) == list(range(3, 20_000, 100))
+    passed = {r["n"] for r in lookup.sieved(rows, keys, ["k"], words=512).select("n").collect()}
+    assert passed >= set(range(3, 20_000, 100)) and len(passed) < 600
+    # One word has all keys: the sieve lets rows through, and none is lost.
+    assert {r["n"] for r in lookup.sieved(rows, keys, ["k"], words=1).select("n").collect()} >= set(range(3, 20_000, 100))
